@@ -150,10 +150,10 @@ def standardise_features(rows: DataFrame, features: Sequence[str], limit: float
     for c in features:
         std = F.stddev_samp(c)
         aggs += [F.avg(c).alias(f"_m_{c}"), F.when(std == 0, 1.0).otherwise(std).alias(f"_s_{c}")]
-    stats = rows.filter("fit_half").agg(*aggs)  # a single row
+    stats = rows.filter("fit_half").agg(*aggs).withColumn("_one", F.lit(1))  # a single row
     scaled = {c: clip((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"), -limit, limit) for c in features}
-    out = rows.crossJoin(F.broadcast(stats)).withColumns(scaled)
-    return out.drop(*[f"_m_{c}" for c in features], *[f"_s_{c}" for c in features])
+    out = rows.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").withColumns(scaled)
+    return out.drop("_one", *[f"_m_{c}" for c in features], *[f"_s_{c}" for c in features])
 
 
 def lagged(bars: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:

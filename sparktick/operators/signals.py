@@ -84,20 +84,33 @@ def random_bars(
 
 
 def score_signals(
-    scored: DataFrame, series: Sequence[str], rate: float, score: str = "score"
+    scored: DataFrame, series: Sequence[str], rate: float | None = None, rates: DataFrame | None = None, score: str = "score"
 ) -> DataFrame:
     """Score-threshold signal: bars whose score is strictly above the (1 - rate) quantile of the fold's training scores.
 
     `scored(series, w_snn, test_day, split, symbol, day, num, bar_idx, score)` covers training and test days;
-    the threshold uses training rows only. Works for any external score table too.
+    the threshold uses training rows only. The rate is one number or a column of `rates(series, rate)`.
+    Works for any external score table too.
     """
     keys = [*series, "symbol", "num", "w_snn", "test_day"]
-    limit = exact_quantiles(scored.filter("split = 'train'"), keys, score, [1.0 - rate], out="threshold").drop("q", "n")
-    return scored.join(limit, keys).filter(F.col(score) > F.col("threshold")).select(
+    train = scored.filter("split = 'train'")
+    if rates is None:
+        limit = exact_quantiles(train, keys, score, [1.0 - rate], out="threshold")
+    else:
+        folds = scored.select(*keys).distinct()
+        want = folds.join(rates, list(series)).withColumn("q", 1.0 - F.col("rate"))
+        limit = exact_quantiles(train, keys, score, targets=want, out="threshold")
+    return scored.join(limit.drop("q", "n"), keys).filter(F.col(score) > F.col("threshold")).select(
         *series, "w_snn", "test_day", "split", *BAR, score, "threshold"
     )
 
 
+def input_score(inputs: DataFrame) -> DataFrame:
+    """Score = p1 + p2. Rounded far below its scale: both channels often sum to a constant, and rounding noise
+    must not decide a strict comparison."""
+    return inputs.withColumn("score", F.round(F.col("p1") + F.col("p2"), 9))
+
+
 def rate_grid(rates: Sequence[float], days: DataFrame) -> DataFrame:
     """Targets for an accuracy-vs-rate curve: every fold day with every target rate."""
     return days.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))

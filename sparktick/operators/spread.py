@@ -272,21 +272,25 @@ def _blocked_scan(df: DataFrame, part: list[str], order: list[str]) -> DataFrame
     return df.drop("_blk", "_o", "_A", "_B", "_H", "_Rl", "_pS", "_pR", "_pt", "_fS", "_fR", "_ft", "_qS", "_qR")
 
 
+def by_chunk(df: DataFrame, keys: Sequence[str], index: str, size: int = CHUNK) -> DataFrame:
+    """Adds `chunk` = index // size and places all rows of one (keys, chunk) together."""
+    return df.withColumn("chunk", F.floor(F.col(index) / size)).repartition(*keys, "chunk")
+
+
 def decayed_sums(
-    df: DataFrame, keys: Sequence[str], series: Sequence[str], index: str, t: str, beta: str, weight: str, size: int = CHUNK
+    df: DataFrame, keys: Sequence[str], series: Sequence[str], index: str, t: str, beta: str, weight: str
 ) -> DataFrame:
     """Exponentially decayed sums of `weight` along time, per (keys, series).
 
     Adds `s_plus` (with the row's own weight), `s_minus` (just before it) and `r_minus`, the same sum
-    weighted by the time lag. `series` tells several sums over the same rows apart; the rows of one chunk
-    of `index` stay together, so every later step grouped by (keys, chunk) needs no further shuffle.
+    weighted by the time lag. `series` tells several sums over the same rows apart. Expects rows from
+    `by_chunk`: all windows then run inside (keys, chunk) and need no further shuffle.
     """
     keys, series = list(keys), list(series)
     rows = df.withColumns({
-        "chunk": F.floor(F.col(index) / size), "_t": F.col(t).cast("double"), "_beta": F.col(beta).cast("double"),
+        "_t": F.col(t).cast("double"), "_beta": F.col(beta).cast("double"),
         "_g": F.col(weight).cast("double"), "_h": F.lit(0.0), "_i": F.col(index),
     })
-    rows = rows.repartition(*keys, "chunk")
     local = _blocked_scan(rows, keys + series + ["chunk"], ["_t", "_i"])
     ends = local.groupBy(*keys, *series, "chunk").agg(
         F.max_by(F.struct("_S", "_R", "_t", "_beta"), F.col("_i")).alias("_e")

@@ -24,7 +24,7 @@ TRADE_RETURNS = _struct(
 )
 THETA = _struct(
     mu=T.ArrayType(_D), alpha=T.ArrayType(T.ArrayType(_D)), beta=T.ArrayType(T.ArrayType(_D)),
-    marks=_struct(name=_S, mean=T.ArrayType(_D), scale=T.ArrayType(_D), norm=T.ArrayType(_D)),
+    marks=_struct(name=_S, scale=T.ArrayType(_D), norm=T.ArrayType(_D)),
     time_axis=_S, event_threshold=_D,
     fit=_struct(for_day=_S, fit_days=T.ArrayType(_S), w_h=_L, candidate_moves=_L, n_events=_L, loglik_per_event=_D, converged=_B),
 )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sparktick.functions.columns import day_start_ns
 from sparktick.functions.keyed import gaussian, uniform
@@ -33,8 +32,10 @@ def random_walk(slots: DataFrame, seed: int) -> DataFrame:
 
 def synthetic_trades(days: DataFrame, per_day: int, seed: int, symbol: str = "SYN") -> DataFrame:
     """`per_day` trades for every row of `days(day)`, millisecond times spread over the UTC day."""
-    spark = days.sparkSession
-    seqs = spark.range(per_day).withColumnRenamed("id", "seq")
-    slots = seqs.crossJoin(F.broadcast(days)).withColumn("symbol", F.lit(symbol))  # one row per day
+    block = 4096
+    first = F.col("_block") * block
+    blocks = days.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((per_day - 1) // block)).cast("array<bigint>")))
+    slots = blocks.withColumn("seq", F.explode(F.sequence(first, F.least(first + block - 1, F.lit(per_day - 1).cast("long")))))
     ms = F.floor((F.col("seq") + uniform(seed, F.col("day"), F.col("seq"), "time")) * (86_400_000 / per_day))
-    return random_walk(slots.withColumn("ts_ns", day_start_ns(F.col("day")) + ms * 1_000_000), seed)
+    slots = slots.withColumns({"symbol": F.lit(symbol), "ts_ns": day_start_ns(F.col("day")) + ms * 1_000_000})
+    return random_walk(slots.drop("_block"), seed)
