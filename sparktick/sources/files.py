@@ -48,7 +48,7 @@ def read_trade_parquet(spark: SparkSession, path: str | list[str], dataset: str)
 
 
 def _named(df: DataFrame, dataset: str) -> DataFrame:
-    pattern = rf"([^/]+)-{dataset}-(\d{{4}}-\d{{2}}-\d{{2}})\.[^/]*$"
+    pattern = rf"([^/=]+)-{dataset}-(\d{{4}}-\d{{2}}-\d{{2}})\.(?:csv|parquet)"
     name = F.col("_metadata.file_path")
     return df.select(
         F.regexp_extract(name, pattern, 1).alias("symbol"), F.to_date(F.regexp_extract(name, pattern, 2)).alias("day"), "*"
