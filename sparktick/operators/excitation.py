@@ -79,21 +79,23 @@ def above_threshold(ev: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def fit_marks(ev: DataFrame, name: str = "linear_normalized", strict: bool = True) -> DataFrame:
-    """Mark normalisation per theta key: mark_scale_k and mark_norm_k. A missing type is an error if `strict`,
-    otherwise the key is left out."""
-    keys = [*FIT, "k"]
+    """One row per theta key: mark_scale_k and mark_norm_k, the numbers of events n_up and n_down, and what
+    `ev` says about the key (threshold, candidate moves). A missing type is an error if `strict`, otherwise the
+    key is left out."""
     if name == "saturating":
-        scale = exact_quantiles(ev, keys, "mark", [0.5], out="_scale").drop("q", "n")
-        norm = ev.join(scale, keys).groupBy(*keys).agg(
-            F.first("_scale").alias("_scale"), F.avg(raw_mark(name, F.col("mark"), F.col("_scale"))).alias("_norm")
-        )
+        keys = [*FIT, "k"]
+        ev = ev.join(exact_quantiles(ev, keys, "mark", [0.5], out="_scale").drop("q", "n"), keys)
+        scale, norm = F.first("_scale"), F.avg(raw_mark(name, F.col("mark"), F.col("_scale")))
     else:
-        mean = F.avg("mark") if name == "linear_normalized" else F.lit(1.0)
-        norm = ev.groupBy(*keys).agg(mean.alias("_scale"), F.lit(1.0).alias("_norm"))
+        scale, norm = F.avg("mark") if name == "linear_normalized" else F.avg(F.lit(1.0)), F.avg(F.lit(1.0))
+    known = [F.first(c).alias(c) for c in ("event_threshold", "candidate_moves") if c in ev.columns]
+    per_type = ev.groupBy(*FIT, "k").agg(scale.alias("_scale"), norm.alias("_norm"), F.count("*").alias("_n"), *known)
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    out = norm.groupBy(*FIT).agg(
+    out = per_type.groupBy(*FIT).agg(
         pick("_scale", 0).alias("mark_scale_u"), pick("_scale", 1).alias("mark_scale_d"),
         pick("_norm", 0).alias("mark_norm_u"), pick("_norm", 1).alias("mark_norm_d"),
+        pick("_n", 0).alias("n_up"), pick("_n", 1).alias("n_down"),
+        *[F.first(c).alias(c) for c in ("event_threshold", "candidate_moves") if c in ev.columns],
     )
     both = F.col("mark_scale_u").isNotNull() & F.col("mark_scale_d").isNotNull()
     if not strict:
@@ -118,13 +120,11 @@ def fit_events(
     time = in_fit_windows(horizons(diffs, axis), windows).groupBy(*FIT).agg(
         F.sum("horizon").alias("total_time"), F.sort_array(F.collect_list("fit_day")).alias("fit_days")
     )
-    n_k = lambda k: F.count_if(F.col("k") == k)
-    counts = kept.groupBy(*FIT).agg(n_k(0).alias("n_up"), n_k(1).alias("n_down"))
-    head = thr.join(norm, FIT).join(time, FIT).join(counts, FIT)
+    head = norm.join(time, FIT)
     weighted = kept.drop("event_threshold", "candidate_moves").join(norm, FIT).withColumn(
         "g", mark_weight(marks, F.col("mark"), F.col("k"))
     )
-    return weighted.drop(*MARKS), head
+    return weighted.drop(*[c for c in norm.columns if c not in FIT]), head
 
 
 def given_theta(head: DataFrame, alpha: Sequence[float], beta: Sequence[float], mu_share: float = 0.5) -> DataFrame:

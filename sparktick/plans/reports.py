@@ -78,10 +78,8 @@ def variant_fits(
         else:
             moves = in_fit_windows(diffs.filter("d is not null"), windows)
             thr = exact_quantiles(moves, FIT, F.abs("d"), [q], out="event_threshold").select(*FIT, "event_threshold")
-        kept = above_threshold(ev, thr)
-        counts = kept.groupBy(*FIT).agg(F.count_if(F.col("k") == 0).alias("n_up"), F.count_if(F.col("k") == 1).alias("n_down"))
         time = in_fit_windows(horizons(diffs, axis), windows).groupBy(*FIT).agg(F.sum("horizon").alias("total_time"))
-        head = thr.join(fit_marks(kept, strict=False), FIT).join(time, FIT).join(counts, FIT)
+        head = fit_marks(above_threshold(ev, thr), strict=False).join(time, FIT)
         scale = 1.0 if axis == "bar_index" else 83.0 / 86_400.0
         theta = given_theta(head, [a * scale for a in alpha], [b * scale for b in beta])
         out[f"{axis}/{'all' if q is None else q}"] = (axis, theta)

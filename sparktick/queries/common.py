@@ -10,6 +10,7 @@ from sparktick.operators import excitation as H
 from sparktick.operators.quality import calendar
 from sparktick.plans.backtest import walk_forward
 from sparktick.queries import sql as S
+from sparktick.session import materialise
 from sparktick.sources.tables import event_trades
 
 
@@ -30,6 +31,11 @@ def diffs(spark: SparkSession, sf: str) -> DataFrame:
     return B.differences(bars(spark, sf))
 
 
+def bar_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with differences as a written table: the shared input of deep plans (the bar store's role)."""
+    return materialise(diffs(spark, sf), "bars")
+
+
 def test_days(spark: SparkSession) -> DataFrame:
     return calendar(spark, S.FIRST_TEST, S.LAST_TEST)
 
@@ -46,8 +52,9 @@ def theta_days(spark: SparkSession) -> DataFrame:
 def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE) -> tuple[DataFrame, DataFrame]:
     """Fit set and theta with given alpha, beta for every day."""
     fit_set, head = H.fit_events(d, H.fit_windows(theta_days(spark), spans), quantile)
-    return fit_set, H.given_theta(head, S.ALPHA, S.BETA)
+    return fit_set, materialise(H.given_theta(head, S.ALPHA, S.BETA), "theta")
 
 
 def intensities(spark: SparkSession, d: DataFrame, spans=(1,)) -> DataFrame:
-    return H.intensities(d, theta(spark, d, spans)[1])
+    """Intensities of every day with theta, as a written table. `d` should be a written table, too."""
+    return materialise(H.intensities(d, theta(spark, d, spans)[1]), "intensities")
