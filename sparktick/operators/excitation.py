@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from sparktick.functions.kernels import spectral_radius
 from sparktick.functions.marks import mark_weight, raw_mark
 from sparktick.operators.bars import bar_time
-from sparktick.operators.spread import by_chunk, decayed_sums, exact_quantiles
+from sparktick.operators.scan import CHUNK, decayed_sums
+from sparktick.operators.spread import exact_quantiles
 from sparktick.schemas import BAR, BAR_DAY
 
 SECONDS_PER_DAY = 86_400.0
@@ -143,41 +144,25 @@ def branching_matrix(theta: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- intensities
 
 
-def excite(rows: DataFrame, keys: Sequence[str], size: int = 1 << 14) -> DataFrame:
+def excite(rows: DataFrame, keys: Sequence[str], size: int = CHUNK) -> DataFrame:
     """Intensities at every row of (keys, bar_idx): lam_*_minus (before the row's event) and lam_* (after it).
 
     Rows carry t, k (NULL without event), g and theta. At event rows `from_u`, `from_d` hold the excitation of
     the event's own type by up / down events and `lag_u`, `lag_d` the same weighted by the time lag.
-    The four (target, source) sums run side by side in one placement of the rows.
     """
-    keys = list(keys)
-    placed = by_chunk(rows.withColumn("_row", F.struct(*rows.columns)), keys, "bar_idx", size)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit("ud".index(p[0])).alias("m"), F.lit("ud".index(p[1])).alias("s"),
-                 F.col(f"alpha_{p}").alias("alpha"), F.col(f"beta_{p}").alias("beta")) for p in PAIRS
-    ]))
-    spread = placed.select(*keys, "bar_idx", "chunk", "t", "k", "g", "_row", pairs.alias("_p")).select(
-        *keys, "bar_idx", "chunk", "t", "k", "_row", "_p.m", "_p.s", "_p.alpha", "_p.beta",
-        F.when(F.col("k") == F.col("_p.s"), F.col("g")).otherwise(0.0).alias("_w"),
-    )
-    sums = decayed_sums(spread, keys, ["m", "s"], "bar_idx", "t", "beta", "_w")
-    part = lambda value, m: F.sum(F.when(F.col("m") == m, F.col("alpha") * F.col(value)).otherwise(0.0))
-
-    def own(value: str, s: int) -> Column:
-        hit = (F.col("m") == F.col("k")) & (F.col("s") == s)
-        return F.sum(F.when(hit, F.col("alpha") * F.col(value)))
-
-    out = sums.groupBy(*keys, "chunk", "bar_idx").agg(
-        F.first("_row").alias("_row"),
-        part("s_minus", 0).alias("_um"), part("s_minus", 1).alias("_dm"),
-        part("s_plus", 0).alias("_up"), part("s_plus", 1).alias("_dp"),
-        own("s_minus", 0).alias("from_u"), own("s_minus", 1).alias("from_d"),
-        own("r_minus", 0).alias("lag_u"), own("r_minus", 1).alias("lag_d"),
-    )
-    return out.select(
-        "_row.*", (F.col("_row.mu_u") + F.col("_um")).alias("lam_u_minus"), (F.col("_row.mu_d") + F.col("_dm")).alias("lam_d_minus"),
-        (F.col("_row.mu_u") + F.col("_up")).alias("lam_u"), (F.col("_row.mu_d") + F.col("_dp")).alias("lam_d"),
-        "from_u", "from_d", "lag_u", "lag_d",
+    c, k = F.col, F.col("k")
+    weight = {s: F.when(k == i, c("g")).otherwise(0.0) for i, s in enumerate("ud")}
+    sums = decayed_sums(rows, keys, "bar_idx", c("t"), {p: (c(f"beta_{p}"), weight[p[1]]) for p in PAIRS}, size)
+
+    def lam(m: str, side: str) -> Column:
+        return c(f"mu_{m}") + c(f"alpha_{m}u") * c(f"{side}_{m}u") + c(f"alpha_{m}d") * c(f"{side}_{m}d")
+
+    def own(side: str, s: str) -> Column:
+        return F.when(k == 0, c(f"alpha_u{s}") * c(f"{side}_u{s}")).when(k == 1, c(f"alpha_d{s}") * c(f"{side}_d{s}"))
+
+    return sums.select(
+        *rows.columns, *[lam(m, "minus").alias(f"lam_{m}_minus") for m in "ud"], *[lam(m, "plus").alias(f"lam_{m}") for m in "ud"],
+        *[own("minus", s).alias(f"from_{s}") for s in "ud"], *[own("lag", s).alias(f"lag_{s}") for s in "ud"],
     )
 
 

@@ -7,8 +7,9 @@ same results with bounded window partitions:
 * running totals   -> `running_totals`, `number_rows`: totals per slice, then a scan inside a slice;
 * quantiles        -> `exact_quantiles`: a sketch brackets the rank, only the bracket is sorted;
 * ranks            -> `average_ranks`, `auc`: distinct values with counts, then running totals;
-* next at or after -> `first_at_or_after`: time slices plus the first value of a later slice;
-* decayed sums     -> `decayed_sums`: local scans per chunk plus a scan over the chunk ends.
+* next at or after -> `first_at_or_after`: time slices plus the first value of a later slice.
+
+Decayed sums are in `scan`.
 """
 
 from __future__ import annotations
@@ -183,13 +184,21 @@ def group_quantiles(
     return rows.groupBy(*keys).agg(*aggs, *([F.max("n").alias(count)] if count else []))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """1-based rank of `value` within `keys`, ties sharing their average rank; NULL values stay NULL."""
+def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """1-based ranks within `keys` of several columns (name: output), ties sharing their average rank; NULL stays NULL.
+
+    All columns are counted by value in one pass over `df` and ranked in one scan.
+    """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranked = running_totals(counts, keys, value_cells(F.col(value)), [value], {"_before": F.col("_c")})
-    ranked = ranked.select(*keys, value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranked, keys + [value], "left")
+    long = df.unpivot(keys, list(columns), "_name", "_v").filter(F.col("_v").isNotNull())
+    group = [*keys, "_name"]
+    counts = long.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+    ranked = running_totals(counts, group, value_cells(F.col("_v")), ["_v"], {"_before": F.col("_c")})
+    ranked = ranked.select(*group, "_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_rank"))
+    for name, out in columns.items():
+        one = ranked.filter(F.col("_name") == name).select(*keys, F.col("_v").alias(name), F.col("_rank").alias(out))
+        df = df.join(one, keys + [name], "left")
+    return df
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column, out: str = "auc") -> DataFrame:
@@ -229,86 +238,3 @@ def first_at_or_after(
     )
     found = both.join(carry, keys + ["_slice"]).withColumn(out, F.coalesce(F.min("_p").over(inside), F.col("_carry")))
     return found.filter("_is").drop("_ts", "_p", "_is", "_slice", "_carry")
-
-
-# --------------------------------------------------------------------------- decayed sums
-
-_SPAN = 500.0  # largest exponent inside a block: e^500 is finite and e^-500 negligible
-
-
-def _blocked_scan(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """`_S`, `_R` after every row and `_S0`, `_R0` just before it, within `part`.
-
-    S = sum g e^{-b(t-ti)}, R = sum (g (t-ti) + h) e^{-b(t-ti)}, from columns _t, _beta, _g, _h. Inside a block
-    of 500/beta time units the sum is a plain running sum of positive terms; the block before enters
-    through its last row, earlier blocks are below e^-500.
-    """
-    b, t = F.col("_beta"), F.col("_t")
-    df = df.withColumn("_blk", F.floor(t * b / _SPAN))
-    df = df.withColumn("_o", t - F.col("_blk") * _SPAN / b)
-    grow = F.exp(b * F.col("_o"))
-    block = Window.partitionBy(*part, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*part).orderBy(*order)
-    df = df.withColumns({
-        "_A": F.sum(F.col("_g") * grow).over(block) / grow,
-        "_B": F.sum(F.col("_g") * F.col("_o") * grow).over(block) / grow,
-        "_H": F.sum(F.col("_h") * grow).over(block) / grow,
-    })
-    df = df.withColumn("_Rl", F.col("_o") * F.col("_A") - F.col("_B") + F.col("_H"))
-    df = df.withColumns({"_pS": F.lag("_A").over(whole), "_pR": F.lag("_Rl").over(whole), "_pt": F.lag("_t").over(whole)})
-    df = df.withColumns({f"_f{c}": F.first(f"_p{c}").over(block) for c in ("S", "R", "t")})
-    gap = t - F.col("_ft")
-    fade = F.exp(-b * gap)
-    df = df.withColumns({
-        "_S": F.col("_A") + F.coalesce(fade * F.col("_fS"), F.lit(0.0)),
-        "_R": F.col("_Rl") + F.coalesce(fade * (F.col("_fR") + gap * F.col("_fS")), F.lit(0.0)),
-    })
-    step = t - F.col("_pt")
-    df = df.withColumns({"_qS": F.lag("_S").over(whole), "_qR": F.lag("_R").over(whole)})
-    df = df.withColumns({
-        "_S0": F.coalesce(F.exp(-b * step) * F.col("_qS"), F.lit(0.0)),
-        "_R0": F.coalesce(F.exp(-b * step) * (F.col("_qR") + step * F.col("_qS")), F.lit(0.0)),
-    })
-    return df.drop("_blk", "_o", "_A", "_B", "_H", "_Rl", "_pS", "_pR", "_pt", "_fS", "_fR", "_ft", "_qS", "_qR")
-
-
-def by_chunk(df: DataFrame, keys: Sequence[str], index: str, size: int = CHUNK) -> DataFrame:
-    """Adds `chunk` = index // size and places all rows of one (keys, chunk) together."""
-    return df.withColumn("chunk", F.floor(F.col(index) / size)).repartition(*keys, "chunk")
-
-
-def decayed_sums(
-    df: DataFrame, keys: Sequence[str], series: Sequence[str], index: str, t: str, beta: str, weight: str
-) -> DataFrame:
-    """Exponentially decayed sums of `weight` along time, per (keys, series).
-
-    Adds `s_plus` (with the row's own weight), `s_minus` (just before it) and `r_minus`, the same sum
-    weighted by the time lag. `series` tells several sums over the same rows apart. Expects rows from
-    `by_chunk`: all windows then run inside (keys, chunk) and need no further shuffle.
-    """
-    keys, series = list(keys), list(series)
-    rows = df.withColumns({
-        "_t": F.col(t).cast("double"), "_beta": F.col(beta).cast("double"),
-        "_g": F.col(weight).cast("double"), "_h": F.lit(0.0), "_i": F.col(index),
-    })
-    local = _blocked_scan(rows, keys + series + ["chunk"], ["_t", "_i"])
-    ends = local.groupBy(*keys, *series, "chunk").agg(
-        F.max_by(F.struct("_S", "_R", "_t", "_beta"), F.col("_i")).alias("_e")
-    ).select(
-        *keys, *series, "chunk", F.col("_e._t").alias("_t"), F.col("_e._beta").alias("_beta"),
-        F.col("_e._S").alias("_g"), F.col("_e._R").alias("_h"),
-    )
-    total = _blocked_scan(ends, keys + series, ["chunk"])
-    prev = Window.partitionBy(*keys, *series).orderBy("chunk")
-    carry = total.select(
-        *keys, *series, "chunk", F.lag("_S").over(prev).alias("_cS"), F.lag("_R").over(prev).alias("_cR"),
-        F.lag("_t").over(prev).alias("_ct"),
-    ).filter(F.col("_cS").isNotNull())
-    out = local.join(carry, keys + series + ["chunk"], "left")
-    gap = F.col("_t") - F.col("_ct")
-    fade = F.exp(-F.col("_beta") * gap)
-    late_s = F.coalesce(fade * F.col("_cS"), F.lit(0.0))
-    late_r = F.coalesce(fade * (F.col("_cR") + gap * F.col("_cS")), F.lit(0.0))
-    return out.withColumns({
-        "s_plus": F.col("_S") + late_s, "s_minus": F.col("_S0") + late_s, "r_minus": F.col("_R0") + late_r,
-    }).drop("_t", "_beta", "_g", "_h", "_i", "_S", "_R", "_S0", "_R0", "_cS", "_cR", "_ct")

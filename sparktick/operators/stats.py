@@ -73,8 +73,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, control: str |
     """Spearman correlation per group and, with a control, the partial one given the control's ranks."""
     names = [x, y] + ([control] if control else [])
     rows = df.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in names])).select(*keys, *names)
-    for i, c in enumerate(names):
-        rows = average_ranks(rows, keys, c, f"_r{i}")
+    rows = average_ranks(rows.withColumns({c: F.col(c).cast("double") for c in names}), keys, {c: f"_r{i}" for i, c in enumerate(names)})
     aggs = [F.count("*").alias("n"), safe_corr("_r0", "_r1").alias("rho")]
     if control:
         aggs += [safe_corr("_r0", "_r2").alias("_xz"), safe_corr("_r1", "_r2").alias("_yz")]

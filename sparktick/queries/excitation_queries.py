@@ -9,7 +9,7 @@ from sparktick.functions.marks import mark_weight
 from sparktick.operators import excitation as H
 from sparktick.operators import fit as FT
 from sparktick.operators import labels as L
-from sparktick.operators.spread import by_chunk, decayed_sums
+from sparktick.operators.scan import decayed_sums
 from sparktick.plans import reports as R
 from sparktick.queries import common as C
 from sparktick.queries import sql as S
@@ -102,10 +102,15 @@ ds AS (SELECT b.symbol, b.day, b.num, b.bar_idx, be.beta, coalesce(sum(abs(e.d)
 @query("h5_decayed_sums", S.chain(_DEC) + f"SELECT {_B}, beta, {rs('s_plus', 's_minus', 'r_minus', digits=6)} FROM ds", digits=6)
 def h5(spark, sf):
     """Decayed sums of the up moves' sizes at every bar, three decay rates side by side, in chunks of 32 bars."""
-    rows = C.bar_table(spark, sf).withColumn("w", F.when(F.col("d") > 0, F.col("d")).otherwise(0.0))
-    placed = by_chunk(rows, BAR_DAY, "bar_idx", 32)
-    placed = placed.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in _BETAS])))
-    return decayed_sums(placed, BAR_DAY, ["beta"], "bar_idx", "bar_idx", "beta", "w").select(*BAR, "beta", "s_plus", "s_minus", "r_minus")
+    up = F.when(F.col("d") > 0, F.col("d")).otherwise(0.0)
+    sums = decayed_sums(
+        C.bar_table(spark, sf), BAR_DAY, "bar_idx", F.col("bar_idx"), {f"{i}": (F.lit(b), up) for i, b in enumerate(_BETAS)}, size=32
+    )
+    table = F.array(*[
+        F.struct(F.lit(b).alias("beta"), *[F.col(f"{c}_{i}").alias(n) for c, n in (("plus", "s_plus"), ("minus", "s_minus"), ("lag", "r_minus"))])
+        for i, b in enumerate(_BETAS)
+    ])
+    return sums.select(*BAR, F.explode(table).alias("_s")).select(*BAR, "_s.*")
 
 
 LAMBDA = [_EV, S.theta(), S.LAM]
