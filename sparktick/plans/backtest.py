@@ -203,10 +203,13 @@ def model_split_summary(rows: DataFrame) -> DataFrame:
 SOURCE_ORDER = ("model", "naive", "big_move")
 
 
+def source_rank() -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), F.col("source"))
+
+
 def in_report_order(rows: DataFrame, *columns: str) -> DataFrame:
     """Sorted by `columns`, sources in report order (model, naive, big_move)."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), F.col("source"))
-    return rows.orderBy(*columns, rank)
+    return rows.orderBy(*columns, source_rank())
 
 
 # --------------------------------------------------------------------------- the whole experiment

@@ -42,10 +42,11 @@ def n2_same_day(spark, sf):
     return N.shifted_zscore(d, N.same_day_stats(d), keys=BAR_DAY).select(*BAR, "p1", "p2")
 
 
-EXCITED = f"""lst AS ({S.fold_stats(['lam_u', 'lam_d'], 'lam')}), {S.SCOPED},
+EXCITED_ONLY = f"""lst AS ({S.fold_stats(['lam_u', 'lam_d'], 'lam')}),
 lin AS (SELECT x.*, s.w_snn, s.test_day, s.split, greatest(least(lam_u * (0.2 / mean_lam_u), 1.0), 0.0) AS p1,
   greatest(least(lam_d * (0.2 / mean_lam_d), 1.0), 0.0) AS p2
   FROM lam x JOIN scoped s USING (day) JOIN lst USING (symbol, num, w_snn, test_day))"""
+EXCITED = S.SCOPED + ",\n" + EXCITED_ONLY
 _EXC = [S.events(), S.theta(), S.LAM]
 
 

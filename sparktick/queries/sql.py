@@ -103,11 +103,12 @@ def fold_stats(columns: list[str], source: str) -> str:
 SCOPED = """scoped AS (SELECT w_snn, test_day, train_day AS day, 'train' AS split FROM folds
   UNION ALL SELECT DISTINCT w_snn, test_day, test_day, 'test' FROM folds)"""
 
-ZSCORE = f"""xs AS (SELECT *, d AS x1, -d AS x2 FROM dd), zst AS ({fold_stats(['x1', 'x2'], 'xs')}), {SCOPED},
+ZSCORE_ONLY = f"""xs AS (SELECT *, d AS x1, -d AS x2 FROM dd), zst AS ({fold_stats(['x1', 'x2'], 'xs')}),
 zin AS (SELECT x.*, s.w_snn, s.test_day, s.split,
   CASE WHEN x1 IS NULL THEN 0.0 ELSE greatest(least((x1 - mean_x1) / std_x1 * 0.1 + 0.2, 1.0), 0.0) END AS p1,
   CASE WHEN x2 IS NULL THEN 0.0 ELSE greatest(least((x2 - mean_x2) / std_x2 * 0.1 + 0.2, 1.0), 0.0) END AS p2
   FROM xs x JOIN scoped s USING (day) JOIN zst USING (symbol, num, w_snn, test_day))"""
+ZSCORE = SCOPED + ",\n" + ZSCORE_ONLY
 
 
 def events(axis: str = "bar_index") -> str:
