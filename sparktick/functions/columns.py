@@ -24,6 +24,11 @@ def tolerant_sign(x: Column, scale: Column) -> Column:
     return F.signum(zero_small(x, scale)).cast("tinyint")
 
 
+def idiv(x: Column, n: int) -> Column:
+    """Exact integer division (`/` would go through doubles, which cannot hold ns timestamps)."""
+    return F.call_function("div", x.cast("long"), F.lit(n).cast("long"))
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, NULL where the denominator is 0 or missing."""
     return num / F.nullif(den, F.lit(0))

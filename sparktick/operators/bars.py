@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.functions.columns import day_start_ns, ratio
+from sparktick.functions.columns import day_start_ns, idiv, ratio
 from sparktick.operators.spread import MINUTE_NS, number_rows, over_bars
 from sparktick.schemas import BAR, BAR_DAY, DAY
 
@@ -15,12 +15,12 @@ TRADE_ORDER = ("ts_ns", "trade_id", "price", "qty", "is_buyer_maker")
 
 
 def minute_slices() -> list[Column]:
-    return [F.floor(F.col("ts_ns") / MINUTE_NS)]
+    return [idiv(F.col("ts_ns"), MINUTE_NS)]
 
 
 def tied_slices(width: int = 1 << 16) -> list[Column]:
     """For sources with few distinct times: slice by the time itself, then by ranges of the trade id."""
-    return [F.col("ts_ns"), F.floor(F.col("trade_id") / width)]
+    return [F.col("ts_ns"), idiv(F.col("trade_id"), width)]
 
 
 def numbered_trades(trades: DataFrame, slices: Sequence[Column] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def vwap_bars(
         aggs += [ratio(F.sum(side * q), F.sum(q)).alias("ofi"), F.avg(side).alias("count_imb")]
     if close:
         aggs += [F.max_by(p, F.col("seq")).alias("close")]
-    grouped = used.withColumn("bar_idx", F.floor(F.col("seq") / F.col("num"))).groupBy(*BAR).agg(*aggs)
+    grouped = used.withColumn("bar_idx", F.call_function("div", F.col("seq"), F.col("num"))).groupBy(*BAR).agg(*aggs)
     return grouped.filter(F.col("n_trades") == F.col("num"))
 
 

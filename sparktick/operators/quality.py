@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparktick.functions.columns import NS_PER_DAY, day_start_ns
+from sparktick.functions.columns import NS_PER_DAY, day_start_ns, idiv
 from sparktick.schemas import DAY, TRADES
 from sparktick.operators.spread import MINUTE_NS
 
@@ -52,7 +52,7 @@ def coverage(trades: DataFrame, days: DataFrame, num: int) -> DataFrame:
     The longest gap comes from gaps inside one-minute slices and gaps between neighbouring slices.
     """
     counts = day_counts(trades)
-    cut = standardise(trades).withColumn("_slice", F.floor(F.col("ts_ns") / MINUTE_NS))
+    cut = standardise(trades).withColumn("_slice", idiv(F.col("ts_ns"), MINUTE_NS))
     inside = Window.partitionBy(*DAY, "_slice").orderBy("ts_ns")
     across = Window.partitionBy(*DAY).orderBy("_slice")
     per_slice = cut.withColumn("_gap", F.col("ts_ns") - F.lag("ts_ns").over(inside)).groupBy(*DAY, "_slice").agg(

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparktick.functions.columns import idiv
+
 CHUNK = 1 << 16
 MINUTE_NS = 60_000_000_000
 
@@ -228,7 +230,7 @@ def first_at_or_after(
     both = targets.withColumns({"_ts": F.col(target_ts), "_p": F.lit(None).cast("long"), "_is": F.lit(True)}).unionByName(
         points.select(*keys, F.col(point_ts).alias("_ts"), F.col(point).cast("long").alias("_p"), F.lit(False).alias("_is")),
         allowMissingColumns=True,
-    ).withColumn("_slice", F.floor(F.col("_ts") / slice_ns))
+    ).withColumn("_slice", idiv(F.col("_ts"), slice_ns))
     later = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     carry = both.groupBy(*keys, "_slice").agg(F.min("_p").alias("_m")).select(
         *keys, "_slice", F.min("_m").over(later).alias("_carry")

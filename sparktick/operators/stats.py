@@ -202,23 +202,23 @@ def working_value(m: Column) -> Column:
 
 
 def logistic(df: DataFrame, features: Sequence[str], label: str = "y"):
-    """Fitted binomial regression (distributed IRLS) and its coefficient table.
-
-    The table has one row per term with coefficient, standard error and z; the model's summary has the deviance,
-    so the likelihood ratio of two nested fits is the difference of their deviances.
-    """
+    """Fitted binomial regression (distributed IRLS). Its summary has the deviance: the likelihood ratio of two
+    nested fits is the difference of their deviances."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    model = GeneralizedLinearRegression(
+    return GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="_x", labelCol=label, predictionCol="p", maxIter=50, tol=1e-9, regParam=0.0
     ).fit(ready)
+
+
+def coefficient_table(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per term: coefficient, standard error and z (undefined for collinear features)."""
     errors = model.summary.coefficientStandardErrors
     terms = [*zip(features, model.coefficients.toArray(), errors[:-1]), ("intercept", model.intercept, errors[-1])]
     rows = [(name, float(c), float(e), float(c / e)) for name, c, e in terms]  # one row per term
-    table = df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, z double")
-    return model, table
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, std_error double, z double")
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -230,8 +230,8 @@ def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def signal_effect(rows: DataFrame, base: Sequence[str], signal: str, label: str = "y") -> DataFrame:
     """What a signal adds to a base regression: coefficient, error, z, LR statistic, AUC without and with it."""
-    small, _ = logistic(rows, base, label)
-    big, table = logistic(rows, [*base, signal], label)
+    small, big = logistic(rows, base, label), logistic(rows, [*base, signal], label)
+    table = coefficient_table(big, rows, [*base, signal])
     lr = float(small.summary.deviance - big.summary.deviance)
     aucs = []
     for name, model, cols in (("auc_without", small, base), ("auc_with", big, [*base, signal])):
@@ -243,7 +243,7 @@ def signal_effect(rows: DataFrame, base: Sequence[str], signal: str, label: str
 
 def half_split_fit(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows (with `fit_half`, standardised features, y) plus p from a regression on the fit half only."""
-    model, _ = logistic(rows.filter("fit_half"), features)
+    model = logistic(rows.filter("fit_half"), features)
     return predict(model, rows, features)
 
 

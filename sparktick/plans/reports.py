@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparktick.functions.columns import NS_PER_HOUR, day_start_ns, ratio, share
+from sparktick.functions.columns import NS_PER_HOUR, day_start_ns, idiv, ratio, share
 from sparktick.functions.rules import momentum
 from sparktick.operators.excitation import (
     ALPHA, BETA, FIT, MU, above_threshold, branching_matrix, events, fit_marks, fit_windows, given_theta, horizons,
@@ -166,7 +166,7 @@ def decile_table(deciles: DataFrame, labels: DataFrame, sources: DataFrame, name
     every = rows.withColumn("source", F.lit("all"))
     picked = rows.join(sources.select("source", *BAR), BAR)
     both = every.unionByName(picked).withColumn("_real", F.col("real").cast("double"))
-    wide = both.groupBy("decile").pivot("source", ["all", *names]).agg(F.avg("_real").alias("acc"), F.count("*").alias("n"))
+    wide = both.groupBy("decile").pivot("source", ["all", *names]).agg(F.avg("_real").alias("acc"), F.count(F.lit(1)).alias("n"))
     totals = picked.groupBy("source").agg(F.count("*").alias("_n"))
     one = totals.groupBy().pivot("source", list(names)).agg(F.first("_n")).withColumn("_one", F.lit(1))
     one = one.withColumnsRenamed({n: f"_total_{n}" for n in names})
@@ -215,7 +215,7 @@ def return_per_trade(daily: DataFrame) -> DataFrame:
 
 
 def with_hour(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("hour", F.floor((F.col("ts_end_ns") - day_start_ns(F.col("day"))) / NS_PER_HOUR).cast("int"))
+    return bars.withColumn("hour", idiv(F.col("ts_end_ns") - day_start_ns(F.col("day")), NS_PER_HOUR).cast("int"))
 
 
 def raw_autocorrelation(trades: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def read_for_checksum(spark: SparkSession, path: str, suffix: str = ".CHECKSUM")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     files = raw.filter(~F.col("path").endswith(suffix)).select(name.alias("name"), "content")
-    sums = raw.filter(F.col("path").endswith(suffix)).select(F.decode("content", F.lit("UTF-8")).alias("text"))
+    sums = raw.filter(F.col("path").endswith(suffix)).select(F.decode("content", "UTF-8").alias("text"))
     return files, sums
 
 
