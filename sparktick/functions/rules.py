@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from sparktick.functions.columns import REL_TOL, tolerant_sign
+from sparktick.functions.columns import REL_TOL, ratio, tolerant_sign
 
 P = "vwap"
 
@@ -35,7 +35,7 @@ def alexanders_filter(n: int = 1) -> Rule:
     """Sign of the percentage change over n bars."""
 
     def direction(w: WindowSpec) -> Column:
-        change = (F.col(P) / F.lag(P, n).over(w) - 1.0) * 100.0
+        change = (ratio(F.col(P), F.lag(P, n).over(w)) - 1.0) * 100.0
         return F.when(F.col("bar_idx") < n, 0).otherwise(tolerant_sign(change, F.lit(100.0)))
 
     return Rule("alexanders_filter", n, direction)

@@ -70,7 +70,7 @@ def differences(bars: DataFrame) -> DataFrame:
 
 def next_return(bars: DataFrame) -> DataFrame:
     """r = |next vwap / vwap - 1|, NULL at the last bar."""
-    return over_bars(bars, BAR_DAY, 0, 1, lambda w: {"r": F.abs(F.lead("vwap").over(w) / F.col("vwap") - 1.0)})
+    return over_bars(bars, BAR_DAY, 0, 1, lambda w: {"r": F.abs(ratio(F.lead("vwap").over(w), F.col("vwap")) - 1.0)})
 
 
 def bar_time(axis: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktick.functions.columns import ratio
 from sparktick.functions.rules import Rule
 from sparktick.operators.spread import first_at_or_after, over_bars
 from sparktick.schemas import BAR, BAR_DAY
@@ -98,7 +99,7 @@ def return_surface(
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = rows.select("*", F.explode("_rules").alias("_r")).filter(F.col("_r.direction") != 0)
     direction = F.col("_r.direction")
-    gross = direction * (F.col("exit_price") / F.col("entry_price") - 1.0)
+    gross = direction * (ratio(F.col("exit_price"), F.col("entry_price")) - 1.0)
     return rows.select(
         *BAR, F.col("_r.rule").alias("rule"), "latency_ms", "entry_bar",
         F.least(F.col("entry_bar") + holding, F.col("_last")).alias("exit_bar"), direction.alias("direction"),

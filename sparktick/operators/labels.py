@@ -25,12 +25,12 @@ def bar_labels(bars: DataFrame, window: int = 3) -> DataFrame:
 
     def columns(w):
         ahead = [F.lead("vwap", j).over(w) for j in range(window + 2)]
-        moves = [F.abs(ahead[j + 1] / ahead[j] - 1.0) for j in range(1, window + 1)]
+        moves = [F.abs(ratio(ahead[j + 1], ahead[j]) - 1.0) for j in range(1, window + 1)]
         prior = F.avg("vwap").over(w.rowsBetween(-window, -1))
         post = F.avg("vwap").over(w.rowsBetween(1, window))
         complete = F.lag("vwap", window).over(w).isNotNull() & ahead[window + 1].isNotNull()
         return {
-            "r": F.abs(ahead[1] / p - 1.0),
+            "r": F.abs(ratio(ahead[1], p) - 1.0),
             "strength": F.when(complete, reduce(Column.__add__, moves) / window),
             "mom_rev_flag": F.when(complete, zero_small(prior - p, p) * zero_small(post - p, p)),
             "evaluable": complete,
@@ -112,7 +112,7 @@ def warning_days(health: DataFrame, keys: Sequence[str] = ("split",)) -> DataFra
 def trade_label_columns(w, window: int = 3) -> dict[str, Column]:
     """dir (momentum rule) and ret = dir * (P[t+4]/P[t+1] - 1), NULL if dir is 0 or a bar is missing."""
     direction = momentum(window).direction(w).cast("int")
-    held = F.lead("vwap", 4).over(w) / F.lead("vwap", 1).over(w) - 1.0
+    held = ratio(F.lead("vwap", 4).over(w), F.lead("vwap", 1).over(w)) - 1.0
     return {"dir": direction, "ret": F.when(direction != 0, direction * held)}
 
 

@@ -15,8 +15,10 @@ from sparktick.schemas import BAR_DAY
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
-    """Correlation; NULL instead of NaN where one side is constant."""
-    return F.nanvl(F.corr(x, y), F.lit(None).cast("double"))
+    """Correlation over rows where both are known; NULL (not an error) where one side is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
 
 
 def r_squared(x: str | Column, y: str | Column) -> Column:
@@ -81,7 +83,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, control: str |
     if not control:
         return out
     xz, yz = F.col("_xz"), F.col("_yz")
-    return out.withColumn("partial", (F.col("rho") - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))).drop("_xz", "_yz")
+    return out.withColumn("partial", ratio(F.col("rho") - xz * yz, F.sqrt((1 - xz * xz) * (1 - yz * yz)))).drop("_xz", "_yz")
 
 
 def feature_aucs(df: DataFrame, keys: Sequence[str], features: Sequence[str], positive: Column) -> DataFrame:
@@ -95,7 +97,7 @@ def score_deciles(df: DataFrame, keys: Sequence[str], score: str, order: Sequenc
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     ranked = number_rows(df, keys, value_cells(F.col(score)), [score, *order], "_rn").join(sizes, keys)
-    decile = F.greatest(F.lit(1), F.ceil(F.col("_rn") * 10 / (F.col("_n") - 1))).cast("int")
+    decile = F.greatest(F.lit(1), F.ceil(F.col("_rn") * 10 / F.greatest(F.col("_n") - 1, F.lit(1)))).cast("int")
     return ranked.groupBy(*keys, decile.alias("decile")).agg(
         F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), share(F.col(ret) > 0).alias("p_win"),
         (F.avg(ret) * 1e4).alias("follow_bp"), (-F.avg(ret) * 1e4).alias("fade_bp"),
@@ -130,12 +132,12 @@ def day_trends(bars: DataFrame) -> DataFrame:
         F.min_by("vwap", "bar_idx").alias("_first"), F.max_by("vwap", "bar_idx").alias("_last"),
         F.count("*").alias("_n"), F.avg("vwap").alias("_mean"),
     )
-    line = F.col("_first") + (F.col("_last") - F.col("_first")) * F.col("bar_idx") / (F.col("_n") - 1)
+    line = F.col("_first") + (F.col("_last") - F.col("_first")) * F.col("bar_idx") / F.greatest(F.col("_n") - 1, F.lit(1))
     off = F.col("vwap") - line
     dev = F.col("vwap") - F.col("_mean")
     drift, std, var = F.avg("d"), F.stddev_pop("d"), F.var_pop("d")
     return rows.join(ends, BAR_DAY).groupBy(*BAR_DAY).agg(
-        ((F.first("_last") / F.first("_first") - 1) * 100).alias("move_pct"), drift.alias("drift"), std.alias("std_d"),
+        ((ratio(F.first("_last"), F.first("_first")) - 1) * 100).alias("move_pct"), drift.alias("drift"), std.alias("std_d"),
         ratio(F.abs(drift), std).alias("drift_over_std"), ratio(drift * drift, drift * drift + var).alias("drift_share"),
         r_squared("bar_idx", "d").alias("r2_d_time"), (1 - ratio(F.sum(off * off), F.sum(dev * dev))).alias("r2_level_line"),
         safe_corr("vwap", "_p").alias("ac1_level"), safe_corr("d", "_pd").alias("ac1_d"),
@@ -157,7 +159,7 @@ def hour_profile(rows: DataFrame) -> DataFrame:
     day = used.groupBy(*BAR_DAY).agg(F.avg("_a").alias("_day"))
     days = used.agg(F.count_distinct("day").alias("_days")).withColumn("_one", F.lit(1))  # a single row
     out = used.join(day, BAR_DAY).groupBy("hour").agg(
-        F.count("*").alias("_n"), F.avg(F.col("_a") / F.col("_day")).alias("rel_abs_d"), F.avg("input").alias("input"),
+        F.count("*").alias("_n"), F.avg(ratio(F.col("_a"), F.col("_day"))).alias("rel_abs_d"), F.avg("input").alias("input"),
         F.avg("fired").alias("signal_rate"),
     )
     out = out.withColumn("_one", F.lit(1)).join(F.broadcast(days), "_one")

@@ -140,7 +140,7 @@ def _avg_rank(c: str, keys: str) -> str:
 
 _SPEAR = f""", sj AS (SELECT symbol, day, num, abs(coalesce(d, 0)) AS x, strength AS y, volume AS z FROM lab WHERE evaluable),
 sr AS (SELECT *, {_avg_rank('x', _BD)} AS rx, {_avg_rank('y', _BD)} AS ry, {_avg_rank('z', _BD)} AS rz FROM sj),
-sp AS (SELECT {_BD}, count(*) AS n, corr(rx, ry) AS rho, corr(rx, rz) AS xz, corr(ry, rz) AS yz FROM sr GROUP BY {_BD})
+sp AS (SELECT {_BD}, count(*) AS n, nullif(corr(rx, ry), 'NaN'::DOUBLE) AS rho, nullif(corr(rx, rz), 'NaN'::DOUBLE) AS xz, nullif(corr(ry, rz), 'NaN'::DOUBLE) AS yz FROM sr GROUP BY {_BD})
 """
 
 
@@ -218,7 +218,7 @@ _LAGS = (1, 2, 3, 5, 10, 20, 50)
 @query(
     "a15_autocorrelation",
     S.chain() + f""", z AS (SELECT symbol, day, num, bar_idx, CAST(sign(d) AS DOUBLE) AS s, abs(d) AS a FROM dd WHERE d IS NOT NULL),
-y AS (SELECT z.symbol, z.day, z.num, l.lag, corr(z.s, w.s) AS cs, corr(z.a, w.a) AS ca FROM z, (SELECT unnest({list(_LAGS)}) AS lag) l, z w
+y AS (SELECT z.symbol, z.day, z.num, l.lag, nullif(corr(z.s, w.s), 'NaN'::DOUBLE) AS cs, nullif(corr(z.a, w.a), 'NaN'::DOUBLE) AS ca FROM z, (SELECT unnest({list(_LAGS)}) AS lag) l, z w
   WHERE w.symbol = z.symbol AND w.day = z.day AND w.num = z.num AND w.bar_idx = z.bar_idx - l.lag GROUP BY ALL)
 SELECT lag, count(*) AS days, {r('avg(cs)', 'ac_sign')}, {r('avg(ca)', 'ac_abs')} FROM y GROUP BY lag""",
 )
@@ -313,7 +313,7 @@ def a20(spark, sf):
 @query(
     "a20_profile_summary",
     _HOURS + f"""SELECT {r('max(bars_per_day) / nullif(min(bars_per_day), 0)', 'bars_ratio')}, {r('max(rel_abs_d) / nullif(min(rel_abs_d), 0)', 'abs_d_ratio')},
-  {r('max(signal_rate) / nullif(min(signal_rate), 0)', 'signal_ratio')}, {r('corr(rel_abs_d, signal_rate)', 'profile_corr')} FROM pf""",
+  {r('max(signal_rate) / nullif(min(signal_rate), 0)', 'signal_ratio')}, {r('nullif(corr(rel_abs_d, signal_rate), 'NaN'::DOUBLE)', 'profile_corr')} FROM pf""",
 )
 def a20_summary(spark, sf):
     return A.profile_summary(_profile(spark, sf))
@@ -322,8 +322,8 @@ def a20_summary(spark, sf):
 _TREND = S.chain() + f""", t0 AS (SELECT *, lag(vwap) OVER {S.W} AS pv, lag(d) OVER {S.W} AS pd, first_value(vwap) OVER p AS v0, last_value(vwap) OVER p AS v1, avg(vwap) OVER (PARTITION BY symbol, day, num) AS mv FROM dd
   WINDOW p AS (PARTITION BY symbol, day, num ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 tr_ AS (SELECT symbol, day, num, (max(v1) / max(v0) - 1) * 100 AS move_pct, avg(d) AS drift, stddev_pop(d) AS std_d, abs(avg(d)) / stddev_pop(d) AS drift_over_std,
-  avg(d) * avg(d) / (avg(d) * avg(d) + var_pop(d)) AS drift_share, pow(corr(bar_idx, d), 2) AS r2_d_time,
-  1 - sum(pow(vwap - (v0 + (v1 - v0) * bar_idx / (n - 1)), 2)) / sum(pow(vwap - mv, 2)) AS r2_level_line, corr(vwap, pv) AS ac1_level, corr(d, pd) AS ac1_d FROM t0 GROUP BY symbol, day, num)
+  avg(d) * avg(d) / (avg(d) * avg(d) + var_pop(d)) AS drift_share, pow(nullif(corr(bar_idx, d), 'NaN'::DOUBLE), 2) AS r2_d_time,
+  1 - sum(pow(vwap - (v0 + (v1 - v0) * bar_idx / (n - 1)), 2)) / sum(pow(vwap - mv, 2)) AS r2_level_line, nullif(corr(vwap, pv), 'NaN'::DOUBLE) AS ac1_level, nullif(corr(d, pd), 'NaN'::DOUBLE) AS ac1_d FROM t0 GROUP BY symbol, day, num)
 """
 _TR = ["move_pct", "drift", "std_d", "drift_over_std", "drift_share", "r2_d_time", "r2_level_line", "ac1_level", "ac1_d"]
 
@@ -348,7 +348,7 @@ def _smooth_sql(trades_cte: str) -> str:
 {base},
 bars AS (SELECT * FROM b4 UNION ALL SELECT * FROM b10),
 {S.DIFFS}, {S.LABELS}, {S.RULES},
-ac AS (SELECT symbol, day, num, corr(ca, cb) AS ac1_close, corr(va, vb) AS ac1_vwap FROM (SELECT *, close - lag(close) OVER {S.W} AS ca, lag(close) OVER {S.W} - lag(close, 2) OVER {S.W} AS cb,
+ac AS (SELECT symbol, day, num, nullif(corr(ca, cb), 'NaN'::DOUBLE) AS ac1_close, nullif(corr(va, vb), 'NaN'::DOUBLE) AS ac1_vwap FROM (SELECT *, close - lag(close) OVER {S.W} AS ca, lag(close) OVER {S.W} - lag(close, 2) OVER {S.W} AS cb,
   vwap - lag(vwap) OVER {S.W} AS va, lag(vwap) OVER {S.W} - lag(vwap, 2) OVER {S.W} AS vb FROM bars) GROUP BY symbol, day, num),
 mo AS (SELECT symbol, day, num, avg(CAST(momentum AS INTEGER)) AS momentum_share FROM lab WHERE evaluable GROUP BY symbol, day, num),
 wn AS (SELECT symbol, day, num, avg(CAST(direction * (o / i - 1.0) > 0 AS INTEGER)) AS win_rate FROM (SELECT dd.symbol, dd.day, dd.num, direction, lead(vwap) OVER ww AS i,
@@ -377,7 +377,7 @@ def a22_walk(spark, sf):
 @query(
     "a22_raw_autocorrelation",
     "WITH " + S.trades() + f""", z AS (SELECT symbol, day, price - lag(price) OVER w AS a, lag(price) OVER w - lag(price, 2) OVER w AS b FROM seqd WINDOW w AS (PARTITION BY symbol, day ORDER BY seq))
-SELECT symbol, day, {r('corr(a, b)', 'ac1_raw')} FROM z GROUP BY symbol, day""",
+SELECT symbol, day, {r('nullif(corr(a, b), 'NaN'::DOUBLE)', 'ac1_raw')} FROM z GROUP BY symbol, day""",
 )
 def a22_raw(spark, sf):
     return R.raw_autocorrelation(B.numbered_trades(C.trades(spark, sf)))

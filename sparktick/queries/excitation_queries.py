@@ -312,7 +312,7 @@ def _rank(c: str) -> str:
 _STRENGTH = f"""sj AS (SELECT l.symbol, l.num, l.w_h, l.day, l.lam_u + l.lam_d AS x, b.strength AS y, abs(coalesce(b.d, 0)) AS z
   FROM lam l JOIN lab b USING (symbol, day, num, bar_idx) WHERE b.evaluable),
 sr AS (SELECT *, {_rank('x')} AS rx, {_rank('y')} AS ry, {_rank('z')} AS rz FROM sj),
-sp AS (SELECT {_K}, count(*) AS n, corr(rx, ry) AS rho, corr(rx, rz) AS xz, corr(ry, rz) AS yz FROM sr GROUP BY {_K})"""
+sp AS (SELECT {_K}, count(*) AS n, nullif(corr(rx, ry), 'NaN'::DOUBLE) AS rho, nullif(corr(rx, rz), 'NaN'::DOUBLE) AS xz, nullif(corr(ry, rz), 'NaN'::DOUBLE) AS yz FROM sr GROUP BY {_K})"""
 
 
 @query(
