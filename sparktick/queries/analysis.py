@@ -313,7 +313,7 @@ def a20(spark, sf):
 @query(
     "a20_profile_summary",
     _HOURS + f"""SELECT {r('max(bars_per_day) / nullif(min(bars_per_day), 0)', 'bars_ratio')}, {r('max(rel_abs_d) / nullif(min(rel_abs_d), 0)', 'abs_d_ratio')},
-  {r('max(signal_rate) / nullif(min(signal_rate), 0)', 'signal_ratio')}, {r('nullif(corr(rel_abs_d, signal_rate), 'NaN'::DOUBLE)', 'profile_corr')} FROM pf""",
+  {r('max(signal_rate) / nullif(min(signal_rate), 0)', 'signal_ratio')}, {r("nullif(corr(rel_abs_d, signal_rate), 'NaN'::DOUBLE)", 'profile_corr')} FROM pf""",
 )
 def a20_summary(spark, sf):
     return A.profile_summary(_profile(spark, sf))
@@ -377,7 +377,7 @@ def a22_walk(spark, sf):
 @query(
     "a22_raw_autocorrelation",
     "WITH " + S.trades() + f""", z AS (SELECT symbol, day, price - lag(price) OVER w AS a, lag(price) OVER w - lag(price, 2) OVER w AS b FROM seqd WINDOW w AS (PARTITION BY symbol, day ORDER BY seq))
-SELECT symbol, day, {r('nullif(corr(a, b), 'NaN'::DOUBLE)', 'ac1_raw')} FROM z GROUP BY symbol, day""",
+SELECT symbol, day, {r("nullif(corr(a, b), 'NaN'::DOUBLE)", 'ac1_raw')} FROM z GROUP BY symbol, day""",
 )
 def a22_raw(spark, sf):
     return R.raw_autocorrelation(B.numbered_trades(C.trades(spark, sf)))
