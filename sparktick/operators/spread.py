@@ -119,7 +119,8 @@ def number_rows(
 
 # --------------------------------------------------------------------------- quantiles and ranks
 
-_CELLS, _ACCURACY = 256, 10_000
+_CELLS, _ACCURACY = 512, 10_000
+SMALL = 100_000  # groups up to this size are ordered as a whole
 
 
 def exact_quantiles(
@@ -130,12 +131,14 @@ def exact_quantiles(
     targets: DataFrame | None = None,
     tags: Sequence[str] = (),
     out: str = "quantile",
+    small: int = SMALL,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row (keys, tags, q, out, n).
 
     The probabilities are either constants (`probs`) or a column `q` of `targets` (keys + tags + q).
-    A mergeable sketch gives 257 cut points per group; the wanted ranks lie between two of them, so
-    only that bracket (about 1 % of a group) is counted by value and ordered. Ties are one row.
+    A mergeable sketch gives cut points per group. In a group of more than `small` values the wanted ranks lie
+    between two neighbouring cuts, so only that bracket (about 1 % of the group) is counted by value; the bracket
+    is cut into 1024 linear slices and one slice at a time is ordered. Ties are one row.
     """
     keys, tags = list(keys), list(tags)
     col = F.col(value) if isinstance(value, str) else value
@@ -150,29 +153,27 @@ def exact_quantiles(
         want = targets.select(*keys, *tags, F.col("q").cast("double")).join(sketch, keys)
     n = F.col("n")
     want = want.withColumn("_pos", (n - 1) * F.col("q"))
-    want = want.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-    first = F.greatest(F.floor((F.col("_lo") - 1) / n * _CELLS) - 1, F.lit(0)).cast("int")
-    last = F.least(F.ceil((F.col("_hi") + 2) / n * _CELLS) + 1, F.lit(_CELLS)).cast("int")
-    ident = keys + tags + ["q", "n", "_pos", "_lo", "_hi"]
-    want = want.select(*ident, F.get("_cuts", first).alias("_from"), F.get("_cuts", last).alias("_to"))
+    lo, hi, all_of_it = F.floor("_pos"), F.ceil("_pos"), n <= small
+    first = F.when(all_of_it, 0).otherwise(F.greatest(F.floor((lo - 1) / n * _CELLS) - 1, F.lit(0))).cast("int")
+    last = F.when(all_of_it, _CELLS).otherwise(F.least(F.ceil((hi + 2) / n * _CELLS) + 1, F.lit(_CELLS))).cast("int")
+    ident = [*keys, *tags, "q", "n", "_pos", "_from", "_to"]
+    want = want.withColumns({"_from": F.get("_cuts", first), "_to": F.get("_cuts", last)}).select(*ident)
+    v, low, high = F.col("_v"), F.col("_from"), F.col("_to")
+    cell = F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * 1024)
+    cell = F.when(n <= small, 0).otherwise(F.coalesce(cell, F.lit(0)))
     counted = (
         values.join(want, keys)
-        .filter(F.col("_v") <= F.col("_to"))
-        .groupBy(*ident, F.when(F.col("_v") >= F.col("_from"), F.col("_v")).alias("_x"))  # NULL: below the bracket
+        .filter(v <= high)
+        # Cell -1 holds all values below the bracket as one row.
+        .groupBy(*ident, F.when(v >= low, v).alias("_x"), F.when(v >= low, cell).otherwise(-1).alias("_cell"))
         .agg(F.count("*").alias("_c"))
     )
-    upto = F.sum("_c").over(
-        Window.partitionBy(*keys, *tags, "q").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = running_totals(counted, ident, [F.col("_cell")], [F.asc_nulls_first("_x")], {"_before": F.col("_c")})
+    upto = F.col("_before") + F.col("_c")
+    found = ranked.groupBy(*ident).agg(
+        F.min_by("_x", F.when(upto > F.floor("_pos"), upto)).alias("_a"), F.min_by("_x", F.when(upto > F.ceil("_pos"), upto)).alias("_b")
     )
-    found = (
-        counted.withColumn("_upto", upto)
-        .groupBy(*ident)
-        .agg(
-            F.min_by("_x", F.when(F.col("_upto") > F.col("_lo"), F.col("_upto"))).alias("_a"),
-            F.min_by("_x", F.when(F.col("_upto") > F.col("_hi"), F.col("_upto"))).alias("_b"),
-        )
-    )
-    a, b, frac = F.col("_a"), F.col("_b"), F.col("_pos") - F.col("_lo")
+    a, b, frac = F.col("_a"), F.col("_b"), F.col("_pos") - F.floor("_pos")
     exact = F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
     return found.select(*keys, *tags, "q", exact.otherwise(a + (b - a) * frac).alias(out), "n")
 
