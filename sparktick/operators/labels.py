@@ -142,7 +142,7 @@ def since_big_move(diffs: DataFrame, q: float = 0.9, size: int = CHUNK) -> DataF
     )
     inside = Window.partitionBy(*BAR_DAY, "_chunk").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
     last = F.coalesce(F.max("_big").over(inside), F.col("_carry"))
-    out = rows.join(carry, BAR_DAY + ["_chunk"]).withColumn("lag_bars", F.col("bar_idx") - last)
+    out = rows.join(carry.hint("shuffle_hash"), BAR_DAY + ["_chunk"]).withColumn("lag_bars", F.col("bar_idx") - last)
     lag = F.col("lag_bars")
     bucket = F.when(lag <= 2, lag.cast("string")).when(lag <= 5, "3-5").otherwise(">5")
     return out.withColumn("bucket", bucket).drop("_big", "_chunk", "_carry")

@@ -187,7 +187,7 @@ def decayed_sums(
     carry = linked.mapInArrow(
         _carries(names, keep), schema(keep, ["_ct", *[f"_c{w}_{n}" for n in names for w in "SR"]])
     )
-    full = rows.join(carry, [*keys, "chunk"], "left").sortWithinPartitions(*order)
+    full = rows.join(carry.hint("shuffle_hash"), [*keys, "chunk"], "left").sortWithinPartitions(*order)
     return full.mapInArrow(
         _all_rows(names, df.columns), schema(df.columns, [f"{w}_{n}" for n in names for w in ("plus", "minus", "lag")])
     )

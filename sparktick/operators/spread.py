@@ -86,6 +86,12 @@ def _slice_offsets(df: DataFrame, keys: list[str], cells: list[str], measures: d
     return out.select(*keys, *cells, *[c.alias(f"_off_{o}") for o, c in total.items()])
 
 
+def _by_slice(rows: DataFrame, offsets: DataFrame, cells: list[str]) -> DataFrame:
+    """Rows with their slice's offset. The rows have to be placed by slice for the window that follows, so the join
+    uses that one shuffle; each task hashes only its own slices' offsets."""
+    return rows.join(offsets.hint("shuffle_hash"), cells)
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], slices: Sequence[Column], order: Sequence[str | Column], measures: dict[str, Column]
 ) -> DataFrame:
@@ -98,7 +104,7 @@ def running_totals(
     cut = df.withColumns(dict(zip(cells, slices)) | {f"_m_{o}": m for o, m in measures.items()})
     offs = _slice_offsets(cut, keys, cells, {o: F.col(f"_m_{o}") for o in measures})
     inner = Window.partitionBy(*keys, *cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(offs, keys + cells).withColumns(
+    out = _by_slice(cut, offs, keys + cells).withColumns(
         {o: F.col(f"_off_{o}") + F.coalesce(F.sum(f"_m_{o}").over(inner), F.lit(0)) for o in measures}
     )
     return out.drop(*cells, *[f"_off_{o}" for o in measures], *[f"_m_{o}" for o in measures])
@@ -113,7 +119,7 @@ def number_rows(
     cut = df.withColumns(dict(zip(cells, slices)))
     offs = _slice_offsets(cut, keys, cells, {out: F.lit(1)})
     inner = Window.partitionBy(*keys, *cells).orderBy(*order)
-    numbered = cut.join(offs, keys + cells).withColumn(out, F.col(f"_off_{out}") + F.row_number().over(inner) - 1)
+    numbered = _by_slice(cut, offs, keys + cells).withColumn(out, F.col(f"_off_{out}") + F.row_number().over(inner) - 1)
     return numbered.drop(*cells, f"_off_{out}")
 
 
@@ -132,13 +138,15 @@ def exact_quantiles(
     tags: Sequence[str] = (),
     out: str = "quantile",
     small: int = SMALL,
+    one_group: bool = False,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row (keys, tags, q, out, n).
 
     The probabilities are either constants (`probs`) or a column `q` of `targets` (keys + tags + q).
     A mergeable sketch gives cut points per group. In a group of more than `small` values the wanted ranks lie
     between two neighbouring cuts, so only that bracket (about 1 % of the group) is counted by value; the bracket
-    is cut into 1024 linear slices and one slice at a time is ordered. Ties are one row.
+    is cut into 1024 linear slices and one slice at a time is ordered. Ties are one row. With `one_group` the keys
+    are constant, so the bracket table has one row per probability and is broadcast.
     """
     keys, tags = list(keys), list(tags)
     col = F.col(value) if isinstance(value, str) else value
@@ -162,7 +170,7 @@ def exact_quantiles(
     cell = F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * 1024)
     cell = F.when(n <= small, 0).otherwise(F.coalesce(cell, F.lit(0)))
     counted = (
-        values.join(want, keys)
+        values.join(F.broadcast(want) if one_group else want, keys)
         .filter(v <= high)
         # Cell -1 holds all values below the bracket as one row.
         .groupBy(*ident, F.when(v >= low, v).alias("_x"), F.when(v >= low, cell).otherwise(-1).alias("_cell"))
@@ -179,10 +187,11 @@ def exact_quantiles(
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], count: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], count: str | None = None,
+    one_group: bool = False,
 ) -> DataFrame:
     """Several constant quantiles as columns: one row per group."""
-    rows = exact_quantiles(df, keys, value, list(dict.fromkeys(probs.values())))
+    rows = exact_quantiles(df, keys, value, list(dict.fromkeys(probs.values())), one_group=one_group)
     aggs = [F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(name) for name, p in probs.items()]
     return rows.groupBy(*keys).agg(*aggs, *([F.max("n").alias(count)] if count else []))
 
@@ -239,5 +248,5 @@ def first_at_or_after(
     inside = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_ts")).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    found = both.join(carry, keys + ["_slice"]).withColumn(out, F.coalesce(F.min("_p").over(inside), F.col("_carry")))
+    found = _by_slice(both, carry, keys + ["_slice"]).withColumn(out, F.coalesce(F.min("_p").over(inside), F.col("_carry")))
     return found.filter("_is").drop("_ts", "_p", "_is", "_slice", "_carry")

@@ -182,7 +182,7 @@ def bin_means(df: DataFrame, x: str, y: str, measure: Column, probs: Sequence[fl
     """
     edges = []
     for c in (x, y):
-        rows = group_quantiles(df.withColumn("_one", F.lit(1)), ["_one"], c, {f"_e{i}": p for i, p in enumerate(probs)})
+        rows = group_quantiles(df.withColumn("_one", F.lit(1)), ["_one"], c, {f"_e{i}": p for i, p in enumerate(probs)}, one_group=True)
         edges.append(rows.select("_one", F.array_sort(F.array_distinct(F.array(*[f"_e{i}" for i in range(len(probs))]))).alias(f"_edges_{c}")))
     rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges[0]), "_one").join(F.broadcast(edges[1]), "_one")
 
@@ -252,7 +252,7 @@ def half_split_fit(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 def typing_value(rows: DataFrame, p: str = "p", ret: str = "ret") -> DataFrame:
     """Mean return in bp and share faded: always follow, fade p < 0.5, fade the lowest 10 % of p, perfect oracle."""
     one = rows.select((F.col(ret) * 1e4).alias("_r"), F.col(p).alias("_p"), F.lit(1).alias("_one"))
-    cut = group_quantiles(one, ["_one"], "_p", {"_cut": 0.1})  # a single row
+    cut = group_quantiles(one, ["_one"], "_p", {"_cut": 0.1}, one_group=True)  # a single row
     r, q = F.col("_r"), F.col("_p")
     follow = {
         "follow": F.lit(True), "fade_below_half": q >= 0.5, "fade_lowest_tenth": q >= F.col("_cut"), "oracle": r >= 0,

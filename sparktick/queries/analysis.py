@@ -146,7 +146,8 @@ sp AS (SELECT {_BD}, count(*) AS n, nullif(corr(rx, ry), 'NaN'::DOUBLE) AS rho,
 
 def _spear_rows(spark, sf):
     rows = L.bar_labels(C.bar_table(spark, sf)).filter("evaluable")
-    return rows.select(*BAR_DAY, F.abs(F.coalesce("d", F.lit(0.0))).alias("x"), F.col("strength").alias("y"), F.col("volume").alias("z"))
+    rows = rows.select(*BAR_DAY, F.abs(F.coalesce("d", F.lit(0.0))).alias("x"), F.col("strength").alias("y"), F.col("volume").alias("z"))
+    return materialise(rows, "ranked")
 
 
 @query("a10_spearman_by_day", S.chain(S.LABELS) + _SPEAR + f"SELECT {_BD}, n, {rs('rho')} FROM sp")
@@ -207,7 +208,7 @@ st AS (SELECT x, unnest(['follow', 'fade_below_half', 'fade_lowest_tenth', 'orac
 def a14(spark, sf):
     """Follow or fade by a probability made of the five-bar order flow."""
     rows = LQ.flow(spark, sf).withColumn("p", 1 / (1 + F.exp(-F.col("ofi_sum5"))))
-    return A.typing_value(rows)
+    return A.typing_value(materialise(rows.select("ret", "p"), "typing"))
 
 
 # --------------------------------------------------------------------------- autocorrelation, deciles, buckets
@@ -285,7 +286,7 @@ SELECT CAST(greatest(len(list_filter(ex, lambda v: v < x)), 1) AS INTEGER) AS bi
 )
 def a19(spark, sf):
     rows = L.bar_labels(C.bar_table(spark, sf)).filter("evaluable and d is not null")
-    rows = rows.select(F.abs("d").alias("x"), F.col("volume").alias("y"), "strength")
+    rows = materialise(rows.select(F.abs("d").alias("x"), F.col("volume").alias("y"), "strength"), "bins")
     return A.bin_means(rows, "x", "y", F.col("strength"), _Q)
 
 

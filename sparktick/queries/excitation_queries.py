@@ -15,6 +15,7 @@ from sparktick.queries import common as C
 from sparktick.queries import sql as S
 from sparktick.queries.registry import query, r, rs
 from sparktick.schemas import BAR, BAR_DAY, THETA
+from sparktick.session import materialise
 
 _B = "symbol, day, num, bar_idx"
 _K = "symbol, num, w_h, day"
@@ -206,18 +207,10 @@ def h11(spark, sf):
     """Maximum-likelihood theta of every day from the day before (iterative: no SQL)."""
     d = C.bar_table(spark, sf)
     fit_set, head = H.fit_events(d, H.fit_windows(C.theta_days(spark), [1]), S.QUANTILE, strict=False)
-    theta = FT.fit_theta(fit_set, materialise_head(head), restarts=2, max_iter=12)
+    theta = FT.fit_theta(fit_set, materialise(head, "fit-head"), restarts=2, max_iter=12)
     return theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "rho", "loglik", "n_events", "n_iter", "converged")
 
 
-def materialise_head(head):
-    from sparktick.session import materialise
-
-    return materialise(head, "fit-head")
-
-
-
-
 @query(
     "h12_spectral_radius",
     S.chain(_EV, S.theta()) + f""", m AS (SELECT {_K}, n_up / total_time * 0.8 AS a11, n_down / total_time * 0.5 AS a12, n_up / total_time * 0.3 AS a21, n_down / total_time AS a22 FROM theta),
@@ -322,7 +315,7 @@ sp AS (SELECT {_K}, count(*) AS n, nullif(corr(rx, ry), 'NaN'::DOUBLE) AS rho, n
 )
 def h16_ranks(spark, sf):
     d = C.bar_table(spark, sf)
-    return R.strength_ranks(C.intensities(spark, d), L.bar_labels(d))
+    return R.strength_ranks(C.intensities(spark, d), materialise(L.bar_labels(d), "labels"))
 
 
 @query(

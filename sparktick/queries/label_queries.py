@@ -11,6 +11,7 @@ from sparktick.queries import common as C
 from sparktick.queries import sql as S
 from sparktick.queries.registry import query, r, rs
 from sparktick.schemas import BAR, BAR_DAY
+from sparktick.session import materialise
 
 _B = "symbol, day, num, bar_idx"
 
@@ -227,7 +228,7 @@ SELECT symbol, day, num, bar_idx, {rs('ret', 'y', *L.PRICE_FEATURES, *L.FLOW_FEA
 
 
 def flow(spark, sf):
-    return L.flow_features(C.bars(spark, sf, flow=True))
+    return L.flow_features(materialise(C.bars(spark, sf, flow=True), "bars"))
 
 
 @query("l15_flow_features", _FLOW)

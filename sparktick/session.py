@@ -21,7 +21,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "sparktick", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Call-site capture for every Column costs a large part of the time it takes to build a plan.
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
