@@ -219,11 +219,12 @@ _LAGS = (1, 2, 3, 5, 10, 20, 50)
 @query(
     "a15_autocorrelation",
     S.chain() + f""", z AS (SELECT symbol, day, num, bar_idx, CAST(sign(d) AS DOUBLE) AS s, abs(d) AS a FROM dd WHERE d IS NOT NULL),
-y AS (SELECT z.symbol, z.day, z.num, l.lag, nullif(corr(z.s, w.s), 'NaN'::DOUBLE) AS cs, nullif(corr(z.a, w.a), 'NaN'::DOUBLE) AS ca FROM z, (SELECT unnest({list(_LAGS)}) AS lag) l, z w
-  WHERE w.symbol = z.symbol AND w.day = z.day AND w.num = z.num AND w.bar_idx = z.bar_idx - l.lag GROUP BY ALL)
+y AS (SELECT z.symbol, z.day, z.num, l.lag, nullif(corr(z.s, w.s), 'NaN'::DOUBLE) AS cs, nullif(corr(z.a, w.a), 'NaN'::DOUBLE) AS ca FROM z CROSS JOIN (SELECT unnest({list(_LAGS)}) AS lag) l
+  LEFT JOIN z w ON w.symbol = z.symbol AND w.day = z.day AND w.num = z.num AND w.bar_idx = z.bar_idx - l.lag GROUP BY ALL)
 SELECT lag, count(*) AS days, {r('avg(cs)', 'ac_sign')}, {r('avg(ca)', 'ac_abs')} FROM y GROUP BY lag""",
 )
 def a15(spark, sf):
+    """Mean over days; a day too short for a lag stays in the count with an unknown correlation."""
     per_day = A.autocorrelation(C.diffs(spark, sf), _LAGS)
     return per_day.groupBy("lag").agg(F.count("*").alias("days"), F.avg("ac_sign").alias("ac_sign"), F.avg("ac_abs").alias("ac_abs"))
 
