@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparktick.llm.bpe import encode_decode
 from sparktick.llm.common import documents
+from sparktick.llm.fingerprints import fingerprint_documents
 from sparktick.llm.packing import pack_documents
+from sparktick.llm.simhash import as_digits, simhash_components
+from sparktick.llm.substrings import remove_repeats
 from sparktick.llm.sharding import histogram_shards
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +43,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as digests."""
     return encode_decode(documents(spark, sf_dir), WORD_BPE, digests=True)
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of all documents and of their edited forms."""
+    found = fingerprint_documents(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited",
+        "near_next", "n_shingles", "edited_shingles", "edited_in_text",
+    )
+
+
+@query
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in two bits at most."""
+    found = simhash_components(documents(spark, sf_dir), width=3, radius=2, lower=True)
+    return found.select("doc_id", as_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of twenty words that occur earlier."""
+    return remove_repeats(documents(spark, sf_dir), text=False)
