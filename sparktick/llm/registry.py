@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktick.llm.bpe import encode_decode
+from sparktick.llm.chat import chat_trees, read_back
 from sparktick.llm.common import documents
 from sparktick.llm.fingerprints import fingerprint_documents
+from sparktick.llm.neighbours import nearest
 from sparktick.llm.packing import pack_documents
 from sparktick.llm.simhash import as_digits, simhash_components
 from sparktick.llm.substrings import remove_repeats
@@ -66,3 +68,23 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of passages of twenty words that occur earlier."""
     return remove_repeats(documents(spark, sf_dir), text=False)
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product for every twentieth vec_id, against all rows."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op5_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted as prefix trees, and read back from them."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read_back(chat_trees(turns.unionByName(probe))).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
