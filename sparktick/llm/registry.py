@@ -16,8 +16,12 @@ from sparktick.llm.neighbours import nearest
 from sparktick.llm.packing import pack_documents
 from sparktick.llm.simhash import as_digits, simhash_components
 from sparktick.llm.substrings import remove_repeats
+from sparktick.llm.toxicity import toxicity
+from sparktick.llm.quality import quality
 from sparktick.llm.sharding import histogram_shards
 
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,3 +92,15 @@ def op5_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents and whether they are kept."""
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("h")
