@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ LEET = {
 }
 # Costs in nats of what the writer may have done.
 SWAP = 0.5  # a look-alike for a letter
-NOISE, LAST_NOISE, MARK = 6.0, 2.0, 0.5  # a look-alike in or behind a word that means nothing; any other sign
+NOISE, LAST_NOISE, MARK = 9.0, 2.0, 0.5  # a look-alike in or behind a word that means nothing; any other sign
 DROPPED, REPEATED = 7.0, 1.5  # two equal letters for one; three and more for one or two
 
 # Letters of the character model: lower-case Latin ones; all else is a gap.
@@ -326,8 +326,8 @@ def fit_detector(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> De
 def _scored(batches: Iterator[pa.RecordBatch], detector) -> Iterator[pa.RecordBatch]:
     d: Detector = detector.value
     for batch in batches:
-        found = [d.uses(t) for t in batch.column("text").to_pylist()]
-        keep = [c for c in batch.schema.names if c != "text"]
+        found = [d.uses(t) for t in batch.column("_read").to_pylist()]
+        keep = [c for c in batch.schema.names if c != "_read"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in keep]
             + [pa.array([d.score(u) for u in found], pa.float64()), pa.array([sorted(w.strip() for w in u) for u in found], pa.list_(pa.string()))],
@@ -335,8 +335,9 @@ def _scored(batches: Iterator[pa.RecordBatch], detector) -> Iterator[pa.RecordBa
         )
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """Score whole texts for toxicity: doc_id, held_out, score, predicted (1 from `threshold` on) and the words found.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, carried: Sequence[str] = ()) -> DataFrame:
+    """Score whole texts for toxicity: doc_id, held_out, score, predicted (1 from `threshold` on), the words found, and the
+    `carried` columns of `docs` as they are.
 
     Tokens are read as lattices: a character may be itself, a letter it looks like, one of a run that stands for one or two, or
     noise; single characters with blanks between them are one token. The best path under the character trigram model of the corpus
@@ -349,7 +350,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_detector(docs, labels, sample))
-    scored = ids_and_texts(docs).mapInArrow(lambda b: _scored(b, shared), "doc_id long, score double, words array<string>")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_read"),
+        *[F.col(c) for c in carried if c not in ("doc_id",)],
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_read")
+    scored = texts.mapInArrow(lambda b: _scored(b, shared), schema + ", score double, words array<string>")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "words",
+        *[c for c in carried if c not in ("doc_id",)],
     )
