@@ -116,14 +116,14 @@ def fingerprint_documents(docs: DataFrame, k: int = SKETCH, width: int = SHINGLE
     half = F.floor(F.char_length("text") / 2).cast("long")
     order = materialise(neighbours(base.select("doc_id", "id", "h", half.alias("half"))), "fingerprint-next")
     mine = order.select(
-        F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("half").alias("_half"), F.col("next_id").alias("id"),
+        "doc_id", F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("half").alias("_half"), F.col("next_id").alias("id"),
         F.col("next_h").alias("h"),
     )
-    source = base.repartition("id", "h")
+    source = base.select("id", "h", "text").repartition("id", "h")  # both uses need just these columns, so it is one exchange
     coming = (
         sketched(source, "text", "next_sketch", k, width).join(mine, ["id", "h"])
         .select(
-            F.col("_id").alias("id"), F.col("_h").alias("h"), F.expr("substring(text, 1, cast(_half as int))").alias("_start"),
+            "doc_id", F.col("_id").alias("id"), F.col("_h").alias("h"), F.expr("substring(text, 1, cast(_half as int))").alias("_start"),
             "next_sketch",
         )
     )
