@@ -83,7 +83,7 @@ class Tables:
         out = []
         for own, inside in zip(home, cells - home):
             moves = [perturbations(o, probes) for o in inside]
-            probed = np.array(moves).transpose(1, 0, 2).reshape(-1, self.tables, self.m) + own[None]
+            probed = np.array(moves).transpose(1, 0, 2) + own[None]
             out.append(np.unique(self.keys(probed)))
         return out
 

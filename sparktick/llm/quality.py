@@ -141,13 +141,16 @@ def _summed(batches: Iterator[pa.RecordBatch], order: int, shard: int, shards: i
                 value = np.where(gram % shards == shard, value, 0)
             total[rows] = np.bincount(np.repeat(np.arange(len(rows)), sizes), value, len(rows))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block["doc_id"], pa.int64()), pa.array(block["h"], pa.int64()), pa.array(total), pa.array(number)],
-            names=["doc_id", "h", "cost", "n"],
+            [
+                pa.array(block["doc_id"], pa.int64()), pa.array(block["h"], pa.int64()), pa.array(block["lang"], pa.string()),
+                pa.array(total), pa.array(number),
+            ],
+            names=["doc_id", "h", "lang", "cost", "n"],
         )
 
 
 def summed_costs(docs: DataFrame, scores: DataFrame, order: int = ORDER, shard_size: int = SHARD) -> DataFrame:
-    """(doc_id, h, cost, n) for rows (doc_id, h, lang, text): the summed cost of a text's n-grams and their number.
+    """(doc_id, h, lang, cost, n) for rows (doc_id, h, lang, text): the summed cost of a text's n-grams and their number.
 
     Tasks hold the score table in shards of at most `shard_size` n-grams; a text's sums over the shards are added.
     """
@@ -161,14 +164,14 @@ def summed_costs(docs: DataFrame, scores: DataFrame, order: int = ORDER, shard_s
         tables = {x: (gram[lang == x], cost[lang == x]) for x in np.unique(lang)} if len(lang) else {}
         table = spark.sparkContext.broadcast(tables)
         part = docs.mapInArrow(
-            lambda b, shard=shard, table=table: _summed(b, order, shard, shards, table), "doc_id long, h long, cost double, n long",
+            lambda b, shard=shard, table=table: _summed(b, order, shard, shards, table), "doc_id long, h long, lang string, cost double, n long",
         )
         if shards > 1:  # rows that repeat id and text have equal sums
-            part = part.groupBy("doc_id", "h").agg(F.max("cost").alias("cost"), F.max("n").alias("n"))
+            part = part.groupBy("doc_id", "h", "lang").agg(F.max("cost").alias("cost"), F.max("n").alias("n"))
         every = part if every is None else every.unionByName(part)
     if shards == 1:
         return every
-    return every.groupBy("doc_id", "h").agg(F.sum("cost").alias("cost"), F.max("n").alias("n"))
+    return every.groupBy("doc_id", "h", "lang").agg(F.sum("cost").alias("cost"), F.max("n").alias("n"))
 
 
 def quality(
@@ -180,8 +183,8 @@ def quality(
     An interpolated modified Kneser-Ney model of characters is counted for each language over all texts that labels.quality marks 1,
     but for one in CHECKED, and every n-gram of the corpus gets its cost by joins of the count tables. `judged` is the perplexity with
     `prior` characters of the language's middle cost added, so that a few characters don't decide. A document is kept, if judged lies
-    between the language's bounds: the `low` and `high` quantiles of the trusted texts that were not counted, moved out by `slack`
-    times their distance from the median (of logarithms).
+    between the language's bounds: the `high` quantile of the trusted texts that were not counted and the `low` one of all trusted
+    texts, moved out by `slack` times their distance from the median (of logarithms), and by more where they rest on few texts.
 
     Null language counts as 'und'; languages without trusted texts have no bounds and are kept. Null and empty texts have no
     perplexity and are not kept. Conflicting labels of one id count as not trusted; null ids are never trusted. Rows that repeat id
@@ -202,26 +205,29 @@ def quality(
         "quality-counts",
     )
     scores = materialise(gram_scores(counts, order), "quality-scores")
-    langs = texts.select("doc_id", "h", "lang").distinct()
     costs = materialise(
         summed_costs(texts.select("doc_id", "h", "lang", "text"), scores, order, shard_size)
-        .dropDuplicates(["doc_id", "h"]).join(langs, ["doc_id", "h"]), "quality-costs",
+        .dropDuplicates(["doc_id", "h", "lang"]), "quality-costs",
     )
-    reference = costs.filter("n > 0").filter(checked).join(trusted, "doc_id", "left_semi")
-    middle = F.percentile_approx(F.col("cost") / F.col("n"), F.lit(0.5), F.lit(10_000)).alias("middle")
-    known = scores.select("lang").distinct()
-    middles = reference.join(known, "lang", "left_semi").groupBy("lang").agg(middle)
+    reference = costs.filter("n > 0").join(trusted, "doc_id", "left_semi").join(scores.select("lang").distinct(), "lang", "left_semi")
+    each = F.col("cost") / F.when(F.col("n") > 0, F.col("n"))
+    middles = reference.filter(checked).groupBy("lang").agg(F.percentile_approx(each, F.lit(0.5), F.lit(10_000)).alias("middle"))
     eased = (F.col("cost") + F.lit(float(prior)) * F.col("middle")) / (F.col("n") + F.lit(float(prior)))
-    quantiles = F.percentile_approx("eased", F.array(F.lit(low), F.lit(0.5), F.lit(high)), F.lit(10_000)).alias("q")
-    bounds = reference.join(middles, "lang").withColumn("eased", eased).groupBy("lang").agg(quantiles, F.first("middle").alias("middle"))
+    marks = reference.join(middles, "lang").select("lang", "middle", eased.alias("eased"), checked.alias("checked"))
+    unseen = F.when(F.col("checked"), F.col("eased"))
+    wide = F.lit(slack) * (1 + F.lit(20.0) / F.col("_n"))
+    bounds = marks.groupBy("lang").agg(
+        F.first("middle").alias("middle"), F.count(unseen).alias("_n"),
+        F.percentile_approx(unseen, F.array(F.lit(0.5), F.lit(high)), F.lit(10_000)).alias("_up"),
+        F.percentile_approx("eased", F.array(F.lit(low), F.lit(0.5)), F.lit(10_000)).alias("_down"),
+    )
     bounds = materialise(bounds.select(
-        "lang", "middle",
-        (F.col("q")[0] - F.lit(slack) * (F.col("q")[1] - F.col("q")[0])).alias("_low"),
-        (F.col("q")[2] + F.lit(slack) * (F.col("q")[2] - F.col("q")[1])).alias("_high"),
+        "lang", "middle", (F.col("_down")[0] - wide * (F.col("_down")[1] - F.col("_down")[0])).alias("_low"),
+        (F.col("_up")[1] + wide * (F.col("_up")[1] - F.col("_up")[0])).alias("_high"),
     ), "quality-bounds")
     out = costs.join(F.broadcast(bounds), "lang", "left").withColumn("eased", eased)  # one row a language
     return out.select(
-        "doc_id", "h", "lang", F.col("n").alias("n_chars"), F.when(F.col("middle").isNotNull(), F.exp(F.col("cost") / F.col("n"))).alias("perplexity"),
+        "doc_id", "h", "lang", F.col("n").alias("n_chars"), F.when(F.col("middle").isNotNull(), F.exp(each)).alias("perplexity"),
         F.when(F.col("n") > 0, F.exp("eased")).alias("judged"), F.exp("_low").alias("lower"), F.exp("_high").alias("upper"),
         ((F.col("n") > 0) & F.coalesce(F.col("eased").between(F.col("_low"), F.col("_high")), F.lit(True))).alias("keep"),
     )
