@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import ids_and_texts
+from sparktick.llm.common import chunks, ids_and_texts
 from sparktick.session import materialise
 
 SAMPLE = 5000  # labelled rows that the word weights are fitted on, at most
@@ -42,16 +42,16 @@ K = len(SYMBOLS) + 1
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of letter trigrams with gaps around words, of all text of the task."""
     counts = np.zeros(K**3, np.int64)
-    for batch in batches:
-        for text in batch.column("text"):
-            raw = np.frombuffer((" " + text.as_py() + " ").lower().encode("utf-16-le", "surrogatepass"), np.uint16)
-            c = CODE[raw].astype(np.int64)
-            keep = np.ones(len(c), bool)
-            keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one gap between words
-            c = c[keep]
-            if len(c) > 1:
-                c = np.concatenate([c[:1], c])
-                counts += np.bincount((c[:-2] * K + c[1:-1]) * K + c[2:], minlength=K**3)
+    for held in chunks(batches, "text", 4 << 20):
+        text = " ".join([t.as_py() for b in held for t in b.column("text")])
+        raw = np.frombuffer(f" {text} ".lower().encode("utf-16-le", "surrogatepass"), np.uint16)
+        c = CODE[raw]
+        keep = np.ones(len(c), bool)
+        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one gap between words
+        c = c[keep].astype(np.int64)
+        if len(c) > 1:
+            c = np.concatenate([c[:1], c])
+            counts += np.bincount((c[:-2] * K + c[1:-1]) * K + c[2:], minlength=K**3)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
 
@@ -96,6 +96,8 @@ def arcs(token: str) -> list[tuple[int, list[tuple[str, float]]]]:
 
 def restore(token: str, model: CharModel) -> str:
     """Viterbi decoding of a token: the letters most likely to have been meant. A token without letters stays as it is."""
+    if not any(c.isalpha() for c in token):
+        return token
     lattice = arcs(token.lower())
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for _, options in lattice:
@@ -124,15 +126,23 @@ SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?=[.,;:!?]*(?!\S))")
 
 
 def skeletons(token: str) -> set[str]:
-    """What is left of a token when characters are taken for the letters they may stand for, or for noise, and runs for one.
+    """What is left of a token when each look-alike is taken for its letter or for noise, other signs for noise, and runs for one.
 
-    Any word that `restore` can give has a skeleton among those of the token, so others need no decoding.
+    Any word that `restore` can give has its skeleton among those of the token, so others need no decoding. Of more than six
+    look-alikes those behind the sixth are taken for letters.
     """
     low = token.lower()
-    letters = "".join(c for c in low if c.isalpha())
-    swapped = "".join(c for c in low.translate(_SKELETON) if c.isalpha())
-    edges = "".join(c for c in low.strip("!|$@+(<").translate(_SKELETON) if c.isalpha())
-    return {_RUNS.sub(r"\1", s.replace("l", "i")) for s in (letters, swapped, edges)}
+    if low.isalpha():
+        return {_RUNS.sub(r"\1", low.replace("l", "i"))}
+    forms, choices = [""], 0
+    for c in _RUNS.sub(r"\1", low):
+        letter = _SKELETON.get(ord(c), c)
+        if c.isalpha():
+            forms = [f + letter for f in forms]
+        elif letter.isalpha():
+            choices += 1
+            forms = [f + x for f in forms for x in ((letter, "") if choices <= 6 else (letter,))]
+    return {_RUNS.sub(r"\1", f) for f in forms}
 
 
 LEAST_GAIN = 15.0  # nats that a feature must save in telling the labels: above the logarithm of the number of features
@@ -179,8 +189,6 @@ class Detector:
 
     def meant(self, token: str) -> str | None:
         """The weighted word or beginning that a token stands for."""
-        if token in self.known:
-            return self.known[token]
         if len(self.known) > 400_000:
             self.known.clear()
         low = token.lower()
@@ -198,7 +206,7 @@ class Detector:
         tokens = text.split()
         found: dict[str, int] = {}
         for token in set(tokens):
-            word = self.meant(token)
+            word = self.known[token] if token in self.known else self.meant(token)
             if word:
                 found[word] = found.get(word, 0) + tokens.count(token)
         for m in SPACED.finditer(text):
