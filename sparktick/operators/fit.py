@@ -1,13 +1,17 @@
-"""Maximum likelihood for all (symbol, window, day, restart) at once: batch EM over DataFrames.
+"""Maximum likelihood for all (symbol, window, day, restart) at once: EM for many keys in parallel.
 
-One iteration is one decayed scan over the fit events plus one aggregation. Theta is a small table that is
-checkpointed after every iteration, so plans stay short and a lost executor costs one iteration at most.
+A key's events are those of `w_h` days of one symbol. Keys with at most MOST_EVENTS of them are iterated to the end inside one
+task each; larger ones are iterated together, one decayed scan over their events and one aggregation at a time, with theta as a
+small table that is checkpointed after every iteration. Both ways take the same steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ BETA_GRID = (0.1, 0.5, 1.0, 2.0)
 ALPHA_SHARE, MU_SHARE, JITTER = 0.2, 0.5, 0.2
 
 KEY = [*FIT, "restart"]
+MOST_EVENTS = 2_000_000  # of a key that one task iterates
 
 
 def start_values(head: DataFrame, restarts: int, seed: int = 0, beta_grid: Sequence[float] = BETA_GRID) -> DataFrame:
@@ -62,7 +67,7 @@ def em_fit(
     base = materialise(fit_set.select(*FIT, "fit_day", "bar_idx", "t", "k", "g", "horizon"), "fit-events")
     starts = starts if starts is not None else start_values(head, restarts, seed)
     open_rows = cut_lineage(starts.select(*KEY, "total_time", *params, F.lit(None).cast("double").alias("_old")))
-    finished = None
+    finished: list[DataFrame] = []
     for i in range(max_iter):
         stats = statistics(base.join(open_rows, FIT), [*KEY, "fit_day"], KEY)
         step = stats.join(open_rows.select(*KEY, "_old"), KEY)
@@ -75,14 +80,112 @@ def em_fit(
             *[v.alias(c) for c, v in fresh.items()], per_event.alias("_old"),
         ))
         closed = table if i == max_iter - 1 else table.filter("converged")
-        finished = closed if finished is None else finished.unionByName(closed)
+        if not closed.isEmpty():
+            finished.append(closed)
         open_rows = table.filter("not converged").select(*KEY, "total_time", *params, "_old")
         if open_rows.isEmpty():
             break
-    out = branching_matrix(finished.drop("_old"))
+    out = branching_matrix(reduce(DataFrame.unionByName, finished).drop("_old"))
     return out.withColumn("loglik_per_event", F.col("loglik") / F.col("n_events"))
 
 
+def _decayed(fade: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """x_i = fade_i x_{i-1} + fresh_i along the first axis, by doubling."""
+    fade, x, step = fade.copy(), fresh.copy(), 1
+    while step < len(x):
+        x[step:] += fade[step:] * x[:-step].copy()
+        fade[step:] *= fade[:-step].copy()
+        step *= 2
+    return x
+
+
+def _em_steps(max_iter: int, tol: float):
+    """All restarts of one key as lanes of numpy arrays; columns and stopping rule of `em_fit`."""
+
+    def fit(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        params = [*MU, *ALPHA, *BETA]
+        kept = [*KEY, "total_time", "n_events", "loglik", "converged", "n_iter", *params]
+        if events.empty or starts.empty:
+            return pd.DataFrame({c: [] for c in kept})
+        events = events.sort_values(["fit_day", "bar_idx"])
+        t, g, rest = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
+        rest = (rest - t)[:, None]
+        lag = np.diff(t, prepend=t[0])[:, None]
+        new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
+        kind = [(events["k"] == m).to_numpy()[:, None] for m in (0, 1)]
+        weight = [g[:, None] * m for m in kind]
+        value = {c: starts[c].to_numpy(float)[None, :] for c in params}
+        horizon = starts["total_time"].to_numpy(float)[None, :]
+        lanes, n = len(starts), len(events)
+        old, open_, result = np.full(lanes, np.nan), np.ones(lanes, bool), {}
+        for i in range(max_iter):
+            sums, lags = {}, {}
+            rate = kind[0] * value["mu_u"] + kind[1] * value["mu_d"]
+            for p in PAIRS:
+                fade = np.exp(-value[f"beta_{p}"] * lag)
+                fade[new_day] = 0.0
+                before = np.vstack([np.zeros((1, 1)), weight["ud".index(p[1])][:-1]])
+                sums[p] = _decayed(fade, fade * before)
+                lags[p] = _decayed(fade, lag * sums[p])
+                rate = rate + kind["ud".index(p[0])] * value[f"alpha_{p}"] * sums[p]
+            loglik = np.log(rate).sum(axis=0) - ((value["mu_u"] + value["mu_d"]) * horizon)[0]
+            fresh = {}
+            for m, c in enumerate("ud"):
+                fresh[f"mu_{c}"] = np.clip((kind[m] * value[f"mu_{c}"] / rate).sum(axis=0, keepdims=True) / horizon, LOW, HIGH)
+            for p in PAIRS:
+                alpha, beta = value[f"alpha_{p}"], value[f"beta_{p}"]
+                target, source = kind["ud".index(p[0])], weight["ud".index(p[1])]
+                kids = (target * alpha * sums[p] / rate).sum(axis=0, keepdims=True)
+                late = (target * alpha * lags[p] / rate).sum(axis=0, keepdims=True)
+                gone = np.exp(-beta * rest)
+                inside = (source * (1.0 - gone)).sum(axis=0, keepdims=True)
+                cut = (source * rest * gone).sum(axis=0, keepdims=True)
+                loglik = loglik - (alpha / beta * inside)[0]
+                each = kids / np.maximum(inside, 1e-300)
+                moved = kids / np.maximum(late + each * cut, 1e-300)
+                fresh[f"beta_{p}"] = np.clip(np.where(kids > 0, moved, beta), BETA_LOW, HIGH)
+                fresh[f"alpha_{p}"] = np.clip(each * fresh[f"beta_{p}"], LOW, HIGH)
+            done = np.abs(loglik / n - old) < tol
+            for j in np.flatnonzero(open_ & (done | (i == max_iter - 1))):
+                result[j] = (float(loglik[j]), bool(done[j]), i + 1, [float(value[c][0, j]) for c in params])
+            open_ &= ~done
+            old, value = loglik / n, fresh
+            if not open_.any():
+                break
+        rows = [
+            (*starts.iloc[j][KEY].tolist(), float(horizon[0, j]), n, result[j][0], result[j][1], result[j][2], *result[j][3]) for j in range(lanes)
+        ]
+        return pd.DataFrame(rows, columns=kept)
+
+    return fit
+
+
+def em_fit_in_tasks(
+    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-7, seed: int = 0,
+    starts: DataFrame | None = None,
+) -> DataFrame:
+    """`em_fit` with each key iterated inside one task: for keys whose events fit there."""
+    starts = starts if starts is not None else start_values(head, restarts, seed)
+    starts = starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *MU, *ALPHA, *BETA)
+    kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + ["n_events long, loglik double, converged boolean, n_iter int"] + [f"{c} double" for c in [*MU, *ALPHA, *BETA]])
+    parts = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs, long work: not to be put together
+    rows = fit_set.select(*FIT, "fit_day", "bar_idx", "t", "k", "g", "horizon").repartition(parts, *FIT)
+    starts = starts.repartition(parts, *FIT)
+    found = rows.groupBy(*FIT).cogroup(starts.groupBy(*FIT)).applyInPandas(_em_steps(max_iter, tol), schema)
+    out = branching_matrix(materialise(found, "fits"))
+    return out.withColumn("loglik_per_event", F.col("loglik") / F.col("n_events"))
+
+
+def em_fit_all(fit_set: DataFrame, head: DataFrame, restarts: int, max_iter: int, tol: float, seed: int = 0) -> DataFrame:
+    """Small keys in tasks, the others by iterations over all of them."""
+    small, large = head.filter(F.col("n_up") + F.col("n_down") <= MOST_EVENTS), head.filter(F.col("n_up") + F.col("n_down") > MOST_EVENTS)
+    out = em_fit_in_tasks(fit_set.join(small.select(*FIT), FIT, "left_semi"), small, restarts, max_iter, tol, seed)
+    if large.isEmpty():
+        return out
+    return out.unionByName(em_fit(fit_set.join(large.select(*FIT), FIT, "left_semi"), large, restarts, max_iter, tol, seed), allowMissingColumns=True)
+
+
 def best_restart(fits: DataFrame) -> DataFrame:
     """Highest likelihood among the stationary (rho < 1) restarts of each theta key."""
     rest = [c for c in fits.columns if c not in FIT]
@@ -94,11 +197,11 @@ def fit_theta(
     fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-7, retry: int = 4
 ) -> DataFrame:
     """Theta table: best stationary restart per key; keys without one are fitted again with more restarts."""
-    fits = em_fit(fit_set, head, restarts, max_iter, tol)
+    fits = em_fit_all(fit_set, head, restarts, max_iter, tol)
     theta = best_restart(fits)
     open_keys = cut_lineage(head.join(theta.select(*FIT), FIT, "left_anti"))
     if retry and not open_keys.isEmpty():
-        again = em_fit(fit_set.join(open_keys.select(*FIT), FIT, "left_semi"), open_keys, retry * restarts, max_iter, tol, seed=1)
+        again = em_fit_all(fit_set.join(open_keys.select(*FIT), FIT, "left_semi"), open_keys, retry * restarts, max_iter, tol, seed=1)
         theta = theta.unionByName(best_restart(again))
     keep = [c for c in head.columns if c not in theta.columns or c in FIT]
     return theta.join(head.select(*keep), FIT)

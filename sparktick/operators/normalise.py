@@ -140,8 +140,11 @@ def clipping_shares(inputs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def half_split(rows: DataFrame, first_half_before: Column) -> DataFrame:
-    return rows.withColumn("fit_half", F.col("day") < first_half_before)
+def half_split(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """`fit_half`: the row's day lies in the first half of the range of `days.day`."""
+    first, last = F.min("day"), F.max("day")
+    middle = days.agg(F.date_add(first, F.floor((F.date_diff(last, first) + 1) / 2).cast("int")).alias("_middle"))  # one row
+    return rows.crossJoin(F.broadcast(middle)).withColumn("fit_half", F.col("day") < F.col("_middle")).drop("_middle")
 
 
 def standardise_features(rows: DataFrame, features: Sequence[str], limit: float = 10.0) -> DataFrame:

@@ -70,9 +70,9 @@ def coverage(trades: DataFrame, days: DataFrame, num: int) -> DataFrame:
     )
 
 
-def period_of(day: Column, test: tuple[str, str], validation: tuple[str, str]) -> Column:
-    within = lambda r: day.between(F.to_date(F.lit(r[0])), F.to_date(F.lit(r[1])))
-    return F.when(within(test), "test").when(within(validation), "validation").otherwise("history")
+def period_of(day: Column, last: Column, test: int, validation: int) -> Column:
+    """The last `test` days, the `validation` days before them, and all before."""
+    return F.when(day > F.date_sub(last, test), "test").when(day > F.date_sub(last, test + validation), "validation").otherwise("history")
 
 
 def period_summary(cov: DataFrame, period: Column, ticks: int) -> DataFrame:
@@ -112,6 +112,12 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(span).alias("day"))
 
 
+def days_of(rows: DataFrame, after_first: int = 0, after_last: int = 0) -> DataFrame:
+    """Every day from `after_first` days after the first `day` of the rows to `after_last` days after the last; none of no rows."""
+    ends = rows.agg(F.date_add(F.min("day"), after_first).alias("a"), F.date_add(F.max("day"), after_last).alias("b"))
+    return ends.select(F.explode(F.when(F.col("a") <= F.col("b"), F.sequence("a", "b"))).alias("day"))
+
+
 def previous_days(days: DataFrame, k: int) -> DataFrame:
     """(day, prev_day) for the k days before each day, oldest first."""
     span = F.sequence(F.date_sub("day", k), F.date_sub("day", 1))

@@ -173,7 +173,7 @@ def a12(spark, sf):
 
 
 def _halves(spark, sf):
-    rows = N.half_split(LQ.flow(spark, sf), F.to_date(F.lit("2024-01-16")))
+    rows = N.half_split(LQ.flow(spark, sf), C.trades(spark, sf))
     return materialise(N.standardise_features(rows, L.PRICE_FEATURES + L.FLOW_FEATURES), "features")
 
 
@@ -301,7 +301,7 @@ pf AS (SELECT hour, count(*) / (SELECT count(DISTINCT day) FROM hp WHERE d IS NO
 
 
 def _profile(spark, sf):
-    inputs = G.input_score(N.zscore_inputs(C.bar_table(spark, sf), C.folds(spark, 1)))
+    inputs = G.input_score(N.zscore_inputs(C.bar_table(spark, sf), C.folds(spark, sf, 1)))
     fired = G.score_signals(inputs, [], GQ.RATE).filter("split = 'test'").select(*BAR, F.lit(1).alias("fired"))
     rows = inputs.filter("split = 'test'").join(fired, BAR, "left").fillna(0, ["fired"])
     return A.hour_profile(R.with_hour(rows).withColumn("input", F.col("p1") + F.col("p2")))

@@ -70,7 +70,7 @@ def k1_settings(spark, sf):
 )
 def k3(spark, sf):
     sizes = C.bars(spark, sf).groupBy(F.col("day").alias("train_day")).agg(F.count("*").alias("train_bars"))
-    return C.folds(spark, 1, 3, 5).join(sizes, "train_day").select("w_snn", "test_day", "train_day", "train_bars")
+    return C.folds(spark, sf, 1, 3, 5).join(sizes, "train_day").select("w_snn", "test_day", "train_day", "train_bars")
 
 
 @query(
@@ -82,7 +82,7 @@ def k4(spark, sf):
     """Theta days of all folds that are not stored yet (even days count as stored)."""
     jobs = K.signal_jobs(_runs(spark, sf))
     stored = C.bars(spark, sf).select("day").distinct().filter(F.dayofmonth("day") % 2 == 0)
-    return K.fit_days_needed(jobs, C.folds(spark, 1, 3)).join(stored, "day", "left_anti").select("w_h", "day")
+    return K.fit_days_needed(jobs, C.folds(spark, sf, 1, 3)).join(stored, "day", "left_anti").select("w_h", "day")
 
 
 # --------------------------------------------------------------------------- flagship: the rule at every bar
@@ -205,7 +205,7 @@ EXPERIMENT = S.chain(*_EXP_PARTS) + "\n"
 def experiment(spark, sf) -> K.Experiment:
     """Two models x two seeds, three rules, three latencies, four random repetitions, on all test days."""
     d = C.bar_table(spark, sf)
-    folds = C.folds(spark, 1)
+    folds = C.folds(spark, sf, 1)
     lam = C.intensities(spark, d)
     inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(lam, folds)}
     scored = None
@@ -348,14 +348,14 @@ def _trials(spark):
 
 
 def _table(spark, sf):
-    d, folds, trials = C.bar_table(spark, sf), C.folds(spark, 1), _trials(spark)
+    d, folds, trials = C.bar_table(spark, sf), C.folds(spark, sf, 1), _trials(spark)
     return T.trial_table(L.bar_labels(d), T.trial_signals(d, folds, trials), trials, folds)
 
 
 @query("k11_trial_signals", _TT + "SELECT trial, symbol, day, num, bar_idx, score FROM sg", digits=9)
 def k11(spark, sf):
     """Sampled grid points and the signals each one gives on the test days."""
-    signals = T.trial_signals(C.bar_table(spark, sf), C.folds(spark, 1), _trials(spark))
+    signals = T.trial_signals(C.bar_table(spark, sf), C.folds(spark, sf, 1), _trials(spark))
     return signals.filter("split = 'test'").select("trial", *BAR, "score")
 
 

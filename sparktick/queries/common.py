@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktick.operators import bars as B
 from sparktick.operators import excitation as H
-from sparktick.operators.quality import calendar
+from sparktick.operators.quality import days_of
 from sparktick.plans.backtest import walk_forward
 from sparktick.queries import sql as S
 from sparktick.session import materialise
@@ -36,22 +36,23 @@ def bar_table(spark: SparkSession, sf: str) -> DataFrame:
     return materialise(diffs(spark, sf), "bars")
 
 
-def test_days(spark: SparkSession) -> DataFrame:
-    return calendar(spark, S.FIRST_TEST, S.LAST_TEST)
+def test_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day behind the first HISTORY days of the trades."""
+    return days_of(trades(spark, sf), S.HISTORY)
 
 
-def folds(spark: SparkSession, *windows: int) -> DataFrame:
-    return walk_forward(test_days(spark), windows)
+def folds(spark: SparkSession, sf: str, *windows: int) -> DataFrame:
+    return walk_forward(test_days(spark, sf), windows)
 
 
-def theta_days(spark: SparkSession) -> DataFrame:
+def theta_days(spark: SparkSession, sf: str) -> DataFrame:
     """Every day with a day before it."""
-    return calendar(spark, "2024-01-02", S.LAST_TEST)
+    return days_of(trades(spark, sf), 1)
 
 
 def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE) -> tuple[DataFrame, DataFrame]:
     """Fit set and theta with given alpha, beta for every day."""
-    fit_set, head = H.fit_events(d, H.fit_windows(theta_days(spark), spans), quantile)
+    fit_set, head = H.fit_events(d, H.fit_windows(days_of(d, 1), spans), quantile)
     return fit_set, materialise(H.given_theta(head, S.ALPHA, S.BETA), "theta")
 
 

@@ -59,7 +59,7 @@ _SPANS = (1, 3)
     S.chain(_EV, S.theta(_SPANS, 0.9)) + f"SELECT {_K}, {rs('event_threshold')}, candidate_moves FROM thr",
 )
 def h2(spark, sf):
-    windows = H.fit_windows(C.theta_days(spark), _SPANS)
+    windows = H.fit_windows(C.theta_days(spark, sf), _SPANS)
     pooled = H.in_fit_windows(H.events(C.diffs(spark, sf)), windows)
     return H.fit_thresholds(pooled, 0.9)
 
@@ -69,14 +69,14 @@ def h2(spark, sf):
     S.chain(_EV, S.theta(_SPANS, 0.9)) + f"SELECT {_K}, fit_day, bar_idx, k, {rs('mark')} FROM kept",
 )
 def h3(spark, sf):
-    windows = H.fit_windows(C.theta_days(spark), _SPANS)
+    windows = H.fit_windows(C.theta_days(spark, sf), _SPANS)
     pooled = H.in_fit_windows(H.events(C.diffs(spark, sf)), windows)
     return H.above_threshold(pooled, H.fit_thresholds(pooled, 0.9)).select(*H.FIT, "fit_day", "bar_idx", "k", "mark")
 
 
 @query("h4_marks_linear", S.chain(_EV, S.theta()) + f"SELECT {_K}, fit_day, bar_idx, k, {rs('g')} FROM fits")
 def h4(spark, sf):
-    fit_set, _ = H.fit_events(C.bar_table(spark, sf), H.fit_windows(C.theta_days(spark), [1]), S.QUANTILE)
+    fit_set, _ = H.fit_events(C.bar_table(spark, sf), H.fit_windows(C.theta_days(spark, sf), [1]), S.QUANTILE)
     return fit_set.select(*H.FIT, "fit_day", "bar_idx", "k", "g")
 
 
@@ -87,7 +87,7 @@ nm AS (SELECT {_K}, k, avg(1 - exp(-mark / c)) AS z, max(c) AS c FROM kept JOIN
 SELECT {_K}, fit_day, bar_idx, k, {r('(1 - exp(-mark / c)) / z', 'g')} FROM kept JOIN nm USING ({_K}, k)""",
 )
 def h4_saturating(spark, sf):
-    windows = H.fit_windows(C.theta_days(spark), [1])
+    windows = H.fit_windows(C.theta_days(spark, sf), [1])
     fit_set, _ = H.fit_events(C.bar_table(spark, sf), windows, S.QUANTILE, "saturating")
     return fit_set.select(*H.FIT, "fit_day", "bar_idx", "k", "g")
 
@@ -202,15 +202,30 @@ def h10(spark, sf):
     return H.gradient(_fit_rows(spark, sf, (1,)), [*H.FIT, "fit_day"], H.FIT)
 
 
+def _fitted(spark, sf):
+    d = C.bar_table(spark, sf)
+    fit_set, head = H.fit_events(d, H.fit_windows(C.theta_days(spark, sf), [1]), S.QUANTILE, strict=False)
+    fit_set, head = materialise(fit_set, "fit-set"), materialise(head, "fit-head")
+    return fit_set, FT.fit_theta(fit_set, head, restarts=5, max_iter=500)
+
+
 @query("h11_em_fit", digits=6)
 def h11(spark, sf):
-    """Maximum-likelihood theta of every day from the day before (iterative: no SQL)."""
-    d = C.bar_table(spark, sf)
-    fit_set, head = H.fit_events(d, H.fit_windows(C.theta_days(spark), [1]), S.QUANTILE, strict=False)
-    theta = FT.fit_theta(fit_set, materialise(head, "fit-head"), restarts=2, max_iter=12)
+    """Maximum-likelihood theta of every day from the day before, five restarts each (iterative: no SQL)."""
+    theta = _fitted(spark, sf)[1]
     return theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "rho", "loglik", "n_events", "n_iter", "converged")
 
 
+@query("h11_optimum", digits=3)
+def h11_optimum(spark, sf):
+    """At the fitted theta: the likelihood by the distributed scan, and the largest slope in logarithms of mu and alpha for each event."""
+    fit_set, theta = _fitted(spark, sf)
+    known = theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "total_time", F.col("loglik").alias("fitted"))
+    slopes = H.gradient(fit_set.join(known.drop("fitted"), H.FIT), [*H.FIT, "fit_day"], H.FIT).join(known, H.FIT)
+    steep = F.greatest(*[F.abs(F.col(c) * F.col(f"g_{c}")) for c in (*H.MU, *H.ALPHA)]) / F.col("n_events")
+    return slopes.select(*H.FIT, "n_events", "loglik", "fitted", steep.alias("slope"))
+
+
 @query(
     "h12_spectral_radius",
     S.chain(_EV, S.theta()) + f""", m AS (SELECT {_K}, n_up / total_time * 0.8 AS a11, n_down / total_time * 0.5 AS a12, n_up / total_time * 0.3 AS a21, n_down / total_time AS a22 FROM theta),
@@ -230,11 +245,11 @@ def h12(spark, sf):
 
 @query(
     "h13_fit_windows",
-    S.chain(_EV, S.theta((1, 2, 5))) + "SELECT w_h, fday AS day, fit_day FROM win WHERE fit_day >= DATE '2024-01-01'",
+    S.chain(_EV, S.theta((1, 2, 5))) + "SELECT w_h, fday AS day, fit_day FROM win WHERE fit_day >= (SELECT min(day) FROM dd)",
 )
 def h13(spark, sf):
     days = C.trades(spark, sf).select("day").distinct()
-    windows = H.fit_windows(days.filter("day > '2024-01-01'"), (1, 2, 5))
+    windows = H.fit_windows(days.join(C.days_of(days, 1), "day", "left_semi"), (1, 2, 5))
     return windows.join(days.withColumnRenamed("day", "fit_day"), "fit_day", "left_semi").select("w_h", "day", "fit_day")
 
 
@@ -244,7 +259,7 @@ _P = ", ".join(f"alpha_{p}, beta_{p}" for p in PAIRS)
 @query(
     "h14_theta_json",
     S.chain(_EV, S.theta((1, 3))) + f"""SELECT {_K}, {rs('mu_u', 'mu_d')}, {_P}, {rs('mark_scale_u', 'mark_scale_d', 'event_threshold')},
-  n_up + n_down AS n_events, len(list_filter(generate_series(1, w_h), lambda i: day - CAST(i AS INTEGER) >= DATE '2024-01-01')) AS n_fit_days FROM theta""",
+  n_up + n_down AS n_events, least(w_h, CAST(date_diff('day', (SELECT min(day) FROM dd), day) AS BIGINT)) AS n_fit_days FROM theta""",
 )
 def h14(spark, sf):
     _, theta = C.theta(spark, C.bar_table(spark, sf), (1, 3))
@@ -347,7 +362,7 @@ def _variant_sql() -> str:
 f0 AS (SELECT dd.symbol, dd.num, dd.day + 1 AS day, avg(abs(d)) FILTER (d > 0) AS mark_scale_u, avg(abs(d)) FILTER (d < 0) AS mark_scale_d,
   count(*) FILTER (d > 0) AS n_up, count(*) FILTER (d < 0) AS n_down, max(thr) AS thr, max(total_time) AS total_time
   FROM dd JOIN q0 USING (symbol, num, day) WHERE d <> 0{keep} GROUP BY ALL HAVING mark_scale_u IS NOT NULL AND mark_scale_d IS NOT NULL),
-theta AS (SELECT symbol, num, 1 AS w_h, day, mark_scale_u, mark_scale_d, thr, {par}, 0.5 * n_up / total_time AS mu_u, 0.5 * n_down / total_time AS mu_d FROM f0 WHERE day BETWEEN DATE '2024-01-02' AND DATE '2024-01-30'),
+theta AS (SELECT symbol, num, 1 AS w_h, day, mark_scale_u, mark_scale_d, thr, {par}, 0.5 * n_up / total_time AS mu_u, 0.5 * n_down / total_time AS mu_d FROM f0 WHERE day <= (SELECT max(day) FROM dd)),
 tb AS (SELECT dd.*, {t} AS t, th.* EXCLUDE (symbol, day, num), CASE WHEN d <> 0{keep} THEN CASE WHEN d > 0 THEN 0 ELSE 1 END END AS k,
   CASE WHEN d <> 0{keep} THEN abs(d) / CASE WHEN d > 0 THEN mark_scale_u ELSE mark_scale_d END END AS g FROM dd JOIN theta th USING (symbol, day, num)),
 s0 AS{lam},
@@ -361,13 +376,13 @@ FROM rv JOIN rh USING (day))""")
 @query("h18_event_variants", _variant_sql(), digits=6)
 def h18(spark, sf):
     d = C.bar_table(spark, sf)
-    return R.variant_review(d, R.variant_fits(d, C.theta_days(spark), _VARIANTS, S.ALPHA, S.BETA))
+    return R.variant_review(d, R.variant_fits(d, C.theta_days(spark, sf), _VARIANTS, S.ALPHA, S.BETA))
 
 
 @query(
     "h19_provenance",
     S.chain(_EV, S.theta((1, 2))) + f""", fd AS (SELECT w_h, fday AS day, string_agg(CAST(fit_day AS VARCHAR), ',' ORDER BY fit_day) AS fit_days
-  FROM win WHERE fit_day >= DATE '2024-01-01' GROUP BY ALL),
+  FROM win WHERE fit_day >= (SELECT min(day) FROM dd) GROUP BY ALL),
 z AS (SELECT *, alpha_uu / beta_uu AS a, alpha_ud / beta_ud AS b, alpha_du / beta_du AS c, alpha_dd / beta_dd AS e FROM theta)
 SELECT {_K}, fit_days, candidate_moves, n_up + n_down AS n_events, {rs('event_threshold')}, {r('0.5 * (a + e + sqrt((a - e) * (a - e) + 4 * b * c))', 'rho')}
 FROM z JOIN fd USING (w_h, day)""",

@@ -22,13 +22,13 @@ _STATS = [f"{a}_{x}" for x in ("x1", "x2") for a in ("mean", "std")]
     S.chain(S.folds(1, 3), S.ZSCORE) + f"SELECT symbol, num, w_snn, test_day, n_x1, n_x2, {rs(*_STATS)} FROM zst",
 )
 def n1(spark, sf):
-    stats = N.fold_stats(C.diffs(spark, sf), C.folds(spark, 1, 3), ["x1", "x2"])
+    stats = N.fold_stats(C.diffs(spark, sf), C.folds(spark, sf, 1, 3), ["x1", "x2"])
     return stats.select(*N.FOLD, "n_x1", "n_x2", *_STATS)
 
 
 @query("n2_shifted_zscore", S.chain(S.folds(1, 3), S.ZSCORE) + f"SELECT {_KEY}, {rs('p1', 'p2')} FROM zin")
 def n2(spark, sf):
-    return N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, 1, 3)).select(*_KEY.split(", "), "p1", "p2")
+    return N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)).select(*_KEY.split(", "), "p1", "p2")
 
 
 @query(
@@ -53,7 +53,7 @@ _EXC = [S.events(), S.theta(), S.LAM]
 @query("n3_intensity_rates", S.chain(S.folds(1, 2), *_EXC, EXCITED) + f"SELECT {_KEY}, {rs('p1', 'p2')} FROM lin")
 def n3(spark, sf):
     lam = C.intensities(spark, C.bar_table(spark, sf))
-    return N.intensity_inputs(lam, C.folds(spark, 1, 2)).select(*_KEY.split(", "), "p1", "p2")
+    return N.intensity_inputs(lam, C.folds(spark, sf, 1, 2)).select(*_KEY.split(", "), "p1", "p2")
 
 
 _NORM2 = """, z2 AS (SELECT symbol, num, w_snn, test_day, count(p1) AS n, avg(p1) AS mean_p1, stddev_pop(p1) AS std_p1 FROM zin WHERE split = 'train' GROUP BY ALL)
@@ -66,7 +66,7 @@ _NORM2 = """, z2 AS (SELECT symbol, num, w_snn, test_day, count(p1) AS n, avg(p1
 )
 def n4(spark, sf):
     """A second step is fitted on training days as the first step left them."""
-    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, 2))
+    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 2))
     train = inputs.filter("split = 'train'")
     return train.groupBy(*N.FOLD).agg(
         F.count("p1").alias("n_p1"), F.avg("p1").alias("mean_p1"), F.stddev_pop("p1").alias("std_p1")
@@ -79,7 +79,7 @@ _ENC = f""", enc AS (SELECT z.*, tick, CAST({_U.format(1)} < p1 AS INTEGER) AS s
 
 
 def _encoded(spark, sf):
-    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, 1)).filter("split = 'test'")
+    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1)).filter("split = 'test'")
     return N.encode(inputs, 10, 7)
 
 
@@ -121,7 +121,7 @@ SELECT new_mean, encoding, {r('avg(p1)', 'mean_p1')}, {r('avg(p2)', 'mean_p2')},
   {r('(avg(CAST(p1 <= 0 AS INTEGER)) + avg(CAST(p2 <= 0 AS INTEGER))) / 2', 'at_0')} FROM al GROUP BY new_mean, encoding""",
 )
 def n7(spark, sf):
-    d, folds = C.bar_table(spark, sf), C.folds(spark, 1)
+    d, folds = C.bar_table(spark, sf), C.folds(spark, sf, 1)
     means = F.explode(F.array(*[F.lit(m) for m in (0.05, 0.1, 0.2)]))
     lam = C.intensities(spark, d)
     parts = []
@@ -135,7 +135,7 @@ def n7(spark, sf):
     return N.clipping_shares(parts[0].unionByName(parts[1]), ["new_mean", "encoding"])
 
 
-_FIT = """, st AS (SELECT *, day < DATE '2024-01-16' AS fit_half FROM fl),
+_FIT = """, st AS (SELECT *, day < (SELECT min(day) + CAST((max(day) - min(day) + 1) // 2 AS INTEGER) FROM tr) AS fit_half FROM fl),
 agg AS (SELECT {aggs} FROM st WHERE fit_half) SELECT symbol, day, num, bar_idx, fit_half, {cols} FROM st, agg"""
 
 
@@ -147,5 +147,5 @@ agg AS (SELECT {aggs} FROM st WHERE fit_half) SELECT symbol, day, num, bar_idx,
     ),
 )
 def n8(spark, sf):
-    rows = N.half_split(LQ.flow(spark, sf), F.to_date(F.lit("2024-01-16")))
+    rows = N.half_split(LQ.flow(spark, sf), C.trades(spark, sf))
     return N.standardise_features(rows, PRICE_FEATURES).select(*BAR, "fit_half", *PRICE_FEATURES)

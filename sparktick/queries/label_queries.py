@@ -105,7 +105,7 @@ cn AS (SELECT symbol, day, num, count(DISTINCT bar_idx) AS n_bars, unnest(['x1',
   CASE WHEN total = 0 THEN 'silent ' || counter WHEN total / (1 * n_bars) >= 0.4 * 10 / (1 + 1) THEN 'saturated ' || counter ELSE '' END AS warnings FROM cn""",
 )
 def l8_counters(spark, sf):
-    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, 1)).filter("split = 'test'")
+    inputs = N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1)).filter("split = 'test'")
     per_bar = N.spike_counts(N.encode(inputs, 10, 0), [*BAR_DAY, "bar_idx"])
     per_day = per_bar.groupBy(*BAR_DAY).agg(
         F.count("*").alias("n_bars"), F.sum("spikes_1").alias("x1"), F.sum("spikes_2").alias("x2"), F.lit(0).cast("long").alias("never")
@@ -117,12 +117,13 @@ def l8_counters(spark, sf):
 @query(
     "l9_warning_days",
     S.chain(S.LABELS, _SIG, _METRICS) + """SELECT split, count(*) FILTER (NOT signal_rate BETWEEN 0.001 AND 0.3) AS days_with_warnings
-  FROM (SELECT *, CASE WHEN day <= DATE '2024-01-10' THEN 'train' ELSE 'test' END AS split FROM met) GROUP BY split""",
+  FROM (SELECT *, CASE WHEN day < (SELECT min(day) FROM tr) + 10 THEN 'train' ELSE 'test' END AS split FROM met) GROUP BY split""",
 )
 def l9(spark, sf):
     health = L.output_health(_metrics(spark, sf), high=0.3)
-    split = F.when(F.col("day") <= F.to_date(F.lit(S.HISTORY_END)), "train").otherwise("test")
-    return L.warning_days(health.withColumn("split", split))
+    first = C.trades(spark, sf).agg(F.min("day").alias("first"))  # one row
+    split = F.when(F.col("day") < F.date_add("first", S.HISTORY), "train").otherwise("test")
+    return L.warning_days(health.crossJoin(F.broadcast(first)).withColumn("split", split))
 
 
 @query(

@@ -54,7 +54,7 @@ def q2(spark, sf):
     )
 
 
-_COV = "WITH " + S.trades() + f""", days AS (SELECT 'ALL' AS symbol, CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day),
+_COV = "WITH " + S.trades() + f""", days AS (SELECT 'ALL' AS symbol, CAST(unnest(generate_series(min(day) - 2, max(day) + 3, INTERVAL 1 DAY)) AS DATE) AS day FROM tr),
 g AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY symbol, day ORDER BY ts_ns, trade_id) AS gap FROM tr),
 pd AS (SELECT symbol, day, count(*) AS n_trades, min(ts_ns) AS a, max(ts_ns) AS b, max(gap) AS gap FROM g GROUP BY ALL),
 cov AS (SELECT symbol, day, n_trades IS NOT NULL AS cached, n_trades, n_trades // {S.NUM} AS n_bars, a AS first_ts_ns, b AS last_ts_ns,
@@ -64,7 +64,7 @@ cov AS (SELECT symbol, day, n_trades IS NOT NULL AS cached, n_trades, n_trades /
 
 
 def _coverage(spark, sf):
-    days = Q.calendar(spark, "2023-12-30", "2024-02-02").select(F.lit("ALL").alias("symbol"), "day")
+    days = Q.days_of(C.trades(spark, sf), -2, 3).select(F.lit("ALL").alias("symbol"), "day")
     return Q.coverage(C.trades(spark, sf), days, S.NUM)
 
 
@@ -78,8 +78,8 @@ def q3(spark, sf):
     return _coverage(spark, sf)
 
 
-_PERIOD = """CASE WHEN day BETWEEN DATE '2024-01-21' AND DATE '2024-01-30' THEN 'test'
-  WHEN day BETWEEN DATE '2024-01-11' AND DATE '2024-01-20' THEN 'validation' ELSE 'history' END"""
+_PERIOD = """CASE WHEN day > (SELECT max(day) FROM tr) - 10 THEN 'test'
+  WHEN day > (SELECT max(day) FROM tr) - 20 THEN 'validation' ELSE 'history' END"""
 _SIZES = ", ".join(
     f"CAST(median({c}) AS DOUBLE) AS {c}_median, min({c}) AS {c}_min, max({c}) AS {c}_max" for c in ("n_trades", "n_bars", "n_ticks")
 )
@@ -91,8 +91,9 @@ _SIZES = ", ".join(
   FROM (SELECT *, {_PERIOD} AS period, n_bars * 10 AS n_ticks FROM cov WHERE cached) GROUP BY ROLLUP (period)""",
 )
 def q4(spark, sf):
-    period = Q.period_of(F.col("day"), ("2024-01-21", "2024-01-30"), ("2024-01-11", "2024-01-20"))
-    return Q.period_summary(_coverage(spark, sf), period, 10)
+    last = C.trades(spark, sf).agg(F.max("day").alias("last"))  # one row
+    cov = _coverage(spark, sf).crossJoin(F.broadcast(last))
+    return Q.period_summary(cov, Q.period_of(F.col("day"), F.col("last"), 10, 10), 10)
 
 
 @query(
@@ -125,7 +126,7 @@ def q5_gaps(spark, sf):
 
 @query("q6_missing_days", _COV + "SELECT symbol, day FROM cov WHERE NOT cached")
 def q6(spark, sf):
-    wanted = Q.calendar(spark, "2023-12-30", "2024-02-02").select(F.lit("ALL").alias("symbol"), "day")
+    wanted = Q.days_of(C.trades(spark, sf), -2, 3).select(F.lit("ALL").alias("symbol"), "day")
     return missing(wanted, C.trades(spark, sf), ["symbol", "day"])
 
 
@@ -140,12 +141,12 @@ def q7(spark, sf):
 
 @query(
     "q7_calendar",
-    """SELECT d.day, count(e.ts) AS n_trades FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-25', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS day) d
+    """SELECT d.day, count(e.ts) AS n_trades FROM (SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) + 4, INTERVAL 1 DAY)) AS DATE) AS day FROM events) d
 LEFT JOIN events e ON CAST(e.ts AS DATE) = d.day GROUP BY d.day""",
 )
 def q7_calendar(spark, sf):
     counts = C.trades(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
-    days = Q.calendar(spark, "2024-01-25", "2024-02-03")
+    days = Q.days_of(C.trades(spark, sf), 0, 4)
     return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n_trades"))
 
 

@@ -44,7 +44,7 @@ lim AS (SELECT q.w_snn, q.test_day, q.symbol, q.num, q.rate,
   AND d.symbol = lim.symbol AND d.num = lim.num WHERE abs(d.d) > threshold""",
 )
 def g1(spark, sf):
-    d, folds = C.bar_table(spark, sf), C.folds(spark, 1, 3)
+    d, folds = C.bar_table(spark, sf), C.folds(spark, sf, 1, 3)
     rates = _reference(spark, d, folds).withColumnRenamed("day", "test_day")
     return G.big_moves(d, folds, rates, [])
 
@@ -61,7 +61,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY rule, rep, symbol, day, num ORD
 SELECT rule, CAST(rep AS INTEGER) AS rep, symbol, day, num, bar_idx FROM rk WHERE i <= n_signals""",
 )
 def g2(spark, sf):
-    d, folds = C.diffs(spark, sf), C.folds(spark, 1)
+    d, folds = C.diffs(spark, sf), C.folds(spark, sf, 1)
     ref = _reference(spark, d, folds).withColumn("seed", F.lit(0))
     rules = {"momentum": 3, "alexanders_filter": 1, "stochastic_oscillator": 2}
     return G.random_bars(ref, ["seed"], 4, rules).drop("seed")
@@ -79,7 +79,7 @@ _SK = "w_snn, test_day, split, symbol, day, num, bar_idx"
 # The score already has 9 digits: rounding it again to fewer could hit exact halves.
 @query("g3_zscore_signals", S.chain(S.folds(1, 3), S.ZSCORE, score_sql("zin", "sg")) + f"SELECT {_SK}, score FROM sg", digits=9)
 def g3(spark, sf):
-    inputs = G.input_score(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, 1, 3)))
+    inputs = G.input_score(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)))
     return G.score_signals(inputs, [], RATE).drop("threshold")
 
 
@@ -90,7 +90,7 @@ def g3(spark, sf):
 )
 def g3_excited(spark, sf):
     lam = C.intensities(spark, C.bar_table(spark, sf))
-    inputs = G.input_score(N.intensity_inputs(lam, C.folds(spark, 1)))
+    inputs = G.input_score(N.intensity_inputs(lam, C.folds(spark, sf, 1)))
     return G.score_signals(inputs, [], RATE).drop("threshold")
 
 
@@ -99,7 +99,7 @@ def g3_excited(spark, sf):
     S.chain(S.folds(1), _REF) + f"SELECT w_snn, symbol, test_day AS day, num, n_signals, n_bars, {r('n_signals / n_bars', 'rate')} FROM ref",
 )
 def g4(spark, sf):
-    return _reference(spark, C.diffs(spark, sf), C.folds(spark, 1))
+    return _reference(spark, C.diffs(spark, sf), C.folds(spark, sf, 1))
 
 
 @query(
@@ -136,7 +136,7 @@ dm AS (SELECT l.target_rate, l.test_day, count(b.bar_idx) FILTER (abs(b.d) > thr
   {r('avg(chance)', 'chance')} FROM dm GROUP BY target_rate""",
 )
 def g5(spark, sf):
-    d, folds = C.bar_table(spark, sf), C.folds(spark, 1)
+    d, folds = C.bar_table(spark, sf), C.folds(spark, sf, 1)
     labels = L.bar_labels(d)
     sizes = B.day_sizes(d)
     days = folds.select("w_snn", F.col("test_day").alias("day")).distinct().join(sizes, "day")

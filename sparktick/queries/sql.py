@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-HISTORY_END, FIRST_TEST, LAST_TEST = "2024-01-10", "2024-01-11", "2024-01-30"
+HISTORY = 10  # days before the first test day
 NUM = 4
 LATENCIES = (0.0, 600_000.0, 3_600_000.0)
 ALPHA, BETA = (0.30, 0.10, 0.15, 0.25), (1.0, 0.5, 0.8, 1.2)
@@ -89,7 +89,7 @@ TRADE_LABEL = f"""tl AS (SELECT *, CASE WHEN dir <> 0 THEN dir * (p4 / p1 - 1.0)
 
 def folds(*windows: int) -> str:
     spans = ", ".join(map(str, windows))
-    return f"""tdays AS (SELECT CAST(unnest(generate_series(DATE '{FIRST_TEST}', DATE '{LAST_TEST}', INTERVAL 1 DAY)) AS DATE) AS test_day),
+    return f"""tdays AS (SELECT CAST(unnest(generate_series(a + {HISTORY}, b, INTERVAL 1 DAY)) AS DATE) AS test_day FROM (SELECT min(day) AS a, max(day) AS b FROM tr)),
 ws AS (SELECT unnest([{spans}]) AS w_snn),
 folds AS (SELECT w_snn, test_day, test_day - CAST(k AS INTEGER) AS train_day FROM tdays, ws, (SELECT unnest(range(1, 32)) AS k) WHERE k <= w_snn)"""
 
@@ -123,7 +123,7 @@ def theta(spans: tuple[int, ...] = (1,), quantile: float = QUANTILE) -> str:
     names = ["uu", "ud", "du", "dd"]
     params = ", ".join([f"CAST({a} AS DOUBLE) AS alpha_{p}" for p, a in zip(names, ALPHA)] + [f"CAST({b} AS DOUBLE) AS beta_{p}" for p, b in zip(names, BETA)])
     return f"""whs AS (SELECT unnest([{', '.join(map(str, spans))}]) AS w_h),
-win AS (SELECT w_h, fday, fday - CAST(j AS INTEGER) AS fit_day FROM (SELECT DISTINCT day AS fday FROM dd WHERE day > DATE '2024-01-01'), whs,
+win AS (SELECT w_h, fday, fday - CAST(j AS INTEGER) AS fit_day FROM (SELECT DISTINCT day AS fday FROM dd WHERE day > (SELECT min(day) FROM dd)), whs,
   (SELECT unnest(range(1, 32)) AS j) WHERE j <= w_h),
 pool AS (SELECT e.symbol, e.num, w.w_h, w.fday AS day, w.fit_day, e.bar_idx, e.t, e.k, e.mark, e.horizon FROM ev e JOIN win w ON e.day = w.fit_day),
 thr AS (SELECT symbol, num, w_h, day, quantile_cont(mark, {quantile}) AS event_threshold, count(*) AS candidate_moves FROM pool GROUP BY ALL),

@@ -121,11 +121,11 @@ def s6(spark, sf):
     return back.select("day", "symbol", "ts_ns", "price", "qty", "is_buyer_maker", "trade_id")
 
 
-@query("s7_bar_store", S.chain() + f"SELECT day, bar_idx, {rs('vwap')}, n_trades FROM bars WHERE day >= DATE '2024-01-11'")
+@query("s7_bar_store", S.chain() + f"SELECT day, bar_idx, {rs('vwap')}, n_trades FROM bars")
 def s7(spark, sf):
     path = scratch_path(spark, "bars")
     store.save_bars(C.bars(spark, sf), path)
-    return store.load(spark, path, f"symbol = 'ALL' and num = 4 and day >= '{S.FIRST_TEST}'").select("day", "bar_idx", "vwap", "n_trades")
+    return store.load(spark, path, "symbol = 'ALL' and num = 4").select("day", "bar_idx", "vwap", "n_trades")
 
 
 _SIG = "SELECT CAST(bar_idx % 2 AS INTEGER) AS seed, day, bar_idx FROM dd WHERE abs(d) > 60"

@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 from verify import compare, connect  # noqa: E402
 
 NO_SQL = {
-    "h11_em_fit", "a12_signal_effect", "a13_half_split_auc", "c2_perturb_world_resample", "c4_audit_finds_same_day_leak",
+    "h11_em_fit", "h11_optimum", "a12_signal_effect", "a13_half_split_auc", "c2_perturb_world_resample", "c4_audit_finds_same_day_leak",
 }
 CHECKED = [
     "b1_vwap_bars", "b1_vwap_bars_ties", "b1_vwap_bars_by_symbol", "q3_coverage", "l6_day_metrics", "d4_all_rules", "e2_trades",
