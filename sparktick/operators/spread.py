@@ -126,7 +126,6 @@ def number_rows(
 # --------------------------------------------------------------------------- quantiles and ranks
 
 _CELLS, _ACCURACY = 512, 10_000
-SMALL = 100_000  # groups up to this size are ordered as a whole
 
 
 def exact_quantiles(
@@ -137,13 +136,13 @@ def exact_quantiles(
     targets: DataFrame | None = None,
     tags: Sequence[str] = (),
     out: str = "quantile",
-    small: int = SMALL,
+    small: int = 0,
     one_group: bool = False,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row (keys, tags, q, out, n).
 
     The probabilities are either constants (`probs`) or a column `q` of `targets` (keys + tags + q).
-    A mergeable sketch gives cut points per group. In a group of more than `small` values the wanted ranks lie
+    A mergeable sketch gives cut points per group. In a group of more than `small` values (0: in every one) the wanted ranks lie
     between two neighbouring cuts, so only that bracket (about 1 % of the group) is counted by value; the bracket
     is cut into 1024 linear slices and one slice at a time is ordered. Ties are one row. With `one_group` the keys
     are constant, so the bracket table has one row per probability and is broadcast.

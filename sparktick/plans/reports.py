@@ -80,8 +80,10 @@ def variant_fits(
             thr = exact_quantiles(moves, FIT, F.abs("d"), [q], out="event_threshold").select(*FIT, "event_threshold")
         time = in_fit_windows(horizons(diffs, axis), windows).groupBy(*FIT).agg(F.sum("horizon").alias("total_time"))
         head = fit_marks(above_threshold(ev, thr), strict=False).join(time, FIT)
-        scale = 1.0 if axis == "bar_index" else 83.0 / 86_400.0
-        theta = given_theta(head, [a * scale for a in alpha], [b * scale for b in beta])
+        theta = given_theta(head, alpha, beta)
+        if axis != "bar_index":  # from bars to seconds
+            a_day = diffs.groupBy("symbol", "num").agg((F.count("*").cast("double") / F.count_distinct("day") / 86_400.0).alias("_scale"))
+            theta = theta.join(a_day, ["symbol", "num"]).withColumns({c: F.col(c) * F.col("_scale") for c in [*ALPHA, *BETA]}).drop("_scale")
         out[f"{axis}/{'all' if q is None else q}"] = (axis, theta)
     return out
 

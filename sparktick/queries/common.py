@@ -51,8 +51,8 @@ def theta_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE) -> tuple[DataFrame, DataFrame]:
-    """Fit set and theta with given alpha, beta for every day."""
-    fit_set, head = H.fit_events(d, H.fit_windows(days_of(d, 1), spans), quantile)
+    """Fit set and theta with given alpha, beta for every day; days whose window lacks a kind of event have none."""
+    fit_set, head = H.fit_events(d, H.fit_windows(days_of(d, 1), spans), quantile, strict=False)
     return fit_set, materialise(H.given_theta(head, S.ALPHA, S.BETA), "theta")
 
 

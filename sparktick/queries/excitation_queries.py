@@ -351,7 +351,7 @@ def _variant_sql() -> str:
     """One SELECT per variant over shared bars; thresholds over all |d| of the fit day, zeros included."""
     out = []
     for axis, q in _VARIANTS:
-        scale = "1.0" if axis == "bar_index" else "(CAST(83.0 AS DOUBLE) / 86400.0)"
+        scale = "1.0" if axis == "bar_index" else "(SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT day) / 86400.0 FROM dd)"
         t = "CAST(bar_idx AS DOUBLE)" if axis == "bar_index" else "((ts_end_ns - epoch_us(CAST(day AS TIMESTAMP)) * 1000) / 1e9)"
         horizon = "max(CAST(n AS DOUBLE))" if axis == "bar_index" else "86400.0"
         keep = "" if q is None else " AND abs(d) > thr"

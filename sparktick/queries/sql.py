@@ -129,7 +129,7 @@ pool AS (SELECT e.symbol, e.num, w.w_h, w.fday AS day, w.fit_day, e.bar_idx, e.t
 thr AS (SELECT symbol, num, w_h, day, quantile_cont(mark, {quantile}) AS event_threshold, count(*) AS candidate_moves FROM pool GROUP BY ALL),
 kept AS (SELECT p.*, event_threshold, candidate_moves FROM pool p JOIN thr USING (symbol, num, w_h, day) WHERE mark > event_threshold),
 mk AS (SELECT symbol, num, w_h, day, avg(mark) FILTER (k = 0) AS mark_scale_u, avg(mark) FILTER (k = 1) AS mark_scale_d,
-  count(*) FILTER (k = 0) AS n_up, count(*) FILTER (k = 1) AS n_down FROM kept GROUP BY ALL),
+  count(*) FILTER (k = 0) AS n_up, count(*) FILTER (k = 1) AS n_down FROM kept GROUP BY ALL HAVING min(k) = 0 AND max(k) = 1),
 tt AS (SELECT symbol, num, w_h, fday AS day, sum(h) AS total_time FROM (SELECT symbol, num, day AS fit_day, CAST(count(*) AS DOUBLE) AS h
   FROM dd GROUP BY ALL) JOIN win USING (fit_day) GROUP BY ALL),
 theta AS (SELECT *, {params}, 0.5 * n_up / total_time AS mu_u, 0.5 * n_down / total_time AS mu_d
