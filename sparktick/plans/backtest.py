@@ -107,7 +107,7 @@ def naive_signals(rates: DataFrame, rules: Sequence[Rule], reps: int, delay: int
 
 
 def daily_results(trades: DataFrame, keys: Sequence[str], spine: DataFrame) -> DataFrame:
-    """pnl and win / loss sums per (keys, day); `spine` lists every wanted (keys, day), empty days count as 0."""
+    """pnl and win / loss sums per (keys, day) over all symbols; `spine` lists every wanted (keys, day), empty days count as 0."""
     r = F.col("net_return")
     group = [*keys, "day"]
     sums = trades.groupBy(*group).agg(
@@ -115,7 +115,7 @@ def daily_results(trades: DataFrame, keys: Sequence[str], spine: DataFrame) -> D
         F.sum(F.when(r > 0, r).otherwise(0.0)).alias("sum_pos"), F.count_if(r < 0).alias("n_neg"),
         F.sum(F.when(r < 0, r).otherwise(0.0)).alias("sum_neg"),
     )
-    return spine.select(*group).join(sums, group, "left").select(*group, *[F.coalesce(c, F.lit(0)).alias(c) for c in DAILY])
+    return spine.select(*group).distinct().join(sums, group, "left").select(*group, *[F.coalesce(c, F.lit(0)).alias(c) for c in DAILY])
 
 
 def performance(daily: DataFrame, keys: Sequence[str], days_per_year: int = 365) -> DataFrame:

@@ -214,7 +214,7 @@ def experiment(spark, sf) -> K.Experiment:
         scored = part if scored is None else scored.unionByName(part)
     runs = K.run_grid(spark, MODELS, RULES, (1,), (1,), SEEDS)
     jobs = K.signal_jobs(runs)
-    signals = materialise(scored.join(jobs.select("job", "model"), "model").select("job", "split", "test_day", *BAR), "signals")
+    signals = materialise(scored.join(jobs.select("job", "model", "w_snn"), ["model", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
     labels = materialise(L.bar_labels(d), "labels")
     surface = materialise(E.return_surface(d, default_rules(), S.LATENCIES), "returns")
     return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS)
