@@ -179,10 +179,11 @@ def em_fit_in_tasks(
 
 def em_fit_all(fit_set: DataFrame, head: DataFrame, restarts: int, max_iter: int, tol: float, seed: int = 0) -> DataFrame:
     """Small keys in tasks, the others by iterations over all of them."""
+    head = materialise(head, "fit-keys")
     small, large = head.filter(F.col("n_up") + F.col("n_down") <= MOST_EVENTS), head.filter(F.col("n_up") + F.col("n_down") > MOST_EVENTS)
-    out = em_fit_in_tasks(fit_set.join(small.select(*FIT), FIT, "left_semi"), small, restarts, max_iter, tol, seed)
     if large.isEmpty():
-        return out
+        return em_fit_in_tasks(fit_set, head, restarts, max_iter, tol, seed)
+    out = em_fit_in_tasks(fit_set.join(small.select(*FIT), FIT, "left_semi"), small, restarts, max_iter, tol, seed)
     return out.unionByName(em_fit(fit_set.join(large.select(*FIT), FIT, "left_semi"), large, restarts, max_iter, tol, seed), allowMissingColumns=True)
 
 

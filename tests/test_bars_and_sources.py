@@ -17,13 +17,21 @@ from sparktick.sources import files, store
 from sparktick.sources.synthetic import synthetic_trades
 
 
-def test_vwap_bars_hand_example(spark):
-    t = trade_rows(spark, [10, 11, 12, 13, 14, 15, 16], [1, 2, 1, 1, 3, 1, 5])
-    rows = B.vwap_bars(t, 3, flow=True, close=True).orderBy("bar_idx").collect()
-    assert [r.vwap for r in rows] == [11.0, 14.0] and [r.volume for r in rows] == [4.0, 5.0]
-    assert rows[0].ts_start_ns == DAY_NS and rows[0].ts_end_ns == DAY_NS + 2_000_000
-    assert rows[1].ts_start_ns == DAY_NS + 3_000_000 and rows[1].ts_end_ns == DAY_NS + 5_000_000
-    assert [r.close for r in rows] == [12.0, 15.0] and [r.ofi for r in rows] == [1.0, 1.0]
+@pytest.mark.parametrize(("n", "num"), [(41, 4), (30, 7)])
+def test_vwap_bars(spark, n, num):
+    rng = np.random.default_rng(n)
+    price, qty = rng.uniform(3, 9, n), rng.integers(1, 8, n).astype(float)
+    maker = [bool(x) for x in rng.integers(0, 2, n)]
+    at = [DAY_NS + int(x) for x in np.cumsum(rng.integers(1, 10**9, n))]
+    t = trade_rows(spark, list(price), list(qty), at, maker)
+    rows = B.vwap_bars(t.repartition(3), num, flow=True, close=True).orderBy("bar_idx").collect()
+    assert len(rows) == n // num  # the trades of an unfinished bar are left out
+    for i, r in enumerate(rows):
+        own = slice(i * num, (i + 1) * num)
+        p, q, sign = price[own], qty[own], np.where(maker[own], -1, 1)
+        assert r.vwap == pytest.approx((p * q).sum() / q.sum()) and r.volume == q.sum() and r.close == p[-1]
+        assert r.ofi == pytest.approx((sign * q).sum() / q.sum()) and r.count_imb == pytest.approx(sign.mean())
+        assert (r.ts_start_ns, r.ts_end_ns) == (at[own][0], at[own][-1])
 
 
 def test_zero_volume_bar_takes_the_mean_price(spark):
@@ -63,21 +71,19 @@ def test_event_clock(spark):
 # --------------------------------------------------------------------------- files
 
 
-AGG = ["7,75599.9,0.5,101,104,{0},true", "8,75600.0,1.25,105,105,{1},false"]
 HEADER = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker"
 
 
 @pytest.mark.parametrize("header", [True, False])
 def test_csv_with_and_without_header(spark, tmp_path, header):
-    ms = DAY_NS // 1_000_000
-    folder = tmp_path / "nested"
-    folder.mkdir()
-    lines = ([HEADER] if header else []) + [x.format(ms + 2, ms + 9) for x in AGG]
-    (folder / f"BTC-aggTrades-{DAY}.csv").write_text("\n".join(lines) + "\n")
+    rng, ms = np.random.default_rng(4), DAY_NS // 1_000_000
+    trades = [(900 + 3 * i, float(rng.integers(1, 999)) / 8, float(rng.integers(1, 99)) / 4, ms + 11 * i, bool(i % 3)) for i in range(12)]
+    lines = [f"{i},{p},{q},{2 * i},{2 * i + 1},{at},{str(m).lower()}" for i, p, q, at, m in trades]
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / f"ACME-aggTrades-{DAY}.csv").write_text("\n".join([HEADER] * header + lines) + "\n")
     rows = files.read_trade_csv(spark, str(tmp_path), "aggTrades").orderBy("trade_id").collect()
-    assert [(r.symbol, r.day, r.ts_ns, r.price, r.qty, r.is_buyer_maker, r.trade_id) for r in rows] == [
-        ("BTC", DAY, DAY_NS + 2_000_000, 75599.9, 0.5, True, 7), ("BTC", DAY, DAY_NS + 9_000_000, 75600.0, 1.25, False, 8)
-    ]
+    assert {(r.symbol, r.day) for r in rows} == {("ACME", DAY)}
+    assert [(r.trade_id, r.price, r.qty, r.ts_ns // 1_000_000, r.is_buyer_maker) for r in rows] == trades
 
 
 def test_trades_layout_accepts_capitalised_booleans(spark, tmp_path):
@@ -87,29 +93,37 @@ def test_trades_layout_accepts_capitalised_booleans(spark, tmp_path):
 
 
 def test_timestamp_units(spark):
-    ms = DAY_NS // 1_000_000
-    rows = spark.createDataFrame([(ms,), (ms * 1000,), (ms * 1_000_000,)], "t long").select(to_ns(F.col("t")).alias("ns")).collect()
-    assert {r.ns for r in rows} == {DAY_NS}
+    ms = [DAY_NS // 1_000_000 + 77 * i for i in range(5)]
+    rows = spark.createDataFrame([(m * f, m) for m in ms for f in (1, 10**3, 10**6)], "t long, ms long")
+    assert rows.filter(to_ns(F.col("t")) != F.col("ms") * 1_000_000).count() == 0
 
 
 def test_checksums(spark, tmp_path):
-    for name, body, stated in (("a", b"payload", b"payload"), ("b", b"payloadx", b"payload"), ("c", b"z", None), ("d", b"q", b"")):
+    def put(name, body, listed):
         (tmp_path / name).write_bytes(body)
-        if stated is not None:
-            text = f"{hashlib.sha256(stated).hexdigest()}  {name}\n" if stated else ""
-            (tmp_path / f"{name}.CHECKSUM").write_text(text)
+        if listed is not None:
+            (tmp_path / f"{name}.CHECKSUM").write_text(listed)
+
+    bodies = {f"good{i}.zip": bytes(range(i, i + 40)) for i in range(3)}
+    for name, body in bodies.items():
+        put(name, body, f"{hashlib.sha256(body).hexdigest()}  {name}\n")
+    put("cut.zip", b"\x00" * 9, f"{hashlib.sha256(bytes(10)).hexdigest()}  cut.zip\n")
+    put("alone.zip", b"nobody listed this", None)
+    put("blank.zip", b"listed, but without a sum", "")
     got = {r.name: r.ok for r in files.verify_checksums(*files.read_for_checksum(spark, str(tmp_path))).collect()}
-    assert got == {"a": True, "b": False, "c": False, "d": False}
+    assert got == {**dict.fromkeys(bodies, True), "cut.zip": False, "alone.zip": False, "blank.zip": False}
 
 
 # --------------------------------------------------------------------------- days, coverage, store
 
 
 def test_standardise_keeps_the_utc_day(spark):
-    end = DAY_NS + 86_400_000_000_000
-    t = trade_rows(spark, [1, 2, 3, 4, 5], ts=[end - 1_000_000, DAY_NS - 1_000_000, DAY_NS, end, DAY_NS])
-    assert sorted(column(Q.standardise(t), "trade_id", "trade_id")) == [1, 3, 5]
-    assert Q.day_counts(t).first().n_outside_day == 2
+    day = 86_400 * 10**9
+    offsets = [-3, 7 * day // 9, day + 5, 0, day - 2, -day, 11, 2 * day]
+    t = trade_rows(spark, [1.5] * len(offsets), ts=[DAY_NS + x for x in offsets])
+    inside = [i + 1 for i, x in enumerate(offsets) if 0 <= x < day]
+    assert sorted(column(Q.standardise(t), "trade_id", "trade_id")) == inside
+    assert Q.day_counts(t).first().n_outside_day == len(offsets) - len(inside)
 
 
 def test_violations(spark):

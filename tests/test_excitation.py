@@ -12,8 +12,9 @@ from sparktick.operators import excitation as H
 from sparktick.operators import fit as FT
 from sparktick.operators.bars import differences
 from sparktick.schemas import THETA
+from sparktick.session import materialise
 
-MU, ALPHA, BETA = (0.2, 0.25), (0.30, 0.10, 0.15, 0.25), (1.0, 0.5, 0.8, 1.2)
+MU, ALPHA, BETA = (0.11, 0.37), (0.22, 0.41, 0.07, 0.19), (0.6, 1.7, 2.3, 0.9)
 NEXT = DAY + dt.timedelta(1)
 
 
@@ -23,22 +24,36 @@ def theta_row(spark, day=DAY):
     return spark.createDataFrame([("S", 10, 1, day, *values)], f"symbol string, num long, w_h int, day date, {names}")
 
 
-def test_events_hand_example(spark):
-    b = bar_rows(spark, [1] * 5).withColumn("d", F.element_at(F.array(*[F.lit(x) for x in (None, 0.5, -0.2, 0.0, 1.5)]), (F.col("bar_idx") + 1).cast("int")))
-    rows = H.events(b).orderBy("bar_idx").collect()
-    assert [(r.bar_idx, r.k, r.mark, r.horizon) for r in rows] == [(1, 0, 0.5, 5.0), (2, 1, 0.2, 5.0), (4, 0, 1.5, 5.0)]
+def moves(seed, n=70):
+    """Prices with ups, downs and stops."""
+    return [float(x) for x in 60 + np.cumsum(np.random.default_rng(seed).choice([0.0, 0.0, 0.75, -0.5, 1.25, -1.5], n))]
 
 
-def test_intensity_hand_example(spark):
-    """One up event of mark 1 at bar 2."""
-    b = differences(bar_rows(spark, [5, 5, 6, 6, 6]))
-    rows = H.intensities(b, theta_row(spark)).orderBy("bar_idx").collect()
-    assert rows[2].lam_u_minus == pytest.approx(0.2) and rows[2].lam_d_minus == pytest.approx(0.25)
-    assert rows[2].lam_u == pytest.approx(0.2 + 0.30) and rows[2].lam_d == pytest.approx(0.25 + 0.15)
-    assert rows[3].lam_u == pytest.approx(0.2 + 0.30 * math.exp(-1.0)) and rows[3].lam_d == pytest.approx(0.25 + 0.15 * math.exp(-0.8))
-    assert rows[2].p_bg == pytest.approx(1.0) and rows[3].p_bg is None
-    left = H.intensities(b, theta_row(spark), "left").orderBy("bar_idx").collect()
-    assert left[2].lam_u == pytest.approx(0.2)
+def test_events_are_the_moves(spark):
+    p = moves(5)
+    rows = H.events(differences(bar_rows(spark, p))).orderBy("bar_idx").collect()
+    want = [(i, int(p[i] < p[i - 1]), abs(p[i] - p[i - 1]), float(len(p))) for i in range(1, len(p)) if p[i] != p[i - 1]]
+    assert [(r.bar_idx, r.k, r.mark, r.horizon) for r in rows] == want
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_intensities_are_sums_over_the_past(spark, seed):
+    p = moves(seed)
+    d = differences(bar_rows(spark, p))
+    past = [(i, int(p[i] < p[i - 1]), abs(p[i] - p[i - 1])) for i in range(1, len(p)) if p[i] != p[i - 1]]
+    kinds = {i: k for i, k, _ in past}
+
+    def rate(m, at, own):
+        return MU[m] + sum(ALPHA[2 * m + k] * g * math.exp(-BETA[2 * m + k] * (at - i)) for i, k, g in past if i < at or (own and i == at))
+
+    for side, own in (("right", True), ("left", False)):
+        options = [] if own else ["left"]
+        for r in H.intensities(d, theta_row(spark), *options).collect():
+            assert r.lam_u == pytest.approx(rate(0, r.bar_idx, own)) and r.lam_d == pytest.approx(rate(1, r.bar_idx, own))
+            if own:
+                assert r.lam_u_minus == pytest.approx(rate(0, r.bar_idx, False))
+                share = MU[kinds[r.bar_idx]] / rate(kinds[r.bar_idx], r.bar_idx, False) if r.bar_idx in kinds else None
+                assert r.p_bg == (None if share is None else pytest.approx(share))
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +149,18 @@ def test_em_raises_the_likelihood(spark, world):
     assert best.count() == 1 and row.rho < 1 and row.n_iter <= 3 and row.candidate_moves > 0
 
 
+def test_both_ways_to_iterate_agree(spark, world):
+    fit_set, head = H.fit_events(world, H.fit_windows(wanted_days(spark, NEXT, DAY + dt.timedelta(2)), [1, 2]), 0.3)
+    fit_set, head = materialise(fit_set, "set"), materialise(head, "head")
+    together = {(r.day, r.w_h, r.restart): r for r in FT.em_fit(fit_set, head, restarts=2, max_iter=4).collect()}
+    alone = {(r.day, r.w_h, r.restart): r for r in FT.em_fit_in_tasks(fit_set, head, restarts=2, max_iter=4).collect()}
+    assert set(together) == set(alone) and len(alone) == 8
+    for key, a in alone.items():
+        b = together[key]
+        assert (a.n_iter, a.n_events, a.converged) == (b.n_iter, b.n_events, b.converged)
+        assert all(a[c] == pytest.approx(b[c], rel=1e-6, abs=1e-9) for c in ["loglik", "rho", *H.MU, *H.ALPHA, *H.BETA])
+
+
 def test_theta_never_uses_its_own_day(spark, world):
     windows = H.fit_windows(wanted_days(spark, NEXT, DAY + dt.timedelta(2)), [1, 2])
     assert all(0 < (r.day - r.fit_day).days <= r.w_h for r in windows.collect())
