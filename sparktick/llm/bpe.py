@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparktick.llm.common import chunks, ids_and_texts
+from sparktick.llm.common import chunks, ids_and_texts, released
 
 WORD_END = "</w>"
 LETTERS, NUMBERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ", "0-9²³¹¼½¾"
@@ -216,4 +216,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, digests: bool = False) -> Dat
     fields = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     schema = FIELDS.replace("ids binary, decoded string", "ids_sha256 string, decoded_sha256 string") if digests else FIELDS
     how = _hashes if digests else _whole
-    return ids_and_texts(docs).mapInArrow(lambda batches: _encode(batches, tokenizer, fields, how), schema)
+    return ids_and_texts(docs).mapInArrow(released(lambda batches: _encode(batches, tokenizer, fields, how)), schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparktick.llm.common import released
+
 # The template's control strings.
 END, HEAD, BREAK = "</s>", "<|turn|>", "<|text|>"
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?SYS>>|<\|[a-z_]+\|>")
@@ -133,7 +135,7 @@ def chat_trees(turns: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         whole.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
-        .mapInArrow(_trees, NODES)
+        .mapInArrow(released(_trees), NODES)
     )
 
 
@@ -174,4 +176,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(nodes: DataFrame) -> DataFrame:
     """(conv_id, formatted, turns, loss) of each conversation, from the tree alone: its text is what its last node attends to."""
-    return nodes.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_read, READ)
+    return nodes.repartition("block").sortWithinPartitions("block", "node").mapInArrow(released(_read), READ)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktick.llm.common import released
 from sparktick.session import materialise
 
 TABLES = 16
@@ -284,13 +285,13 @@ def _candidates(
     hashing = Tables(dim, projections, tables, largest * (1 + 1e-12))
     probes = max(8, 1 << max(0, projections - 1))
     least = max(bucket, n * tables // MOST_HOT)  # so at most MOST_HOT buckets are split
-    sizes = entry.select("vector").mapInArrow(lambda b: _bucket_sizes(b, hashing), "key long, n long")
+    sizes = entry.select("vector").mapInArrow(released(lambda b: _bucket_sizes(b, hashing)), "key long, n long")
     large = sizes.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
     split = spark.sparkContext.broadcast({r["key"] % (1 << 64): -(-r["n"] // least) for r in large})
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 200_000)
+    parts = max(1, n * tables // 20_000)  # by size alone: each part gives some candidates for each query that it meets
     kind = "part long, id long, vector binary, keys binary"
-    index = entry.select("id", "vector").mapInArrow(lambda b: _dealt(b, hashing, probes, parts, split, False), kind)
-    asked = queries.select("id", "vector").mapInArrow(lambda b: _dealt(b, hashing, probes, parts, split, True), kind)
+    index = entry.select("id", "vector").mapInArrow(released(lambda b: _dealt(b, hashing, probes, parts, split, False)), kind)
+    asked = queries.select("id", "vector").mapInArrow(released(lambda b: _dealt(b, hashing, probes, parts, split, True)), kind)
     near = index.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(
         _search(k + 1 + SPARE), "query long, row long, near double",
     )

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import ids_and_texts
+from sparktick.llm.common import ids_and_texts, released
 from sparktick.llm.tokens import encoder
 from sparktick.session import materialise
 
@@ -83,6 +83,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int)
                 yield packed()
     if items:
         yield packed()
+    encoder(path).forget()  # the worker lives on
 
 
 def _pack_node(capacity: int):
@@ -116,7 +117,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ne
     Null and empty texts give one piece of one token. Empty tables give no rows. Repeated rows are packed as rows of their own.
     """
     items = materialise(
-        ids_and_texts(docs).mapInArrow(lambda batches: _pack_partition(batches, tokenizer, capacity), ITEMS), "pack-items",
+        ids_and_texts(docs).mapInArrow(released(lambda batches: _pack_partition(batches, tokenizer, capacity)), ITEMS), "pack-items",
     )
     bins = items.select("bin", "fill", F.shiftright("bin", 36).alias("node")).distinct()
     moves = None

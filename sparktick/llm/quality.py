@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktick.llm.common import released
 from sparktick.session import materialise
 
 ORDER = 4
 BITS = 12  # of a character: code points below 3840 are themselves, others share 256 values
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 SHARD = 2_000_000  # n-grams of the score table that a task holds at a time
 KNOWN_IDS = 2_000_000  # trusted ids up to which they go to the texts, not the texts to them
 CHECKED = 5  # one in so many trusted texts is kept from the counts, for the quantiles
@@ -164,7 +165,7 @@ def summed_costs(docs: DataFrame, scores: DataFrame, order: int = ORDER, shard_s
         tables = {x: (gram[lang == x], cost[lang == x]) for x in np.unique(lang)} if len(lang) else {}
         table = spark.sparkContext.broadcast(tables)
         part = docs.mapInArrow(
-            lambda b, shard=shard, table=table: _summed(b, order, shard, shards, table), "doc_id long, h long, lang string, cost double, n long",
+            released(lambda b, shard=shard, table=table: _summed(b, order, shard, shards, table)), "doc_id long, h long, lang string, cost double, n long",
         )
         if shards > 1:  # rows that repeat id and text have equal sums
             part = part.groupBy("doc_id", "h", "lang").agg(F.max("cost").alias("cost"), F.max("n").alias("n"))
@@ -201,7 +202,7 @@ def quality(
     checked = F.pmod(F.xxhash64("doc_id"), F.lit(CHECKED)) == 0
     marked = texts.join(ids, "doc_id", "left").select("lang", "text", F.coalesce(F.col("trusted") & ~checked, F.lit(False)).alias("counted"))
     counts = materialise(
-        marked.mapInArrow(lambda b: _counted(b, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
+        marked.mapInArrow(released(lambda b: _counted(b, order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "quality-counts",
     )
     scores = materialise(gram_scores(counts, order), "quality-scores")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import ids_and_texts
+from sparktick.llm.common import ids_and_texts, released
 from sparktick.llm.components import connected_components
 from sparktick.session import materialise
 
@@ -191,7 +191,7 @@ def fingerprint_links(fps: DataFrame, radius: int, hot: int = HOT_GROUP) -> Data
         rest = todo if refined is None else todo.join(refined, ["mask", "key"], "left_anti")
         found = (
             rest.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-            .mapInArrow(lambda batches: _spanning_links(batches, radius), "a long, b long")
+            .mapInArrow(released(lambda batches: _spanning_links(batches, radius)), "a long, b long")
         )
         links = found if links is None else links.unionByName(found)
         if refined is None:
@@ -214,7 +214,7 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, lower:
     stay. Empty tables give no rows. Other columns are not read.
     """
     prints = materialise(
-        ids_and_texts(docs).mapInArrow(lambda batches: _fingerprints(batches, width, lower), "doc_id long, fp long"), "simhash",
+        ids_and_texts(docs).mapInArrow(released(lambda batches: _fingerprints(batches, width, lower)), "doc_id long, fp long"), "simhash",
     )
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = materialise(connected_components(fingerprint_links(nodes, radius, hot)), "simhash-roots")

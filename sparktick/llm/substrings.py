@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import chunks
+from sparktick.llm.common import chunks, released
 from sparktick.session import materialise
 
 WINDOW = 20
@@ -99,13 +99,13 @@ def matched_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-_HASHES = _Hashes()
+_HASHES = _Hashes()  # of the task at hand
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -200,6 +200,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, width: int) -> Iter
             ],
             names=["route", "anchor", "id", "tie", "places"],
         )
+    _HASHES.clear()
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
@@ -295,6 +296,7 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int, width: int, hot) -
                 ],
                 names=["route", "shard", "id", "tie", "first", "size", "words"],
             )
+    _HASHES.clear()
 
 
 def _earlier(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -376,9 +378,10 @@ def remove_repeats(
         "doc_id", *carried, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID + 1)).alias("id"),
         F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g"),
     )
-    keys = materialise(texts.select("id", "_h", "_g").distinct(), "repeat-keys")
+    keys = materialise(texts.groupBy("id", "_h", "_g").agg(F.count(F.lit(1)).alias("rows")), "repeat-keys")
+    again = bool(keys.filter("rows > 1").limit(1).count())  # rows that repeat id and text are searched once
     unique = not keys.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    tie = F.pmod("id", F.lit(1)) if unique else F.col("_h")
+    tie = F.coalesce(F.pmod("id", F.lit(1)), F.lit(0)) if unique else F.col("_h")  # never null, nor known to be 0 by the planner
     place = F.struct(F.col("id"), tie.alias("tie"))
     firsts = keys.groupBy("_h", "_g").agg(F.min(place).alias("_first"))
     copies = materialise(
@@ -387,10 +390,13 @@ def remove_repeats(
     )
     texts = texts.withColumn("tie", tie).drop("_h", "_g")
 
-    bare = texts.select("id", "tie", F.coalesce("text", F.lit("")).alias("text"))
+    def once(df: DataFrame) -> DataFrame:
+        return df.dropDuplicates(["id", "tie"]) if again else df
+
+    bare = once(texts).select("id", "tie", F.coalesce("text", F.lit("")).alias("text"))
     anchors = (
-        bare.mapInArrow(lambda batches: _anchors(batches, window, width), ANCHORS)
-        .repartition("route").sortWithinPartitions("route").mapInArrow(lambda batches: _repeated(batches, hot), "id long, tie long, anchor long, places long")
+        bare.mapInArrow(released(lambda batches: _anchors(batches, window, width)), ANCHORS)
+        .repartition("route").sortWithinPartitions("route").mapInArrow(released(lambda batches: _repeated(batches, hot)), "id long, tie long, anchor long, places long")
     )
     repeated = materialise(anchors, "repeat-anchors")
     total = repeated.agg(F.sum("places")).first()[0] or 0
@@ -405,10 +411,10 @@ def remove_repeats(
     # All columns go both ways, so that the texts move once and the exchange is used twice.
     source = texts.repartition("id", "tie")
     spans = (
-        source.join(wanted, ["id", "tie"])
-        .mapInArrow(lambda batches: _passages(batches, window, width, crowd), PASSAGES)
+        once(source).join(wanted, ["id", "tie"])
+        .mapInArrow(released(lambda batches: _passages(batches, window, width, crowd)), PASSAGES)
         .repartition("route").sortWithinPartitions("shard", "id", "tie", "first").drop("route")
-        .mapInArrow(lambda batches: _earlier(batches, window), "id long, tie long, first long, end long")
+        .mapInArrow(released(lambda batches: _earlier(batches, window)), "id long, tie long, first long, end long")
         .groupBy("id", "tie").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     )
     joined = source.join(spans, ["id", "tie"], "left").join(copies, ["id", "tie"], "left").drop("id", "tie")
@@ -416,5 +422,5 @@ def remove_repeats(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "spans", "copied")]
         + ["n_words long, n_removed long, kept_sha256 string, kept string"]
     )
-    out = joined.mapInArrow(lambda batches: _kept(batches, window, text), schema)
+    out = joined.mapInArrow(released(lambda batches: _kept(batches, window, text)), schema)
     return out if text else out.drop("kept")

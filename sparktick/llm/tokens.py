@@ -20,7 +20,7 @@ class TextEncoder:
     string by the tokenizers library itself.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -39,6 +39,10 @@ class TextEncoder:
         self.first, self.later = _Known(self.plain, ""), _Known(self.plain, " ")
         self.feed = self.plain("\n")
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
     def plain(self, text: str) -> bytes:
         ids = self.fast(text) if self.fast else self.library.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -51,8 +55,7 @@ class TextEncoder:
         if ODD_SPACE.search(text):
             return self.plain(text)
         if len(self.first) + len(self.later) > self.remembered:
-            self.first.clear()
-            self.later.clear()
+            self.forget()
         first, later = self.first.__getitem__, self.later.__getitem__
         lines = []
         for line in text.split("\n"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import chunks, ids_and_texts
+from sparktick.llm.common import chunks, ids_and_texts, released
 from sparktick.session import materialise
 
 SAMPLE = 5000  # labelled rows that the word weights are fitted on, at most
@@ -42,7 +42,7 @@ K = len(SYMBOLS) + 1
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of letter trigrams with gaps around words, of all text of the task."""
     counts = np.zeros(K**3, np.int64)
-    for held in chunks(batches, "text", 4 << 20):
+    for held in chunks(batches, "text", 1 << 20):
         text = " ".join([t.as_py() for b in held for t in b.column("text")])
         raw = np.frombuffer(f" {text} ".lower().encode("utf-16-le", "surrogatepass"), np.uint16)
         c = CODE[raw]
@@ -189,7 +189,7 @@ class Detector:
 
     def meant(self, token: str) -> str | None:
         """The weighted word or beginning that a token stands for."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         low = token.lower()
         core = low.strip(_EDGES)
@@ -268,7 +268,7 @@ def _weights(sample: DataFrame, n: int, toxic: int) -> dict[str, tuple[float, fl
     """
     base, least = toxic / n, max(3.0, 0.01 * toxic)
     each = (
-        sample.select("text", "toxic").mapInArrow(_first_uses, "word string, uses int, before long, toxic int")
+        sample.select("text", "toxic").mapInArrow(released(_first_uses), "word string, uses int, before long, toxic int")
         .groupBy("word", "uses", "before").agg(F.avg("toxic").alias("share"))
     )
     bins = [c for k in (1, 2, 3) for c in (
@@ -295,9 +295,15 @@ def _weights(sample: DataFrame, n: int, toxic: int) -> dict[str, tuple[float, fl
     return chosen
 
 
+def _forgetting(batches: Iterator[pa.RecordBatch], detector: Detector) -> Iterator[pa.RecordBatch]:
+    """A task's batches; what it remembers of tokens ends with it, since workers live on."""
+    yield from batches
+    detector.known.clear()
+
+
 def _counted(batches: Iterator[pa.RecordBatch], detector) -> Iterator[pa.RecordBatch]:
     d: Detector = detector.value
-    for batch in batches:
+    for batch in _forgetting(batches, d):
         uses = [d.uses(t) for t in batch.column("text").to_pylist()]
         total = [min(3, sum(u.values())) for u in uses]
         weak = [d.strength(u) < 0.5 for u in uses]
@@ -310,7 +316,7 @@ def fit_detector(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> De
     """Character model of all texts; word weights of at most `sample` labelled rows outside the held-out ones."""
     spark = docs.sparkSession
     texts = ids_and_texts(docs)
-    counts = texts.select("text").mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counts = texts.select("text").mapInArrow(released(_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -322,7 +328,7 @@ def fit_detector(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> De
     if toxic:
         shared = spark.sparkContext.broadcast(detector)
         seen = (
-            rows.mapInArrow(lambda b: _counted(b, shared), "total long, weak boolean, toxic int").filter("weak")
+            rows.mapInArrow(released(lambda b: _counted(b, shared)), "total long, weak boolean, toxic int").filter("weak")
             .groupBy("total").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()
         )
         by = {r["total"]: (r["t"], r["n"]) for r in seen}
@@ -333,7 +339,7 @@ def fit_detector(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> De
 
 def _scored(batches: Iterator[pa.RecordBatch], detector) -> Iterator[pa.RecordBatch]:
     d: Detector = detector.value
-    for batch in batches:
+    for batch in _forgetting(batches, d):
         found = [d.uses(t) for t in batch.column("_read").to_pylist()]
         keep = [c for c in batch.schema.names if c != "_read"]
         yield pa.RecordBatch.from_arrays(
@@ -363,7 +369,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
         *[F.col(c) for c in carried if c not in ("doc_id",)],
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_read")
-    scored = texts.mapInArrow(lambda b: _scored(b, shared), schema + ", score double, words array<string>")
+    scored = texts.mapInArrow(released(lambda b: _scored(b, shared)), schema + ", score double, words array<string>")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "words",
         *[c for c in carried if c not in ("doc_id",)],
