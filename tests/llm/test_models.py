@@ -308,6 +308,28 @@ def test_drop_near_copies(spark, empty):
     assert bits == 20 and 1 - (1 - 0.8485**bits) ** tables > 0.96
 
 
+@pytest.mark.parametrize(("few", "block", "work"), [(3, 512, 64), (1, 4, 0)])
+def test_near_copies_at_the_bound_are_all_found(spark, monkeypatch, few, block, work):
+    """Pairs just at the similarity, of short and long texts, in families, and with a line that all texts share."""
+    for name, value in (("FEW", few), ("HOT_BLOCK", block), ("WORK", work)):
+        monkeypatch.setattr(f"sparktick.llm.neardup.{name}", value)
+    rng, texts, line = random.Random(4), [], "all of these texts share this one line of words "
+    for k in range(150):  # 4 of 5 shingles shared
+        words = [f"s{k}w{i}" for i in range(8)]
+        texts += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words, f"end{k}"]))]
+    for k in range(100):  # 40 and 50 shingles
+        words = [f"t{k}w{i}" for i in range(54)]
+        texts += [(10_000 + 10 * k, " ".join(words[:44])), (10_001 + 10 * k, " ".join(words))]
+    for k in range(80):  # a family, each with two edits
+        words = [f"f{i}" for i in range(80)]
+        for _ in range(2):
+            words[rng.randrange(80)] = f"e{rng.random()}"
+        texts.append((20_000 + k, line + " ".join(words)))
+    texts += [(30_000 + k, line + prose(900 + k, 30)) for k in range(40)]
+    got = near_duplicate_groups(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, r.group) for r in got) == near_groups(texts)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
