@@ -117,6 +117,32 @@ def restore(token: str, model: CharModel) -> str:
     return best or token
 
 
+def word_starts(run: str, model: CharModel) -> list[int]:
+    """Where the words of a run of single characters begin: Viterbi decoding of its letters with a gap or none before each."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # (cost, linked list of starts)
+    for i, c in enumerate(run.lower()):
+        options = arcs(c + "\0" * (i + 1 < len(run)))[0][1]
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        gap = [(b, 0, cost + model.step(a, b, 0), (i, starts)) for (a, b), (cost, starts) in states.items() if b]
+        for a, b, cost, starts in [*((a, b, *held) for (a, b), held in states.items()), *gap]:
+            for letters, price in options:
+                x, y, total = a, b, cost + price
+                for letter in letters:
+                    code = int(CODE[ord(letter)])
+                    total += model.step(x, y, code)
+                    x, y = y, code
+                held = new.get((x, y))
+                if held is None or total < held[0]:
+                    new[x, y] = (total, starts)
+        states = new
+    best = min(((cost + model.step(a, b, 0), starts) for (a, b), (cost, starts) in states.items()), key=lambda e: e[0])[1]
+    found = [0]
+    while best:
+        found.append(best[0])
+        best = best[1]
+    return sorted(set(found))
+
+
 _EDGES = ".,;:!?*&%#$|\"'()[]"
 _SKELETON = {ord(k): v[0] for k, v in LEET.items()} | {ord("l"): "i"}
 _RUNS = re.compile(r"(.)\1+", re.S)
@@ -145,6 +171,20 @@ def skeletons(token: str) -> set[str]:
     return {_RUNS.sub(r"\1", f) for f in forms}
 
 
+def beginning(run: str, start: int) -> str:
+    """The run from `start` on, as far as the beginning of a word can lie: 3 * STEMS[-1] changes of letters and look-alikes, and all
+    repeats and other signs among them."""
+    left, before = 3 * STEMS[-1], ""
+    for end in range(start, len(run)):
+        c = run[end].lower()
+        if c != before and _SKELETON.get(ord(c), c).isalpha():
+            if not left:
+                return run[start:end]
+            left -= 1
+        before = c
+    return run[start:]
+
+
 LEAST_GAIN = 15.0  # nats that a feature must save in telling the labels: above the logarithm of the number of features
 STEMS = range(3, 9)  # lengths of word beginnings that may be weighted, besides whole words
 
@@ -216,6 +256,10 @@ class Detector:
                     word = self.hidden(run[i:j])
                     if word and word.endswith(" "):
                         found[word] = found.get(word, 0) + 1
+            for i in word_starts(run, self.model) if self.lengths else ():
+                word = self.hidden(beginning(run, i))
+                if word and not word.endswith(" "):
+                    found[word] = found.get(word, 0) + 1
         return found
 
     def strength(self, uses: dict[str, int]) -> float:
@@ -354,7 +398,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     `carried` columns of `docs` as they are.
 
     Tokens are read as lattices: a character may be itself, a letter it looks like, one of a run that stands for one or two, or
-    noise; single characters with blanks between them are one token. The best path under the character trigram model of the corpus
+    noise; single characters with blanks between them are one token, in which whole words may lie anywhere and word beginnings at its
+    start and where the best path begins a word. The best path under the character trigram model of the corpus
     is the word meant. A document's score joins the weights of the words and word beginnings found, by their number of uses; without
     any it is the share of toxic documents among those without. Tokens are decoded once for each task's memory of them.
 

@@ -17,7 +17,7 @@ from sparktick.llm.chat import chat_trees, escape, formatted_turn, parsed, read_
 from sparktick.llm.neardup import drop_near_duplicates, near_duplicate_groups, tables_for
 from sparktick.llm.neighbours import nearest, perturbations
 from sparktick.llm.quality import BITS, gram_scores, quality
-from sparktick.llm.toxicity import CharModel, Detector, arcs, restore, skeletons, toxicity
+from sparktick.llm.toxicity import CharModel, Detector, arcs, restore, skeletons, toxicity, word_starts
 
 from .conftest import SCHEMA, edge_texts, prose, rows
 
@@ -188,6 +188,15 @@ def test_spaced_words_and_counts(model):
     assert d.uses("réeuxa réeuxb éréeux") == {"réeux": 2} and d.score({"réeux": 1}) == pytest.approx(0.1)
 
 
+def test_spaced_beginnings(model):
+    d = Detector({"réeux": (0.1, 0.5, 0.9), "worthl": (0.9, 0.9, 0.9), "moron ": (0.9, 0.9, 0.9)}, model)
+    assert d.uses("un r é e u x a là, r é e u x.") == {"réeux": 2}  # at the start of a run
+    assert d.uses("tell y o u a r e w o r t h l e s s") == {"worthl": 1} == d.uses("y 0 u w 0 r t h 1 e s s!")  # where a word begins
+    assert d.uses("w o r t h l e s s m o r o n") == {"worthl": 1, "moron ": 1}
+    assert d.uses("r-r é-é-é u") == {} == d.uses("a b c d e f")
+    assert word_starts("youareworthless", model) == [0, 3, 6]
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------------------
 
 
