@@ -15,8 +15,12 @@ from sparktick.llm.common import documents
 from sparktick.llm.fingerprints import fingerprint_documents
 from sparktick.llm.neighbours import nearest
 from sparktick.llm.packing import pack_documents
+from sparktick.llm.repair import damaged, repair_conversations, repair_report
 from sparktick.llm.simhash import as_digits, simhash_components
+from sparktick.llm.spelling import spelling_groups
+from sparktick.llm.sql import OP11, OP13
 from sparktick.llm.substrings import remove_repeats
+from sparktick.llm.tokenblocks import token_blocks
 from sparktick.llm.toxicity import toxicity
 from sparktick.llm.quality import quality
 from sparktick.llm.sharding import histogram_shards
@@ -24,7 +28,7 @@ from sparktick.llm.sharding import histogram_shards
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {"op11_conversation_repair": OP11, "op13_spelling_groups": OP13}
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -107,6 +111,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("h")
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, with their cheapest repair."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_report(*repair_conversations(damaged(turns)))
+
+
+@query
+def op12_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, read back from files of packed blocks."""
+    return token_blocks(documents(spark, sf_dir), WORD_BPE)
+
+
+@query
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the commoner words they are variants of."""
+    return spelling_groups(documents(spark, sf_dir))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
