@@ -1,32 +1,42 @@
-"""Maximum likelihood for all (symbol, window, day, restart) at once: EM for many keys in parallel.
+"""Maximum likelihood for all (symbol, window, day, restart) at once: constrained, accelerated EM for many keys in parallel.
 
-A key's events are those of `w_h` days of one symbol. Keys with at most MOST_EVENTS of them are iterated to the end inside one
-task each; larger ones are iterated together, one decayed scan over their events and one aggregation at a time, with theta as a
-small table that is checkpointed after every iteration. Both ways take the same steps.
+A key's events are those of `w_h` days of one symbol. One step (`advance`) takes the sums of an EM step at the present parameters to
+the next parameters; where the sums come from is another matter: for keys of at most MOST_EVENTS events from numpy in the task that
+holds the key, one restart after the other, for larger ones from one decayed scan and aggregation over the events of all of them,
+with the parameters as a small table that is checkpointed after every step.
+
+The M-step keeps the spectral radius rho of A = alpha / beta at or below RHO_MOST exactly. In logarithms of A it is a convex
+program: maximise sum(kids log A - A G), subject to log A_ud + log A_du <= log(r - A_uu) + log(r - A_dd). Its multiplier is found
+by bisection, and each entry follows from it in closed form. Steps are extrapolated in logarithms (squared extrapolation); an
+extrapolation that lowers the likelihood is taken back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.functions.columns import clip
 from sparktick.functions.keyed import uniform
 from sparktick.operators.excitation import ALPHA, BETA, FIT, MU, PAIRS, branching_matrix, statistics
 from sparktick.session import cut_lineage, materialise
 
-# Parameter bounds, start grid and start shares.
+# Parameter bounds, largest spectral radius, start grid and start shares.
 LOW, HIGH, BETA_LOW = 1e-8, 1e3, 1e-4
+RHO_MOST = 0.99
 BETA_GRID = (0.1, 0.5, 1.0, 2.0)
 ALPHA_SHARE, MU_SHARE, JITTER = 0.2, 0.5, 0.2
 
 KEY = [*FIT, "restart"]
-MOST_EVENTS = 2_000_000  # of a key that one task iterates
+PARAMS = [*MU, *ALPHA, *BETA]
+MOST_EVENTS = 500_000  # of a key that one task iterates: about 50 MB of numpy arrays
+LEAST_EVENTS = len(PARAMS) + 1  # a key with fewer cannot determine its parameters
+START, ONWARD, TRIED = 0, 1, 2  # phases of a row: at a base point, one step beyond it, at an extrapolation
 
 
 def start_values(head: DataFrame, restarts: int, seed: int = 0, beta_grid: Sequence[float] = BETA_GRID) -> DataFrame:
@@ -43,54 +53,167 @@ def start_values(head: DataFrame, restarts: int, seed: int = 0, beta_grid: Seque
     return out.withColumns(alpha | mu)
 
 
-def _update(stats: DataFrame) -> dict[str, Column]:
-    cols = {f"mu_{c}": clip(F.col(f"bg_{c}") / F.col("total_time"), LOW, HIGH) for c in "ud"}
-    for p in PAIRS:
-        kids, lag = F.col(f"P_{p}"), F.col(f"D_{p}")
-        n = kids / F.greatest(F.col(f"G_{p}"), F.lit(1e-300))
-        beta = kids / F.greatest(lag + n * F.col(f"H_{p}"), F.lit(1e-300))
-        beta = clip(F.when(kids > 0, beta).otherwise(F.col(f"beta_{p}")), BETA_LOW, HIGH)
-        cols[f"beta_{p}"] = beta
-        cols[f"alpha_{p}"] = clip(n * beta, LOW, HIGH)
-    return cols
+# --------------------------------------------------------------------------- one step, from sums to parameters
+
+
+def radius(a: Sequence[float]) -> float:
+    """Spectral radius of the matrix (uu, ud, du, dd)."""
+    return 0.5 * (a[0] + a[3] + math.sqrt((a[0] - a[3]) ** 2 + 4.0 * a[1] * a[2]))
+
+
+def branching_step(kids: Sequence[float], weight: Sequence[float], most: float = RHO_MOST) -> list[float]:
+    """Branching ratios that maximise sum(kids log A - A weight) with rho(A) <= most."""
+    weight = [max(w, 1e-300) for w in weight]
+    free = [k / w for k, w in zip(kids, weight)]
+    if radius(free) <= most:
+        return free
+
+    def at(share: float) -> list[float]:
+        out = [0.0] * 4
+        for i in (0, 3):
+            b = kids[i] + weight[i] * most + share
+            out[i] = 2.0 * kids[i] * most / (b + math.sqrt(max(b * b - 4.0 * weight[i] * kids[i] * most, 0.0)))
+        for i in (1, 2):
+            out[i] = max(kids[i] - share, 0.0) / weight[i]
+        return out
+
+    low, high = 0.0, min(kids[1], kids[2])
+    for _ in range(100):
+        middle = 0.5 * (low + high)
+        if radius(at(middle)) > most:
+            low = middle
+        else:
+            high = middle
+    return at(high)
+
+
+def em_step(value: dict[str, float], sums: dict[str, float]) -> dict[str, float]:
+    """Parameters after one EM step from those the sums were taken at."""
+    kids, weight = [sums[f"P_{p}"] for p in PAIRS], [sums[f"G_{p}"] for p in PAIRS]
+    ratio = branching_step(kids, weight)
+    out = {f"mu_{c}": min(max(sums[f"bg_{c}"] / sums["total_time"], LOW), HIGH) for c in "ud"}
+    for p, k, a in zip(PAIRS, kids, ratio):
+        beta = k / max(sums[f"D_{p}"] + a * sums[f"H_{p}"], 1e-300) if k > 0 else value[f"beta_{p}"]
+        out[f"beta_{p}"] = min(max(beta, BETA_LOW), HIGH)
+        out[f"alpha_{p}"] = min(max(a * out[f"beta_{p}"], LOW), HIGH)
+    return out
+
+
+def steepness(value: dict[str, float], sums: dict[str, float]) -> float:
+    """Largest slope of the likelihood per event in logarithms of mu, A and beta, along directions the bounds leave free."""
+    a = [value[f"alpha_{p}"] / value[f"beta_{p}"] for p in PAIRS]
+    up = [sums[f"P_{p}"] - x * sums[f"G_{p}"] for p, x in zip(PAIRS, a)]
+    if radius(a) >= RHO_MOST * (1.0 - 1e-9):
+        pull = [x / max(RHO_MOST - x, 1e-12) if i in (0, 3) else 1.0 for i, x in enumerate(a)]
+        share = max(0.0, sum(u * w for u, w in zip(up, pull)) / sum(w * w for w in pull))
+        up = [u - share * w for u, w in zip(up, pull)]
+    slopes = [0.0 if value[f"alpha_{p}"] <= LOW * (1 + 1e-9) and u < 0 else u for p, u in zip(PAIRS, up)]
+    for p, x in zip(PAIRS, a):
+        beta = value[f"beta_{p}"]
+        g = sums[f"P_{p}"] - beta * (sums[f"D_{p}"] + x * sums[f"H_{p}"])
+        slopes.append(0.0 if (beta <= BETA_LOW * (1 + 1e-9) and g < 0) or (beta >= HIGH * (1 - 1e-9) and g > 0) else g)
+    for c in "ud":
+        g = sums[f"bg_{c}"] - value[f"mu_{c}"] * sums["total_time"]
+        slopes.append(0.0 if value[f"mu_{c}"] <= LOW * (1 + 1e-9) and g < 0 else g)
+    return max(map(abs, slopes)) / sums["n_events"]
+
+
+def _logs(value: Sequence[float]) -> list[float]:
+    mu, alpha, beta = value[:2], value[2:6], value[6:]
+    return [*map(math.log, mu), *[math.log(a / b) for a, b in zip(alpha, beta)], *map(math.log, beta)]
+
+
+def _within(logs: Sequence[float]) -> list[float]:
+    """Parameters of given logarithms, moved into the bounds and below RHO_MOST."""
+    within = lambda x, low, high: math.exp(min(max(x, math.log(low)), math.log(high)))
+    mu, beta = [within(x, LOW, HIGH) for x in logs[:2]], [within(x, BETA_LOW, HIGH) for x in logs[6:]]
+    a = [math.exp(min(max(x, -60.0), 20.0)) for x in logs[2:6]]
+    shrink = min(1.0, RHO_MOST / max(radius(a), 1e-300))
+    return [*mu, *[min(max(x * shrink * b, LOW), HIGH) for x, b in zip(a, beta)], *beta]
+
+
+def advance(row: dict, tol: float, accelerate: bool = True) -> dict:
+    """The next state of one fit. `row` has PARAMS, the sums at them, phase, `other` (ten parameters) and `best` (a likelihood).
+
+    START: the parameters are a base, the next ones are one EM step on. ONWARD: they are that step; a second one is taken, and the
+    three points give an extrapolation. TRIED: they are the extrapolation; if its likelihood is below the last one, the second
+    step (`other`) is the new base, otherwise the extrapolation is.
+    """
+    value = [row[c] for c in PARAMS]
+    out = {"slope": steepness(row, row), "phase": START, "other": row["other"], "best": row["best"], "done": False}
+    if row["phase"] == TRIED and row["loglik"] < row["best"] - 1e-10 * abs(row["best"]):
+        return out | {"next": list(row["other"])}
+    if out["slope"] < tol:
+        return out | {"done": True, "next": value}
+    step = em_step(row, row)
+    stepped = [step[c] for c in PARAMS]
+    if not accelerate:
+        return out | {"next": stepped}
+    if row["phase"] != ONWARD:
+        return out | {"next": stepped, "phase": ONWARD, "other": value}
+    zero, one, two = _logs(row["other"]), _logs(value), _logs(stepped)
+    first = [b - a for a, b in zip(zero, one)]
+    turn = [c - b - r for b, c, r in zip(one, two, first)]
+    size = math.sqrt(sum(v * v for v in turn))
+    length = max(1.0, min(math.sqrt(sum(r * r for r in first)) / size, 1e4)) if size > 0 else 1.0
+    far = [a + 2.0 * length * r + length * length * v for a, r, v in zip(zero, first, turn)]
+    return out | {"next": _within(far), "phase": TRIED, "other": stepped, "best": row["loglik"]}
+
+
+# --------------------------------------------------------------------------- large keys: one scan and aggregation a step
 
 
 def em_fit(
-    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-7, seed: int = 0,
-    starts: DataFrame | None = None,
+    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-6, seed: int = 0,
+    starts: DataFrame | None = None, accelerate: bool = True,
 ) -> DataFrame:
-    """All restarts of all theta keys; one row per (key, restart) with loglik, rho, converged and n_iter.
+    """All restarts of all theta keys; one row per (key, restart) with loglik, rho, converged, n_iter and slope.
 
-    A row stops once its log-likelihood per event changes by less than `tol`; only open rows are iterated.
+    A row stops once no free slope exceeds `tol` per event; only open rows are iterated, and closed rows join one small table.
     """
-    params = [*MU, *ALPHA, *BETA]
     base = materialise(fit_set.select(*FIT, "fit_day", "bar_idx", "t", "k", "g", "horizon"), "fit-events")
     starts = starts if starts is not None else start_values(head, restarts, seed)
-    open_rows = cut_lineage(starts.select(*KEY, "total_time", *params, F.lit(None).cast("double").alias("_old")))
+    state = {"phase": F.lit(START), "other": F.array(*map(F.lit, [0.0] * len(PARAMS))), "best": F.lit(0.0)}
+    open_rows = cut_lineage(starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *PARAMS).withColumns(state))
+    kinds = {f.name: f.dataType.simpleString() for f in open_rows.schema}
+    schema = ", ".join(
+        [f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + [f"{c} double" for c in PARAMS]
+        + ["phase int, other array<double>, best double, n_events long, loglik double, converged boolean, n_iter int, slope double, closed boolean"]
+    )
+
+    def step(i: int) -> Callable:
+        def run(tables):
+            for table in tables:
+                rows = []
+                for row in table.to_dict("records"):
+                    new = advance(row, tol, accelerate)
+                    closed = new["done"] or i == max_iter - 1
+                    held = [row[c] for c in PARAMS] if closed else new["next"]
+                    rows.append((*[row[c] for c in [*KEY, "total_time"]], *held, new["phase"], new["other"], new["best"], row["n_events"],
+                                 row["loglik"], new["done"], i + 1, new["slope"], closed))
+                yield pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
+        return run
+
     finished: list[DataFrame] = []
     for i in range(max_iter):
-        stats = statistics(base.join(open_rows, FIT), [*KEY, "fit_day"], KEY)
-        step = stats.join(open_rows.select(*KEY, "_old"), KEY)
-        per_event = F.col("loglik") / F.col("n_events")
-        done = F.coalesce(F.abs(per_event - F.col("_old")) < tol, F.lit(False))
-        # The likelihood belongs to the parameters the iteration started from; a finished row keeps those.
-        fresh = {c: F.when(done | F.lit(i == max_iter - 1), F.col(c)).otherwise(v) for c, v in _update(stats).items()}
-        table = cut_lineage(step.select(
-            *KEY, "total_time", "n_events", "loglik", done.alias("converged"), F.lit(i + 1).alias("n_iter"),
-            *[v.alias(c) for c, v in fresh.items()], per_event.alias("_old"),
-        ))
-        closed = table if i == max_iter - 1 else table.filter("converged")
-        if not closed.isEmpty():
-            finished.append(closed)
-        open_rows = table.filter("not converged").select(*KEY, "total_time", *params, "_old")
+        stats = statistics(base.join(open_rows.drop("phase", "other", "best"), FIT), [*KEY, "fit_day"], KEY)
+        table = cut_lineage(stats.join(open_rows.select(*KEY, "phase", "other", "best"), KEY).mapInPandas(step(i), schema))
+        if not table.filter("closed").isEmpty():
+            finished.append(table.filter("closed"))
+            if len(finished) > 20:  # a bounded number of branches, however many steps
+                finished = [cut_lineage(reduce(DataFrame.unionByName, finished))]
+        open_rows = table.filter("not closed").select(*KEY, "total_time", *PARAMS, "phase", "other", "best")
         if open_rows.isEmpty():
             break
-    out = branching_matrix(reduce(DataFrame.unionByName, finished).drop("_old"))
+    out = branching_matrix(reduce(DataFrame.unionByName, finished).drop("phase", "other", "best", "closed"))
     return out.withColumn("loglik_per_event", F.col("loglik") / F.col("n_events"))
 
 
+# --------------------------------------------------------------------------- small keys: all steps in one task
+
+
 def _decayed(fade: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """x_i = fade_i x_{i-1} + fresh_i along the first axis, by doubling."""
+    """x_i = fade_i x_{i-1} + fresh_i by doubling."""
     fade, x, step = fade.copy(), fresh.copy(), 1
     while step < len(x):
         x[step:] += fade[step:] * x[:-step].copy()
@@ -99,110 +222,144 @@ def _decayed(fade: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return x
 
 
-def _em_steps(max_iter: int, tol: float):
-    """All restarts of one key as lanes of numpy arrays; columns and stopping rule of `em_fit`."""
+class KeySums:
+    """The sums of an EM step over one key's events."""
 
-    def fit(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        params = [*MU, *ALPHA, *BETA]
-        kept = [*KEY, "total_time", "n_events", "loglik", "converged", "n_iter", *params]
-        if events.empty or starts.empty:
-            return pd.DataFrame({c: [] for c in kept})
+    def __init__(self, events: pd.DataFrame):
         events = events.sort_values(["fit_day", "bar_idx"])
-        t, g, rest = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
-        rest = (rest - t)[:, None]
-        lag = np.diff(t, prepend=t[0])[:, None]
-        new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
-        kind = [(events["k"] == m).to_numpy()[:, None] for m in (0, 1)]
-        weight = [g[:, None] * m for m in kind]
-        value = {c: starts[c].to_numpy(float)[None, :] for c in params}
-        horizon = starts["total_time"].to_numpy(float)[None, :]
-        lanes, n = len(starts), len(events)
-        old, open_, result = np.full(lanes, np.nan), np.ones(lanes, bool), {}
-        for i in range(max_iter):
-            sums, lags = {}, {}
-            rate = kind[0] * value["mu_u"] + kind[1] * value["mu_d"]
-            for p in PAIRS:
-                fade = np.exp(-value[f"beta_{p}"] * lag)
-                fade[new_day] = 0.0
-                before = np.vstack([np.zeros((1, 1)), weight["ud".index(p[1])][:-1]])
-                sums[p] = _decayed(fade, fade * before)
-                lags[p] = _decayed(fade, lag * sums[p])
-                rate = rate + kind["ud".index(p[0])] * value[f"alpha_{p}"] * sums[p]
-            loglik = np.log(rate).sum(axis=0) - ((value["mu_u"] + value["mu_d"]) * horizon)[0]
-            fresh = {}
-            for m, c in enumerate("ud"):
-                fresh[f"mu_{c}"] = np.clip((kind[m] * value[f"mu_{c}"] / rate).sum(axis=0, keepdims=True) / horizon, LOW, HIGH)
-            for p in PAIRS:
-                alpha, beta = value[f"alpha_{p}"], value[f"beta_{p}"]
-                target, source = kind["ud".index(p[0])], weight["ud".index(p[1])]
-                kids = (target * alpha * sums[p] / rate).sum(axis=0, keepdims=True)
-                late = (target * alpha * lags[p] / rate).sum(axis=0, keepdims=True)
-                gone = np.exp(-beta * rest)
-                inside = (source * (1.0 - gone)).sum(axis=0, keepdims=True)
-                cut = (source * rest * gone).sum(axis=0, keepdims=True)
-                loglik = loglik - (alpha / beta * inside)[0]
-                each = kids / np.maximum(inside, 1e-300)
-                moved = kids / np.maximum(late + each * cut, 1e-300)
-                fresh[f"beta_{p}"] = np.clip(np.where(kids > 0, moved, beta), BETA_LOW, HIGH)
-                fresh[f"alpha_{p}"] = np.clip(each * fresh[f"beta_{p}"], LOW, HIGH)
-            done = np.abs(loglik / n - old) < tol
-            for j in np.flatnonzero(open_ & (done | (i == max_iter - 1))):
-                result[j] = (float(loglik[j]), bool(done[j]), i + 1, [float(value[c][0, j]) for c in params])
-            open_ &= ~done
-            old, value = loglik / n, fresh
-            if not open_.any():
-                break
-        rows = [
-            (*starts.iloc[j][KEY].tolist(), float(horizon[0, j]), n, result[j][0], result[j][1], result[j][2], *result[j][3]) for j in range(lanes)
-        ]
+        t, g, horizon = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
+        self.rest, self.lag = horizon - t, np.diff(t, prepend=t[0])
+        self.new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
+        self.of = [(events["k"] == m).to_numpy() for m in (0, 1)]
+        self.weight = [g * m for m in self.of]
+        self.before = [np.concatenate([[0.0], w[:-1]]) for w in self.weight]
+        self.n = len(events)
+
+    def at(self, value: dict[str, float]) -> dict[str, float]:
+        rate = np.where(self.of[0], value["mu_u"], value["mu_d"])
+        out, shares, lags = {"n_events": self.n, "total_time": value["total_time"]}, {}, {}
+        for p in PAIRS:
+            target, source = "ud".index(p[0]), "ud".index(p[1])
+            fade = np.exp(-value[f"beta_{p}"] * self.lag)
+            fade[self.new_day] = 0.0
+            sums = _decayed(fade, fade * self.before[source])
+            lags[p] = value[f"alpha_{p}"] * _decayed(fade, self.lag * sums)[self.of[target]]
+            shares[p] = value[f"alpha_{p}"] * sums[self.of[target]]
+            rate[self.of[target]] += shares[p]
+        loglik = float(np.log(rate).sum()) - (value["mu_u"] + value["mu_d"]) * value["total_time"]
+        for m, c in enumerate("ud"):
+            out[f"bg_{c}"] = float((value[f"mu_{c}"] / rate[self.of[m]]).sum())
+        for p in PAIRS:
+            own, weight = rate[self.of["ud".index(p[0])]], self.weight["ud".index(p[1])]
+            gone = np.exp(-value[f"beta_{p}"] * self.rest)
+            out[f"P_{p}"], out[f"D_{p}"] = float((shares[p] / own).sum()), float((lags[p] / own).sum())
+            out[f"G_{p}"], out[f"H_{p}"] = float((weight * (1.0 - gone)).sum()), float((weight * self.rest * gone).sum())
+            loglik -= value[f"alpha_{p}"] / value[f"beta_{p}"] * out[f"G_{p}"]
+        return out | {"loglik": loglik}
+
+
+def _in_task(max_iter: int, tol: float, accelerate: bool):
+    """All restarts of one key, one after the other; the same steps as `em_fit`."""
+
+    def fit(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        kept = [*KEY, "total_time", "n_events", "loglik", "converged", "n_iter", "slope", *PARAMS]
+        rows = []
+        sums = KeySums(events) if len(events) and len(starts) else None
+        for start in starts.to_dict("records") if sums else ():
+            state = start | {"phase": START, "other": [0.0] * len(PARAMS), "best": 0.0}
+            for i in range(max_iter):
+                state |= sums.at(state)
+                new = advance(state, tol, accelerate)
+                if new["done"] or i == max_iter - 1:
+                    break
+                state |= dict(zip(PARAMS, new["next"])) | {c: new[c] for c in ("phase", "other", "best")}
+            rows.append((*[start[c] for c in [*KEY, "total_time"]], sums.n, state["loglik"], new["done"], i + 1, new["slope"], *[state[c] for c in PARAMS]))
         return pd.DataFrame(rows, columns=kept)
 
     return fit
 
 
 def em_fit_in_tasks(
-    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-7, seed: int = 0,
-    starts: DataFrame | None = None,
+    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-6, seed: int = 0,
+    starts: DataFrame | None = None, accelerate: bool = True,
 ) -> DataFrame:
     """`em_fit` with each key iterated inside one task: for keys whose events fit there."""
     starts = starts if starts is not None else start_values(head, restarts, seed)
-    starts = starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *MU, *ALPHA, *BETA)
+    starts = starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *PARAMS)
     kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
-    schema = ", ".join([f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + ["n_events long, loglik double, converged boolean, n_iter int"] + [f"{c} double" for c in [*MU, *ALPHA, *BETA]])
+    schema = ", ".join(
+        [f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + ["n_events long, loglik double, converged boolean, n_iter int, slope double"] + [f"{c} double" for c in PARAMS]
+    )
     parts = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs, long work: not to be put together
     rows = fit_set.select(*FIT, "fit_day", "bar_idx", "t", "k", "g", "horizon").repartition(parts, *FIT)
     starts = starts.repartition(parts, *FIT)
-    found = rows.groupBy(*FIT).cogroup(starts.groupBy(*FIT)).applyInPandas(_em_steps(max_iter, tol), schema)
+    found = rows.groupBy(*FIT).cogroup(starts.groupBy(*FIT)).applyInPandas(_in_task(max_iter, tol, accelerate), schema)
     out = branching_matrix(materialise(found, "fits"))
     return out.withColumn("loglik_per_event", F.col("loglik") / F.col("n_events"))
 
 
-def em_fit_all(fit_set: DataFrame, head: DataFrame, restarts: int, max_iter: int, tol: float, seed: int = 0) -> DataFrame:
-    """Small keys in tasks, the others by iterations over all of them."""
+def em_fit_all(
+    fit_set: DataFrame, head: DataFrame, restarts: int, max_iter: int, tol: float, seed: int = 0, most_events: int = MOST_EVENTS,
+) -> DataFrame:
+    """Small keys in tasks, the others by steps over all of them."""
     head = materialise(head, "fit-keys")
-    small, large = head.filter(F.col("n_up") + F.col("n_down") <= MOST_EVENTS), head.filter(F.col("n_up") + F.col("n_down") > MOST_EVENTS)
+    n = F.col("n_up") + F.col("n_down")
+    small, large = head.filter(n <= most_events), head.filter(n > most_events)
     if large.isEmpty():
         return em_fit_in_tasks(fit_set, head, restarts, max_iter, tol, seed)
-    out = em_fit_in_tasks(fit_set.join(small.select(*FIT), FIT, "left_semi"), small, restarts, max_iter, tol, seed)
-    return out.unionByName(em_fit(fit_set.join(large.select(*FIT), FIT, "left_semi"), large, restarts, max_iter, tol, seed), allowMissingColumns=True)
+    ours = lambda keys: fit_set.join(keys.select(*FIT), FIT, "left_semi")
+    out = em_fit_in_tasks(ours(small), small, restarts, max_iter, tol, seed)
+    return out.unionByName(em_fit(ours(large), large, restarts, max_iter, tol, seed), allowMissingColumns=True)
 
 
 def best_restart(fits: DataFrame) -> DataFrame:
-    """Highest likelihood among the stationary (rho < 1) restarts of each theta key."""
+    """Highest likelihood among the restarts of each theta key (all of them are stationary)."""
     rest = [c for c in fits.columns if c not in FIT]
-    best = fits.filter("rho < 1").groupBy(*FIT).agg(F.max_by(F.struct(*rest), F.col("loglik")).alias("_best"))
+    best = fits.filter("rho < 1").groupBy(*FIT).agg(F.max_by(F.struct(*rest), F.struct("loglik", "restart")).alias("_best"))
     return best.select(*FIT, "_best.*")
 
 
 def fit_theta(
-    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-7, retry: int = 4
+    fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-6, retry: int = 4,
+    least_events: int = LEAST_EVENTS, most_events: int = MOST_EVENTS,
 ) -> DataFrame:
-    """Theta table: best stationary restart per key; keys without one are fitted again with more restarts."""
-    fits = em_fit_all(fit_set, head, restarts, max_iter, tol)
-    theta = best_restart(fits)
-    open_keys = cut_lineage(head.join(theta.select(*FIT), FIT, "left_anti"))
+    """Theta table, one row for every row of `head`, with `reason`: null, "too few events" (no parameters) or "not converged".
+
+    Keys whose best restart has not converged are fitted again with `retry` times as many restarts and steps; the better of both
+    fits stays. `usable_theta` and `theta_rejects` split the table.
+    """
+    head = materialise(head, "fit-head")
+    enough = head.filter(F.col("n_up") + F.col("n_down") >= least_events)
+    fits = materialise(best_restart(em_fit_all(fit_set, enough, restarts, max_iter, tol, most_events=most_events)), "fits-best")
+    open_keys = materialise(enough.join(fits.filter("converged").select(*FIT), FIT, "left_anti"), "fits-open")
     if retry and not open_keys.isEmpty():
-        again = em_fit_all(fit_set.join(open_keys.select(*FIT), FIT, "left_semi"), open_keys, retry * restarts, max_iter, tol, seed=1)
-        theta = theta.unionByName(best_restart(again))
-    keep = [c for c in head.columns if c not in theta.columns or c in FIT]
-    return theta.join(head.select(*keep), FIT)
+        again = em_fit_all(
+            fit_set.join(open_keys.select(*FIT), FIT, "left_semi"), open_keys, retry * restarts, retry * max_iter, tol, seed=1, most_events=most_events,
+        )
+        again = again.withColumn("restart", F.col("restart") + restarts)
+        fits = best_restart(fits.unionByName(again.select(*fits.columns)))
+    keep = [c for c in head.columns if c not in fits.columns or c in FIT]
+    events = (F.col("n_up") + F.col("n_down")).alias("n_events")
+    out = head.select(*keep, events, "total_time").join(fits.drop("n_events", "total_time"), FIT, "left")
+    why = F.when(F.col("n_events") < least_events, "too few events").when(~F.coalesce("converged", F.lit(False)), "not converged")
+    return out.withColumn("reason", why)
+
+
+def usable_theta(theta: DataFrame) -> DataFrame:
+    """Rows with parameters of a reached optimum."""
+    return theta.filter("reason is null")
+
+
+def theta_rejects(wanted: DataFrame, theta: DataFrame) -> DataFrame:
+    """Wanted theta keys without a usable fit, and why: also those whose window lacks a kind of event and so have no fit at all."""
+    known = theta.select(*FIT, "n_events", "reason", F.lit(True).alias("_known"))
+    why = F.when(F.col("_known").isNull(), "one kind of event missing").otherwise(F.col("reason"))
+    out = wanted.select(*FIT).distinct().join(known, FIT, "left").withColumn("reason", why)
+    return out.filter("reason is not null").select(*FIT, "n_events", "reason")
+
+
+def few_steps(fit_set: DataFrame, head: DataFrame, start: DataFrame, steps: int) -> DataFrame:
+    """Theta after a few plain EM steps from given parameters: `start` has `head`'s columns and PARAMS."""
+    one = start.withColumn("restart", F.lit(0))
+    fits = em_fit_in_tasks(fit_set, head, starts=one, max_iter=steps + 1, tol=-1.0, accelerate=False)
+    return head.join(fits.select(*FIT, *PARAMS, "loglik", "loglik_per_event", "rho", *[f"A_{p}" for p in PAIRS]), FIT)

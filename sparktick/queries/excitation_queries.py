@@ -204,26 +204,67 @@ def h10(spark, sf):
 
 def _fitted(spark, sf):
     d = C.bar_table(spark, sf)
-    fit_set, head = H.fit_events(d, H.fit_windows(C.theta_days(spark, sf), [1]), S.QUANTILE, strict=False)
+    windows = H.fit_windows(C.theta_days(spark, sf), [1])
+    fit_set, head = H.fit_events(d, windows, S.QUANTILE, strict=False)
     fit_set, head = materialise(fit_set, "fit-set"), materialise(head, "fit-head")
-    return fit_set, FT.fit_theta(fit_set, head, restarts=5, max_iter=500)
+    return d, windows, fit_set, materialise(FT.fit_theta(fit_set, head, restarts=5, max_iter=500), "theta")
 
 
 @query("h11_em_fit", digits=6)
 def h11(spark, sf):
-    """Maximum-likelihood theta of every day from the day before, five restarts each (iterative: no SQL)."""
-    theta = _fitted(spark, sf)[1]
-    return theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "rho", "loglik", "n_events", "n_iter", "converged")
+    """Maximum-likelihood theta of every day from the day before, five restarts each (iterative: no SQL); keys without one say why."""
+    theta = _fitted(spark, sf)[-1]
+    return theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "rho", "loglik", "n_events", "n_iter", "converged", "reason")
 
 
-@query("h11_optimum", digits=3)
+@query(
+    "h11_optimum",
+    S.chain(_EV, S.theta()) + f"""SELECT {_K}, n_up + n_down AS n_events, TRUE AS stationary, TRUE AS found_again, TRUE AS level FROM theta
+  WHERE n_up + n_down >= {FT.LEAST_EVENTS}""",
+)
 def h11_optimum(spark, sf):
-    """At the fitted theta: the likelihood by the distributed scan, and the largest slope in logarithms of mu and alpha for each event."""
-    fit_set, theta = _fitted(spark, sf)
-    known = theta.select(*H.FIT, *H.MU, *H.ALPHA, *H.BETA, "total_time", F.col("loglik").alias("fitted"))
-    slopes = H.gradient(fit_set.join(known.drop("fitted"), H.FIT), [*H.FIT, "fit_day"], H.FIT).join(known, H.FIT)
-    steep = F.greatest(*[F.abs(F.col(c) * F.col(f"g_{c}")) for c in (*H.MU, *H.ALPHA)]) / F.col("n_events")
-    return slopes.select(*H.FIT, "n_events", "loglik", "fitted", steep.alias("slope"))
+    """For every key with enough events: rho < 1, the likelihood equals the one of a distributed scan, and no free slope is left.
+
+    Slopes come from the analytic gradient over the events, not from the fit; where rho is at its bound, slopes along the bound count.
+    """
+    *_, fit_set, theta = _fitted(spark, sf)
+    known = FT.usable_theta(theta).select(*H.FIT, *FT.PARAMS, "total_time", "rho", F.col("loglik").alias("fitted"))
+    out = H.gradient(fit_set.join(known.drop("fitted", "rho"), H.FIT), [*H.FIT, "fit_day"], H.FIT).join(known, H.FIT)
+    c = F.col
+    free = []
+    ratio = {p: c(f"alpha_{p}") / c(f"beta_{p}") for p in PAIRS}
+    by_ratio = {p: c(f"alpha_{p}") * c(f"g_alpha_{p}") for p in PAIRS}  # slope in log A with beta held
+    bound = c("rho") >= FT.RHO_MOST * (1 - 1e-9)
+    pull = {p: F.when(bound, ratio[p] / F.greatest(FT.RHO_MOST - ratio[p], F.lit(1e-12)) if p in ("uu", "dd") else F.lit(1.0)).otherwise(0.0) for p in PAIRS}
+    share = F.greatest(F.lit(0.0), F.try_divide(sum(by_ratio[p] * pull[p] for p in PAIRS), sum(pull[p] * pull[p] for p in PAIRS)))
+    for p in PAIRS:
+        slope = by_ratio[p] - F.coalesce(share, F.lit(0.0)) * pull[p]
+        free.append(F.when((c(f"alpha_{p}") <= FT.LOW * (1 + 1e-9)) & (slope < 0), 0.0).otherwise(slope))
+        # Slope in log beta with A held: alpha moves with beta.
+        slope = c(f"beta_{p}") * c(f"g_beta_{p}") + by_ratio[p]
+        edge = ((c(f"beta_{p}") <= FT.BETA_LOW * (1 + 1e-9)) & (slope < 0)) | ((c(f"beta_{p}") >= FT.HIGH * (1 - 1e-9)) & (slope > 0))
+        free.append(F.when(edge, 0.0).otherwise(slope))
+    for m in H.MU:
+        slope = c(m) * c(f"g_{m}")
+        free.append(F.when((c(m) <= FT.LOW * (1 + 1e-9)) & (slope < 0), 0.0).otherwise(slope))
+    steep = F.greatest(*[F.abs(x) for x in free]) / c("n_events")
+    return out.select(
+        *H.FIT, "n_events", (c("rho") < 1).alias("stationary"), (F.abs(c("loglik") - c("fitted")) < 1e-6 * F.abs(c("loglik"))).alias("found_again"),
+        (steep < 1e-5).alias("level"),
+    )
+
+
+@query(
+    "h11_rejects",
+    S.chain(_EV, S.theta()) + f""", wanted AS (SELECT DISTINCT symbol, num, w_h, fday AS day FROM win, (SELECT DISTINCT symbol, num FROM dd)),
+seen AS (SELECT {_K}, n_up + n_down AS n_events FROM theta)
+SELECT {_K}, n_events, CASE WHEN n_events IS NULL THEN 'one kind of event missing' ELSE 'too few events' END AS reason
+FROM wanted LEFT JOIN seen USING ({_K}) WHERE n_events IS NULL OR n_events < {FT.LEAST_EVENTS}""",
+)
+def h11_rejects(spark, sf):
+    """Days that get no theta, and why."""
+    d, windows, _, theta = _fitted(spark, sf)
+    return FT.theta_rejects(windows.select("w_h", "day").distinct().join(d.select("symbol", "num").distinct()), theta)
 
 
 @query(
