@@ -12,7 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktick.llm.common import ids_and_texts, released
+from sparktick.llm.bpe import PIECES, UNUSUAL
+from sparktick.llm.common import chunks, ids_and_texts, released
 from sparktick.session import materialise, scratch_path
 
 MAGIC = b"PFOR"
@@ -20,7 +21,9 @@ BLOCK = 256  # ids of a block
 SEGMENT_IDS = 1 << 20  # a segment ends with the document that reaches so many ids
 SEGMENTS_A_FILE = 4
 PERCENTILE = 90
-REMEMBERED = 400_000
+AT_ONCE = 512  # blocks whose bits are spread out at once
+REMEMBERED = 150_000  # distinct parts of a generation; a worker keeps two
+BLOCK_BYTES = 2 << 20
 
 # A file is a run of segments, each followed by one line feed. A segment, little endian:
 #   header  "PFOR", then unsigned 32-bit: bytes of the segment, partition, number in the partition, documents, blocks, exceptions;
@@ -55,7 +58,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> dict[str, np.ndarra
     packed = np.zeros(int(starts[-1]), np.uint8)
     for bits in np.unique(width):
         if bits:
-            for rows in np.array_split(np.nonzero(width == bits)[0], 1 + int((width == bits).sum()) // 4096):
+            for rows in np.array_split(np.nonzero(width == bits)[0], 1 + int((width == bits).sum()) // AT_ONCE):
                 if len(rows):
                     size = int(bits) * (BLOCK // 8)
                     ones = (full[rows][:, :, None] >> np.arange(bits, dtype=np.uint32)).astype(np.uint8) & 1
@@ -74,7 +77,7 @@ def unpack(parts: dict[str, np.ndarray], blocks: np.ndarray) -> np.ndarray:
     width, starts = parts["width"][blocks], parts["starts"][blocks].astype(np.int64)
     for bits in np.unique(width):
         chosen = np.nonzero(width == bits)[0]
-        for rows in np.array_split(chosen, 1 + len(chosen) // 4096):
+        for rows in np.array_split(chosen, 1 + len(chosen) // AT_ONCE):
             if bits and len(rows):
                 size = int(bits) * (BLOCK // 8)
                 ones = np.unpackbits(parts["packed"][starts[rows][:, None] + np.arange(size)], axis=1, bitorder="little")
@@ -140,8 +143,12 @@ def segments(content: bytes) -> Iterator[Segment]:
         at += found.bytes + 1
 
 
-class WordIds(dict):
-    """Ids of what stands between blanks or line feeds, encoded once by the library; the file's pattern never joins across them."""
+class WordIds:
+    """Ids of parts of texts, each distinct part encoded once by the library, many parts at a time.
+
+    Texts of Latin characters are cut where the file's pattern cuts them, in lower case as its normaliser makes them. Other texts,
+    and those that may hold a special token's string, are only cut at blanks and line feeds, across which nothing is joined.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -149,15 +156,38 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self[part] = np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of many words from one call: joined by blanks, and cut after each token that ends a word."""
+        ids = np.asarray(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):  # not one word each: one by one
+            for word in words:
+                self.known[word] = np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        usual = [not UNUSUAL.search(t) and "<|" not in t for t in texts]
+        cut = [PIECES.findall(t.lower()) if u else t.replace("\n", " ").split(" ") for t, u in zip(texts, usual)]
+        wanted = set().union(*(c for c, u in zip(cut, usual) if u)).difference(self.known)
+        again = self.older.keys() & wanted
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(wanted - again)
+        for at in range(0, len(new), 500):
+            self.learn(new[at:at + 500])
+        for c, u in zip(cut, usual):
+            for part in () if u else set(c).difference(self.known):
+                self.known[part] = np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -184,10 +214,9 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             raw = segment(task, number, doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"), percentile)
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["segment"])
 
-        for batch in batches:
-            texts = batch.column("text")
-            for at, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                ids = encoder.encode(texts[at].as_py())
+        for some in chunks(batches, "text", BLOCK_BYTES):
+            texts = [t for b in some for t in b.column("text").to_pylist()]
+            for doc_id, ids in zip((i for b in some for i in b.column("doc_id").to_pylist()), encoder.encode(texts)):
                 doc_ids.append(doc_id), lengths.append(len(ids) // 4 + 1), held.extend((ids, end))
                 size += lengths[-1]
                 if size >= segment_ids:
