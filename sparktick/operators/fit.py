@@ -300,16 +300,18 @@ def em_fit_in_tasks(
 
 def em_fit_all(
     fit_set: DataFrame, head: DataFrame, restarts: int, max_iter: int, tol: float, seed: int = 0, most_events: int = MOST_EVENTS,
+    starts: DataFrame | None = None, accelerate: bool = True,
 ) -> DataFrame:
     """Small keys in tasks, the others by steps over all of them."""
     head = materialise(head, "fit-keys")
     n = F.col("n_up") + F.col("n_down")
     small, large = head.filter(n <= most_events), head.filter(n > most_events)
+    options = {"restarts": restarts, "max_iter": max_iter, "tol": tol, "seed": seed, "accelerate": accelerate}
     if large.isEmpty():
-        return em_fit_in_tasks(fit_set, head, restarts, max_iter, tol, seed)
-    ours = lambda keys: fit_set.join(keys.select(*FIT), FIT, "left_semi")
-    out = em_fit_in_tasks(ours(small), small, restarts, max_iter, tol, seed)
-    return out.unionByName(em_fit(ours(large), large, restarts, max_iter, tol, seed), allowMissingColumns=True)
+        return em_fit_in_tasks(fit_set, head, starts=starts, **options)
+    ours = lambda rows, keys: None if rows is None else rows.join(keys.select(*FIT), FIT, "left_semi")
+    out = em_fit_in_tasks(ours(fit_set, small), small, starts=ours(starts, small), **options)
+    return out.unionByName(em_fit(ours(fit_set, large), large, starts=ours(starts, large), **options), allowMissingColumns=True)
 
 
 def best_restart(fits: DataFrame) -> DataFrame:
@@ -358,8 +360,9 @@ def theta_rejects(wanted: DataFrame, theta: DataFrame) -> DataFrame:
     return out.filter("reason is not null").select(*FIT, "n_events", "reason")
 
 
-def few_steps(fit_set: DataFrame, head: DataFrame, start: DataFrame, steps: int) -> DataFrame:
-    """Theta after a few plain EM steps from given parameters: `start` has `head`'s columns and PARAMS."""
-    one = start.withColumn("restart", F.lit(0))
-    fits = em_fit_in_tasks(fit_set, head, starts=one, max_iter=steps + 1, tol=-1.0, accelerate=False)
-    return head.join(fits.select(*FIT, *PARAMS, "loglik", "loglik_per_event", "rho", *[f"A_{p}" for p in PAIRS]), FIT)
+def few_steps(fit_set: DataFrame, start: DataFrame, steps: int) -> DataFrame:
+    """Theta after a few plain EM steps from given parameters: `start` has the columns of a head and PARAMS; loglik, A, rho are added."""
+    start = materialise(start, "fit-start")
+    fits = em_fit_all(fit_set, start, 1, steps + 1, -1.0, starts=start.withColumn("restart", F.lit(0)), accelerate=False)
+    found = fits.select(*FIT, *PARAMS, "loglik", "loglik_per_event", "rho", *[f"A_{p}" for p in PAIRS])
+    return start.drop(*PARAMS).join(found, FIT)

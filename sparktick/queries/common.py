@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktick.operators import bars as B
 from sparktick.operators import excitation as H
+from sparktick.operators import fit as FT
 from sparktick.operators.quality import days_of
 from sparktick.plans.backtest import walk_forward
 from sparktick.queries import sql as S
@@ -50,10 +51,17 @@ def theta_days(spark: SparkSession, sf: str) -> DataFrame:
     return days_of(trades(spark, sf), 1)
 
 
-def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE) -> tuple[DataFrame, DataFrame]:
-    """Fit set and theta with given alpha, beta for every day; days whose window lacks a kind of event have none."""
+def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE, steps: int = S.EM_STEPS) -> tuple[DataFrame, DataFrame]:
+    """Fit set, and theta of every day after a few EM steps over its fit window; days whose window lacks a kind of event have none.
+
+    The full fit (`operators.fit.fit_theta`) cannot be written in SQL; a few steps from fixed starting values can.
+    """
     fit_set, head = H.fit_events(d, H.fit_windows(days_of(d, 1), spans), quantile, strict=False)
-    return fit_set, materialise(H.given_theta(head, S.ALPHA, S.BETA), "theta")
+    start = H.given_theta(head, S.ALPHA, S.BETA)
+    if not steps:
+        return fit_set, materialise(start, "theta")
+    fit_set = materialise(fit_set, "fit-set")
+    return fit_set, materialise(FT.few_steps(fit_set, start, steps), "theta")
 
 
 def intensities(spark: SparkSession, d: DataFrame, spans=(1,)) -> DataFrame:

@@ -152,26 +152,7 @@ def h8(spark, sf):
     return H.rewards(C.intensities(spark, C.bar_table(spark, sf))).select(*H.FIT, "bar_idx", "reward_mom", "reward_rev")
 
 
-def _fit_sums(m: str, k: str, r_: bool = False) -> str:
-    lag = "(b.t - e.t) * " if r_ else ""
-    return f"coalesce(sum(e.g * {lag}exp(-b.beta_{m}{k} * (b.t - e.t))) FILTER (e.k = {'ud'.index(k)}), 0)"
-
-
-_LL = f""", fe AS (SELECT f.*, th.* EXCLUDE (symbol, num, w_h, day, event_threshold, candidate_moves) FROM fits f JOIN theta th USING ({_K})),
-fs AS (SELECT b.symbol, b.num, b.w_h, b.day, b.fit_day, b.bar_idx, {', '.join(f"{_fit_sums(m, k)} AS s_{m}{k}, {_fit_sums(m, k, True)} AS r_{m}{k}" for m in 'ud' for k in 'ud')}
-  FROM fe b LEFT JOIN fe e ON e.symbol = b.symbol AND e.num = b.num AND e.w_h = b.w_h AND e.day = b.day AND e.fit_day = b.fit_day AND e.bar_idx < b.bar_idx
-  GROUP BY b.symbol, b.num, b.w_h, b.day, b.fit_day, b.bar_idx),
-fl AS (SELECT *, CASE WHEN k = 0 THEN mu_u + alpha_uu * s_uu + alpha_ud * s_ud ELSE mu_d + alpha_du * s_du + alpha_dd * s_dd END AS lam,
-  horizon - t AS rest FROM fe JOIN fs USING (symbol, num, w_h, day, fit_day, bar_idx)),
-sm AS (SELECT {_K}, count(*) AS n_events, sum(ln(lam)) AS sum_log, max(total_time) AS total_time, max(mu_u) AS mu_u, max(mu_d) AS mu_d,
-  sum(CASE WHEN k = 0 THEN 1 / lam ELSE 0 END) AS inv_u, sum(CASE WHEN k = 1 THEN 1 / lam ELSE 0 END) AS inv_d,
-  {', '.join(f"max(alpha_{p}) AS alpha_{p}, max(beta_{p}) AS beta_{p}, sum(CASE WHEN k = {'ud'.index(p[0])} THEN s_{p} / lam ELSE 0 END) AS sl_{p}, "
-             f"sum(CASE WHEN k = {'ud'.index(p[0])} THEN alpha_{p} * r_{p} / lam ELSE 0 END) AS rl_{p}, "
-             f"sum(CASE WHEN k = {'ud'.index(p[1])} THEN g * (1 - exp(-beta_{p} * rest)) ELSE 0 END) AS g_{p}, "
-             f"sum(CASE WHEN k = {'ud'.index(p[1])} THEN g * rest * exp(-beta_{p} * rest) ELSE 0 END) AS h_{p}" for p in PAIRS)}
-  FROM fl GROUP BY {_K}),
-ll AS (SELECT *, sum_log - (mu_u + mu_d) * total_time - {' - '.join(f"alpha_{p} / beta_{p} * g_{p}" for p in PAIRS)} AS loglik FROM sm)
-"""
+_LL = ",\n" + S.sums() + "\n"
 
 
 def _fit_rows(spark, sf, spans):
@@ -269,16 +250,15 @@ def h11_rejects(spark, sf):
 
 @query(
     "h12_spectral_radius",
-    S.chain(_EV, S.theta()) + f""", m AS (SELECT {_K}, n_up / total_time * 0.8 AS a11, n_down / total_time * 0.5 AS a12, n_up / total_time * 0.3 AS a21, n_down / total_time AS a22 FROM theta),
+    S.chain(_EV, S.theta()) + f""", m AS (SELECT {_K}, alpha_uu / beta_uu AS a11, alpha_ud / beta_ud AS a12, alpha_du / beta_du AS a21, alpha_dd / beta_dd AS a22 FROM theta),
 q AS (SELECT *, sqrt((a11 - a22) * (a11 - a22) + 4 * a12 * a21) AS s FROM m)
 SELECT {_K}, {r('0.5 * (a11 + a22 + s)', 'rho')}, {r('0.5 * (1 + (a11 - a22) / s)', 'g11')}, {r('a21 / s', 'g12')}, {r('a12 / s', 'g21')},
   {r('0.5 * (1 - (a11 - a22) / s)', 'g22')} FROM q""",
 )
 def h12(spark, sf):
-    """Radius and gradient of a matrix built from the fit windows' event rates."""
+    """Radius and gradient of each day's branching matrix."""
     _, theta = C.theta(spark, C.bar_table(spark, sf))
-    up, down = F.col("n_up") / F.col("total_time"), F.col("n_down") / F.col("total_time")
-    a = (up * 0.8, down * 0.5, up * 0.3, down)
+    a = [F.col(f"alpha_{p}") / F.col(f"beta_{p}") for p in PAIRS]
     return theta.select(
         *H.FIT, kernels.spectral_radius(*a).alias("rho"), *[c.alias(n) for n, c in kernels.spectral_radius_gradient(*a).items()]
     )
@@ -294,7 +274,7 @@ def h13(spark, sf):
     return windows.join(days.withColumnRenamed("day", "fit_day"), "fit_day", "left_semi").select("w_h", "day", "fit_day")
 
 
-_P = ", ".join(f"alpha_{p}, beta_{p}" for p in PAIRS)
+_P = rs(*[f"{x}_{p}" for p in PAIRS for x in ("alpha", "beta")])
 
 
 @query(
@@ -336,6 +316,25 @@ def h16(spark, sf):
     return R.review(C.intensities(spark, C.bar_table(spark, sf)))
 
 
+_ROW = [*H.MU, *H.ALPHA, *H.BETA, *[f"A_{p}" for p in PAIRS], "rho"]
+
+
+@query(
+    "h16_full_review",
+    S.chain(_EV, S.theta((1, 3)), S.LAM, _REVIEW, S.sums()) + f""", br AS (SELECT t.*, {', '.join(f'alpha_{p} / beta_{p} AS A_{p}' for p in PAIRS)} FROM theta t),
+rr AS (SELECT *, 0.5 * (A_uu + A_dd + sqrt((A_uu - A_dd) * (A_uu - A_dd) + 4 * A_ud * A_du)) AS rho FROM br)
+SELECT {_K}, n_up + n_down AS n_events, {r('loglik / l.n_events', 'loglik_per_event', 6)}, {rs(*_ROW, digits=6)}, bars, events, {rs(*_RV, digits=6)}
+FROM rr JOIN rv USING ({_K}) JOIN (SELECT {_K}, n_events, loglik FROM ll) l USING ({_K})""",
+    digits=6,
+)
+def h16_full(spark, sf):
+    """Review of each theta on its own day beside its parameters, branching matrix, radius and likelihood on its fit days."""
+    d = C.bar_table(spark, sf)
+    _, theta = C.theta(spark, d, (1, 3))
+    fitted = theta.select(*H.FIT, (F.col("n_up") + F.col("n_down")).alias("n_events"), "loglik_per_event", *_ROW)
+    return fitted.join(R.review(materialise(H.intensities(d, theta), "intensities")), H.FIT)
+
+
 _OOS = _LL.replace("fits f JOIN theta th USING (symbol, num, w_h, day)", "oos f JOIN theta th USING (symbol, num, w_h, day)").replace(
     "th.* EXCLUDE (symbol, num, w_h, day, event_threshold, candidate_moves)", "th.* EXCLUDE (symbol, num, w_h, day, event_threshold, candidate_moves, total_time)"
 )
@@ -374,15 +373,17 @@ def h16_ranks(spark, sf):
     return R.strength_ranks(C.intensities(spark, d), materialise(L.bar_labels(d), "labels"))
 
 
+_STABLE = [*H.MU, *H.ALPHA, *H.BETA, "mark_scale_u", "event_threshold"]
+
+
 @query(
     "h17_parameter_stability",
-    S.chain(_EV, S.theta((1, 3, 5))) + f""", lg AS (SELECT symbol, num, w_h, unnest(['mu_u', 'mu_d', 'mark_scale_u', 'event_threshold']) AS parameter,
-  unnest([mu_u, mu_d, mark_scale_u, event_threshold]) AS v FROM theta)
+    S.chain(_EV, S.theta((1, 3, 5))) + f""", lg AS (SELECT symbol, num, w_h, unnest({_STABLE}) AS parameter, unnest([{', '.join(_STABLE)}]) AS v FROM theta)
 SELECT symbol, num, w_h, parameter, {r('stddev_samp(v) / abs(avg(v))', 'cv')} FROM lg GROUP BY ALL""",
 )
 def h17(spark, sf):
     _, theta = C.theta(spark, C.bar_table(spark, sf), (1, 3, 5))
-    return R.stability(theta, ["mu_u", "mu_d", "mark_scale_u", "event_threshold"])
+    return R.stability(theta, _STABLE)
 
 
 _VARIANTS = (("bar_index", None), ("bar_index", 0.5), ("wallclock", None), ("wallclock", 0.5))
@@ -424,9 +425,11 @@ def h18(spark, sf):
     "h19_provenance",
     S.chain(_EV, S.theta((1, 2))) + f""", fd AS (SELECT w_h, fday AS day, string_agg(CAST(fit_day AS VARCHAR), ',' ORDER BY fit_day) AS fit_days
   FROM win WHERE fit_day >= (SELECT min(day) FROM dd) GROUP BY ALL),
-z AS (SELECT *, alpha_uu / beta_uu AS a, alpha_ud / beta_ud AS b, alpha_du / beta_du AS c, alpha_dd / beta_dd AS e FROM theta)
-SELECT {_K}, fit_days, candidate_moves, n_up + n_down AS n_events, {rs('event_threshold')}, {r('0.5 * (a + e + sqrt((a - e) * (a - e) + 4 * b * c))', 'rho')}
-FROM z JOIN fd USING (w_h, day)""",
+z AS (SELECT t.*, alpha_uu / beta_uu AS a, alpha_ud / beta_ud AS b, alpha_du / beta_du AS c, alpha_dd / beta_dd AS e FROM theta t),
+{S.sums()}
+SELECT {_K}, fit_days, candidate_moves, n_up + n_down AS n_events, {rs('event_threshold')}, {r('0.5 * (a + e + sqrt((a - e) * (a - e) + 4 * b * c))', 'rho')},
+  {r('loglik / n_events', 'loglik_per_event')}
+FROM z JOIN fd USING (w_h, day) JOIN (SELECT {_K}, n_events, loglik FROM ll) USING ({_K})""",
 )
 def h19(spark, sf):
     _, theta = C.theta(spark, C.bar_table(spark, sf), (1, 2))

@@ -5,7 +5,8 @@ from __future__ import annotations
 HISTORY = 10  # days before the first test day
 NUM = 4
 LATENCIES = (0.0, 600_000.0, 3_600_000.0)
-ALPHA, BETA = (0.30, 0.10, 0.15, 0.25), (1.0, 0.5, 0.8, 1.2)
+# Where every fit of the queries starts, and how many EM steps it takes from there: few enough to be written in SQL.
+ALPHA, BETA, EM_STEPS = (0.30, 0.10, 0.15, 0.25), (1.0, 0.5, 0.8, 1.2), 2
 QUANTILE = 0.5
 
 
@@ -118,8 +119,8 @@ def events(axis: str = "bar_index") -> str:
   CAST({horizon} AS DOUBLE) AS horizon FROM dd WHERE d <> 0)"""
 
 
-def theta(spans: tuple[int, ...] = (1,), quantile: float = QUANTILE) -> str:
-    """Fit windows, thresholds, marks and the given-parameter theta; `day` is the day theta is used on."""
+def start_theta(spans: tuple[int, ...] = (1,), quantile: float = QUANTILE) -> str:
+    """Fit windows, thresholds, marks and the theta every fit starts from; `day` is the day theta is used on."""
     names = ["uu", "ud", "du", "dd"]
     params = ", ".join([f"CAST({a} AS DOUBLE) AS alpha_{p}" for p, a in zip(names, ALPHA)] + [f"CAST({b} AS DOUBLE) AS beta_{p}" for p, b in zip(names, BETA)])
     return f"""whs AS (SELECT unnest([{', '.join(map(str, spans))}]) AS w_h),
@@ -137,6 +138,57 @@ theta AS (SELECT *, {params}, 0.5 * n_up / total_time AS mu_u, 0.5 * n_down / to
 fits AS (SELECT kept.*, mark / CASE WHEN k = 0 THEN mark_scale_u ELSE mark_scale_d END AS g FROM kept JOIN mk USING (symbol, num, w_h, day))"""
 
 
+_NAMES = ("uu", "ud", "du", "dd")
+_KEY = "symbol, num, w_h, day"
+
+
+def sums(theta: str = "theta", n: str = "") -> str:
+    """Likelihood sums of the fit set at a theta table: `sm{n}` with one row for each key, and the log-likelihood in `ll{n}`."""
+    def past(m: str, k: str, lag: str = "") -> str:
+        return f"coalesce(sum(e.g * {lag}exp(-b.beta_{m}{k} * (b.t - e.t))) FILTER (e.k = {'ud'.index(k)}), 0)"
+
+    per_pair = ", ".join(
+        f"max(alpha_{p}) AS alpha_{p}, max(beta_{p}) AS beta_{p}, sum(CASE WHEN k = {'ud'.index(p[0])} THEN s_{p} / lam ELSE 0 END) AS sl_{p}, "
+        f"sum(CASE WHEN k = {'ud'.index(p[0])} THEN alpha_{p} * r_{p} / lam ELSE 0 END) AS rl_{p}, "
+        f"sum(CASE WHEN k = {'ud'.index(p[1])} THEN g * (1 - exp(-beta_{p} * rest)) ELSE 0 END) AS g_{p}, "
+        f"sum(CASE WHEN k = {'ud'.index(p[1])} THEN g * rest * exp(-beta_{p} * rest) ELSE 0 END) AS h_{p}" for p in _NAMES
+    )
+    decayed = ", ".join(f"{past(*p)} AS s_{p}, {past(*p, '(b.t - e.t) * ')} AS r_{p}" for p in _NAMES)
+    return f"""fe{n} AS (SELECT f.*, th.* EXCLUDE (symbol, num, w_h, day, event_threshold, candidate_moves) FROM fits f JOIN {theta} th USING ({_KEY})),
+fs{n} AS (SELECT b.symbol, b.num, b.w_h, b.day, b.fit_day, b.bar_idx, {decayed}
+  FROM fe{n} b LEFT JOIN fe{n} e ON e.symbol = b.symbol AND e.num = b.num AND e.w_h = b.w_h AND e.day = b.day AND e.fit_day = b.fit_day AND e.bar_idx < b.bar_idx
+  GROUP BY b.symbol, b.num, b.w_h, b.day, b.fit_day, b.bar_idx),
+fl{n} AS (SELECT *, CASE WHEN k = 0 THEN mu_u + alpha_uu * s_uu + alpha_ud * s_ud ELSE mu_d + alpha_du * s_du + alpha_dd * s_dd END AS lam,
+  horizon - t AS rest FROM fe{n} JOIN fs{n} USING (symbol, num, w_h, day, fit_day, bar_idx)),
+sm{n} AS (SELECT {_KEY}, count(*) AS n_events, sum(ln(lam)) AS sum_log, max(total_time) AS total_time, max(mu_u) AS mu_u, max(mu_d) AS mu_d,
+  sum(CASE WHEN k = 0 THEN 1 / lam ELSE 0 END) AS inv_u, sum(CASE WHEN k = 1 THEN 1 / lam ELSE 0 END) AS inv_d, {per_pair} FROM fl{n} GROUP BY {_KEY}),
+ll{n} AS (SELECT *, sum_log - (mu_u + mu_d) * total_time - {' - '.join(f"alpha_{p} / beta_{p} * g_{p}" for p in _NAMES)} AS loglik FROM sm{n})"""
+
+
+def em_step(theta: str, n: int, out: str) -> str:
+    """One EM step, parameter by parameter, without the bound on the spectral radius (which two steps do not reach)."""
+    mu = ", ".join(f"greatest(least(mu_{c} * inv_{c} / total_time, 1e3), 1e-8) AS mu_{c}" for c in "ud")
+    ratio = ", ".join(f"alpha_{p} * sl_{p} AS kids_{p}, alpha_{p} * sl_{p} / greatest(g_{p}, 1e-300) AS a_{p}" for p in _NAMES)
+    beta = ", ".join(
+        f"greatest(least(CASE WHEN kids_{p} > 0 THEN kids_{p} / greatest(rl_{p} + a_{p} * h_{p}, 1e-300) ELSE beta_{p} END, 1e3), 1e-4) AS beta_{p}" for p in _NAMES)
+    alpha = ", ".join(f"greatest(least(e.a_{p} * e.beta_{p}, 1e3), 1e-8) AS alpha_{p}" for p in _NAMES)
+    changed = ", ".join(["mu_u", "mu_d"] + [f"{x}_{p}" for x in ("alpha", "beta") for p in _NAMES])
+    return f"""{sums(theta, str(n))},
+em{n} AS (SELECT {_KEY}, {mu}, {', '.join(f'beta_{p}' for p in _NAMES)}, {ratio}, {', '.join(f'rl_{p}, h_{p}' for p in _NAMES)} FROM sm{n}),
+eb{n} AS (SELECT * EXCLUDE ({', '.join(f'beta_{p}' for p in _NAMES)}), {beta} FROM em{n}),
+{out} AS (SELECT t.* EXCLUDE ({changed}), e.mu_u, e.mu_d, {', '.join(f'e.beta_{p}' for p in _NAMES)}, {alpha}
+  FROM {theta} t JOIN eb{n} e USING ({_KEY}))"""
+
+
+def theta(spans: tuple[int, ...] = (1,), quantile: float = QUANTILE, steps: int = EM_STEPS) -> str:
+    """Theta after `steps` EM steps over the fit window; 0: the start itself."""
+    if not steps:
+        return start_theta(spans, quantile)
+    names = [f"theta{i}" for i in range(steps)] + ["theta"]
+    chain = [start_theta(spans, quantile).replace("theta AS (SELECT *,", "theta0 AS (SELECT *,")]
+    return ",\n".join(chain + [em_step(a, i, b) for i, (a, b) in enumerate(zip(names, names[1:]))])
+
+
 _S = lambda m, k, op: (
     f"coalesce(sum(e.g * exp(-b.beta_{m}{k} * (b.t - e.t))) FILTER (e.k = {'ud'.index(k)} AND e.bar_idx {op} b.bar_idx), 0)"
 )

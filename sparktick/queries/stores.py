@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from sparktick.functions.columns import idiv, to_ns
 from sparktick.operators import bars as B
 from sparktick.operators import excitation as H
+from sparktick.operators.quality import days_of
+from sparktick.operators.fit import few_steps as few_em_steps
 from sparktick.plans import backtest as K
+from sparktick.plans.incremental import ensure_bars, ensure_theta, fit_settings, theta_keys
 from sparktick.queries import backtests as BQ
 from sparktick.queries import common as C
 from sparktick.queries import sql as S
 from sparktick.queries.registry import query, r, rs
 from sparktick.schemas import BAR, DAY, RAW_AGG_TRADES, RAW_TRADES, THETA
-from sparktick.session import scratch_path
-from sparktick.sources import files, store
+from sparktick.session import materialise, scratch_path
+from sparktick.sources import files, keyed, store
 from sparktick.sources.synthetic import random_walk
 from sparktick.sources.tables import table
 
@@ -145,16 +148,29 @@ def s8(spark, sf):
     return store.load(spark, path, "model = 'fixed'").select("seed", "day", "bar_idx")
 
 
+_THETA = [*H.MU, *H.ALPHA, *H.BETA, "mark_scale_u", "mark_scale_d", "event_threshold"]
+
+
+def few_steps(fit_set, head):
+    return few_em_steps(fit_set, H.given_theta(head, S.ALPHA, S.BETA), S.EM_STEPS)
+
+
+def stored_theta(spark, d, *wanted):
+    """A theta store into which each frame of wanted keys was put in turn, and how many keys each of them still needed."""
+    place = keyed.theta_store(spark, scratch_path(spark, "theta"), fit_settings(S.QUANTILE, em_steps=S.EM_STEPS))
+    return place, [ensure_theta(place, d, keys, S.QUANTILE, fit=few_steps) for keys in wanted]
+
+
 @query(
     "s9_theta_store",
-    S.chain(S.events(), S.theta((1, 2))) + f"SELECT symbol, num, w_h, day, {rs('mu_u', 'mu_d', 'mark_scale_u', 'event_threshold')}, n_up + n_down AS n_events FROM theta",
+    S.chain(S.events(), S.theta((1, 2))) + f"SELECT symbol, num, w_h, day, {rs(*_THETA)}, n_up + n_down AS n_events FROM theta",
 )
 def s9(spark, sf):
-    path = scratch_path(spark, "theta")
-    _, theta = C.theta(spark, C.bar_table(spark, sf), (1, 2))
-    H.theta_json(theta).write.partitionBy("symbol", "num", "w_h").json(path)
-    back = spark.read.schema("day date, json string, symbol string, num long, w_h int").json(path)
-    return H.theta_from_json(back, THETA).select(*H.FIT, "mu_u", "mu_d", "mark_scale_u", "event_threshold", "n_events")
+    """Theta by settings, window and day: one window's keys first, then both windows', of which only the new ones are fitted."""
+    d = C.bar_table(spark, sf)
+    keys = lambda *spans: H.fit_windows(C.theta_days(spark, sf), spans).join(d.select("symbol", "num").distinct()).select(*H.FIT)
+    place, _ = stored_theta(spark, d, keys(1), keys(1, 2))
+    return H.theta_from_json(place.load("theta").select(*H.FIT, "json"), THETA).select(*H.FIT, *_THETA, "n_events")
 
 
 _SINK = S.chain(S.LABELS) + "SELECT 'e1' AS experiment, 'fixed__momentum__Wsnn1__seed0' AS run_id, "
@@ -215,3 +231,55 @@ def s13(spark, sf):
     path = scratch_path(spark, "summary")
     store.save_summary(rows, path)
     return spark.read.schema("symbol string, days long, base_accuracy double").csv(path, header=True)
+
+
+# --------------------------------------------------------------------------- runs that go on where earlier ones stopped
+
+_NEEDED = """need AS (SELECT DISTINCT w_h, w_snn, x.day FROM (SELECT unnest([1, 2]) AS w_h),
+  (SELECT w_snn, train_day AS day FROM folds UNION SELECT w_snn, test_day FROM folds) x)"""
+
+
+def _keys_of(spark, sf, d, spans, windows):
+    jobs = K.signal_jobs(K.run_grid(spark, {"excited": True}, ["momentum"], windows, spans, [0]))
+    return theta_keys(jobs, C.folds(spark, sf, *windows), d)
+
+
+@query(
+    "k4_theta_days_left",
+    S.chain(S.folds(1, 3), _NEEDED) + "SELECT DISTINCT 'ALL' AS symbol, CAST(4 AS BIGINT) AS num, w_h, day FROM need WHERE (w_h, day) NOT IN (SELECT (w_h, day) FROM need WHERE w_h = 1 AND w_snn = 1)",
+)
+def k4_left(spark, sf):
+    """After a run over one window: theta keys that a run over all windows still has to fit, read off the store."""
+    d = C.bar_table(spark, sf)
+    place, _ = stored_theta(spark, d, _keys_of(spark, sf, d, (1,), (1,)))
+    return place.missing(_keys_of(spark, sf, d, (1, 2), (1, 3)))
+
+
+@query(
+    "q6_runs_go_on",
+    S.chain(S.folds(1, 3), _NEEDED) + """, first_run AS (SELECT count(DISTINCT (w_h, day)) AS n FROM need WHERE w_h = 1 AND w_snn = 1),
+all_runs AS (SELECT count(DISTINCT (w_h, day)) AS n FROM need)
+SELECT CAST(1 AS INTEGER) AS run, n AS computed FROM first_run UNION ALL SELECT 2, a.n - f.n FROM all_runs a, first_run f UNION ALL SELECT 3, CAST(0 AS BIGINT) FROM all_runs""",
+)
+def q6_runs(spark, sf):
+    """How many theta keys three runs compute: one window, all windows, all windows again."""
+    d = C.bar_table(spark, sf)
+    every = materialise(_keys_of(spark, sf, d, (1, 2), (1, 3)), "theta-keys")
+    _, counts = stored_theta(spark, d, _keys_of(spark, sf, d, (1,), (1,)), every, every)
+    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(counts)], "run int, computed long")
+
+
+@query(
+    "s7_bars_go_on",
+    S.chain() + f"""
+SELECT day, count(*) AS n_bars, {r('sum(vwap)', 'total', 6)}, {r('sum(d)', 'moved', 6)} FROM dd GROUP BY day""",
+    digits=6,
+)
+def s7_go_on(spark, sf):
+    """Bars of the test days of all folds, then of every day up to three days after the last: only missing days are aggregated."""
+    place = keyed.bar_store(spark, scratch_path(spark, "bars"))
+    t = C.trades(spark, sf)
+    of_all = lambda days: days.select(F.lit("ALL").alias("symbol"), "day")
+    ensure_bars(place, t, S.NUM, of_all(C.test_days(spark, sf)))
+    ensure_bars(place, t, S.NUM, of_all(days_of(t, 0, 3)))
+    return place.load("bars").groupBy("day").agg(F.count("*").alias("n_bars"), F.sum("vwap").alias("total"), F.sum("d").alias("moved"))
