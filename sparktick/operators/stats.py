@@ -40,11 +40,25 @@ def two_sided_p(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+EXACT_PAIRS = 50  # up to so many untied pairs the distribution of the rank sum is counted out
+
+
+def rank_sum_counts(n: Column) -> Column:
+    """How many of the 2^n sign patterns of the ranks 1..n give each sum of positive ranks, as an array from sum 0 on.
+
+    One rank more moves a copy of the counts up by its size: a fold over the ranks.
+    """
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    with_rank = lambda acc, k: F.zip_with(F.concat(acc, zeros(k)), F.concat(zeros(k), acc), lambda a, b: a + b)
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.array(F.lit(1.0)), with_rank)
+
+
 def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
-    """Paired comparison per group: n, days ahead, mean difference, Wilcoxon signed-rank z and p.
+    """Paired comparison per group: n, days ahead, mean difference, Wilcoxon signed-rank z and two-sided p.
 
-    Zero differences are dropped from the ranking, ties share ranks, normal approximation with tie correction.
-    Rows are days, so a group is bounded by the calendar.
+    Zero differences are dropped from the ranking, ties share ranks. Without zeros and ties p is exact up to EXACT_PAIRS pairs
+    (`exact` says so); otherwise it is that of the normal approximation with tie correction. Rows are days, so a group is bounded
+    by the calendar.
     """
     keys = list(keys)
     d = F.col(diff)
@@ -62,10 +76,15 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
     z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / F.nullif(spread, F.lit(0.0))
     totals = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n_days"), F.count_if(d > 0).alias("days_ahead"), F.avg(d).alias("mean_diff")
+        F.count("*").alias("n_days"), F.count(d).alias("_known"), F.count_if(d > 0).alias("days_ahead"), F.avg(d).alias("mean_diff")
     )
     out = totals.join(tests, keys, "left").withColumn("z", z)
-    return out.withColumn("p", two_sided_p(F.col("z"))).drop("_ties")
+    exact = F.coalesce((F.col("_ties") == 0) & (F.col("n_used") == F.col("_known")) & (F.col("n_used") <= EXACT_PAIRS), F.lit(False))
+    out = out.withColumn("exact", exact)
+    counts = rank_sum_counts(F.when(F.col("exact"), F.col("n_used")))
+    below = F.aggregate(F.slice(counts, 1, F.least("w_plus", "w_minus").cast("int") + 1), F.lit(0.0), lambda a, b: a + b)
+    counted = F.least(F.lit(1.0), 2.0 * below / F.pow(F.lit(2.0), n))
+    return out.withColumn("p", F.when(F.col("exact"), counted).otherwise(two_sided_p(F.col("z")))).drop("_ties", "_known")
 
 
 # --------------------------------------------------------------------------- rank statistics

@@ -64,22 +64,27 @@ def a7(spark, sf):
     return R.return_per_trade(_daily(spark, sf))
 
 
-def _erfc_p(z: str) -> str:
+def _normal_p(z: str) -> str:
+    """Two-sided normal p by the power series of the error function."""
     x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + 0.5 * {x}))"
-    poly = f"CAST({A._ERFC[-1]} AS DOUBLE)"
-    for c in reversed(A._ERFC[:-1]):
-        poly = f"(CAST({c} AS DOUBLE) + {t} * {poly})"
-    return f"({t} * exp(-{x} * {x} + {poly}))"
+    term = f"(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow({x}, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1))"
+    return f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(90), lambda k: {term}))"
 
 
 def _wilcoxon(source: str, keys: str, diff: str) -> str:
+    """Exact p: subsets of the ranks are counted by a recursion over ranks, one list of counts for each number of pairs."""
+    joined = " AND ".join(f"a.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
     return f""", wr AS (SELECT {keys}, {diff} AS x, rank() OVER (PARTITION BY {keys} ORDER BY abs({diff})) + (count(*) OVER (PARTITION BY {keys}, abs({diff})) - 1) / 2.0 AS rk,
   CAST(count(*) OVER (PARTITION BY {keys}, abs({diff})) AS DOUBLE) AS c FROM {source} WHERE {diff} <> 0),
 wt AS (SELECT {keys}, count(*) AS n_used, coalesce(sum(rk) FILTER (x > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (x < 0), 0) AS w_minus, sum(c * c - 1) AS ties FROM wr GROUP BY {keys}),
-wa AS (SELECT {keys}, count(*) AS n_days, count(*) FILTER ({diff} > 0) AS days_ahead, avg({diff}) AS mean_diff FROM {source} GROUP BY {keys}),
-wz AS (SELECT *, (least(w_plus, w_minus) - n_used * (n_used + 1) / 4) / nullif(sqrt(CAST(n_used AS DOUBLE) * (n_used + 1) * (2 * n_used + 1) / 24 - ties / 48), 0) AS z FROM wa LEFT JOIN wt USING ({keys}))
-SELECT {keys}, n_days, days_ahead, n_used, {rs('mean_diff', 'w_plus', 'w_minus', 'z', digits=6)}, {r(_erfc_p('z'), 'p', 6)} FROM wz"""
+wa AS (SELECT {keys}, count(*) AS n_days, count({diff}) AS known, count(*) FILTER ({diff} > 0) AS days_ahead, avg({diff}) AS mean_diff FROM {source} GROUP BY {keys}),
+wz AS (SELECT a.*, t.n_used, w_plus, w_minus, coalesce(ties = 0 AND n_used = known AND n_used <= 50, FALSE) AS exact,
+  (least(w_plus, w_minus) - n_used * (n_used + 1) / 4) / nullif(sqrt(CAST(n_used AS DOUBLE) * (n_used + 1) * (2 * n_used + 1) / 24 - ties / 48), 0) AS z FROM wa a LEFT JOIN wt t ON {joined}),
+sub AS (SELECT * FROM (WITH RECURSIVE f AS (SELECT 0 AS n, [1.0::DOUBLE] AS c UNION ALL
+  SELECT n + 1, list_transform(range(len(c) + n + 1), lambda i: coalesce(c[i + 1], 0) + CASE WHEN i > n THEN c[i - n] ELSE 0 END) FROM f WHERE n < 50) SELECT n, c FROM f))
+SELECT {keys}, n_days, days_ahead, n_used, {rs('mean_diff', 'w_plus', 'w_minus', 'z', digits=6)}, exact,
+  {r(f"CASE WHEN exact THEN least(1.0, 2 * list_sum(sub.c[1:CAST(least(w_plus, w_minus) AS BIGINT) + 1]) / pow(2, n_used)) ELSE {_normal_p('z')} END", 'p', 6)}
+FROM wz LEFT JOIN sub ON sub.n = wz.n_used"""
 
 
 @query("a8_excess_signed_rank", _HH + _wilcoxon("ex", "model, rule, latency_ms", "excess"), digits=6)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -135,6 +136,20 @@ def test_signed_rank_with_ties_and_zeros(spark):
     assert r.z == pytest.approx((7 - 14) / sd)
 
 
+def test_signed_rank_is_exact_for_untied_days(spark):
+    rng = random.Random(6)
+    groups = {f"g{n}": [rng.choice([-1, 1]) * (k + rng.random() / 2) for k in range(1, n + 1)] for n in (1, 2, 5, 9, 12)}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("zero", 0.0), ("zero", 1.0), ("long", 0.5)] + [("long", 1.0 + k) for k in range(50)]
+    got = {r.g: r for r in A.signed_rank(spark.createDataFrame(rows, "g string, d double"), ["g"], "d").collect()}
+    for g, xs in groups.items():
+        w = min(sum(i + 1 for i in range(len(xs)) if (xs[i] > 0) == up) for up in (True, False))
+        sums = [sum(i + 1 for i in range(len(xs)) if m >> i & 1) for m in range(1 << len(xs))]  # every pattern of signs
+        assert got[g].exact and got[g].p == pytest.approx(min(1.0, 2 * sum(s <= w for s in sums) / len(sums)), rel=1e-12)
+    assert not got["zero"].exact and not got["long"].exact and got["long"].n_used == 51
+    full = spark.range(1).select(A.rank_sum_counts(F.lit(50)).alias("c")).first().c
+    assert len(full) == 1276 and sum(full) == 2.0**50 and full == full[::-1]
+
+
 def test_partial_spearman_equals_residual_correlation(spark):
     rng = np.random.default_rng(8)
     z = rng.normal(size=200)
