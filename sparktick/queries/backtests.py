@@ -155,10 +155,10 @@ _AVG = ", ".join(f"avg({c}) AS {c}" for c in K.METRICS)
 
 _EXP_PARTS = [
     S.LABELS, S.RULES, S.ENTRIES, S.folds(1), S.SCOPED, S.ZSCORE_ONLY, S.events(), S.theta(), S.LAM, NQ.EXCITED_ONLY,
-    GQ.score_sql("zin", "sgz", RATE), GQ.score_sql("lin", "sgl", RATE),
+    GQ.encoded_sql("zin", "sgz", SEEDS, RATE), GQ.encoded_sql("lin", "sgl", SEEDS, RATE),
     f"""jobs AS (SELECT * FROM (VALUES {_JOBS}) t(job, model, w_snn, w_h, seed)),
-sig AS (SELECT job, split, test_day, symbol, day, num, bar_idx FROM jobs JOIN sgz USING (w_snn) WHERE model = 'zscore'
-  UNION ALL SELECT job, split, test_day, symbol, day, num, bar_idx FROM jobs JOIN sgl USING (w_snn) WHERE model = 'excited'),
+sig AS (SELECT job, split, test_day, symbol, day, num, bar_idx FROM jobs JOIN sgz USING (w_snn, seed) WHERE model = 'zscore'
+  UNION ALL SELECT job, split, test_day, symbol, day, num, bar_idx FROM jobs JOIN sgl USING (w_snn, seed) WHERE model = 'excited'),
 stest AS (SELECT * FROM sig WHERE split = 'test'), strain AS (SELECT * FROM sig WHERE split = 'train'),
 jd AS (SELECT job, w_snn, seed, symbol, day, num, n_bars FROM jobs JOIN (SELECT DISTINCT w_snn, test_day AS day FROM folds) USING (w_snn) JOIN base USING (day)),
 rates AS (SELECT jd.*, count(s.bar_idx) AS n_signals FROM jd LEFT JOIN stest s USING (job, symbol, day, num) GROUP BY ALL),
@@ -210,11 +210,12 @@ def experiment(spark, sf) -> K.Experiment:
     inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(lam, folds)}
     scored = None
     for model, rows in inputs.items():
-        part = G.score_signals(G.input_score(rows).withColumn("model", F.lit(model)), ["model"], RATE)
+        rows = G.encoded_score(G.with_seeds(rows, SEEDS), GQ.TICKS, F.col("seed")).withColumn("model", F.lit(model))
+        part = G.score_signals(rows, ["model", "seed"], RATE)
         scored = part if scored is None else scored.unionByName(part)
     runs = K.run_grid(spark, MODELS, RULES, (1,), (1,), SEEDS)
     jobs = K.signal_jobs(runs)
-    signals = materialise(scored.join(jobs.select("job", "model", "w_snn"), ["model", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
+    signals = materialise(scored.join(jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
     labels = materialise(L.bar_labels(d), "labels")
     surface = materialise(E.return_surface(d, default_rules(), S.LATENCIES), "returns")
     return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS)

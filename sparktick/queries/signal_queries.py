@@ -13,6 +13,7 @@ from sparktick.queries import inputs as NQ
 from sparktick.queries import sql as S
 from sparktick.queries.registry import query, r, rs
 from sparktick.schemas import BAR, BAR_DAY
+from sparktick.session import materialise
 
 _B = "symbol, day, num, bar_idx"
 RATE = 0.1
@@ -73,9 +74,44 @@ def score_sql(source: str, out: str, rate: float = RATE) -> str:
   WHERE score > threshold)"""
 
 
+TICKS, SEEDS = 10, (0, 1, 2, 3, 4)
+
+
+def encoded_sql(source: str, out: str, seeds=SEEDS, rate: float = RATE, ticks: int = TICKS) -> str:
+    """Spike counts of seeded draws with a keyed tie break, cut at the (1 - rate) quantile of the training bars."""
+    u = lambda i: S.uniform("seed", "split", "symbol", "day", "'0'", "bar_idx", "k", f"'{i}'")
+    spikes = f"list_sum(list_transform(range({ticks}), lambda k: CAST({u(1)} < p1 AS INTEGER) + CAST({u(2)} < p2 AS INTEGER)))"
+    tie = S.uniform("'tie'", "seed", "split", "symbol", "day", "bar_idx")
+    return f"""{out}_all AS (SELECT z.*, CAST(seed AS INTEGER) AS seed, {spikes} + {tie} AS score FROM {source} z, (SELECT unnest({list(seeds)}) AS seed)),
+{out} AS (SELECT s.*, threshold FROM {out}_all s JOIN (SELECT seed, symbol, num, w_snn, test_day, quantile_cont(score, {1 - rate}) AS threshold
+  FROM {out}_all WHERE split = 'train' GROUP BY ALL) USING (seed, symbol, num, w_snn, test_day) WHERE score > threshold)"""
+
+
 _SK = "w_snn, test_day, split, symbol, day, num, bar_idx"
 
 
+@query("g3_encoded_signals", S.chain(S.folds(1, 3), S.ZSCORE, encoded_sql("zin", "sg")) + f"SELECT seed, {_SK}, {r('score', 'score', 9)} FROM sg", digits=9)
+def g3_encoded(spark, sf):
+    """Signals of five seeds from encoded inputs, at the target rate on the training days."""
+    inputs = G.with_seeds(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)), SEEDS)
+    return G.score_signals(G.encoded_score(inputs, TICKS, F.col("seed")), ["seed"], RATE).drop("threshold")
+
+
+@query(
+    "g3_training_rates",
+    S.chain(S.folds(1, 3), S.ZSCORE, encoded_sql("zin", "sg")) + """, tr_bars AS (SELECT symbol, num, w_snn, test_day, count(*) AS n FROM zin WHERE split = 'train' GROUP BY ALL)
+SELECT CAST(seed AS INTEGER) AS seed, symbol, num, w_snn, test_day, TRUE AS within_one_bar FROM tr_bars, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)""",
+)
+def g3_rates(spark, sf):
+    """For every seed and fold: is the number of training signals the target rate's, to within one bar?"""
+    inputs = materialise(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)), "inputs")
+    keys = ["symbol", "num", "w_snn", "test_day"]
+    fired = G.score_signals(G.encoded_score(G.with_seeds(inputs, SEEDS), TICKS, F.col("seed")), ["seed"], RATE).filter("split = 'train'")
+    wanted = G.with_seeds(inputs.filter("split = 'train'").groupBy(*keys).agg(F.count("*").alias("n")), SEEDS)
+    rows = wanted.join(fired.groupBy("seed", *keys).agg(F.count("*").alias("fired")), ["seed", *keys], "left")
+    return rows.select("seed", *keys, (F.abs(F.coalesce("fired", F.lit(0)) - RATE * F.col("n")) <= 1).alias("within_one_bar"))
+
+
 # The score already has 9 digits: rounding it again to fewer could hit exact halves.
 @query("g3_zscore_signals", S.chain(S.folds(1, 3), S.ZSCORE, score_sql("zin", "sg")) + f"SELECT {_SK}, score FROM sg", digits=9)
 def g3(spark, sf):
