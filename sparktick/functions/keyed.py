@@ -19,3 +19,27 @@ def gaussian(*keys: Column | str | int) -> Column:
     """Standard normal draw (Box-Muller over two keyed uniforms)."""
     u, v = uniform(*keys, "a"), uniform(*keys, "b")
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2.0 * math.pi * v)
+
+
+SHUFFLE_ROUNDS = 20
+
+
+def shuffle_shifts(size: Column, *keys: Column | str | int, rounds: int = SHUFFLE_ROUNDS) -> Column:
+    """The shifts of `shuffled`'s rounds: the same for all positions, so worth computing before rows are made."""
+    return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.floor(uniform(*keys, "shift", r) * size))
+
+
+def shuffled(position: Column, size: Column, shifts: Column, *keys: Column | str | int) -> Column:
+    """Where a keyed permutation of 0 .. size-1 sends `position`, without enumerating the others (swap-or-not shuffle).
+
+    A round pairs x with (shift - x) mod size, and one keyed bit of the pair decides whether its two members change places. Each
+    round, and so the whole, is a permutation of any range: the images of the first n positions are n distinct numbers.
+    """
+    parts = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]
+
+    def one(x: Column, r: Column) -> Column:
+        y = F.pmod(F.get(shifts, r) - x, size)
+        bit = F.substring(F.md5(F.concat_ws("|", *parts, r.cast("string"), F.greatest(x, y).cast("string"))), 1, 1) < "8"
+        return F.when(bit, y).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(shifts) - 1), position.cast("long"), one)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktick.functions.columns import ratio
-from sparktick.functions.keyed import uniform
-from sparktick.operators.spread import exact_quantiles, number_rows
+from sparktick.functions.keyed import shuffle_shifts, shuffled, uniform
+from sparktick.operators.spread import exact_quantiles
 from sparktick.schemas import BAR, BAR_DAY
 
 
@@ -63,24 +63,24 @@ def random_bars(
 ) -> DataFrame:
     """`reps` random-timing samples per (series, rule, day): n distinct eligible bars, n as in the reference.
 
-    `reference(series, symbol, day, num, n_signals, n_bars)`; eligible bars are history <= t <= n_bars-1-delay.
-    Each bar draws a keyed uniform and the n smallest win; the draw is shared by all rules of a (rep, day).
+    `reference(series, symbol, day, num, n_signals, n_bars)`; eligible bars are history <= t <= n_bars-1-delay. A keyed
+    permutation of the eligible bars sends 0, 1, .. n-1 to the sample: a row is made for each drawn bar, none for the others,
+    and nothing is shuffled or sorted.
     """
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(h).alias("lo")) for r, h in histories.items()])
+    key = ["naive", F.col("rep"), F.col("day"), F.col(seed), F.col("symbol")]
     jobs = reference.filter("n_signals > 0").select(
-        *series, *BAR_DAY, "n_signals", (F.col("n_bars") - 1 - delay).alias("_hi"), F.explode(rules).alias("_rule")
+        *series, *BAR_DAY, "n_signals", "n_bars", F.explode(rules).alias("_rule")
     ).select("*", "_rule.rule", F.col("_rule.lo").cast("long").alias("_lo"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    # Two-step explode: blocks first, bars inside a block second, so that one long day becomes many rows early.
+    jobs = jobs.withColumn("_size", (F.col("n_bars") - delay - F.col("_lo")).cast("long")).filter("_size > 0")
+    jobs = jobs.withColumn("_n", F.least(F.col("n_signals").cast("long"), F.col("_size"))).withColumn("_shifts", shuffle_shifts(F.col("_size"), *key))
+    # Two-step explode: blocks first, positions inside a block second, so that a large sample becomes many rows early.
     block = 4096
-    jobs = jobs.filter("_hi >= _lo").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))))
-    first = F.greatest(F.col("_lo"), F.col("_block") * block)
-    last = F.least(F.col("_hi"), F.col("_block") * block + block - 1)
-    bars = jobs.withColumn("bar_idx", F.explode(F.sequence(first, last)))
-    u = uniform("naive", F.col("rep"), F.col("day"), F.col(seed), F.col("symbol"), F.col("bar_idx"))
-    drawn = bars.withColumn("_u", u)
-    keys = [*series, "rule", "rep", *BAR_DAY]
-    numbered = number_rows(drawn, keys, [F.floor(F.col("_u") * 64)], ["_u", "bar_idx"], "_rn")
-    return numbered.filter(F.col("_rn") < F.col("n_signals")).select(*keys, "bar_idx")
+    jobs = jobs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))))
+    last = F.least(F.col("_n") - 1, F.col("_block") * block + block - 1)
+    drawn = jobs.withColumn("_i", F.explode(F.sequence(F.col("_block") * block, last)))
+    bar = F.col("_lo") + shuffled(F.col("_i"), F.col("_size"), F.col("_shifts"), *key)
+    return drawn.select(*series, "rule", "rep", *BAR_DAY, bar.alias("bar_idx"))
 
 
 def score_signals(

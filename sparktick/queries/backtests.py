@@ -134,7 +134,6 @@ _JOBS = ", ".join(
     f"('{m}__Wsnn1{'__Wh1' if m == 'excited' else ''}__seed{s}', '{m}', 1, {1 if m == 'excited' else 'CAST(NULL AS INTEGER)'}, {s})"
     for m in MODELS for s in SEEDS
 )
-_NAIVE = S.uniform("'naive'", "rep", "b.day", "seed", "b.symbol", "b.bar_idx")
 _MET = """count(bar_idx) AS n_signals, count(*) FILTER (evaluable) AS n_evaluated, count(bar_idx) - count(*) FILTER (evaluable) AS n_excluded,
   count(*) FILTER (real) AS n_real, count(*) FILTER (momentum) AS n_momentum, count(*) FILTER (real) / nullif(count(*) FILTER (evaluable), 0) AS accuracy,
   count(*) FILTER (momentum) / nullif(count(*) FILTER (evaluable), 0) AS momentum_pct, max(base_accuracy) AS base_accuracy,
@@ -168,10 +167,7 @@ lim AS (SELECT q.job, q.symbol, q.day, q.num, max(a) FILTER (i = floor((m - 1) *
   max((m - 1) * (1 - n_signals / n_bars)) AS pos FROM rates q JOIN pooled p ON p.w_snn = q.w_snn AND p.test_day = q.day AND p.symbol = q.symbol AND p.num = q.num
   WHERE n_signals > 0 GROUP BY q.job, q.symbol, q.day, q.num),
 big AS (SELECT job, dd.symbol, dd.day, dd.num, dd.bar_idx FROM lim JOIN dd USING (symbol, day, num) WHERE abs(d) > lo + (hi - lo) * (pos - floor(pos))),
-el AS (SELECT q.job, h.rule, rep, b.symbol, b.day, b.num, b.bar_idx, n_signals, {_NAIVE} AS u FROM rates q,
-  (SELECT unnest({RULES}) AS rule, unnest([3, 1, 2]) AS lo) h, (SELECT unnest(range(0, {REPS})) AS rep), bars b
-  WHERE b.day = q.day AND b.symbol = q.symbol AND b.num = q.num AND b.bar_idx >= lo AND b.bar_idx <= n_bars - 2),
-naive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job, rule, rep, symbol, day, num ORDER BY u, bar_idx) AS i FROM el) WHERE i <= n_signals),
+naive AS ({GQ.naive_sql('rates', 'day', REPS)}),
 grid AS (SELECT jd.*, rule, latency_ms FROM jd, (SELECT unnest({RULES}) AS rule), (SELECT unnest([{', '.join(map(str, S.LATENCIES))}]::DOUBLE[]) AS latency_ms)),
 rgrid AS (SELECT grid.*, rep FROM grid, (SELECT unnest(range(0, {REPS})) AS rep)),
 own AS (SELECT 'model' AS source, job, symbol, day, num, bar_idx FROM stest UNION ALL SELECT 'big_move', job, symbol, day, num, bar_idx FROM big),

@@ -50,16 +50,18 @@ def g1(spark, sf):
     return G.big_moves(d, folds, rates, [])
 
 
-_NAIVE = S.uniform("'naive'", "rep", "day", "seed", "symbol", "bar_idx")
+def naive_sql(source: str, day: str, reps: int) -> str:
+    """Random samples as many as the reference's signals: `source` has symbol, num, seed, n_signals, n_bars and the day column."""
+    where = S.shuffled("i", "size", "'naive'", "rep", "day", "seed", "symbol")
+    return f"""SELECT * EXCLUDE (lo, size, i), lo + {where} AS bar_idx FROM (SELECT *, unnest(range(0, least(n_signals, size))) AS i FROM (
+  SELECT q.* EXCLUDE ({day}), q.{day} AS day, h.rule, h.lo, rep, CAST(n_bars - 1 - lo AS BIGINT) AS size FROM {source} q,
+    (SELECT unnest(['momentum', 'alexanders_filter', 'stochastic_oscillator']) AS rule, unnest([3, 1, 2]) AS lo) h, (SELECT unnest(range(0, {reps})) AS rep)) WHERE size > 0)"""
 
 
 @query(
     "g2_random_timing",
-    S.chain(S.folds(1), _REF) + f""", el AS (SELECT q.symbol, q.test_day AS day, q.num, h.rule, rep, b.bar_idx, n_signals, 0 AS seed
-  FROM ref q, (SELECT unnest(['momentum', 'alexanders_filter', 'stochastic_oscillator']) AS rule, unnest([3, 1, 2]) AS lo) h, (SELECT unnest(range(0, 4)) AS rep), bars b
-  WHERE b.day = q.test_day AND b.symbol = q.symbol AND b.num = q.num AND b.bar_idx >= lo AND b.bar_idx <= n_bars - 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY rule, rep, symbol, day, num ORDER BY {_NAIVE}, bar_idx) AS i FROM el)
-SELECT rule, CAST(rep AS INTEGER) AS rep, symbol, day, num, bar_idx FROM rk WHERE i <= n_signals""",
+    S.chain(S.folds(1), _REF) + f""", zref AS (SELECT *, 0 AS seed FROM ref)
+SELECT rule, CAST(rep AS INTEGER) AS rep, symbol, day, num, bar_idx FROM ({naive_sql('zref', 'test_day', 4)})""",
 )
 def g2(spark, sf):
     d, folds = C.diffs(spark, sf), C.folds(spark, sf, 1)

@@ -23,6 +23,14 @@ def uniform(*keys: str) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', {inner})), 1, 15) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE))"
 
 
+def shuffled(position: str, size: str, *keys: str, rounds: int = 20) -> str:
+    """Image of a position under a keyed permutation of 0 .. size-1: swap-or-not rounds as a fold."""
+    shift = f"CAST(floor({uniform(*keys, chr(39) + 'shift' + chr(39), 'r')} * {size}) AS BIGINT)"
+    other = f"((({shift} - x) % {size} + {size}) % {size})"
+    bit = f"substr(md5(concat_ws('|', {', '.join(keys)}, r, greatest(x, {other}))), 1, 1) < '8'"
+    return f"list_reduce(range({rounds}), lambda x, r: CASE WHEN {bit} THEN {other} ELSE x END, CAST({position} AS BIGINT))"
+
+
 def trades(symbol: str = "'ALL'") -> str:
     return f"""tr AS (SELECT {symbol} AS symbol, CAST(ts AS DATE) AS day, epoch_us(ts) * 1000 AS ts_ns, 100.0 + value AS price,
   CAST(1 + event_id % 7 AS DOUBLE) AS qty, event_type IN ('error', 'signup') AS maker, event_id AS trade_id FROM events),

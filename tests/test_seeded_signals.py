@@ -48,3 +48,33 @@ def test_higher_inputs_fire_more_often(spark):
     rows = G.encoded_score(inputs(spark, 300, lambda i: 0.6 if i % 10 == 0 else 0.1), 10, 0)
     fired = [r.bar_idx % 10 == 0 for r in G.score_signals(rows, [], 0.1).collect()]
     assert sum(fired) > 0.7 * len(fired)
+
+
+def test_keyed_shuffle_is_a_permutation_of_any_range(spark):
+    from sparktick.functions.keyed import shuffle_shifts, shuffled
+
+    sizes = [1, 2, 3, 7, 64, 101, 1000]
+    rows = spark.createDataFrame([(m,) for m in sizes], "m long").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    got = rows.select("m", "i", shuffled(F.col("i"), F.col("m"), shuffle_shifts(F.col("m"), "k", F.col("m")), "k", F.col("m")).alias("x")).collect()
+    for m in sizes:
+        images = [r.x for r in sorted((r for r in got if r.m == m), key=lambda r: r.i)]
+        assert sorted(images) == list(range(m))
+        assert m < 50 or images != sorted(images)
+        assert m < 1000 or abs(sum(a < b for a, b in zip(images, images[1:])) - 500) < 80  # neighbours go apart
+
+
+def test_random_bars_are_spread_evenly_and_need_no_shuffle(spark):
+    ref = spark.createDataFrame([("S", DAY, 10, 0, 20, 104)], "symbol string, day date, num long, seed int, n_signals long, n_bars long")
+    rows = G.random_bars(ref, ["seed"], 400, {"r": 3})
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = rows.collect()
+    assert len(got) == len({(r.rep, r.bar_idx) for r in got}) == 400 * 20
+    counts = [sum(r.bar_idx == b for r in got) for b in range(3, 103)]
+    assert sum(counts) == 8000 and min(counts) > 40 and max(counts) < 125  # 80 each, on average
+    assert sum((c - 80) ** 2 / 80 for c in counts) < 150  # 99 degrees of freedom, less by drawing without repeats
+
+
+def test_random_bars_beyond_what_is_eligible(spark):
+    ref = spark.createDataFrame([("S", DAY, 10, 0, 50, 10), ("T", DAY, 10, 0, 5, 3), ("U", DAY, 10, 0, 0, 50)], "symbol string, day date, num long, seed int, n_signals long, n_bars long")
+    got = G.random_bars(ref, ["seed"], 2, {"r": 3}).collect()
+    assert {(r.symbol, r.rep): sorted(x.bar_idx for x in got if (x.symbol, x.rep) == (r.symbol, r.rep)) for r in got} == {("S", i): [3, 4, 5, 6, 7, 8] for i in (0, 1)}
