@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktick.session import materialise
+from sparktick.session import discard, materialise
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
             .alias("e")
         ).select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct()
-        links = materialise(small, "component-links")
+        spent, links = links, materialise(small, "component-links")
+        discard(spent)
         after = links.agg(mark).first()
         if after == before:
             break

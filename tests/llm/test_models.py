@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparktick.llm.chat import chat_trees, escape, formatted_turn, parsed, read_back, unescape
-from sparktick.llm.neardup import drop_near_duplicates, near_duplicate_groups, tables_for
+from sparktick.llm.neardup import drop_near_duplicates, near_duplicate_groups
 from sparktick.llm.neighbours import nearest, perturbations
 from sparktick.llm.quality import BITS, gram_scores, quality
 from sparktick.llm.toxicity import CharModel, Detector, arcs, restore, skeletons, toxicity, word_starts
@@ -313,8 +313,6 @@ def test_drop_near_copies(spark, empty):
     want = {g for _, g in near_groups(texts)}
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got.collect()) == sorted((g is not None, g or 0) for g in want)
     assert drop_near_duplicates(empty).count() == 0
-    bits, tables = tables_for(1_000_000, 0.8, 0.97)
-    assert bits == 20 and 1 - (1 - 0.8485**bits) ** tables > 0.96
 
 
 @pytest.mark.parametrize(("few", "block", "work"), [(3, 512, 64), (1, 4, 0)])
