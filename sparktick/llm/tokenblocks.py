@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,13 @@ from sparktick.session import materialise, scratch_path
 
 MAGIC = b"PFOR"
 BLOCK = 256  # ids of a block
-SEGMENT_IDS = 1 << 20  # a segment ends with the document that reaches so many ids
+SEGMENT_IDS = 1 << 18  # a segment ends with the document that reaches so many ids
 SEGMENTS_A_FILE = 4
 PERCENTILE = 90
 AT_ONCE = 512  # blocks whose bits are spread out at once
-REMEMBERED = 150_000  # distinct parts of a generation; a worker keeps two
-BLOCK_BYTES = 2 << 20
+REMEMBERED = 200_000  # distinct parts of a generation; a worker keeps two
+BLOCK_BYTES = 4 << 20
+ODD = r"<\||[^\x00-\x1b\x20-\x{24F}]"  # may hold a special token's string, or characters beyond those `PIECES` knows
 
 # A file is a run of segments, each followed by one line feed. A segment, little endian:
 #   header  "PFOR", then unsigned 32-bit: bytes of the segment, partition, number in the partition, documents, blocks, exceptions;
@@ -144,13 +147,16 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 
 class WordIds:
-    """Ids of parts of texts, each distinct part encoded once by the library, many parts at a time.
+    """Ids of texts through their distinct chunks: what stands between blanks or line feeds, across which the file joins nothing.
 
-    Texts of Latin characters are cut where the file's pattern cuts them, in lower case as its normaliser makes them. Other texts,
-    and those that may hold a special token's string, are only cut at blanks and line feeds, across which nothing is joined.
+    Signs behind a letter are chunks of their own, and texts without odd characters are read in lower case, so few chunks are distinct.
+    Chunks of Latin characters are cut into words where the file's pattern cuts them, in lower case as its normaliser makes them;
+    words are learned from the library many at a call and remembered. Other chunks, and those that may hold a special token's
+    string, are encoded by the library as they are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -163,31 +169,50 @@ class WordIds:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Ids of many words from one call: joined by blanks, and cut after each token that ends a word."""
-        ids = np.asarray(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(words):  # not one word each: one by one
-            for word in words:
-                self.known[word] = np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        raw = ids.tobytes()
-        self.known.update(zip(words, [raw[x:y] for x, y in zip([0, *stops], stops)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of many words: joined by blanks, 500 at a time, and cut after each token that ends a word."""
+        some = [words[at:at + 500] for at in range(0, len(words), 500)]
+        for group, found in zip(some, self.library.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+            ids = np.asarray(found.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(group):
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+            else:  # not one word each: one by one
+                self.known.update((word, self.alone(word)) for word in group)
+
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Ids of each text: its distinct chunks are found by Arrow, encoded once, and put in the texts' order again by Arrow."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        usual = [not UNUSUAL.search(t) and "<|" not in t for t in texts]
-        cut = [PIECES.findall(t.lower()) if u else t.replace("\n", " ").split(" ") for t, u in zip(texts, usual)]
-        wanted = set().union(*(c for c, u in zip(cut, usual) if u)).difference(self.known)
+        odd = pc.match_substring_regex(texts, ODD)
+        mixed = pc.any(odd).as_py()
+        texts = pc.if_else(odd, texts, pc.ascii_lower(texts)) if mixed else pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")  # a word always ends there
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = pc.dictionary_encode(cut.flatten())
+        chunk = found.dictionary.to_pylist()
+        ids = list(map(self.known.get, chunk))  # most chunks are words known by now
+        open_ = [i for i, found_ids in enumerate(ids) if found_ids is None]
+        words = []
+        for c in map(chunk.__getitem__, open_):
+            words.append(None if mixed and (UNUSUAL.search(c) or "<|" in c) else [c.lower()] if c.isalpha() else PIECES.findall(c.lower()))
+        wanted = {w for ws in words if ws for w in ws}.difference(self.known)
         again = self.older.keys() & wanted
         self.known.update((w, self.older[w]) for w in again)
         new = list(wanted - again)
-        for at in range(0, len(new), 500):
-            self.learn(new[at:at + 500])
-        for c, u in zip(cut, usual):
-            for part in () if u else set(c).difference(self.known):
-                self.known[part] = np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for at in range(0, len(new), 20_000):
+            self.learn(new[at:at + 20_000])
+        known = self.known.__getitem__
+        for i, ws in zip(open_, words):
+            ids[i] = self.alone(chunk[i]) if ws is None else known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+        placed = pa.array(ids, pa.large_binary()).take(found.indices)
+        _, bounds, data = placed.buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(placed) + 1)[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:])]
+
+    def alone(self, chunk: str) -> bytes:
+        return np.asarray(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -206,6 +231,7 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordIds(tokenizer)
+        pa.set_memory_pool(pa.system_memory_pool())  # gives buffers back at once
         encoder, task, number = _ENCODERS[tokenizer], TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
         doc_ids, lengths, held, size = [], [], [], 0
@@ -215,9 +241,9 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["segment"])
 
         for some in chunks(batches, "text", BLOCK_BYTES):
-            texts = [t for b in some for t in b.column("text").to_pylist()]
+            texts = pa.concat_arrays([b.column("text") for b in some])
             for doc_id, ids in zip((i for b in some for i in b.column("doc_id").to_pylist()), encoder.encode(texts)):
-                doc_ids.append(doc_id), lengths.append(len(ids) // 4 + 1), held.extend((ids, end))
+                doc_ids.append(doc_id), lengths.append(len(ids) // 4 + 1), held.extend((bytes(ids), end))
                 size += lengths[-1]
                 if size >= segment_ids:
                     yield close()

@@ -331,3 +331,18 @@ def test_spelling_query(spark, sf):
     counts = spark.createDataFrame([(w,) for w in got], "word string").filter(F.length("word") < 7).count()
     want = brute_groups(texts, least=2) if len(got) < 6000 else got
     assert counts == 0 and got == want
+
+
+def test_words_are_encoded_as_by_the_library():
+    import pyarrow as pa
+
+    from sparktick.llm.tokenblocks import WordIds
+
+    rng = random.Random(1)
+    signs = "aAbZ.,;:!?'’ \n\t1²ÄäÖß<|>éÉ́̌ -_/\\sStTrReE"
+    texts = ["J̌ust H̱ello T̈.", "a.b,c!d...e", "don't.it's'S", "<|STARTOFTEXT|> x.y <|endoftext|>z", "İSTANBUL Σς ΑΣ. x", "日本語.abc. Привет!", "", "'re'll 'D"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    words = WordIds(WORD_BPE)
+    for some in (texts, texts[:3], texts[8:]):
+        for text, ids in zip(some, words.encode(pa.array(some))):
+            assert np.frombuffer(bytes(ids), "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids, text
