@@ -422,7 +422,7 @@ _NUMBERED = "WITH " + S.trades() + f""", st AS (SELECT *, CASE WHEN day = DATE '
 
 @query(
     "c1_perturb_truncate",
-    _NUMBERED + f""", k AS (SELECT symbol, day, count(*) // 3 AS keep FROM st WHERE seq >= s0 GROUP BY ALL)
+    _NUMBERED + f""", k AS (SELECT symbol, day, count(*) // {AU.KEPT_OF} AS keep FROM st WHERE seq >= s0 GROUP BY ALL)
 SELECT symbol, day, ts_ns, {rs('price', 'qty')}, maker AS is_buyer_maker, trade_id FROM st LEFT JOIN k USING (symbol, day) WHERE s0 IS NULL OR seq < s0 OR seq - s0 < keep""",
 )
 def c1_truncate(spark, sf):
@@ -435,10 +435,10 @@ _CK = ("'3'", "'values'", "symbol", "day", "seq")
 
 @query(
     "c1_perturb_values",
-    _NUMBERED + f""", w AS (SELECT *, sum(0.002 * {SQ._gauss(*_CK, "'step'")}) OVER (PARTITION BY symbol, day ORDER BY seq) AS walk,
-  0.02 * {SQ._gauss("'3'", "'values'", "symbol", "day", "'shift'")} AS shift, {SQ._gauss(*_CK, "'size'")} AS size, {S.uniform(*_CK, "'side'")} < 0.5 AS side FROM st WHERE seq >= s0)
+    _NUMBERED + f""", w AS (SELECT *, sum({AU.PRICE_STEP} * {SQ._gauss(*_CK, "'step'")}) OVER (PARTITION BY symbol, day ORDER BY seq) AS walk,
+  {AU.PRICE_LEVEL} * (2 * {S.uniform("'3'", "'values'", "symbol", "day", "'level'")} - 1) AS level, {SQ._gauss(*_CK, "'size'")} AS size, {S.uniform(*_CK, "'side'")} < 0.5 AS turned FROM st WHERE seq >= s0)
 SELECT symbol, day, ts_ns, {rs('price', 'qty', digits=6)}, maker AS is_buyer_maker, trade_id FROM st WHERE s0 IS NULL OR seq < s0
-UNION ALL SELECT symbol, day, ts_ns, {r('price * exp(walk + shift)', 'price', 6)}, {r('exp(-3.0 + 1.5 * size)', 'qty', 6)}, side, trade_id FROM w""",
+UNION ALL SELECT symbol, day, ts_ns, {r('price * exp(walk + level)', 'price', 6)}, {r(f'qty * exp({AU.SIZE_SPREAD} * size)', 'qty', 6)}, maker <> turned, trade_id FROM w""",
     digits=6,
 )
 def c1_values(spark, sf):
@@ -446,9 +446,22 @@ def c1_values(spark, sf):
     return rows.select("symbol", "day", "ts_ns", "price", "qty", "is_buyer_maker", "trade_id")
 
 
-@query("c2_perturb_world_resample")
+_WORLDS = "WITH " + S.trades() + f""", wl AS (SELECT s.*, t.bar, 'ALL#' || t.bar || '#resample' AS world,
+  CASE WHEN day = DATE '{_DAY}' THEN (t.bar + 1) * {S.NUM} WHEN day > DATE '{_DAY}' THEN 0 END AS s0 FROM seqd s, (SELECT unnest([{', '.join(map(str, _BARS))}]) AS bar) t),
+kept AS (SELECT world AS symbol, day, count(*) AS n, min(ts_ns) AS a, max(ts_ns) AS b FROM wl WHERE s0 IS NULL OR seq < s0 GROUP BY ALL
+  UNION ALL SELECT symbol, day, count(*), min(ts_ns), max(ts_ns) FROM seqd GROUP BY ALL),
+lost AS (SELECT world AS symbol, day, count(*) FILTER (seq >= s0) AS k, coalesce(max(ts_ns) FILTER (seq = s0 - 1), epoch_us(CAST(day AS TIMESTAMP)) * 1000) AS begin FROM wl WHERE s0 IS NOT NULL GROUP BY world, day),
+news AS (SELECT *, CAST(greatest(1, floor(k * ({AU.FEWEST} + {AU.WIDTH} * {S.uniform("'0'", "'resample'", 'symbol', 'day', "'count'")}))) AS BIGINT) AS n,
+  epoch_us(CAST(day AS TIMESTAMP)) * 1000 + 86400000000000 - begin AS room FROM lost WHERE k > 0),
+ends AS (SELECT *, unnest([0, n - 1]) AS seq FROM news),
+made AS (SELECT symbol, day, max(e.n) AS total, min(begin + CAST(floor((seq + {S.uniform("'0'", "'resample'", 'symbol', 'day', 'seq', "'time'")}) / e.n * room) AS BIGINT)) AS first_at,
+  max(begin + CAST(floor((seq + {S.uniform("'0'", "'resample'", 'symbol', 'day', 'seq', "'time'")}) / e.n * room) AS BIGINT)) AS last_at FROM ends e GROUP BY symbol, day)
+SELECT symbol, day, CAST(sum(n) AS BIGINT) AS n_trades, min(a) AS first_ts_ns, max(b) AS last_ts_ns FROM (SELECT * FROM kept UNION ALL SELECT * FROM made) GROUP BY symbol, day"""
+
+
+@query("c2_perturb_world_resample", _WORLDS)
 def c2(spark, sf):
-    """Rows per day and world after resampling (random counts by key: no SQL)."""
+    """Trades and their first and last time for each day and world after resampling."""
     worlds = AU.perturbed_worlds(C.trades(spark, sf), _DAY, _BARS, S.NUM, ["resample"])
     return worlds.groupBy("symbol", "day").agg(F.count("*").alias("n_trades"), F.min("ts_ns").alias("first_ts_ns"), F.max("ts_ns").alias("last_ts_ns"))
 

@@ -13,11 +13,13 @@ import __spark_entry__ as entry  # noqa: E402
 from verify import compare, connect  # noqa: E402
 
 NO_SQL = {
-    "h11_em_fit", "h11_optimum", "a12_signal_effect", "a13_half_split_auc", "c2_perturb_world_resample", "c4_audit_finds_same_day_leak",
+    "h11_em_fit", "a12_signal_effect", "a13_half_split_auc", "c4_audit_finds_same_day_leak",
 }
 CHECKED = [
     "b1_vwap_bars", "b1_vwap_bars_ties", "b1_vwap_bars_by_symbol", "q3_coverage", "l6_day_metrics", "d4_all_rules", "e2_trades",
     "k7_performance", "n2_shifted_zscore", "g2_random_timing", "h5_decayed_sums", "s1_parse_agg_trades", "a15_autocorrelation",
+    "h6_intensities", "h11_rejects", "h16_full_review", "h19_provenance", "g3_encoded_signals", "k4_theta_days_left", "q6_runs_go_on", "s7_bars_go_on",
+    "s9_theta_store", "c2_perturb_world_resample", "a8_model_gap_signed_rank",
 ]
 
 
