@@ -112,19 +112,22 @@ def input_score(inputs: DataFrame) -> DataFrame:
 
 
 def encoded_score(inputs: DataFrame, ticks: int, seed: Column | int) -> DataFrame:
-    """Score of seeded inputs: spikes of both channels over `ticks` Bernoulli draws (those of `normalise.encode`), plus a keyed tie break.
+    """Score of seeded inputs: spikes of both channels over `ticks` Bernoulli draws (those of `normalise.encode`), plus a keyed tie break; also
+    the counts themselves as spikes_1 and spikes_2.
 
     Spike counts repeat, so a threshold on them alone would miss its target rate by whole classes of equal counts. The tie break
     below one orders bars of equal counts by a draw, and a quantile of the sum then cuts the training bars at the target rate to
     within one bar. Draws are summed where the bar is, no row is made for a tick.
     """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    draw = lambda t, i: uniform(seed, F.col("split"), F.col("symbol"), F.col("day"), 0, F.col("bar_idx"), t, i)
-    spikes = F.aggregate(
-        F.sequence(F.lit(0), F.lit(ticks - 1)), F.lit(0), lambda n, t: n + (draw(t, 1) < F.col("p1")).cast("int") + (draw(t, 2) < F.col("p2")).cast("int"),
-    )
-    tie = uniform("tie", seed, F.col("split"), F.col("symbol"), F.col("day"), F.col("bar_idx"))
-    return inputs.withColumn("score", spikes + tie)
+    key = (seed, F.col("split"), F.col("symbol"), F.col("day"))
+
+    def spikes(i: int) -> Column:
+        one = lambda n, t: n + (uniform(*key, 0, F.col("bar_idx"), t, i) < F.col(f"p{i}")).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ticks - 1)), F.lit(0), one)
+
+    counted = inputs.withColumns({"spikes_1": spikes(1), "spikes_2": spikes(2)})
+    return counted.withColumn("score", F.col("spikes_1") + F.col("spikes_2") + uniform("tie", *key, F.col("bar_idx")))
 
 
 def with_seeds(rows: DataFrame, seeds: Sequence[int]) -> DataFrame:

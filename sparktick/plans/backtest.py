@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparktick.functions.columns import ratio
 from sparktick.functions.rules import Rule
-from sparktick.operators.labels import METRICS, day_base, day_metrics
+from sparktick.operators.labels import METRICS, day_base, day_metrics, output_health
 from sparktick.operators.signals import big_moves, random_bars, signal_rates
 from sparktick.schemas import BAR, BAR_DAY
 
@@ -246,6 +246,15 @@ class Experiment:
         naive = mean_over_reps(self.naive_daily(), keys).withColumn("source", F.lit("naive_mean"))
         return parts[0].unionByName(parts[1]).unionByName(naive)
 
+    def trades(self) -> DataFrame:
+        """Every trade of the models' and the big moves' signals: one row for each rule and latency that takes the signal."""
+        own = self.test.withColumn("source", F.lit("model")).unionByName(self.big.withColumn("source", F.lit("big_move")))
+        return own.join(self.surface, BAR)
+
+    def health(self) -> DataFrame:
+        """Output health of every job and test day."""
+        return output_health(day_metrics(self.labels, self.test, ["job"], self.job_days))
+
     def naive_daily(self) -> DataFrame:
         keys = ["job", "rule", "latency_ms", "rep"]
         trades = self.naive.join(self.surface, [*BAR, "rule"])

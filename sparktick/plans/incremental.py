@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparktick.operators.bars import differences, vwap_bars
 from sparktick.operators.excitation import FIT, fit_events, theta_json
 from sparktick.operators.fit import BETA_GRID, RHO_MOST, fit_theta
-from sparktick.plans.backtest import fit_days_needed
+from sparktick.plans.backtest import Experiment, fit_days_needed
 from sparktick.session import materialise
 from sparktick.sources.keyed import KeyedStore
 
@@ -72,3 +72,20 @@ def ensure_theta(
         return {"theta": theta.join(theta_json(theta, marks, axis), FIT)}
 
     return store.ensure(wanted, compute)
+
+
+RESULTS = ("signals", "trades", "daily", "spike_metrics", "input_stats", "health", "performance")
+
+
+def result_tables(x: Experiment, input_stats: DataFrame, name: str) -> dict[str, DataFrame]:
+    """All results of an experiment, keyed by experiment and job; `input_stats` has a job column."""
+    tables = {
+        "signals": x.test, "trades": x.trades(), "daily": x.daily(), "spike_metrics": x.spike_days(), "input_stats": input_stats,
+        "health": x.health(), "performance": x.strategy_rows(),
+    }
+    return {table: rows.withColumn("experiment", F.lit(name)) for table, rows in tables.items()}
+
+
+def commit_results(store: KeyedStore, x: Experiment, input_stats: DataFrame, name: str) -> str:
+    """Write all result tables of an experiment's jobs in one commit: readers see all of them or none."""
+    return store.commit(result_tables(x, input_stats, name), x.jobs.select(F.lit(name).alias("experiment"), "job"))

@@ -16,8 +16,10 @@ from sparktick.queries import inputs as NQ
 from sparktick.queries import signal_queries as GQ
 from sparktick.queries import sql as S
 from sparktick.queries.registry import query, r, rs
+from sparktick.plans.incremental import commit_results
 from sparktick.schemas import BAR
-from sparktick.session import materialise
+from sparktick.session import materialise, scratch_path
+from sparktick.sources.keyed import result_store
 
 RULES = ["momentum", "alexanders_filter", "stochastic_oscillator"]
 MODELS = {"zscore": False, "excited": True}
@@ -198,15 +200,20 @@ spk AS (SELECT job, split, source, {_AVG} FROM sdays GROUP BY job, split, source
 EXPERIMENT = S.chain(*_EXP_PARTS) + "\n"
 
 
+def _scored(spark, sf, d, folds):
+    """Encoded inputs of both models and all seeds, with their score."""
+    lam = C.intensities(spark, d)
+    inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(lam, folds)}
+    for model, rows in inputs.items():
+        yield G.encoded_score(G.with_seeds(rows, SEEDS), GQ.TICKS, F.col("seed")).withColumn("model", F.lit(model))
+
+
 def experiment(spark, sf) -> K.Experiment:
     """Two models x two seeds, three rules, three latencies, four random repetitions, on all test days."""
     d = C.bar_table(spark, sf)
     folds = C.folds(spark, sf, 1)
-    lam = C.intensities(spark, d)
-    inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(lam, folds)}
     scored = None
-    for model, rows in inputs.items():
-        rows = G.encoded_score(G.with_seeds(rows, SEEDS), GQ.TICKS, F.col("seed")).withColumn("model", F.lit(model))
+    for rows in _scored(spark, sf, d, folds):
         part = G.score_signals(rows, ["model", "seed"], RATE)
         scored = part if scored is None else scored.unionByName(part)
     runs = K.run_grid(spark, MODELS, RULES, (1,), (1,), SEEDS)
@@ -217,6 +224,44 @@ def experiment(spark, sf) -> K.Experiment:
     return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS)
 
 
+def job_input_stats(spark, sf, x: K.Experiment):
+    """Realised input rates and mean probabilities of every job and test day."""
+    stats = None
+    for rows in _scored(spark, sf, x.diffs, x.folds):
+        part = N.input_stats(rows.filter("split = 'test'"), ["model", "seed", "w_snn", "symbol", "day", "num"], GQ.TICKS)
+        stats = part if stats is None else stats.unionByName(part)
+    return stats.join(x.jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"])
+
+
+_RESULT_SQL = EXPERIMENT + f""", ins AS (SELECT model, seed, w_snn, symbol, day, num, sum(spikes_1) / (count(*) * {GQ.TICKS}) AS rate_x1 FROM (
+  SELECT 'zscore' AS model, seed, w_snn, symbol, day, num, spikes_1 FROM sgz_all WHERE split = 'test' UNION ALL
+  SELECT 'excited', seed, w_snn, symbol, day, num, spikes_1 FROM sgl_all WHERE split = 'test') GROUP BY ALL)
+SELECT 'signals' AS result, count(*) AS n_rows, {r('sum(bar_idx)', 'total', 6)} FROM stest
+UNION ALL SELECT 'trades', count(*), {r('sum(net_return)', 'total', 6)} FROM own JOIN surf USING (symbol, day, num, bar_idx)
+UNION ALL SELECT 'daily', count(*), {r('sum(pnl)', 'total', 6)} FROM daily
+UNION ALL SELECT 'spike_metrics', count(*), {r('sum(n_signals)', 'total', 6)} FROM sdays
+UNION ALL SELECT 'input_stats', count(*), {r('sum(rate_x1)', 'total', 6)} FROM ins JOIN jobs USING (model, seed, w_snn)
+UNION ALL SELECT 'health', count(*), {r('sum(n_signals)', 'total', 6)} FROM mm
+UNION ALL SELECT 'performance', count(*), {r('sum(accumulated_return)', 'total', 6)} FROM srows"""
+
+
+@query("s10_result_set", _RESULT_SQL, digits=6)
+def s10_results(spark, sf):
+    """All result tables of the experiment, written in one commit and read back: rows and a total of each."""
+    x = experiment(spark, sf)
+    place = result_store(spark, scratch_path(spark, "results"))
+    commit_results(place, x, job_input_stats(spark, sf, x), "e1")
+    totals = {
+        "signals": "bar_idx", "trades": "net_return", "daily": "pnl", "spike_metrics": "n_signals", "input_stats": "rate_x1", "health": "n_signals",
+        "performance": "accumulated_return",
+    }
+    out = None
+    for table, column in totals.items():
+        part = place.load(table).filter("experiment = 'e1'").agg(F.lit(table).alias("result"), F.count("*").alias("n_rows"), F.sum(F.col(column).cast("double")).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("result", "n_rows", "total")
+
+
 @query("k5_naive_daily", EXPERIMENT + f"SELECT job, rule, latency_ms, CAST(rep AS INTEGER) AS rep, day, {_DAILY} FROM nd")
 def k5(spark, sf):
     return experiment(spark, sf).naive_daily()

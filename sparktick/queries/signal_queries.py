@@ -82,9 +82,9 @@ TICKS, SEEDS = 10, (0, 1, 2, 3, 4)
 def encoded_sql(source: str, out: str, seeds=SEEDS, rate: float = RATE, ticks: int = TICKS) -> str:
     """Spike counts of seeded draws with a keyed tie break, cut at the (1 - rate) quantile of the training bars."""
     u = lambda i: S.uniform("seed", "split", "symbol", "day", "'0'", "bar_idx", "k", f"'{i}'")
-    spikes = f"list_sum(list_transform(range({ticks}), lambda k: CAST({u(1)} < p1 AS INTEGER) + CAST({u(2)} < p2 AS INTEGER)))"
+    spikes = [f"list_sum(list_transform(range({ticks}), lambda k: CAST({u(i)} < p{i} AS INTEGER)))" for i in (1, 2)]
     tie = S.uniform("'tie'", "seed", "split", "symbol", "day", "bar_idx")
-    return f"""{out}_all AS (SELECT z.*, CAST(seed AS INTEGER) AS seed, {spikes} + {tie} AS score FROM {source} z, (SELECT unnest({list(seeds)}) AS seed)),
+    return f"""{out}_all AS (SELECT z.*, CAST(seed AS INTEGER) AS seed, {spikes[0]} AS spikes_1, {spikes[1]} AS spikes_2, spikes_1 + spikes_2 + {tie} AS score FROM {source} z, (SELECT unnest({list(seeds)}) AS seed)),
 {out} AS (SELECT s.*, threshold FROM {out}_all s JOIN (SELECT seed, symbol, num, w_snn, test_day, quantile_cont(score, {1 - rate}) AS threshold
   FROM {out}_all WHERE split = 'train' GROUP BY ALL) USING (seed, symbol, num, w_snn, test_day) WHERE score > threshold)"""
 

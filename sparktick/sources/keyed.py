@@ -11,7 +11,7 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +96,6 @@ def theta_store(spark: SparkSession, path: str, settings: Mapping) -> KeyedStore
     return KeyedStore(spark, path, "symbol string, num long, w_h int, day date", {"kind": "theta"} | dict(settings))
 
 
-def result_store(spark: SparkSession, path: str, settings: Mapping | None = None, keys: Sequence[str] = ()) -> KeyedStore:
-    """Results of runs: all tables of a run come with one commit."""
-    return KeyedStore(spark, path, ", ".join(keys) or "experiment string, run_id string", {"kind": "results"} | dict(settings or {}))
+def result_store(spark: SparkSession, path: str, settings: Mapping | None = None) -> KeyedStore:
+    """Results of experiments by job: all tables come with one commit."""
+    return KeyedStore(spark, path, "experiment string, job string", {"kind": "results"} | dict(settings or {}))
