@@ -19,6 +19,7 @@ from sparktick.operators.bars import bar_time
 from sparktick.operators.scan import CHUNK, decayed_sums
 from sparktick.operators.spread import exact_quantiles
 from sparktick.schemas import BAR, BAR_DAY
+from sparktick.session import materialise
 
 SECONDS_PER_DAY = 86_400.0
 PAIRS = ("uu", "ud", "du", "dd")  # target, source
@@ -116,7 +117,7 @@ def fit_events(
         thr = pooled.groupBy(*FIT).agg(F.lit(None).cast("double").alias("event_threshold"), F.count("*").alias("candidate_moves"))
     else:
         thr = fit_thresholds(pooled, quantile)
-    kept = above_threshold(pooled, thr)
+    kept = materialise(above_threshold(pooled, thr), "fit-kept")  # read by marks, head and fit set
     norm = fit_marks(kept, marks, strict)
     time = in_fit_windows(horizons(diffs, axis), windows).groupBy(*FIT).agg(
         F.sum("horizon").alias("total_time"), F.sort_array(F.collect_list("fit_day")).alias("fit_days")

@@ -303,7 +303,7 @@ def em_fit_all(
     starts: DataFrame | None = None, accelerate: bool = True,
 ) -> DataFrame:
     """Small keys in tasks, the others by steps over all of them."""
-    head = materialise(head, "fit-keys")
+    head = head if "_scratch" in head.__dict__ else materialise(head, "fit-keys")
     n = F.col("n_up") + F.col("n_down")
     small, large = head.filter(n <= most_events), head.filter(n > most_events)
     options = {"restarts": restarts, "max_iter": max_iter, "tol": tol, "seed": seed, "accelerate": accelerate}
