@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sparktick.llm.common import ids_and_texts, released
 from sparktick.llm.tokens import encoder
-from sparktick.session import materialise
+from sparktick.session import discard, materialise
 
 CAPACITY = 2048
-BLOCK_ITEMS = 100_000  # items that one task holds at a time
+BLOCK_ITEMS = 20_000  # items or bins that one group packs at a time
 FAN_IN = 8  # nodes merged into one in each round
-ITEMS = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill int"
+ITEMS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -52,25 +52,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text's ids, numbered within the task; texts and ids go no further."""
     ids_of = encoder(path).encode
     end = (0).to_bytes(4, "little")
-    first_bin = TaskContext.get().partitionId() << 36
+    number = TaskContext.get().partitionId() << 40
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "item"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     items: list[tuple] = []
 
-    def packed() -> pa.RecordBatch:
-        nonlocal first_bin
-        bins, places, fills = best_fit([x[3] for x in items], capacity)
-        columns = [pa.array(c) for c in zip(*items)]
-        out = pa.RecordBatch.from_arrays(
-            [
-                columns[0].cast(pa.int64()), columns[1].cast(pa.int32()), *columns[2:],
-                pa.array([first_bin + b for b in bins], pa.int64()), pa.array(places, pa.int64()),
-                pa.array([fills[b] for b in bins], pa.int32()),
-            ],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"],
-        )
-        first_bin += len(fills)
+    def held() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*items), kinds)], names=names)
         items.clear()
         return out
 
@@ -78,14 +70,29 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int)
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             ids = ids_of(text.as_py()) + end
             for piece, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                items.append((doc_id, piece, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
+                items.append((doc_id, piece, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), number))
+                number += 1
             if len(items) >= BLOCK_ITEMS:
-                yield packed()
+                yield held()
     if items:
-        yield packed()
+        yield held()
     encoder(path).forget()  # the worker lives on
 
 
+def _pack_items(capacity: int):
+    import pandas as pd
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", ignore_index=True)
+        bins, places, fills = best_fit(pdf["length"].tolist(), capacity)
+        first = int(pdf["node"].iloc[0]) << 36
+        out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+        out["bin"], out["place"], out["fill"] = [first + b for b in bins], places, [fills[b] for b in bins]
+        return out
+
+    return pack
+
+
 def _pack_node(capacity: int):
     import pandas as pd
 
@@ -109,16 +116,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ne
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece. A document is its text's ids by
     the tokenizer file and the id 0; only a longer one than `capacity` is cut, with a shorter first piece.
 
-    Round 0 runs where the texts are read: each task packs blocks of BLOCK_ITEMS pieces by best fit decreasing. Bins with at most
-    `nearly_full` tokens of room, or with less room than the smallest underfull bin has tokens, are done. The others become items
-    that are packed again by the tree of tasks, FAN_IN nodes in one, until one node is left. Texts and ids never move; pieces
-    move once at the end, to learn their final place.
+    Texts and ids stay in the tasks that read them; what moves is a few numbers for each piece. In round 0 the pieces are dealt by a
+    hash to nodes of about BLOCK_ITEMS, so that each node has short and long ones whatever the order of the table, and each node
+    packs its own by best fit decreasing. Bins with at most `nearly_full` tokens of room, or with less room than the smallest
+    underfull bin has tokens, are done. The others become items that are packed again by a tree of groups, FAN_IN nodes in one,
+    until one node is left; a node with more than BLOCK_ITEMS loose bins is packed in slices of that size, dealt by a hash. The
+    pieces move once more at the end, to learn their final place.
 
     Null and empty texts give one piece of one token. Empty tables give no rows. Repeated rows are packed as rows of their own.
     """
+    pieces = materialise(
+        ids_and_texts(docs).mapInArrow(released(lambda batches: _pieces(batches, tokenizer, capacity)), ITEMS + ", item long"), "pack-pieces",
+    )
+    nodes = max(1, -(-pieces.count() // BLOCK_ITEMS))
     items = materialise(
-        ids_and_texts(docs).mapInArrow(released(lambda batches: _pack_partition(batches, tokenizer, capacity)), ITEMS), "pack-items",
+        pieces.withColumn("node", F.pmod(F.xxhash64("item"), F.lit(nodes))).groupBy("node")
+        .applyInPandas(_pack_items(capacity), ITEMS + ", bin long, place long, fill int"), "pack-items",
     )
+    discard(pieces)
     bins = items.select("bin", "fill", F.shiftright("bin", 36).alias("node")).distinct()
     moves = None
     while True:
@@ -127,9 +142,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ne
             break
         room = capacity - F.col("fill")
         loose = bins.filter((room > nearly_full) & (room >= F.lit(least[0])))
+        loose = loose.withColumn("node", F.floor(F.col("node") / FAN_IN))
+        sizes = loose.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).alias("slices"))
         merged = materialise(
-            loose.withColumn("node", F.floor(F.col("node") / FAN_IN))
-            .groupBy("node").applyInPandas(_pack_node(capacity), "bin long, into long, at long, fill_into int, node long"),
+            loose.join(sizes, "node").withColumn("slice", F.pmod(F.xxhash64("bin"), F.col("slices")))
+            .groupBy("node", "slice").applyInPandas(_pack_node(capacity), "bin long, into long, at long, fill_into int, node long"),
             "pack-moves",
         )
         step = merged.select("bin", "into", "at")

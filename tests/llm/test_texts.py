@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparktick.llm.bpe import TrieEncoder, encode_decode
@@ -124,6 +126,28 @@ def test_packing(edge):
     assert len(bins) <= -(-sum(map(len, (texts[i] for i, _ in edge_texts()))) // 2048) + 2
 
 
+@pytest.mark.parametrize("block", [20_000, 300])
+def test_packing_does_not_depend_on_the_order_of_the_table(spark, monkeypatch, block):
+    """Short and long texts apart or mixed: as few sequences as there are long texts. Small blocks make a tree, and slices of nodes."""
+    monkeypatch.setattr("sparktick.llm.packing.BLOCK_ITEMS", block)
+    rng = random.Random(3)
+    texts = [prose(i, rng.randint(2, 25)) for i in range(2000)] + [prose(i, rng.randint(500, 560)) for i in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frame in (table.repartitionByRange(12, F.length("text")), table.repartition(12)):
+        rows = pack_documents(frame, BYTE_BPE).collect()
+        used = collections.defaultdict(list)
+        for r in rows:
+            used[r.sequence_id].append((r.offset, r.length))
+        for places in used.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        least = -(-sum(r.length for r in rows) // 2048)
+        assert len(rows) == 2200 and len(used) <= max(200, 1.02 * least) + (0 if block > 10_000 else 6)
+
+
 def test_best_fit():
     bins, places, fills = best_fit([5, 5, 4, 4, 1, 1, 10], 10)
     assert fills == [10, 10, 10] and sorted(zip(bins, places))[0] == (0, 0)
