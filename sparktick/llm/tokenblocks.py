@@ -190,7 +190,9 @@ class WordIds:
         texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")  # a word always ends there
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         found = pc.dictionary_encode(cut.flatten())
-        chunk = found.dictionary.to_pylist()
+        n = len(found.dictionary)  # chunks hold no blanks: one string of all of them is cut faster than they are fetched one by one
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), found.dictionary), " ")
+        chunk = whole[0].as_py().split(" ") if n else []
         ids = list(map(self.known.get, chunk))  # most chunks are words known by now
         open_ = [i for i, found_ids in enumerate(ids) if found_ids is None]
         words = []
@@ -231,7 +233,6 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordIds(tokenizer)
-        pa.set_memory_pool(pa.system_memory_pool())  # gives buffers back at once
         encoder, task, number = _ENCODERS[tokenizer], TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
         doc_ids, lengths, held, size = [], [], [], 0
