@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktick.functions.columns import ratio
-from sparktick.functions.keyed import shuffle_shifts, shuffled, uniform
+from sparktick.functions.keyed import images, joined, shuffle_shifts, uniforms
 from sparktick.operators.spread import exact_quantiles
 from sparktick.schemas import BAR, BAR_DAY
 
@@ -65,7 +68,7 @@ def random_bars(
 
     `reference(series, symbol, day, num, n_signals, n_bars)`; eligible bars are history <= t <= n_bars-1-delay. A keyed
     permutation of the eligible bars sends 0, 1, .. n-1 to the sample: a row is made for each drawn bar, none for the others,
-    and nothing is shuffled or sorted.
+    and nothing is shuffled or sorted. The work is done where the reference's rows are: deal them (`dealt`) if they are few.
     """
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(h).alias("lo")) for r, h in histories.items()])
     key = ["naive", F.col("rep"), F.col("day"), F.col(seed), F.col("symbol")]
@@ -74,13 +77,30 @@ def random_bars(
     ).select("*", "_rule.rule", F.col("_rule.lo").cast("long").alias("_lo"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     jobs = jobs.withColumn("_size", (F.col("n_bars") - delay - F.col("_lo")).cast("long")).filter("_size > 0")
     jobs = jobs.withColumn("_n", F.least(F.col("n_signals").cast("long"), F.col("_size"))).withColumn("_shifts", shuffle_shifts(F.col("_size"), *key))
-    # Two-step explode: blocks first, positions inside a block second, so that a large sample becomes many rows early.
-    block = 4096
-    jobs = jobs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / block))))
-    last = F.least(F.col("_n") - 1, F.col("_block") * block + block - 1)
-    drawn = jobs.withColumn("_i", F.explode(F.sequence(F.col("_block") * block, last)))
-    bar = F.col("_lo") + shuffled(F.col("_i"), F.col("_size"), F.col("_shifts"), *key)
-    return drawn.select(*series, "rule", "rep", *BAR_DAY, bar.alias("bar_idx"))
+    # One row for a block of the sample: a large sample is made block by block.
+    jobs = jobs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _SAMPLE))))
+    kept = [*series, "rule", "rep", *BAR_DAY]
+    blocks = jobs.select(*kept, "_lo", "_size", "_n", "_shifts", "_block", joined(*key).alias("_key"))
+    schema = T.StructType([blocks.schema[c] for c in kept] + [T.StructField("bar_idx", T.LongType())])
+    return blocks.mapInArrow(lambda batches: _sampled(batches, kept), schema)
+
+
+_SAMPLE = 4096  # bars of a sample that are drawn together
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """The bars of each block of a sample."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("_lo", "_size", "_n", "_shifts", "_block", "_key")]
+        for i, (low, size, n, shifts, block, key) in enumerate(zip(*columns)):
+            bars = low + images(np.arange(block * _SAMPLE, min(n, (block + 1) * _SAMPLE)), size, shifts, key)
+            same = pa.array(np.full(len(bars), i))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in kept], pa.array(bars)], names=[*kept, "bar_idx"])
+
+
+def dealt(rows: DataFrame, keys: Sequence[str] = tuple(BAR)) -> DataFrame:
+    """Rows dealt to tasks by a hash of `keys`, or one by one without: small tables whose rows make long work are not to be put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def score_signals(
@@ -117,17 +137,41 @@ def encoded_score(inputs: DataFrame, ticks: int, seed: Column | int) -> DataFram
 
     Spike counts repeat, so a threshold on them alone would miss its target rate by whole classes of equal counts. The tie break
     below one orders bars of equal counts by a draw, and a quantile of the sum then cuts the training bars at the target rate to
-    within one bar. Draws are summed where the bar is, no row is made for a tick.
+    within one bar. Draws are summed where the bar is, no row is made for a tick. They cost far more than anything else that is done
+    with a bar: deal the rows (`dealt`) before, and write the table before it is read more than once.
     """
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     key = (seed, F.col("split"), F.col("symbol"), F.col("day"))
-
-    def spikes(i: int) -> Column:
-        one = lambda n, t: n + (uniform(*key, 0, F.col("bar_idx"), t, i) < F.col(f"p{i}")).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ticks - 1)), F.lit(0), one)
-
-    counted = inputs.withColumns({"spikes_1": spikes(1), "spikes_2": spikes(2)})
-    return counted.withColumn("score", F.col("spikes_1") + F.col("spikes_2") + uniform("tie", *key, F.col("bar_idx")))
+    rows = inputs.withColumns({
+        "_draws": joined(*key, 0, F.col("bar_idx")), "_tie": joined("tie", *key, F.col("bar_idx")), "_p1": F.col("p1").cast("double"), "_p2": F.col("p2").cast("double"),
+    })
+    more = [T.StructField("spikes_1", T.IntegerType()), T.StructField("spikes_2", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    kept = inputs.columns
+    return rows.mapInArrow(lambda batches: _counted(batches, kept, ticks), T.StructType([*inputs.schema.fields, *more]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], kept: list[str], ticks: int) -> Iterator[pa.RecordBatch]:
+    """Spikes and scores; a bar's draws are made once for all its rows of a batch, since folds share them."""
+    for batch in batches:
+        bars = batch.column("_draws").dictionary_encode()
+        at = bars.indices.to_numpy()
+        heads = [t.encode() + b"|" for t in bars.dictionary.to_pylist()]
+        spikes = []
+        for i in (1, 2):
+            tails = [b"%d|%d" % (t, i) for t in range(ticks)]
+            draws = uniforms(h + t for h in heads for t in tails).reshape(len(heads), ticks)
+            p = batch.column(f"_p{i}")
+            known = p.is_valid().to_numpy(zero_copy_only=False)
+            value = p.fill_null(0.0).to_numpy(zero_copy_only=False)
+            value = np.where(np.isnan(value), np.inf, value)  # SQL's order: above all numbers
+            spikes.append((np.sum(draws[at] < value[:, None], axis=1, dtype=np.int32), known))
+        ties = batch.column("_tie").dictionary_encode()
+        tie = uniforms(t.encode() for t in ties.dictionary.to_pylist())[ties.indices.to_numpy()]
+        (one, known_1), (two, known_2) = spikes
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in kept], pa.array(one, mask=~known_1), pa.array(two, mask=~known_2), pa.array(one + two + tie, mask=~(known_1 & known_2))],
+            names=[*kept, "spikes_1", "spikes_2", "score"],
+        )
 
 
 def with_seeds(rows: DataFrame, seeds: Sequence[int]) -> DataFrame:

@@ -7,6 +7,7 @@ computed once and shared by all rules and latencies.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from sparktick.functions.columns import ratio
 from sparktick.functions.rules import Rule
 from sparktick.operators.labels import METRICS, day_base, day_metrics, output_health
-from sparktick.operators.signals import big_moves, random_bars, signal_rates
+from sparktick.operators.signals import big_moves, dealt, random_bars, signal_rates
 from sparktick.schemas import BAR, BAR_DAY
+from sparktick.session import materialise
 
 JOB = ["model", "w_snn", "w_h", "seed"]
 DAILY = ["pnl", "n_trades", "n_pos", "sum_pos", "n_neg", "sum_neg"]
@@ -100,7 +102,7 @@ def big_move_signals(diffs: DataFrame, folds: DataFrame, rates: DataFrame) -> Da
 
 def naive_signals(rates: DataFrame, rules: Sequence[Rule], reps: int, delay: int = 1) -> DataFrame:
     """Random-timing samples (job, rule, rep, day, bar): as many as the job's signals that day."""
-    return random_bars(rates, ["job", "seed"], reps, {r.name: r.history for r in rules}, delay).drop("seed")
+    return random_bars(dealt(rates, ()), ["job", "seed"], reps, {r.name: r.history for r in rules}, delay).drop("seed")
 
 
 # --------------------------------------------------------------------------- daily results and performance
@@ -218,6 +220,8 @@ def in_report_order(rows: DataFrame, *columns: str) -> DataFrame:
 class Experiment:
     """Tables of one experiment, each a lazy DataFrame built from the shared ones.
 
+    Rates, big moves, random samples and the samples' daily results are written once, when the first table needs them.
+
     `diffs` are bars with d, `labels` their spike labels, `surface` the per-bar returns of all rules and latencies,
     `signals(job, split, test_day, bar...)` the models' output (any external signal table fits), `jobs` the job list.
     """
@@ -231,9 +235,25 @@ class Experiment:
         days = folds.select("w_snn", F.col("test_day").alias("day")).distinct()
         self.sizes = day_base(labels).select(*BAR_DAY, "n_bars")
         self.job_days = self.jobs.join(days, "w_snn").join(self.sizes.drop("n_bars"), "day")
-        self.rates = job_rates(self.test, self.job_days, self.sizes)
-        self.big = big_move_signals(diffs, folds, self.rates)
-        self.naive = naive_signals(self.rates, rules, reps, delay)
+
+    @cached_property
+    def rates(self) -> DataFrame:
+        return materialise(job_rates(self.test, self.job_days, self.sizes), "rates")
+
+    @cached_property
+    def big(self) -> DataFrame:
+        return materialise(big_move_signals(self.diffs, self.folds, self.rates), "big-moves")
+
+    @cached_property
+    def naive(self) -> DataFrame:
+        return materialise(naive_signals(self.rates, self.rules, self.reps, self.delay), "naive")
+
+    @cached_property
+    def _naive_daily(self) -> DataFrame:
+        keys = ["job", "rule", "latency_ms", "rep"]
+        trades = self.naive.join(self.surface, [*BAR, "rule"])
+        spine = with_reps(with_trading(self.job_days, self.rules, self.latencies), self.reps)
+        return materialise(daily_results(trades, keys, spine), "naive-daily")
 
     def daily(self) -> DataFrame:
         """Daily results of model and big-move trades, and of the mean naive repetition."""
@@ -256,10 +276,8 @@ class Experiment:
         return output_health(day_metrics(self.labels, self.test, ["job"], self.job_days))
 
     def naive_daily(self) -> DataFrame:
-        keys = ["job", "rule", "latency_ms", "rep"]
-        trades = self.naive.join(self.surface, [*BAR, "rule"])
-        spine = with_reps(with_trading(self.job_days, self.rules, self.latencies), self.reps)
-        return daily_results(trades, keys, spine)
+        """Daily results of every random repetition."""
+        return self._naive_daily
 
     def strategy_rows(self) -> DataFrame:
         """Performance per (job, rule, latency, source)."""

@@ -200,37 +200,36 @@ spk AS (SELECT job, split, source, {_AVG} FROM sdays GROUP BY job, split, source
 EXPERIMENT = S.chain(*_EXP_PARTS) + "\n"
 
 
-def _scored(spark, sf, d, folds):
-    """Encoded inputs of both models and all seeds, with their score."""
-    lam = C.intensities(spark, d)
-    inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(lam, folds)}
-    for model, rows in inputs.items():
-        yield G.encoded_score(G.with_seeds(rows, SEEDS), GQ.TICKS, F.col("seed")).withColumn("model", F.lit(model))
+def _scored(spark, d, folds):
+    """Encoded inputs of both models and all seeds, with their score, as written tables."""
+    inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(C.intensities(spark, d), folds)}
+    zscore, excited = (GQ.seeded_scores(rows, SEEDS).withColumn("model", F.lit(model)) for model, rows in inputs.items())
+    return zscore.unionByName(excited)
 
 
 def experiment(spark, sf) -> K.Experiment:
     """Two models x two seeds, three rules, three latencies, four random repetitions, on all test days."""
+    return _scored_experiment(spark, sf)[0]
+
+
+def _scored_experiment(spark, sf):
+    """The experiment, and the scores that its signals come from."""
     d = C.bar_table(spark, sf)
     folds = C.folds(spark, sf, 1)
-    scored = None
-    for rows in _scored(spark, sf, d, folds):
-        part = G.score_signals(rows, ["model", "seed"], RATE)
-        scored = part if scored is None else scored.unionByName(part)
+    scored = _scored(spark, d, folds)
     runs = K.run_grid(spark, MODELS, RULES, (1,), (1,), SEEDS)
     jobs = K.signal_jobs(runs)
-    signals = materialise(scored.join(jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
+    fired = G.score_signals(scored, ["model", "seed"], RATE)
+    signals = materialise(fired.join(jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
     labels = materialise(L.bar_labels(d), "labels")
     surface = materialise(E.return_surface(d, default_rules(), S.LATENCIES), "returns")
-    return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS)
+    return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS), scored
 
 
-def job_input_stats(spark, sf, x: K.Experiment):
+def job_input_stats(scored, jobs):
     """Realised input rates and mean probabilities of every job and test day."""
-    stats = None
-    for rows in _scored(spark, sf, x.diffs, x.folds):
-        part = N.input_stats(rows.filter("split = 'test'"), ["model", "seed", "w_snn", "symbol", "day", "num"], GQ.TICKS)
-        stats = part if stats is None else stats.unionByName(part)
-    return stats.join(x.jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"])
+    stats = N.input_stats(scored.filter("split = 'test'"), ["model", "seed", "w_snn", "symbol", "day", "num"], GQ.TICKS)
+    return stats.join(jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"])
 
 
 _RESULT_SQL = EXPERIMENT + f""", ins AS (SELECT model, seed, w_snn, symbol, day, num, sum(spikes_1) / (count(*) * {GQ.TICKS}) AS rate_x1 FROM (
@@ -248,9 +247,9 @@ UNION ALL SELECT 'performance', count(*), {r('sum(accumulated_return)', 'total',
 @query("s10_result_set", _RESULT_SQL, digits=6)
 def s10_results(spark, sf):
     """All result tables of the experiment, written in one commit and read back: rows and a total of each."""
-    x = experiment(spark, sf)
+    x, scored = _scored_experiment(spark, sf)
     place = result_store(spark, scratch_path(spark, "results"))
-    commit_results(place, x, job_input_stats(spark, sf, x), "e1")
+    commit_results(place, x, job_input_stats(scored, x.jobs), "e1")
     totals = {
         "signals": "bar_idx", "trades": "net_return", "daily": "pnl", "spike_metrics": "n_signals", "input_stats": "rate_x1", "health": "n_signals",
         "performance": "accumulated_return",

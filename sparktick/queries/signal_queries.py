@@ -92,11 +92,17 @@ def encoded_sql(source: str, out: str, seeds=SEEDS, rate: float = RATE, ticks: i
 _SK = "w_snn, test_day, split, symbol, day, num, bar_idx"
 
 
+def seeded_scores(inputs, seeds):
+    """Scores of encoded inputs for each seed, as a written table."""
+    rows = G.dealt(inputs.select(*_SK.split(", "), "p1", "p2"))
+    return materialise(G.encoded_score(G.with_seeds(rows, seeds), TICKS, F.col("seed")), "scored")
+
+
 @query("g3_encoded_signals", S.chain(S.folds(1, 3), S.ZSCORE, encoded_sql("zin", "sg")) + f"SELECT seed, {_SK}, {r('score', 'score', 9)} FROM sg", digits=9)
 def g3_encoded(spark, sf):
     """Signals of five seeds from encoded inputs, at the target rate on the training days."""
-    inputs = G.with_seeds(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)), SEEDS)
-    return G.score_signals(G.encoded_score(inputs, TICKS, F.col("seed")), ["seed"], RATE).drop("threshold")
+    scored = seeded_scores(N.zscore_inputs(C.bar_table(spark, sf), C.folds(spark, sf, 1, 3)), SEEDS)
+    return G.score_signals(scored, ["seed"], RATE).drop("threshold")
 
 
 @query(
@@ -108,7 +114,7 @@ def g3_rates(spark, sf):
     """For every seed and fold: is the number of training signals the target rate's, to within one bar?"""
     inputs = materialise(N.zscore_inputs(C.diffs(spark, sf), C.folds(spark, sf, 1, 3)), "inputs")
     keys = ["symbol", "num", "w_snn", "test_day"]
-    fired = G.score_signals(G.encoded_score(G.with_seeds(inputs, SEEDS), TICKS, F.col("seed")), ["seed"], RATE).filter("split = 'train'")
+    fired = G.score_signals(seeded_scores(inputs, SEEDS), ["seed"], RATE).filter("split = 'train'")
     wanted = G.with_seeds(inputs.filter("split = 'train'").groupBy(*keys).agg(F.count("*").alias("n")), SEEDS)
     rows = wanted.join(fired.groupBy("seed", *keys).agg(F.count("*").alias("fired")), ["seed", *keys], "left")
     return rows.select("seed", *keys, (F.abs(F.coalesce("fired", F.lit(0)) - RATE * F.col("n")) <= 1).alias("within_one_bar"))

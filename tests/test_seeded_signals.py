@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,37 @@ def test_random_bars_beyond_what_is_eligible(spark):
     ref = spark.createDataFrame([("S", DAY, 10, 0, 50, 10), ("T", DAY, 10, 0, 5, 3), ("U", DAY, 10, 0, 0, 50)], "symbol string, day date, num long, seed int, n_signals long, n_bars long")
     got = G.random_bars(ref, ["seed"], 2, {"r": 3}).collect()
     assert {(r.symbol, r.rep): sorted(x.bar_idx for x in got if (x.symbol, x.rep) == (r.symbol, r.rep)) for r in got} == {("S", i): [3, 4, 5, 6, 7, 8] for i in (0, 1)}
+
+
+def test_draws_in_tasks_are_those_of_the_columns(spark):
+    from sparktick.functions.keyed import images, joined, shuffle_shifts, shuffled, uniform, uniforms
+
+    rows = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("s"), F.lit(301).cast("long").alias("m"))
+    key = ("k", F.col("s"), F.col("id"))
+    got = rows.select(joined(*key).alias("text"), uniform(*key).alias("u")).collect()
+    assert uniforms(r.text.encode() for r in got).tolist() == [r.u for r in got]
+    shifts = shuffle_shifts(F.col("m"), "a", 5)
+    one = rows.select("id", shifts.alias("shifts"), shuffled(F.col("id"), F.col("m"), shifts, "a", 5).alias("x")).orderBy("id").collect()
+    assert images(np.arange(300), 301, one[0].shifts, "a|5").tolist() == [r.x for r in one]
+
+
+def test_scores_and_samples_are_made_once(spark, sf):
+    """Draws cost more than all else: what is read more than once is a written table, dealt to all tasks."""
+    from sparktick.queries import backtests, signal_queries
+
+    scored = signal_queries.seeded_scores(inputs(spark), [0, 1])
+    assert "_scratch" in scored.__dict__ and scored.count() == 2 * inputs(spark).count()
+    x, scored = backtests._scored_experiment(spark, sf)
+    assert x.naive is x.naive and x.naive_daily() is x.naive_daily()
+    assert all("_scratch" in t.__dict__ for t in (x.rates, x.big, x.naive, x.naive_daily()))
+    assert "MapInArrow" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_dealt_to_all_tasks(spark):
+    from sparktick.functions.rules import momentum
+    from sparktick.plans.backtest import naive_signals
+
+    rates = spark.createDataFrame([("j", "S", DAY, 4, 0, 10_000, 20_000)], "job string, symbol string, day date, num long, seed int, n_signals long, n_bars long")
+    drawn = naive_signals(rates, [momentum(3)], 2)
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert drawn.count() == 20_000 and drawn.distinct().count() == 20_000
