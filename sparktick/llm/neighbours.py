@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktick.llm.common import released
-from sparktick.session import materialise
+from sparktick.session import discard, materialise
 
 TABLES = 16
 WIDTH = 1.5  # of a bucket; vectors are scaled into the unit ball
-BUCKET = 8192  # vectors of a bucket that one group holds
-MOST_HOT = 100_000  # buckets that may be split
+BUCKET = 8192  # vectors of a bucket that are scored at once
+PART = 100_000  # vectors of a part of the index, which one task holds
+PROBED = 1 << 22  # buckets probed by the queries of a slice, which one task holds
+FIRST = 4  # parts that are searched at first; each later round searches as many as all rounds before it
 SPARE = 8  # candidates kept beyond the wanted number until they are scored exactly
-HELD = 1 << 19  # candidates a task holds before it keeps the best of each query
 
 
 def projections_for(n: int) -> int:
@@ -94,44 +95,16 @@ def _floats(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _spread(keys: list[np.ndarray], split: dict[int, int], row: int | None) -> np.ndarray:
-    """Keys, those of split buckets with a salt: the row's own one, or all of them for a query (row None)."""
-    flat = np.concatenate(keys) if isinstance(keys, list) else keys
-    if not split:
-        return flat
-    out = []
-    for k in flat.tolist():
-        n = split.get(k)
-        salts = [0] if not n else range(n) if row is None else [row % n]
-        out.extend((k + s * 0x9E3779B97F4A7C15) % (1 << 64) for s in salts)
-    return np.array(out, np.uint64)
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], hashing: Tables, probes: int, parts: int, split, queries: bool) -> Iterator[pa.RecordBatch]:
-    """(part, id, vector, keys): one row for each part in which the vector has buckets, or the query probes some."""
+def _hashed(batches: Iterator[pa.RecordBatch], hashing: Tables, probes: int, queries: bool) -> Iterator[pa.RecordBatch]:
+    """The batches with the vector as bytes, and with the keys of its buckets, or of those that the query probes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         v = _floats(batch.column("vector"))
-        ids = batch.column("id").to_pylist()
-        keys = hashing.of_queries(v, probes) if queries else list(hashing.of_rows(v))
-        rows: tuple[list, list, list] = ([], [], [])
-        for i, (row, own) in enumerate(zip(ids, keys)):
-            own = np.unique(_spread(own, split.value, None if queries else row))
-            part = (own % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            for chunk in np.split(order, cuts):
-                rows[0].append(int(part[chunk[0]]))
-                rows[1].append(i)
-                rows[2].append(own[chunk].view(np.int64))
+        keys = hashing.of_queries(v, probes) if queries else [np.unique(own) for own in hashing.of_rows(v)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows[0], pa.int64()), batch.column("id").take(pa.array(rows[1])),
-                pa.array([v[i].tobytes() for i in rows[1]], pa.binary()),
-                pa.array([k.tobytes() for k in rows[2]], pa.binary()),
-            ],
-            names=["part", "id", "vector", "keys"],
+            [batch.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())],
+            names=["id", "vector", "keys"],
         )
 
 
@@ -161,7 +134,7 @@ def _owners(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows[order]
 
 
-def _search(keep: int):
+def _search(keep: int, most_scored: int):
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": [], "row": [], "near": []}).astype({"query": "int64", "row": "int64", "near": "float64"})
         if index.empty or queries.empty:
@@ -169,27 +142,28 @@ def _search(keep: int):
         vectors, asked = _matrix(index["vector"]), _matrix(queries["vector"])
         keys, rows = _owners(index["keys"])
         probed, askers = _owners(queries["keys"])
-        least = np.full(len(queries), -np.inf)
+        known = queries["least"].to_numpy(np.float64)  # the last of the best that earlier rounds found
+        least, most = known, max(1 << 16, 4 * keep * len(queries))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         edges = np.append(np.flatnonzero(np.diff(probed, prepend=probed[0] - np.uint64(1))), len(probed))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            lo, hi = np.searchsorted(keys, probed[a], "left"), np.searchsorted(keys, probed[a], "right")
-            for at in range(lo, hi, BUCKET):
-                own, bucket = askers[a:b], rows[at:min(at + BUCKET, hi)]
+        los, his = np.searchsorted(keys, probed[edges[:-1]], "left"), np.searchsorted(keys, probed[edges[:-1]], "right")
+        for a, b, lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), los.tolist(), his.tolist()):
+            for at in range(lo, hi, most_scored):
+                own, bucket = askers[a:b], rows[at:min(at + most_scored, hi)]
                 for q0 in range(0, len(own), 1024):
                     some = own[q0:q0 + 1024]
                     score = asked[some] @ vectors[bucket].T
                     i, j = np.nonzero(score >= least[some][:, None])
                     held.append((some[i], bucket[j], score[i, j]))
                     size += len(i)
-                    if size > HELD:
+                    if size > most:
                         held = [_best(*map(np.concatenate, zip(*held)), keep)]
                         size = len(held[0][0])
                         counts = np.bincount(held[0][0], minlength=len(queries))
                         last = np.full(len(queries), np.inf)
                         np.minimum.at(last, held[0][0], held[0][2])
-                        least = np.where(counts >= keep, last, -np.inf)
+                        least = np.where(counts >= keep, np.maximum(last, known), known)
         if not held:
             return none
         q, v, s = _best(*map(np.concatenate, zip(*held)), keep)
@@ -198,13 +172,6 @@ def _search(keep: int):
     return search
 
 
-def _bucket_sizes(batches: Iterator[pa.RecordBatch], hashing: Tables) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys, n = np.unique(hashing.of_rows(_floats(batch.column("vector"))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-
 def valid(vector: Column) -> Column:
     """Neither null nor zero, and every component a finite number."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -224,10 +191,10 @@ def nearest(
 
     Vectors are put on the unit sphere by one more coordinate, where the largest inner product is the least distance, and hashed
     by Gaussian projections into `tables` tables. A query probes 2^(projections - 1), at least 8, perturbed buckets of each table
-    in the order of their estimated success. Index and queries meet by bucket: parts of the key space are the groups, a vector or
-    query goes once to each part that it touches, and a task keeps the best distinct candidates of each query over all its
-    buckets. The best are then scored exactly. Buckets above `bucket` vectors are split by row and probed in all their splits.
-    Queries for which too few candidates turn up (fewer than k, and fewer than there are) search everything in one bucket.
+    in the order of their estimated success. Index and queries meet by bucket: a group holds a part of the vectors and a slice of the
+    queries, with the keys of their buckets, and keeps the best distinct candidates of each query. Parts are searched in rounds that
+    double; a later round returns only what is as good as the last of the best so far, so that the candidates returned for a query
+    grow with the logarithm of the parts. The best are then scored exactly. `bucket` vectors of a bucket are scored at once. Queries for which too few candidates turn up (fewer than k, and fewer than there are) search everything in one bucket.
 
     Equal vectors are one entry, with as many of their smallest ids as can be needed. Vectors that are null, zero or hold null or
     non-finite components take no part, and neither do those of another dimension than the first valid row by vec_id. Null
@@ -281,22 +248,36 @@ def _candidates(
     entry: DataFrame, queries: DataFrame, n: int, largest: float, dim: int, tables: int, projections: int, bucket: int, k: int,
 ) -> DataFrame:
     """(query, row, near): the best distinct entries of each query, by the inner product as a block of products gives it."""
-    spark = entry.sparkSession
     hashing = Tables(dim, projections, tables, largest * (1 + 1e-12))
-    probes = max(8, 1 << max(0, projections - 1))
-    least = max(bucket, n * tables // MOST_HOT)  # so at most MOST_HOT buckets are split
-    sizes = entry.select("vector").mapInArrow(released(lambda b: _bucket_sizes(b, hashing)), "key long, n long")
-    large = sizes.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
-    split = spark.sparkContext.broadcast({r["key"] % (1 << 64): -(-r["n"] // least) for r in large})
-    parts = max(1, n * tables // 20_000)  # by size alone: each part gives some candidates for each query that it meets
-    kind = "part long, id long, vector binary, keys binary"
-    index = entry.select("id", "vector").mapInArrow(released(lambda b: _dealt(b, hashing, probes, parts, split, False)), kind)
-    asked = queries.select("id", "vector").mapInArrow(released(lambda b: _dealt(b, hashing, probes, parts, split, True)), kind)
-    near = index.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(
-        _search(k + 1 + SPARE), "query long, row long, near double",
-    )
+    probes, keep = max(8, 1 << max(0, projections - 1)), k + 1 + SPARE
+    parts, asking = -(-n // PART) or 1, queries.count()
+    # Slices are bounded by what a task holds; a small index is cut more often, so that all cores have work.
+    slices = max(-(-asking * tables * min(probes, 3**projections) // PROBED), -(-entry.sparkSession.sparkContext.defaultParallelism // parts))
+    kind = "id long, vector binary, keys binary"
+    each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    index = entry.select("id", "vector").mapInArrow(released(lambda b: _hashed(b, hashing, probes, False)), kind)
+    index = materialise(index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "ann-index")
+    asked = queries.select("id", "vector").repartition(max(slices, parts), "id").mapInArrow(released(lambda b: _hashed(b, hashing, probes, True)), kind)
+    asked = materialise(asked.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")), "ann-asked")
     best = Window.partitionBy("query").orderBy(F.col("near").desc(), "row")
-    once = near.groupBy("query", "row").agg(F.max("near").alias("near"))
-    return materialise(
-        once.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1 + SPARE).drop("_n"), "ann-candidates",
-    )
+    found, done = None, 0
+    while done < parts:
+        upto = min(parts, max(FIRST, 2 * done))
+        inside = index.filter(F.col("part").between(done, upto - 1)).select("part", each, "id", "vector", "keys")
+        if found is None:
+            known = asked.withColumn("least", F.lit(float("-inf")))
+        else:
+            last = found.groupBy(F.col("query").alias("id")).agg(F.when(F.count(F.lit(1)) >= keep, F.min("near")).alias("least"))
+            known = asked.join(last, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        each_part = F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("part")
+        known = known.select(each_part, "slice", "id", "vector", "keys", "least")
+        dealt = max(1, (upto - done) * slices)
+        near = (
+            inside.repartition(dealt, "part", "slice").groupBy("part", "slice")
+            .cogroup(known.repartition(dealt, "part", "slice").groupBy("part", "slice")).applyInPandas(_search(keep, bucket), "query long, row long, near double")
+        )
+        near = near if found is None else found.unionByName(near)
+        found = materialise(near.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= keep).drop("_n"), "ann-candidates")
+        done = upto
+    discard(index, asked)
+    return found

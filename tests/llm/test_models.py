@@ -62,6 +62,32 @@ def test_nearest(spark, projections, bucket):
     assert hits >= 0.9 * 20 * len(by)
 
 
+def test_nearest_candidates_grow_with_the_queries(spark, monkeypatch):
+    """However many parts the index has, a search of all buckets finds the nearest, and few candidates of each query are returned."""
+    import sparktick.llm.neighbours as N
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(800, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    returned, labels, keep = [], [], N.materialise
+
+    def counted(rows, label):
+        out = keep(rows, label)
+        labels.append(label)
+        if label == "ann-candidates":
+            returned.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialise", counted)
+    monkeypatch.setattr(N, "PART", 50)
+    got = N.nearest(df, F.col("vec_id") % 20 == 0, k=5, projections=0).collect()
+    scores = vectors @ vectors.T
+    for q in range(0, 800, 20):
+        order = [v for v in np.lexsort((np.arange(800), -scores[q])) if v != q][:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == order
+    assert len(returned) == 3 and max(returned) <= 40 * (5 + 1 + N.SPARE)  # rounds of 4, 4 and 8 parts of 50 vectors
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [3.0, 0.0])], "vec_id long, embedding array<double>")
     got = nearest(few, F.col("vec_id") == 20, k=20).collect()
