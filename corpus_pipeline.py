@@ -10,6 +10,7 @@ from sparktick.llm.common import documents
 from sparktick.llm.neardup import drop_near_duplicates
 from sparktick.llm.packing import pack_documents
 from sparktick.llm.quality import quality
+from sparktick.llm.simhash import drop_simhash_copies
 from sparktick.llm.substrings import remove_repeats
 from sparktick.llm.toxicity import toxicity
 from sparktick.session import materialise
@@ -57,8 +58,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frugal
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_duplicates(docs.select(*COLUMNS))
+    """One document of each component of SimHash fingerprints (operator 6), and of what is left one of each group of near copies by an
+    exact join, which also finds copies whose fingerprints are further apart."""
+    return drop_near_duplicates(drop_simhash_copies(docs.select(*COLUMNS)))
 
 
 @frugal

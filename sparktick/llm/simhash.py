@@ -17,6 +17,7 @@ from sparktick.session import materialise
 SEED = 42
 HOT_GROUP = 4096  # members of a shard above which its key is refined
 SMALL = 8
+KNOWN_IDS = 2_000_000  # ids up to which they go to the texts, not the texts to them
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------------------
@@ -51,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, lower: bool) ->
     for batch in batches:
         values = [simhash64(shingle_hashes(t.as_py(), width, lower)) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"],
+            [batch.column("doc_id"), batch.column("h"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "h", "fp"],
         )
 
 
@@ -207,21 +208,42 @@ def _parts_left(bits: list[int], taken: list[int]) -> list[int]:
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, lower: bool = True, hot: int = HOT_GROUP) -> DataFrame:
-    """(doc_id, fp long, component_id): documents linked by fingerprints at most `radius` bits apart, directly or through others.
+    """(doc_id, h, fp long, component_id): documents linked by fingerprints at most `radius` bits apart, directly or through others.
 
-    component_id is the smallest doc_id of the component. Copies and all other documents of one fingerprint are one node. Null and
+    component_id is the smallest doc_id of the component, h a hash of the text. Copies and all other documents of one fingerprint are one node. Null and
     empty texts have fingerprint zero and are linked like any other; a component without any doc_id has a null id. Repeated rows
     stay. Empty tables give no rows. Other columns are not read.
     """
     prints = materialise(
-        ids_and_texts(docs).mapInArrow(released(lambda batches: _fingerprints(batches, width, lower)), "doc_id long, fp long"), "simhash",
+        ids_and_texts(docs).withColumn("h", F.xxhash64("text"))
+        .mapInArrow(released(lambda batches: _fingerprints(batches, width, lower)), "doc_id long, h long, fp long"), "simhash",
     )
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = materialise(connected_components(fingerprint_links(nodes, radius, hot)), "simhash-roots")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "h", "fp", "component_id")
+
+
+def drop_simhash_copies(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of `docs`, but of each component of fingerprints only those with its smallest doc_id.
+
+    Of rows with the smallest id but other texts the first by a hash of the text stays; rows that repeat both stay. Where all ids are
+    null, one text of each fingerprint stays. All columns of `docs` are returned as they are.
+    """
+    found = simhash_components(docs, width, radius)
+    first = (
+        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("h").alias("_h"))
+        .select(F.xxhash64("component_id").alias("_d"), "_h")
+    )
+    every = found.select(F.xxhash64("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    gone = materialise(every.join(first, ["_d", "_h"], "left_anti"), "simhash-gone")
+    if gone.count() <= KNOWN_IDS:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumns({"_d": F.xxhash64(F.col("doc_id").cast("long")), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(gone, ["_d", "_h"], "left_anti").select(*docs.columns)
 
 
 def as_digits(fp: Column) -> Column:

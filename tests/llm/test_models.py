@@ -363,6 +363,18 @@ def test_near_copies_at_the_bound_are_all_found(spark, monkeypatch, few, block,
     assert collections.Counter((r.doc_id, r.group) for r in got) == near_groups(texts)
 
 
+def test_near_copies_go_by_fingerprints_first(spark, sf, monkeypatch):
+    """The stage gets its rows through operator 6: with the exact join left out, documents of one component are gone all the same."""
+    words = prose(21, 300, 4000).split()
+    texts = [(7, " ".join(words)), (3, " ".join(words).upper()), (8, prose(22, 80)), (12, prose(23, 80)), (8, prose(22, 80)), (None, prose(24, 50)), (None, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    named = lambda rows: sorted((str(i), t or "") for i, t in rows)
+    once = [texts[k] for k in (1, 2, 3, 5, 7)]
+    assert named((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()) == named(once)
+    monkeypatch.setattr(corpus_pipeline, "drop_near_duplicates", lambda rows: rows)
+    assert named((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()) == named([*once, texts[4]])
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
