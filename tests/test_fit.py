@@ -145,3 +145,48 @@ def test_rejected_keys_say_why(spark):
 def test_no_keys(spark):
     fit_set, head = fit_frame(spark, [])
     assert FT.fit_theta(fit_set, head).count() == 0
+
+
+def test_restarts_of_one_key_are_spread_over_tasks(spark):
+    """A key that is fitted again with many restarts must not be one task's work; a null in a key stays a key."""
+    rows = made_events(1, 40, 9)
+    rows += [(None, *row[1:]) for row in rows]
+    fit_set, head = fit_frame(spark, rows)
+    fits = FT.em_fit_in_tasks(fit_set, head, restarts=12, max_iter=4)
+    placed = fits.select("symbol", "restart", "n_events", F.input_file_name().alias("file"))
+    per_key = placed.groupBy("symbol").agg(F.countDistinct("restart").alias("n"), F.countDistinct("file").alias("tasks"), F.max("n_events").alias("events"))
+    found = {r["symbol"]: r for r in per_key.collect()}
+    assert set(found) == {"S", None}
+    assert all(r["n"] == 12 and r["tasks"] > 1 and r["events"] == len(rows) // 2 for r in found.values())
+
+
+def test_sums_are_those_of_all_pairs_of_events():
+    """Several days, rows of the grid that cross a day's end, and sizes that do not fill the grid."""
+    rng = random.Random(5)
+    for days, rate, seed in ((1, 1, 1), (1, 5, 2), (3, 30, 3), (2, 90, 4)):
+        events = pd.DataFrame(made_events(days, rate, seed), columns=[c.split()[0] for c in EVENTS.split(", ")])
+        if events.empty:
+            continue
+        value = {"mu_u": 0.2, "mu_d": 0.3, "total_time": 100.0 * days}
+        value |= {f"beta_{p}": rng.choice([1e-3, 0.3, 50.0]) for p in H.PAIRS} | {f"alpha_{p}": rng.uniform(0.05, 0.4) for p in H.PAIRS}
+        want = {f"{x}_{p}": 0.0 for x in "PDGH" for p in H.PAIRS} | {"loglik": -(value["mu_u"] + value["mu_d"]) * value["total_time"], "bg_u": 0.0, "bg_d": 0.0}
+        table = list(events[["fit_day", "t", "k", "g", "bar_idx"]].itertuples(index=False))
+        for day, t, k, g, i in table:
+            c, past = "ud"[k], [(t - s, "ud"[k2], g2) for day2, s, k2, g2, j in table if day2 == day and j < i]
+            part = {s: value[f"alpha_{c}{s}"] * sum(w * math.exp(-value[f"beta_{c}{s}"] * a) for a, m, w in past if m == s) for s in "ud"}
+            aged = {s: value[f"alpha_{c}{s}"] * sum(w * a * math.exp(-value[f"beta_{c}{s}"] * a) for a, m, w in past if m == s) for s in "ud"}
+            rate_now = value[f"mu_{c}"] + sum(part.values())
+            want["loglik"] += math.log(rate_now)
+            want[f"bg_{c}"] += value[f"mu_{c}"] / rate_now
+            for s in "ud":
+                want[f"P_{c}{s}"] += part[s] / rate_now
+                want[f"D_{c}{s}"] += aged[s] / rate_now
+            for target in "ud":
+                gone = math.exp(-value[f"beta_{target}{c}"] * (100.0 - t))
+                want[f"G_{target}{c}"] += g * (1 - gone)
+                want[f"H_{target}{c}"] += g * (100.0 - t) * gone
+                want["loglik"] -= value[f"alpha_{target}{c}"] / value[f"beta_{target}{c}"] * g * (1 - gone)
+        got = FT.KeySums(events).at(value)
+        assert got["n_events"] == len(events)
+        for name, x in want.items():
+            assert got[name] == pytest.approx(x, rel=1e-9, abs=1e-12), name
