@@ -62,13 +62,14 @@ def big_moves(diffs: DataFrame, folds: DataFrame, rates: DataFrame, tags: Sequen
 
 
 def random_bars(
-    reference: DataFrame, series: Sequence[str], reps: int, histories: dict[str, int], delay: int = 1, seed: str = "seed"
+    reference: DataFrame, series: Sequence[str], reps: int, histories: dict[str, int], delay: int = 1, seed: str = "seed", place: str | None = None,
 ) -> DataFrame:
     """`reps` random-timing samples per (series, rule, day): n distinct eligible bars, n as in the reference.
 
     `reference(series, symbol, day, num, n_signals, n_bars)`; eligible bars are history <= t <= n_bars-1-delay. A keyed
     permutation of the eligible bars sends 0, 1, .. n-1 to the sample: a row is made for each drawn bar, none for the others,
     and nothing is shuffled or sorted. The work is done where the reference's rows are: deal them (`dealt`) if they are few.
+    With `place`, each bar's place in its sample is a column of that name: the first n places are the sample of size n.
     """
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(h).alias("lo")) for r, h in histories.items()])
     key = ["naive", F.col("rep"), F.col("day"), F.col(seed), F.col("symbol")]
@@ -81,21 +82,22 @@ def random_bars(
     jobs = jobs.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _SAMPLE))))
     kept = [*series, "rule", "rep", *BAR_DAY]
     blocks = jobs.select(*kept, "_lo", "_size", "_n", "_shifts", "_block", joined(*key).alias("_key"))
-    schema = T.StructType([blocks.schema[c] for c in kept] + [T.StructField("bar_idx", T.LongType())])
-    return blocks.mapInArrow(lambda batches: _sampled(batches, kept), schema)
+    schema = T.StructType([blocks.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in ("bar_idx", place) if c])
+    return blocks.mapInArrow(lambda batches: _sampled(batches, kept, place), schema)
 
 
 _SAMPLE = 4096  # bars of a sample that are drawn together
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], kept: list[str], place: str | None) -> Iterator[pa.RecordBatch]:
     """The bars of each block of a sample."""
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("_lo", "_size", "_n", "_shifts", "_block", "_key")]
         for i, (low, size, n, shifts, block, key) in enumerate(zip(*columns)):
-            bars = low + images(np.arange(block * _SAMPLE, min(n, (block + 1) * _SAMPLE)), size, shifts, key)
-            same = pa.array(np.full(len(bars), i))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in kept], pa.array(bars)], names=[*kept, "bar_idx"])
+            places = np.arange(block * _SAMPLE, min(n, (block + 1) * _SAMPLE))
+            found = {"bar_idx": low + images(places, size, shifts, key)} | ({place: places} if place else {})
+            same = pa.array(np.full(len(places), i))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in kept], *map(pa.array, found.values())], names=[*kept, *found])
 
 
 def dealt(rows: DataFrame, keys: Sequence[str] = tuple(BAR)) -> DataFrame:

@@ -101,8 +101,19 @@ def big_move_signals(diffs: DataFrame, folds: DataFrame, rates: DataFrame) -> Da
 
 
 def naive_signals(rates: DataFrame, rules: Sequence[Rule], reps: int, delay: int = 1) -> DataFrame:
-    """Random-timing samples (job, rule, rep, day, bar): as many as the job's signals that day."""
-    return random_bars(dealt(rates, ()), ["job", "seed"], reps, {r.name: r.history for r in rules}, delay).drop("seed")
+    """Random-timing samples (job, rule, rep, day, bar): as many as the job's signals that day.
+
+    A sample depends on the seed, not on the job, so jobs of one seed share the draws of the one with most signals that day.
+    """
+    wants = rates.groupBy("seed", *BAR_DAY, "n_bars").agg(
+        F.max("n_signals").alias("n_signals"), F.collect_list(F.struct("job", F.col("n_signals").alias("n"))).alias("_jobs")
+    )
+    wants = materialise(wants, "wants")
+    drawn = random_bars(dealt(wants.drop("_jobs"), ()), ["seed", "n_bars"], reps, {r.name: r.history for r in rules}, delay, place="_place")
+    each = wants.select("seed", *BAR_DAY, "n_bars", F.explode("_jobs").alias("_job"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"j.{c}")) for c in ("seed", *BAR_DAY, "n_bars")]
+    taken = drawn.alias("d").join(each.alias("j"), [*same, F.col("d._place") < F.col("j._job.n")])
+    return taken.select("j._job.job", "d.rule", "d.rep", *[f"d.{c}" for c in BAR])
 
 
 # --------------------------------------------------------------------------- daily results and performance

@@ -201,10 +201,11 @@ EXPERIMENT = S.chain(*_EXP_PARTS) + "\n"
 
 
 def _scored(spark, d, folds):
-    """Encoded inputs of both models and all seeds, with their score, as written tables."""
+    """Encoded inputs of both models and all seeds, with their score, as one written table: draws do not depend on the model."""
     inputs = {"zscore": N.zscore_inputs(d, folds), "excited": N.intensity_inputs(C.intensities(spark, d), folds)}
-    zscore, excited = (GQ.seeded_scores(rows, SEEDS).withColumn("model", F.lit(model)) for model, rows in inputs.items())
-    return zscore.unionByName(excited)
+    kept = [*GQ._SK.split(", "), "p1", "p2"]
+    zscore, excited = (rows.select(F.lit(model).alias("model"), *kept) for model, rows in inputs.items())
+    return GQ.seeded_scores(zscore.unionByName(excited), SEEDS, ["model"])
 
 
 def experiment(spark, sf) -> K.Experiment:

@@ -92,9 +92,9 @@ def encoded_sql(source: str, out: str, seeds=SEEDS, rate: float = RATE, ticks: i
 _SK = "w_snn, test_day, split, symbol, day, num, bar_idx"
 
 
-def seeded_scores(inputs, seeds):
-    """Scores of encoded inputs for each seed, as a written table."""
-    rows = G.dealt(inputs.select(*_SK.split(", "), "p1", "p2"))
+def seeded_scores(inputs, seeds, series=()):
+    """Scores of encoded inputs for each seed, as a written table; rows of one bar (folds, `series`) lie side by side and share its draws."""
+    rows = G.dealt(inputs.select(*series, *_SK.split(", "), "p1", "p2")).sortWithinPartitions(*BAR, "split")
     return materialise(G.encoded_score(G.with_seeds(rows, seeds), TICKS, F.col("seed")), "scored")
 
 

@@ -113,3 +113,41 @@ def test_samples_are_dealt_to_all_tasks(spark):
     drawn = naive_signals(rates, [momentum(3)], 2)
     assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert drawn.count() == 20_000 and drawn.distinct().count() == 20_000
+
+
+def test_jobs_of_one_seed_share_their_draws(spark, monkeypatch):
+    """The samples are those drawn for each job alone; a job without signals and a null seed stay what they were."""
+    from sparktick.functions.rules import momentum
+    from sparktick.plans import backtest
+
+    schema = "job string, symbol string, day date, num long, seed int, n_signals long, n_bars long"
+    jobs = [("a", 0, 40), ("b", 0, 25), ("c", 1, 30), ("d", 1, 0), ("e", 0, 2000), ("f", None, 5)]
+    rates = spark.createDataFrame([(j, "S", DAY, 4, seed, n, 1000) for j, seed, n in jobs], schema)
+    alone = G.random_bars(rates, ["job", "seed"], 2, {"momentum": 3}).select("job", "rule", "rep", "symbol", "day", "num", "bar_idx")
+    seen = []
+
+    def drawn(reference, *args, **options):
+        seen.append(sorted((r.seed is None, r.seed, r.n_signals) for r in reference.collect()))
+        return G.random_bars(reference, *args, **options)
+
+    monkeypatch.setattr(backtest, "random_bars", drawn)
+    got = backtest.naive_signals(rates, [momentum(3)], 2)
+    assert seen == [[(False, 0, 2000), (False, 1, 30), (True, None, 5)]]
+    assert got.columns == alone.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_rows_of_one_bar_lie_side_by_side(spark):
+    """Folds and models of a bar share its draws within a batch; they must not be scattered over a task's rows."""
+    from sparktick.queries import signal_queries
+
+    both = inputs(spark, 400).withColumn("model", F.lit("a")).unionByName(inputs(spark, 400).withColumn("model", F.lit("b")))
+    rows = signal_queries.seeded_scores(both, [0, 1], ["model"])
+    # A file is a task's rows in their order.
+    placed = rows.select("split", "day", "bar_idx", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    bars = {}
+    for r in placed:
+        bars.setdefault((r.split, r.day, r.bar_idx), []).append((r.file, r.at))
+    assert all(len({f for f, _ in v}) == 1 and max(a for _, a in v) - min(a for _, a in v) == len(v) - 1 for v in bars.values())
+    assert all(len(v) % 4 == 0 for v in bars.values())
+    one = signal_queries.seeded_scores(inputs(spark, 400), [0, 1])
+    assert sorted(map(tuple, rows.filter("model = 'b'").select(one.columns).collect())) == sorted(map(tuple, one.collect()))
