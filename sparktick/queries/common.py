@@ -51,12 +51,18 @@ def theta_days(spark: SparkSession, sf: str) -> DataFrame:
     return days_of(trades(spark, sf), 1)
 
 
-def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE, steps: int = S.EM_STEPS) -> tuple[DataFrame, DataFrame]:
-    """Fit set, and theta of every day after a few EM steps over its fit window; days whose window lacks a kind of event have none.
+def theta(
+    spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUANTILE, steps: int = S.EM_STEPS, day: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Fit set, and theta of every day (or of `day` alone) after a few EM steps over its fit window; days whose window lacks a kind of
+    event have none.
 
     The full fit (`operators.fit.fit_theta`) cannot be written in SQL; a few steps from fixed starting values can.
     """
-    fit_set, head = H.fit_events(d, H.fit_windows(days_of(d, 1), spans), quantile, strict=False)
+    days = days_of(d, 1)
+    if day is not None:
+        days = days.filter(F.col("day") == F.to_date(F.lit(day)))
+    fit_set, head = H.fit_events(d, H.fit_windows(days, spans), quantile, strict=False)
     start = H.given_theta(head, S.ALPHA, S.BETA)
     if not steps:
         return fit_set, materialise(start, "theta")
@@ -64,6 +70,6 @@ def theta(spark: SparkSession, d: DataFrame, spans=(1,), quantile: float = S.QUA
     return fit_set, materialise(FT.few_steps(fit_set, start, steps), "theta")
 
 
-def intensities(spark: SparkSession, d: DataFrame, spans=(1,)) -> DataFrame:
-    """Intensities of every day with theta, as a written table. `d` should be a written table, too."""
-    return materialise(H.intensities(d, theta(spark, d, spans)[1]), "intensities")
+def intensities(spark: SparkSession, d: DataFrame, spans=(1,), day: str | None = None) -> DataFrame:
+    """Intensities of every day with theta (or of `day` alone), as a written table. `d` should be a written table, too."""
+    return materialise(H.intensities(d, theta(spark, d, spans, day=day)[1]), "intensities")

@@ -151,3 +151,17 @@ def test_rows_of_one_bar_lie_side_by_side(spark):
     assert all(len(v) % 4 == 0 for v in bars.values())
     one = signal_queries.seeded_scores(inputs(spark, 400), [0, 1])
     assert sorted(map(tuple, rows.filter("model = 'b'").select(one.columns).collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_an_audited_day_needs_no_other_days_theta(spark, sf):
+    """Intensities of one day are those of the whole run; no other day is fitted."""
+    from sparktick.queries import common
+
+    d = common.bar_table(spark, sf)
+    day = max(str(r.day) for r in common.theta(spark, d)[1].select("day").collect())
+    one = common.intensities(spark, d, day=day)
+    assert [str(r.day) for r in common.theta(spark, d, day=day)[1].select("day").collect()] == [day]
+    whole = common.intensities(spark, d).filter(F.col("day") == F.to_date(F.lit(day)))
+    columns = ["symbol", "day", "num", "w_h", "bar_idx", "k", *[F.round(c, 9).alias(c) for c in ("lam_u", "lam_d", "momentum")]]
+    found = sorted(map(str, one.select(columns).collect()))
+    assert found and found == sorted(map(str, whole.select(columns).collect()))
