@@ -34,7 +34,7 @@ ALPHA_SHARE, MU_SHARE, JITTER = 0.2, 0.5, 0.2
 
 KEY = [*FIT, "restart"]
 PARAMS = [*MU, *ALPHA, *BETA]
-MOST_EVENTS = 500_000  # of a key that one task iterates: about 150 MB of numpy arrays
+MOST_EVENTS = 500_000  # of a key that one task iterates: about 130 MB of numpy arrays
 LEAST_EVENTS = len(PARAMS) + 1  # a key with fewer cannot determine its parameters
 START, ONWARD, TRIED = 0, 1, 2  # phases of a row: at a base point, one step beyond it, at an extrapolation
 
@@ -212,87 +212,59 @@ def em_fit(
 # --------------------------------------------------------------------------- small keys: all steps in one task
 
 
-def _decayed(fade: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """x_i = fade_i x_{i-1} + fresh_i along the last axis by doubling."""
-    fade, x, step = fade.copy(), fresh.copy(), 1
-    while step < x.shape[-1]:
-        x[..., step:] += fade[..., step:] * x[..., :-step].copy()
-        fade[..., step:] *= fade[..., :-step].copy()
+def _fades(fade: np.ndarray) -> list[np.ndarray]:
+    """Products of the last 1, 2, 4, .. factors at each place, up to the length or until all of them are zero: what doubling needs."""
+    out, step = [], 1
+    while step < len(fade) and fade.any():
+        out.append(fade)
+        fade = np.concatenate([fade[:step], fade[step:] * fade[:-step]])
         step *= 2
+    return out
+
+
+def _decayed(fades: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
+    """x_i = fade_i x_{i-1} + fresh_i by doubling; `fades` of the factors serve several such sums."""
+    x = fresh.copy()
+    for i, fade in enumerate(fades):
+        step = 1 << i
+        x[step:] += fade[step:] * x[:-step]
     return x
 
 
 class KeySums:
-    """The sums of an EM step over one key's events.
-
-    Events are laid out as a grid of consecutive rows. Decayed sums of all rows and pairs run side by side, one column after the
-    other; row ends are linked by doubling and carried into their rows. A step's work grows with the events alone.
-    """
+    """The sums of an EM step over one key's events."""
 
     def __init__(self, events: pd.DataFrame):
         events = events.sort_values(["fit_day", "bar_idx"])
         t, g, horizon = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
-        new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
-        of = [np.flatnonzero((events["k"] == m).to_numpy()) for m in (0, 1)]
-        self.n, self.sizes = len(events), [len(i) for i in of]
-        self.weight, self.rest = [g[i] for i in of], [(horizon - t)[i] for i in of]
-        width = max(1, math.isqrt(self.n) // 2)
-        rows = -(-self.n // width)
-
-        def grid(values: np.ndarray, fill: float = 0.0) -> np.ndarray:
-            """Column by column, so that a step along all rows reads neighbours in memory."""
-            return np.ascontiguousarray(np.append(values, np.full(rows * width - self.n, fill)).reshape(rows, width).T)
-
-        self.at_grid = [i % width * rows + i // width for i in of]
-        self.lag = grid(np.where(new_day, 0.0, np.diff(t, prepend=t[0])))
-        self.goes_on = grid(np.where(new_day, 0.0, 1.0), 1.0)  # a day begins without a past
-        self.since = np.cumsum(self.lag, axis=0)
-        self.before = np.zeros((2, width, rows))
-        for m, i in enumerate(of):
-            fresh = np.zeros(self.n + 1)
-            fresh[i + 1] = g[i]
-            self.before[m] = grid(fresh[:-1])
-
-    def _past(self, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each (target, source) and event: the decayed sum of earlier weights, and of weights times their age."""
-        fade = np.exp(-beta[:, :, None, None] * self.lag) * self.goes_on
-        sums, ages, share = np.empty_like(fade), np.empty_like(fade), np.empty_like(fade)
-        x = y = np.zeros((2, 2, fade.shape[-1]))
-        left = np.ones_like(x)
-        for c in range(fade.shape[2]):
-            now = fade[:, :, c]
-            x = sums[:, :, c] = (x + self.before[:, c]) * now
-            y = ages[:, :, c] = y * now + self.lag[c] * x
-            left = share[:, :, c] = left * now
-        whole, long = share[:, :, -1], self.since[-1]
-        x = _decayed(whole, x)
-        into = np.zeros_like(x)
-        into[..., 1:] = x[..., :-1]
-        y = _decayed(whole, y + whole * long * into)
-        aged = np.zeros_like(y)
-        aged[..., 1:] = y[..., :-1]
-        sums += share * into[:, :, None]
-        ages += share * (aged[:, :, None] + self.since * into[:, :, None])
-        return sums.reshape(2, 2, -1), ages.reshape(2, 2, -1)
+        self.rest = horizon - t
+        self.new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
+        self.lag = np.where(self.new_day, 0.0, np.diff(t, prepend=t[0]))
+        self.of = [(events["k"] == m).to_numpy() for m in (0, 1)]
+        self.weight = [g * m for m in self.of]
+        self.before = [np.concatenate([[0.0], w[:-1]]) for w in self.weight]
+        self.n = len(events)
 
     def at(self, value: dict[str, float]) -> dict[str, float]:
-        sums, ages = self._past(np.array([[value[f"beta_{t}{s}"] for s in "ud"] for t in "ud"]))
-        rate = [np.full(n, value[f"mu_{c}"]) for n, c in zip(self.sizes, "ud")]
+        rate = np.where(self.of[0], value["mu_u"], value["mu_d"])
         out, shares, lags = {"n_events": self.n, "total_time": value["total_time"]}, {}, {}
         for p in PAIRS:
-            target, source = map("ud".index, p)
-            shares[p] = value[f"alpha_{p}"] * sums[target, source][self.at_grid[target]]
-            lags[p] = value[f"alpha_{p}"] * ages[target, source][self.at_grid[target]]
-            rate[target] += shares[p]
-        loglik = sum(float(np.log(r).sum()) for r in rate) - (value["mu_u"] + value["mu_d"]) * value["total_time"]
+            target, source = "ud".index(p[0]), "ud".index(p[1])
+            fade = np.exp(-value[f"beta_{p}"] * self.lag)
+            fade[self.new_day] = 0.0
+            fades = _fades(fade)
+            sums = _decayed(fades, fade * self.before[source])
+            lags[p] = value[f"alpha_{p}"] * _decayed(fades, self.lag * sums)[self.of[target]]
+            shares[p] = value[f"alpha_{p}"] * sums[self.of[target]]
+            rate[self.of[target]] += shares[p]
+        loglik = float(np.log(rate).sum()) - (value["mu_u"] + value["mu_d"]) * value["total_time"]
         for m, c in enumerate("ud"):
-            out[f"bg_{c}"] = float((value[f"mu_{c}"] / rate[m]).sum())
+            out[f"bg_{c}"] = float((value[f"mu_{c}"] / rate[self.of[m]]).sum())
         for p in PAIRS:
-            target, source = map("ud".index, p)
-            weight, rest = self.weight[source], self.rest[source]
-            gone = np.exp(-value[f"beta_{p}"] * rest)
-            out[f"P_{p}"], out[f"D_{p}"] = float((shares[p] / rate[target]).sum()), float((lags[p] / rate[target]).sum())
-            out[f"G_{p}"], out[f"H_{p}"] = float((weight * (1.0 - gone)).sum()), float((weight * rest * gone).sum())
+            own, weight = rate[self.of["ud".index(p[0])]], self.weight["ud".index(p[1])]
+            gone = np.exp(-value[f"beta_{p}"] * self.rest)
+            out[f"P_{p}"], out[f"D_{p}"] = float((shares[p] / own).sum()), float((lags[p] / own).sum())
+            out[f"G_{p}"], out[f"H_{p}"] = float((weight * (1.0 - gone)).sum()), float((weight * self.rest * gone).sum())
             loglik -= value[f"alpha_{p}"] / value[f"beta_{p}"] * out[f"G_{p}"]
         return out | {"loglik": loglik}
 

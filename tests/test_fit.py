@@ -161,7 +161,7 @@ def test_restarts_of_one_key_are_spread_over_tasks(spark):
 
 
 def test_sums_are_those_of_all_pairs_of_events():
-    """Several days, rows of the grid that cross a day's end, and sizes that do not fill the grid."""
+    """One event, several days, and decays so fast that doubling ends early."""
     rng = random.Random(5)
     for days, rate, seed in ((1, 1, 1), (1, 5, 2), (3, 30, 3), (2, 90, 4)):
         events = pd.DataFrame(made_events(days, rate, seed), columns=[c.split()[0] for c in EVENTS.split(", ")])
