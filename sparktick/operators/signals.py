@@ -161,7 +161,7 @@ def _counted(batches: Iterator[pa.RecordBatch], kept: list[str], ticks: int) ->
         spikes = []
         for i in (1, 2):
             tails = [b"%d|%d" % (t, i) for t in range(ticks)]
-            draws = uniforms(h + t for h in heads for t in tails).reshape(len(heads), ticks)
+            draws = uniforms(heads, tails).reshape(len(heads), ticks)
             p = batch.column(f"_p{i}")
             known = p.is_valid().to_numpy(zero_copy_only=False)
             value = p.fill_null(0.0).to_numpy(zero_copy_only=False)

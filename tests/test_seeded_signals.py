@@ -165,3 +165,24 @@ def test_an_audited_day_needs_no_other_days_theta(spark, sf):
     columns = ["symbol", "day", "num", "w_h", "bar_idx", "k", *[F.round(c, 9).alias(c) for c in ("lam_u", "lam_d", "momentum")]]
     found = sorted(map(str, one.select(columns).collect()))
     assert found and found == sorted(map(str, whole.select(columns).collect()))
+
+
+def test_many_draws_are_hashed_together(monkeypatch):
+    """md5 of every text with every tail, whatever the lengths; many texts are not hashed one by one."""
+    import hashlib
+    import random
+
+    from sparktick.functions import keyed
+
+    draw = random.Random(1)
+    texts = [bytes(draw.randrange(256) for _ in range(n)) for n in (0, 1, 3, 4, 40, 52, 54, 55, 56, 57, 63, 64, 119, 120, 121, 200) for _ in range(70)]
+    tails = [b"", b"1|2", b"10|1", b"x" * 70]
+    want = [[int.from_bytes(hashlib.md5(t + tail).digest()[:8], "big") for tail in tails] for t in texts]
+    assert keyed.first_words(texts[:9], tails).tolist() == want[:9] and keyed.first_words([], tails).shape == (0, 4)
+    sizes = {(n, key): [(i * 7919 + 13) % n for i in range(20)] for n in (1, 1023, 5000, 10**6, 10**12) for key in ("a", "k" * 46, "k" * 49, "k" * 70)}
+    few = {at: [keyed.images(np.arange(i, i + 500) % at[0], at[0], shifts, at[1]) for i in range(0, 5000, 500)] for at, shifts in sizes.items()}
+    monkeypatch.setattr(keyed.hashlib, "md5", None)
+    assert keyed.first_words(texts, tails).tolist() == want
+    assert keyed.uniforms(texts, tails).tolist() == [(w >> 4) / 2.0**60 for row in want for w in row]
+    for at, shifts in sizes.items():
+        assert keyed.images(np.arange(5000) % at[0], at[0], shifts, at[1]).tolist() == np.concatenate(few[at]).tolist()
