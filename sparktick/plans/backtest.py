@@ -7,14 +7,15 @@ computed once and shared by all rules and latencies.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktick.functions.columns import ratio
 from sparktick.functions.rules import Rule
-from sparktick.operators.labels import METRICS, day_base, day_metrics, output_health
+from sparktick.operators.bars import day_sizes
+from sparktick.operators.labels import METRICS, day_metrics, output_health
 from sparktick.operators.signals import big_moves, dealt, random_bars, signal_rates
 from sparktick.schemas import BAR, BAR_DAY
 from sparktick.session import materialise
@@ -231,22 +232,31 @@ def in_report_order(rows: DataFrame, *columns: str) -> DataFrame:
 class Experiment:
     """Tables of one experiment, each a lazy DataFrame built from the shared ones.
 
-    Rates, big moves, random samples and the samples' daily results are written once, when the first table needs them.
+    Labels, returns, rates, big moves, random samples and the samples' daily results are written once, when the first table needs them:
+    a table that needs none of one does not make it.
 
-    `diffs` are bars with d, `labels` their spike labels, `surface` the per-bar returns of all rules and latencies,
+    `diffs` are bars with d, `labels` their spike labels, `surface` the per-bar returns of all rules and latencies (plans, both),
     `signals(job, split, test_day, bar...)` the models' output (any external signal table fits), `jobs` the job list.
     """
 
     def __init__(self, diffs, labels, surface, signals, jobs, folds, rules, latencies_ms, reps, delay: int = 1):
-        self.diffs, self.labels, self.surface, self.folds = diffs, labels, surface, folds
+        self.diffs, self._labels, self._surface, self.folds = diffs, labels, surface, folds
         self.rules, self.latencies, self.reps, self.delay = rules, latencies_ms, reps, delay
         self.jobs = jobs.select("job", *JOB)
         self.test = signals.filter("split = 'test'").select("job", *BAR)
         self.train = signals.filter("split = 'train'").select("job", "test_day", *BAR)
         days = folds.select("w_snn", F.col("test_day").alias("day")).distinct()
-        self.sizes = day_base(labels).select(*BAR_DAY, "n_bars")
+        self.sizes = day_sizes(diffs)
         self.job_days = self.jobs.join(days, "w_snn").join(self.sizes.drop("n_bars"), "day")
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        return materialise(self._labels, "labels")
+
+    @cached_property
+    def surface(self) -> DataFrame:
+        return materialise(self._surface, "returns")
+
     @cached_property
     def rates(self) -> DataFrame:
         return materialise(job_rates(self.test, self.job_days, self.sizes), "rates")
@@ -266,16 +276,19 @@ class Experiment:
         spine = with_reps(with_trading(self.job_days, self.rules, self.latencies), self.reps)
         return materialise(daily_results(trades, keys, spine), "naive-daily")
 
-    def daily(self) -> DataFrame:
-        """Daily results of model and big-move trades, and of the mean naive repetition."""
+    def daily(self, sources: Sequence[str] = ("model", "big_move", "naive_mean")) -> DataFrame:
+        """Daily results of model and big-move trades, and of the mean naive repetition; only the wanted sources are made."""
         keys = ["job", "rule", "latency_ms"]
         spine = with_trading(self.job_days, self.rules, self.latencies)
         parts = []
-        for source, signals in (("model", self.test), ("big_move", self.big)):
-            rows = daily_results(signals.join(self.surface, BAR), keys, spine)
+        for source in sources:
+            if source == "naive_mean":
+                rows = mean_over_reps(self.naive_daily(), keys)
+            else:
+                signals = {"model": lambda: self.test, "big_move": lambda: self.big}[source]()
+                rows = daily_results(signals.join(self.surface, BAR), keys, spine)
             parts.append(rows.withColumn("source", F.lit(source)))
-        naive = mean_over_reps(self.naive_daily(), keys).withColumn("source", F.lit("naive_mean"))
-        return parts[0].unionByName(parts[1]).unionByName(naive)
+        return reduce(DataFrame.unionByName, parts)
 
     def trades(self) -> DataFrame:
         """Every trade of the models' and the big moves' signals: one row for each rule and latency that takes the signal."""
@@ -293,7 +306,7 @@ class Experiment:
     def strategy_rows(self) -> DataFrame:
         """Performance per (job, rule, latency, source)."""
         keys = ["job", "rule", "latency_ms"]
-        own = performance(self.daily().filter("source <> 'naive_mean'"), [*keys, "source"])
+        own = performance(self.daily(("model", "big_move")), [*keys, "source"])
         naive = naive_performance(self.naive_daily(), keys).withColumn("source", F.lit("naive"))
         cols = [*keys, "source", *PERFORMANCE]
         return own.select(*cols).unionByName(naive.select(*cols)).join(self.jobs, "job")

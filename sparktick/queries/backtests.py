@@ -222,8 +222,7 @@ def _scored_experiment(spark, sf):
     jobs = K.signal_jobs(runs)
     fired = G.score_signals(scored, ["model", "seed"], RATE)
     signals = materialise(fired.join(jobs.select("job", "model", "seed", "w_snn"), ["model", "seed", "w_snn"]).select("job", "split", "test_day", *BAR), "signals")
-    labels = materialise(L.bar_labels(d), "labels")
-    surface = materialise(E.return_surface(d, default_rules(), S.LATENCIES), "returns")
+    labels, surface = L.bar_labels(d), E.return_surface(d, default_rules(), S.LATENCIES)
     return K.Experiment(d, labels, surface, signals, jobs, folds, default_rules(), S.LATENCIES, REPS), scored
 
 

@@ -186,3 +186,28 @@ def test_many_draws_are_hashed_together(monkeypatch):
     assert keyed.uniforms(texts, tails).tolist() == [(w >> 4) / 2.0**60 for row in want for w in row]
     for at, shifts in sizes.items():
         assert keyed.images(np.arange(5000) % at[0], at[0], shifts, at[1]).tolist() == np.concatenate(few[at]).tolist()
+
+
+def small_experiment(spark, labels=None, surface=None):
+    from conftest import bar_rows
+    from sparktick.functions.rules import momentum
+    from sparktick.operators.bars import differences
+    from sparktick.operators.execution import return_surface
+    from sparktick.operators.labels import bar_labels
+    from sparktick.plans.backtest import Experiment
+
+    test_day = DAY + dt.timedelta(1)
+    d = differences(bar_rows(spark, [100 + i * 7 % 11 for i in range(40)]).unionByName(bar_rows(spark, [100 + i * 5 % 13 for i in range(40)], day=test_day)))
+    jobs = spark.createDataFrame([("j", "m", 1, None, 0)], "job string, model string, w_snn int, w_h int, seed int")
+    folds = spark.createDataFrame([(1, test_day, DAY)], "w_snn int, test_day date, train_day date")
+    signals = spark.createDataFrame([("j", "test", test_day, "S", test_day, 10, b) for b in range(5, 15)], "job string, split string, test_day date, symbol string, day date, num long, bar_idx long")
+    rules = [momentum(3)]
+    labels, surface = labels or bar_labels, surface or (lambda rows: return_surface(rows, rules))
+    return Experiment(d, labels(d), surface(d), signals, jobs, folds, rules, (0.0,), 2)
+
+
+def test_big_moves_need_no_labels_or_returns(spark):
+    never = lambda d: d.withColumn("bar_idx", F.raise_error(F.lit("not needed")).cast("long"))
+    x = small_experiment(spark, never, never)
+    big = sorted(r.bar_idx for r in x.big.collect())
+    assert big and big == sorted(r.bar_idx for r in small_experiment(spark).big.collect())
