@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktick.functions.keyed import uniform
@@ -35,6 +35,9 @@ ALPHA_SHARE, MU_SHARE, JITTER = 0.2, 0.5, 0.2
 KEY = [*FIT, "restart"]
 PARAMS = [*MU, *ALPHA, *BETA]
 MOST_EVENTS = 500_000  # of a key that one task iterates: about 130 MB of numpy arrays
+SHORT_EVENTS = 1_024  # up to which a key's sums are taken by doubling, n log n but few array operations
+GRID_ROWS = 1_024  # of a longer key's grid of events: as many as its columns are worth numpy's cost of an operation
+LONG_FIT, TASKS_PER_CORE = 100, 16  # steps from which a fit's restarts are dealt to many tasks, and how many at most
 LEAST_EVENTS = len(PARAMS) + 1  # a key with fewer cannot determine its parameters
 START, ONWARD, TRIED = 0, 1, 2  # phases of a row: at a base point, one step beyond it, at an extrapolation
 
@@ -232,7 +235,7 @@ def _decayed(fades: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
 
 
 class KeySums:
-    """The sums of an EM step over one key's events."""
+    """The sums of an EM step over the events of a short key."""
 
     def __init__(self, events: pd.DataFrame):
         events = events.sort_values(["fit_day", "bar_idx"])
@@ -269,13 +272,116 @@ class KeySums:
         return out | {"loglik": loglik}
 
 
+class GridSums:
+    """The sums of an EM step over the events of a long key, with work in proportion to the events.
+
+    Events are the places of a grid, row after row, each with its four pairs side by side. All rows run along the columns at once: a first
+    time from nothing, which gives the rows' ends; doubling links these; a second time from the end of the row before.
+    """
+
+    def __init__(self, events: pd.DataFrame):
+        events = events.sort_values(["fit_day", "bar_idx"])
+        t, g, horizon = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
+        new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
+        lag = np.where(new_day, 0.0, np.diff(t, prepend=t[0]))
+        of = [(events["k"] == m).to_numpy() for m in (0, 1)]
+        self.n, pairs = len(events), len(PAIRS)
+        width = -(-self.n // max(1, min(GRID_ROWS, self.n // 8)))
+        rows = -(-self.n // width)
+
+        def grid(values: np.ndarray) -> np.ndarray:
+            full = np.zeros((rows * width, pairs), values.dtype)
+            full[:self.n] = values
+            return np.ascontiguousarray(full.reshape(rows, width, pairs).swapaxes(0, 1)).reshape(width, rows * pairs)
+
+        self.lags, code = np.unique(lag, return_inverse=True)  # equal lags fade alike; a new day has no past at all
+        code = np.where(new_day, len(self.lags), code)
+        self.code = grid(code[:, None] + np.arange(pairs) * (len(self.lags) + 1))
+        self.lag = grid(np.repeat(lag[:, None], pairs, axis=1))
+        weight = np.stack([g * of["ud".index(p[1])] for p in PAIRS], axis=1)
+        self.weight, self.total = grid(weight), weight.sum(axis=0)
+        self.spans = [self.lag.sum(axis=0)]  # time over the last 1, 2, 4, .. rows
+        while (step := pairs << len(self.spans) - 1) < rows * pairs:
+            span = self.spans[-1]
+            self.spans.append(np.concatenate([span[:step], span[step:] + span[:-step]]))
+        at = np.arange(self.n)
+        at = (at % width * rows + at // width) * pairs
+        places = [np.sort(at[m]) for m in of]  # an order of the sums that reads the grid along memory
+        self.part = {"u": slice(len(places[0])), "d": slice(len(places[0]), None)}
+        self.places = np.stack([np.concatenate([i + PAIRS.index(c + s) for i, c in zip(places, "ud")]) for s in "ud"])
+        last = np.flatnonzero(np.append(new_day[1:], True))
+        self.ends, self.rest = at[last] + np.arange(pairs)[:, None], (horizon - t)[last]
+        self.fade, self.sums, self.ages = (np.empty(self.code.shape) for _ in range(3))
+        self.picked = [np.empty(self.places.shape) for _ in range(2)]
+
+    def _past(self, beta: np.ndarray) -> None:
+        """`sums` and `ages`: decayed sums of the earlier weights and of weights times their age, for each place and pair."""
+        pairs = len(PAIRS)
+        table = np.append(np.exp(-beta[:, None] * self.lags), np.zeros((pairs, 1)), axis=1)
+        fade = np.take(table, self.code, out=self.fade, mode="clip")
+        x = self.weight[0].copy()
+        y, aged = np.zeros_like(x), np.empty_like(x)
+        for now, lag, weight in zip(fade[1:], self.lag[1:], self.weight[1:]):
+            np.multiply(x, lag, out=aged)
+            np.add(y, aged, out=y)
+            np.multiply(y, now, out=y)
+            np.multiply(x, now, out=x)
+            np.add(x, weight, out=x)
+        whole = np.multiply.reduce(fade, axis=0)
+        for i, span in enumerate(self.spans[:-1]):
+            step = pairs << i
+            x_moved = whole[step:] * x[:-step]
+            y[step:] += whole[step:] * y[:-step] + span[step:] * x_moved
+            x[step:] += x_moved
+            whole = np.concatenate([whole[:step], whole[step:] * whole[:-step]])
+        none = np.zeros(pairs)
+        x, y = np.concatenate([none, x[:-pairs]]), np.concatenate([none, y[:-pairs]])
+        for now, lag, weight, sums, ages in zip(fade, self.lag, self.weight, self.sums, self.ages):
+            np.multiply(x, lag, out=ages)
+            np.add(y, ages, out=ages)
+            np.multiply(ages, now, out=ages)
+            np.multiply(x, now, out=sums)
+            np.add(sums, weight, out=x)
+            y = ages
+
+    def at(self, value: dict[str, float]) -> dict[str, float]:
+        beta = np.array([value[f"beta_{p}"] for p in PAIRS])
+        self._past(beta)
+        sums, ages = (np.take(v, self.places, out=o, mode="clip") for v, o in zip((self.sums, self.ages), self.picked))
+        rate = np.empty(self.n)
+        for c, own in self.part.items():
+            np.multiply(sums[0, own], value[f"alpha_{c}u"], out=rate[own])
+            rate[own] += value[f"alpha_{c}d"] * sums[1, own]
+            rate[own] += value[f"mu_{c}"]
+        out = {"n_events": self.n, "total_time": value["total_time"]}
+        loglik = float(np.log(rate).sum()) - (value["mu_u"] + value["mu_d"]) * value["total_time"]
+        inverse = 1.0 / rate
+        sums *= inverse
+        ages *= inverse
+        # What has not faded by a day's horizon: the sums go on from its last event.
+        fade, weight = np.exp(-beta[:, None] * self.rest), self.weight.ravel()[self.ends] + self.sums.ravel()[self.ends]
+        left, aged = (fade * weight).sum(axis=1), (fade * (self.ages.ravel()[self.ends] + self.rest * weight)).sum(axis=1)
+        for c, own in self.part.items():
+            out[f"bg_{c}"] = value[f"mu_{c}"] * float(inverse[own].sum())
+        for i, p in enumerate(PAIRS):
+            source, own = "ud".index(p[1]), self.part[p[0]]
+            out[f"P_{p}"], out[f"D_{p}"] = (value[f"alpha_{p}"] * float(v[source, own].sum()) for v in (sums, ages))
+            out[f"G_{p}"], out[f"H_{p}"] = float(self.total[i] - left[i]), float(aged[i])
+            loglik -= value[f"alpha_{p}"] / value[f"beta_{p}"] * out[f"G_{p}"]
+        return out | {"loglik": loglik}
+
+
+def key_sums(events: pd.DataFrame) -> KeySums | GridSums:
+    return (KeySums if len(events) <= SHORT_EVENTS else GridSums)(events)
+
+
 def _in_task(max_iter: int, tol: float, accelerate: bool):
     """One restart of one key; the same steps as `em_fit`."""
 
     def fit(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         kept = [*KEY, "total_time", "n_events", "loglik", "converged", "n_iter", "slope", *PARAMS]
         rows = []
-        sums = KeySums(events) if len(events) and len(starts) else None
+        sums = key_sums(events) if len(events) and len(starts) else None
         for start in starts.to_dict("records") if sums else ():
             state = start | {"phase": START, "other": [0.0] * len(PARAMS), "best": 0.0}
             for i in range(max_iter):
@@ -296,7 +402,8 @@ def em_fit_in_tasks(
 ) -> DataFrame:
     """`em_fit` with each restart of a key iterated inside one task: for keys whose events fit there.
 
-    A restart gets its own copy of the key's events, so that few keys with many or long restarts still fill all tasks.
+    A restart gets its own copy of the key's events and a number, and numbers are dealt to tasks in turn: every task has as many restarts,
+    and a full fit has many more tasks than cores, since restarts take very different numbers of steps.
     """
     starts = starts if starts is not None else start_values(head, restarts, seed)
     starts = starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *PARAMS)
@@ -304,12 +411,17 @@ def em_fit_in_tasks(
     schema = ", ".join(
         [f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + ["n_events long, loglik double, converged boolean, n_iter int, slope double"] + [f"{c} double" for c in PARAMS]
     )
-    parts = int(head.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs, long work: not to be put together
-    units = starts.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct()
+    starts = materialise(starts.withColumn("_unit", F.dense_rank().over(Window.orderBy(*KEY)) - 1), "fit-starts")  # one row a fit: small
+    units = starts.select(F.col("_unit").alias("_of"), *[F.col(c).alias(f"_{c}") for c in FIT]).distinct()
+    session = head.sparkSession
+    tasks = int(session.conf.get("spark.sql.shuffle.partitions"))
+    if max_iter >= LONG_FIT:
+        tasks = max(tasks, TASKS_PER_CORE * session.sparkContext.defaultParallelism)
+    tasks = max(1, min(tasks, units.count()))
     rows = fit_set.select(*FIT, "fit_day", "bar_idx", "t", "k", "g", "horizon").join(units, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FIT])
-    rows = rows.withColumn("restart", F.col("_restart")).drop(*[f"_{c}" for c in KEY]).repartition(parts, *KEY)
-    starts = starts.repartition(parts, *KEY)
-    found = rows.groupBy(*KEY).cogroup(starts.groupBy(*KEY)).applyInPandas(_in_task(max_iter, tol, accelerate), schema)
+    rows = rows.select("_of", "fit_day", "bar_idx", "t", "k", "g", "horizon").repartitionById(tasks, "_of")
+    starts = starts.repartitionById(tasks, "_unit")
+    found = rows.groupBy("_of").cogroup(starts.groupBy("_unit")).applyInPandas(_in_task(max_iter, tol, accelerate), schema)
     out = branching_matrix(materialise(found, "fits"))
     return out.withColumn("loglik_per_event", F.col("loglik") / F.col("n_events"))
 

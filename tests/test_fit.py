@@ -190,3 +190,35 @@ def test_sums_are_those_of_all_pairs_of_events():
         assert got["n_events"] == len(events)
         for name, x in want.items():
             assert got[name] == pytest.approx(x, rel=1e-9, abs=1e-12), name
+
+
+def test_long_keys_take_their_sums_from_a_grid():
+    """Sums of a grid are those of doubling: days of several lengths, ends that do not fill the grid, equal and all-different lags."""
+    rng = random.Random(6)
+    for days, rate, seed, whole in ((1, FT.SHORT_EVENTS + 90, 1, True), (3, 700, 2, False), (1, 9_000, 3, True), (40, 50, 4, False)):
+        events = pd.DataFrame(made_events(days, rate, seed), columns=[c.split()[0] for c in EVENTS.split(", ")])
+        if whole:
+            events["t"] = np.floor(events["t"] * rate) / 10
+            events["horizon"] *= rate / 10
+        sums = FT.key_sums(events)
+        assert isinstance(sums, FT.GridSums) and isinstance(FT.key_sums(events[:FT.SHORT_EVENTS]), FT.KeySums)
+        for _ in range(4):
+            value = {"mu_u": 0.2, "mu_d": 0.3, "total_time": 100.0 * days}
+            value |= {f"beta_{p}": rng.choice([1e-3, 0.3, 5.0, 900.0]) for p in H.PAIRS} | {f"alpha_{p}": rng.uniform(0.05, 0.4) for p in H.PAIRS}
+            want, got = FT.KeySums(events).at(value), sums.at(value)
+            assert want.keys() == got.keys()
+            for name, x in want.items():
+                assert got[name] == pytest.approx(x, rel=1e-10, abs=1e-12), name
+
+
+def test_restarts_are_dealt_to_tasks_in_turn(spark):
+    """As many restarts for every task, and more tasks than partitions where a fit may take many steps; nulls in a key are a key."""
+    rows = made_events(1, 40, 9)
+    rows += [(None, *row[1:]) for row in rows]
+    fit_set, head = fit_frame(spark, rows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for max_iter, tasks in ((4, parts), (FT.LONG_FIT, 24)):
+        fits = FT.em_fit_in_tasks(fit_set, head, restarts=12, max_iter=max_iter, tol=1e-2)
+        per_task = fits.groupBy(F.input_file_name()).agg(F.count("*").alias("n"))
+        assert [r["n"] for r in per_task.collect()] == [24 // tasks] * tasks
+        assert fits.select("symbol", "restart").distinct().count() == 24
