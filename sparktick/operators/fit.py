@@ -36,6 +36,7 @@ KEY = [*FIT, "restart"]
 PARAMS = [*MU, *ALPHA, *BETA]
 MOST_EVENTS = 500_000  # of a key that one task iterates: about 130 MB of numpy arrays
 SHORT_EVENTS = 1_024  # up to which a key's sums are taken by doubling, n log n but few array operations
+MOST_TOGETHER = 8  # restarts of a short key that are iterated side by side
 GRID_ROWS = 1_024  # of a longer key's grid of events: as many as its columns are worth numpy's cost of an operation
 LONG_FIT, TASKS_PER_CORE = 100, 16  # steps from which a fit's restarts are dealt to many tasks, and how many at most
 LEAST_EVENTS = len(PARAMS) + 1  # a key with fewer cannot determine its parameters
@@ -82,11 +83,13 @@ def branching_step(kids: Sequence[float], weight: Sequence[float], most: float =
 
     low, high = 0.0, min(kids[1], kids[2])
     for _ in range(100):
-        middle = 0.5 * (low + high)
+        middle, ends = 0.5 * (low + high), (low, high)
         if radius(at(middle)) > most:
             low = middle
         else:
             high = middle
+        if (low, high) == ends:  # neighbours: no later step would change them
+            break
     return at(high)
 
 
@@ -235,41 +238,56 @@ def _decayed(fades: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
 
 
 class KeySums:
-    """The sums of an EM step over the events of a short key."""
+    """The sums of an EM step over the events of a short key, for several parameters side by side."""
 
     def __init__(self, events: pd.DataFrame):
         events = events.sort_values(["fit_day", "bar_idx"])
         t, g, horizon = (events[c].to_numpy(float) for c in ("t", "g", "horizon"))
-        self.rest = horizon - t
-        self.new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
-        self.lag = np.where(self.new_day, 0.0, np.diff(t, prepend=t[0]))
-        self.of = [(events["k"] == m).to_numpy() for m in (0, 1)]
-        self.weight = [g * m for m in self.of]
-        self.before = [np.concatenate([[0.0], w[:-1]]) for w in self.weight]
+        new_day = (events["fit_day"] != events["fit_day"].shift()).to_numpy()
+        self.lag = np.where(new_day, 0.0, np.diff(t, prepend=t[0]))
+        self.lags, code = np.unique(self.lag, return_inverse=True)  # equal lags fade alike; a new day has no past at all
+        self.code = np.where(new_day, len(self.lags), code)
+        of = [(events["k"] == m).to_numpy() for m in (0, 1)]
+        self.places = [np.flatnonzero(m) for m in of]
+        self.weight, rest = [g[i] for i in self.places], horizon - t
+        self.rest = [rest[i] for i in self.places]
+        before = [np.concatenate([[0.0], (g * m)[:-1]]) for m in of]
+        self.before = np.stack([before["ud".index(p[1])] for p in PAIRS], axis=1)
         self.n = len(events)
 
     def at(self, value: dict[str, float]) -> dict[str, float]:
-        rate = np.where(self.of[0], value["mu_u"], value["mu_d"])
-        out, shares, lags = {"n_events": self.n, "total_time": value["total_time"]}, {}, {}
-        for p in PAIRS:
-            target, source = "ud".index(p[0]), "ud".index(p[1])
-            fade = np.exp(-value[f"beta_{p}"] * self.lag)
-            fade[self.new_day] = 0.0
-            fades = _fades(fade)
-            sums = _decayed(fades, fade * self.before[source])
-            lags[p] = value[f"alpha_{p}"] * _decayed(fades, self.lag * sums)[self.of[target]]
-            shares[p] = value[f"alpha_{p}"] * sums[self.of[target]]
-            rate[self.of[target]] += shares[p]
-        loglik = float(np.log(rate).sum()) - (value["mu_u"] + value["mu_d"]) * value["total_time"]
+        return self.at_all([value])[0]
+
+    def at_all(self, values: Sequence[dict[str, float]]) -> list[dict[str, float]]:
+        n, many, out = self.n, len(values), {}
+        of = lambda names: np.array([[v[c] for v in values] for c in names])
+        mu, alpha, beta = of(MU), of(ALPHA), of(BETA)
+        table = np.append(np.exp(-beta.reshape(-1, 1) * self.lags), np.zeros((beta.size, 1)), axis=1)
+        fade = np.ascontiguousarray(table.T)[self.code]
+        fades = _fades(fade)
+        sums = _decayed(fades, (fade.reshape(n, -1, many) * self.before[:, :, None]).reshape(n, -1))
+        ages = _decayed(fades, self.lag[:, None] * sums)
+        rate = np.empty((many, n))
         for m, c in enumerate("ud"):
-            out[f"bg_{c}"] = float((value[f"mu_{c}"] / rate[self.of[m]]).sum())
-        for p in PAIRS:
-            own, weight = rate[self.of["ud".index(p[0])]], self.weight["ud".index(p[1])]
-            gone = np.exp(-value[f"beta_{p}"] * self.rest)
-            out[f"P_{p}"], out[f"D_{p}"] = float((shares[p] / own).sum()), float((lags[p] / own).sum())
-            out[f"G_{p}"], out[f"H_{p}"] = float((weight * (1.0 - gone)).sum()), float((weight * self.rest * gone).sum())
-            loglik -= value[f"alpha_{p}"] / value[f"beta_{p}"] * out[f"G_{p}"]
-        return out | {"loglik": loglik}
+            place, pairs = self.places[m], slice(2 * m, 2 * m + 2)
+            shares, lags = (alpha[pairs, :, None] * np.ascontiguousarray(x.reshape(n, -1, many)[place, pairs].transpose(1, 2, 0)) for x in (sums, ages))
+            own = mu[m, :, None] + shares[0] + shares[1]
+            rate[:, place] = own
+            out[f"bg_{c}"] = (mu[m, :, None] / own).sum(axis=1)
+            for i, p in enumerate(PAIRS[pairs]):
+                out[f"P_{p}"], out[f"D_{p}"] = (shares[i] / own).sum(axis=1), (lags[i] / own).sum(axis=1)
+        out["loglik"] = np.log(rate).sum(axis=1) - (mu[0] + mu[1]) * of(["total_time"])[0]
+        for i, p in enumerate(PAIRS):
+            source = "ud".index(p[1])
+            place, weight, rest = self.places[source], self.weight[source], self.rest[source]
+            gone = np.exp(-beta[i, :, None] * rest)
+            for name, part in (("G", weight * (1.0 - gone)), ("H", weight * rest * gone)):
+                full = np.zeros((many, n))  # summed in the order of all events
+                full[:, place] = part
+                out[f"{name}_{p}"] = full.sum(axis=1)
+            out["loglik"] = out["loglik"] - alpha[i] / beta[i] * out[f"G_{p}"]
+        out = {name: x.tolist() for name, x in out.items()}
+        return [{"n_events": n, "total_time": v["total_time"]} | {name: x[j] for name, x in out.items()} for j, v in enumerate(values)]
 
 
 class GridSums:
@@ -370,27 +388,32 @@ class GridSums:
             loglik -= value[f"alpha_{p}"] / value[f"beta_{p}"] * out[f"G_{p}"]
         return out | {"loglik": loglik}
 
+    def at_all(self, values: Sequence[dict[str, float]]) -> list[dict[str, float]]:
+        return [self.at(value) for value in values]
+
 
 def key_sums(events: pd.DataFrame) -> KeySums | GridSums:
     return (KeySums if len(events) <= SHORT_EVENTS else GridSums)(events)
 
 
 def _in_task(max_iter: int, tol: float, accelerate: bool):
-    """One restart of one key; the same steps as `em_fit`."""
+    """Some restarts of one key, side by side; the same steps as `em_fit`."""
 
     def fit(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         kept = [*KEY, "total_time", "n_events", "loglik", "converged", "n_iter", "slope", *PARAMS]
         rows = []
         sums = key_sums(events) if len(events) and len(starts) else None
-        for start in starts.to_dict("records") if sums else ():
-            state = start | {"phase": START, "other": [0.0] * len(PARAMS), "best": 0.0}
-            for i in range(max_iter):
-                state |= sums.at(state)
+        open_fits = [start | {"phase": START, "other": [0.0] * len(PARAMS), "best": 0.0} for start in starts.to_dict("records")] if sums else []
+        for i in range(max_iter):
+            going = []
+            for state, found in zip(open_fits, sums.at_all(open_fits) if open_fits else ()):
+                state |= found
                 new = advance(state, tol, accelerate)
                 if new["done"] or i == max_iter - 1:
-                    break
-                state |= dict(zip(PARAMS, new["next"])) | {c: new[c] for c in ("phase", "other", "best")}
-            rows.append((*[start[c] for c in [*KEY, "total_time"]], sums.n, state["loglik"], new["done"], i + 1, new["slope"], *[state[c] for c in PARAMS]))
+                    rows.append((*[state[c] for c in [*KEY, "total_time"]], sums.n, state["loglik"], new["done"], i + 1, new["slope"], *[state[c] for c in PARAMS]))
+                else:
+                    going.append(state | dict(zip(PARAMS, new["next"])) | {c: new[c] for c in ("phase", "other", "best")})
+            open_fits = going
         return pd.DataFrame(rows, columns=kept)
 
     return fit
@@ -400,18 +423,20 @@ def em_fit_in_tasks(
     fit_set: DataFrame, head: DataFrame, restarts: int = 5, max_iter: int = 500, tol: float = 1e-6, seed: int = 0,
     starts: DataFrame | None = None, accelerate: bool = True,
 ) -> DataFrame:
-    """`em_fit` with each restart of a key iterated inside one task: for keys whose events fit there.
+    """`em_fit` with the restarts of a key iterated inside tasks: for keys whose events fit there.
 
-    A restart gets its own copy of the key's events and a number, and numbers are dealt to tasks in turn: every task has as many restarts,
-    and a full fit has many more tasks than cores, since restarts take very different numbers of steps.
+    A long key's restart, or some restarts of a short key, get their own copy of the key's events and a number, and numbers are dealt to
+    tasks in turn: every task has as many of them, and a full fit has many more tasks than cores, since restarts take very different
+    numbers of steps.
     """
     starts = starts if starts is not None else start_values(head, restarts, seed)
-    starts = starts.select(*KEY, F.col("total_time").cast("double").alias("total_time"), *PARAMS)
+    together = F.greatest(F.lit(1), F.least(F.lit(MOST_TOGETHER), F.floor(4 * SHORT_EVENTS / (F.col("n_up") + F.col("n_down")))))
+    starts = starts.withColumn("_part", F.floor(F.col("restart") / together)).select("_part", *KEY, F.col("total_time").cast("double").alias("total_time"), *PARAMS)
     kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
     schema = ", ".join(
         [f"{c} {kinds[c]}" for c in [*KEY, "total_time"]] + ["n_events long, loglik double, converged boolean, n_iter int, slope double"] + [f"{c} double" for c in PARAMS]
     )
-    starts = materialise(starts.withColumn("_unit", F.dense_rank().over(Window.orderBy(*KEY)) - 1), "fit-starts")  # one row a fit: small
+    starts = materialise(starts.withColumn("_unit", F.dense_rank().over(Window.orderBy(*FIT, "_part")) - 1), "fit-starts")  # one row a fit: small
     units = starts.select(F.col("_unit").alias("_of"), *[F.col(c).alias(f"_{c}") for c in FIT]).distinct()
     session = head.sparkSession
     tasks = int(session.conf.get("spark.sql.shuffle.partitions"))

@@ -216,9 +216,28 @@ def test_restarts_are_dealt_to_tasks_in_turn(spark):
     rows = made_events(1, 40, 9)
     rows += [(None, *row[1:]) for row in rows]
     fit_set, head = fit_frame(spark, rows)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for max_iter, tasks in ((4, parts), (FT.LONG_FIT, 24)):
-        fits = FT.em_fit_in_tasks(fit_set, head, restarts=12, max_iter=max_iter, tol=1e-2)
+    parts, restarts = int(spark.conf.get("spark.sql.shuffle.partitions")), 5 * FT.MOST_TOGETHER
+    for max_iter, tasks in ((4, [3, 3, 2, 2]), (FT.LONG_FIT, [1] * 10)):
+        assert parts == 4
+        fits = FT.em_fit_in_tasks(fit_set, head, restarts=restarts, max_iter=max_iter, tol=1e-2)
         per_task = fits.groupBy(F.input_file_name()).agg(F.count("*").alias("n"))
-        assert [r["n"] for r in per_task.collect()] == [24 // tasks] * tasks
-        assert fits.select("symbol", "restart").distinct().count() == 24
+        assert sorted((r["n"] for r in per_task.collect()), reverse=True) == [FT.MOST_TOGETHER * n for n in tasks]
+        assert fits.select("symbol", "restart").distinct().count() == 2 * restarts
+
+
+def test_restarts_side_by_side_are_those_one_by_one():
+    """The same numbers to the last bit, also for restarts that end earlier than their neighbours."""
+    events = pd.DataFrame(made_events(2, 120, 7), columns=[c.split()[0] for c in EVENTS.split(", ")])
+    rng = random.Random(8)
+    starts = []
+    for restart in range(7):
+        beta = {f"beta_{p}": rng.choice([1e-3, 0.5, 2.0, 400.0]) for p in H.PAIRS}
+        alpha = {f"alpha_{p}": rng.uniform(0.05, 0.4) * beta[f"beta_{p}"] for p in H.PAIRS}
+        key = {"symbol": "S", "num": 10, "w_h": 1, "day": NEXT, "restart": restart, "total_time": 200.0}
+        starts.append(key | {"mu_u": rng.uniform(0.1, 0.5), "mu_d": rng.uniform(0.1, 0.5)} | beta | alpha)
+    sums = FT.KeySums(events)
+    assert sums.at_all(starts) == [sums.at(start) for start in starts]
+    fit = FT._in_task(60, 1e-3, True)
+    together = fit(events, pd.DataFrame(starts)).sort_values("restart").reset_index(drop=True)
+    alone = pd.concat([fit(events, pd.DataFrame([start])) for start in starts], ignore_index=True)
+    assert together.equals(alone) and together["n_iter"].nunique() > 1
