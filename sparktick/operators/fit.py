@@ -1,8 +1,8 @@
 """Maximum likelihood for all (symbol, window, day, restart) at once: constrained, accelerated EM for many keys in parallel.
 
 A key's events are those of `w_h` days of one symbol. One step (`advance`) takes the sums of an EM step at the present parameters to
-the next parameters; where the sums come from is another matter: for keys of at most MOST_EVENTS events from numpy in a task for
-each key and restart, for larger ones from one decayed scan and aggregation over the events of all of them,
+the next parameters; where the sums come from is another matter: for keys of at most MOST_EVENTS events from numpy in tasks that
+iterate restarts of one key, for larger ones from one decayed scan and aggregation over the events of all of them,
 with the parameters as a small table that is checkpointed after every step.
 
 The M-step keeps the spectral radius rho of A = alpha / beta at or below RHO_MOST exactly. In logarithms of A it is a convex
